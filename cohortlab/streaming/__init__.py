@@ -1,0 +1,6 @@
+"""Streaming.
+
+The reference is batch only: every analysis table is a full rebuild per snapshot date and there is
+no watermark, window or state anywhere. Nothing is built here on purpose; snapshot appends are
+handled by :func:`cohortlab.sources.io.append_version` as batch writes.
+"""
