@@ -14,7 +14,6 @@ import math
 from collections.abc import Mapping, Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -229,8 +228,6 @@ def wide_to_long(df: DataFrame, group: str, arms: Sequence[str], keys: Sequence[
         .unpivot([*keys, "group"], list(arms), "arm", "n")
 
 
-_ = pd  # pandas is used through mapInPandas frames
-
 
 def min_cell(cont: DataFrame, arm: str, k: int, keys: Sequence[str] = ("family",), group: str = "group") -> DataFrame:
     """Keep groups whose count in ``arm`` is greater than ``k`` (e.g. total_tested > 5)."""
