@@ -142,11 +142,11 @@ def zero_date(c) -> Column:
 
 def hours_between(later, earlier) -> Column:
     """(later - earlier) in hours as double."""
-    return (F.unix_micros(col(later)) - F.unix_micros(col(earlier))) / 3.6e9
+    return (F.unix_micros(col(later).cast("timestamp")) - F.unix_micros(col(earlier).cast("timestamp"))) / 3.6e9
 
 
 def days_between(later, earlier) -> Column:
-    return (F.unix_micros(col(later)) - F.unix_micros(col(earlier))) / 8.64e10
+    return (F.unix_micros(col(later).cast("timestamp")) - F.unix_micros(col(earlier).cast("timestamp"))) / 8.64e10
 
 
 def age_years(birth, as_of, kind: str = "days365") -> Column:

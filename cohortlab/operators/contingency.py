@@ -14,7 +14,7 @@ import math
 from collections.abc import Mapping, Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dist
@@ -31,7 +31,12 @@ def contingency(df: DataFrame, families: Mapping[str, Sequence[str]], arms: Mapp
     ``arms`` maps an arm name to a 0/1 column (or Column) summed per group; ``complements`` derives
     arms by difference (e.g. covid_negative = total_tested - covid_positive).
     """
-    aggs = [F.sum((F.col(v) if isinstance(v, str) else v).cast("long")).alias(k) for k, v in arms.items()]
+    def as_col(v):
+        if isinstance(v, str):
+            return F.col(v)
+        return v if isinstance(v, Column) else F.lit(v)
+
+    aggs = [F.sum(as_col(v).cast("long")).alias(k) for k, v in arms.items()]
     wide = grouped_levels(df, families, aggs, total=total, sep=sep)
     for name, (a, b) in (complements or {}).items():
         wide = wide.withColumn(name, F.col(a) - F.col(b))

@@ -2,8 +2,9 @@
 
 Scale notes
 -----------
-* Vocabulary / rule / configuration sides are broadcast only after a row-count check
-  (:func:`join_small`); beyond the bound the join is left to sort-merge + AQE (skew split).
+* Vocabulary / rule / configuration sides are broadcast only behind a size check
+  (:func:`checked_broadcast`); beyond the bound the join is left to sort-merge + AQE (which may still
+  switch to a broadcast from the measured shuffle size, and splits skewed partitions).
 * "One row per key" uses an aggregate (``min`` of a struct) instead of ``row_number`` over a window,
   so partial aggregation runs map-side and a hot key does not land whole in one sort task.
 """
@@ -16,24 +17,42 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import col
 
-#: default row bound for broadcasting a checked side (vocabulary subsets, rule tables, configs)
+#: default row bound for the explicit (counting) size check
 BROADCAST_MAX_ROWS = 2_000_000
+#: default byte bound for broadcasting on the optimizer's size estimate
+BROADCAST_MAX_BYTES = 64 * 1024 * 1024
 
 
 def fits_in(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows (reads at most max_rows+1 rows)."""
+    """True when ``df`` has at most ``max_rows`` rows (runs a job reading at most max_rows+1 rows)."""
     return df.limit(max_rows + 1).count() <= max_rows
 
 
-def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint only when the side is proven small; otherwise leave it to AQE."""
-    return F.broadcast(df) if fits_in(df, max_rows) else df
+def estimated_bytes(df: DataFrame) -> int:
+    """Optimizer size estimate of the plan (an upper bound for scans + filters/projections; no job)."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()))
+    except Exception:  # noqa: BLE001 - no estimate available
+        return 1 << 62
+
+
+def checked_broadcast(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES, max_rows: int | None = None) -> DataFrame:
+    """Broadcast hint only behind a size check, else no hint (AQE re-plans from the real shuffle size).
+
+    By default the check is the optimizer's size estimate (free); ``max_rows`` adds an exact row-count
+    check (one small job) for sides whose estimate is unknown.
+    """
+    if estimated_bytes(df) <= max_bytes:
+        return F.broadcast(df)
+    if max_rows is not None and fits_in(df, max_rows):
+        return F.broadcast(df)
+    return df
 
 
 def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
-               max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Join a (usually small) side; broadcast behind a size check, sort-merge beyond it."""
-    return big.join(checked_broadcast(small, max_rows), on=on, how=how)
+               max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """Join a (usually small) side; broadcast behind a size check, sort-merge (+AQE) beyond it."""
+    return big.join(checked_broadcast(small, max_bytes), on=on, how=how)
 
 
 # ---------------------------------------------------------------- C3, C8, C9, C10
@@ -92,7 +111,7 @@ def entry_time(first: DataFrame, intervals: DataFrame, key: str, t: str, start:
     """
     j = first.join(intervals.select(key, start), key, "left")
     lag_ok = (F.col(t) >= F.col(start)) & (
-        (F.unix_micros(F.col(t)) - F.unix_micros(F.col(start))) <= F.lit(int(max_lag_hours * 3.6e9)))
+        (F.unix_micros(F.col(t).cast("timestamp")) - F.unix_micros(F.col(start).cast("timestamp"))) <= F.lit(int(max_lag_hours * 3.6e9)))
     return j.groupBy(key).agg(F.min(F.when(lag_ok, F.col(start)).otherwise(F.col(t))).alias(out))
 
 

@@ -110,10 +110,11 @@ def effects(risks: DataFrame, keys: Sequence[str], reference: str | Mapping[str,
             cond = c if cond is None else cond | c
         ref = risks.filter(cond)
     ref = ref.select(*keys, F.col(risk).alias("reference_risk"))
-    j = risks.join(ref, keys)
+    j = risks.join(ref, keys) if keys else risks.crossJoin(F.broadcast(ref))
     rd = F.col(risk) - F.col("reference_risk")
-    return j.withColumn("risk_difference", rd).withColumn("nnt", 1.0 / rd) \
-        .withColumn("relative_risk", F.col(risk) / F.col("reference_risk"))
+    # NNT is undefined (NULL) for the reference stratum itself (RD = 0)
+    return j.withColumn("risk_difference", rd).withColumn("nnt", F.try_divide(F.lit(1.0), rd)) \
+        .withColumn("relative_risk", F.try_divide(F.col(risk), F.col("reference_risk")))
 
 
 def percentile_ci(boot: DataFrame, keys: Sequence[str], cols: Sequence[str], iter_col: str = "bootstrap_iteration",
@@ -125,4 +126,4 @@ def percentile_ci(boot: DataFrame, keys: Sequence[str], cols: Sequence[str], ite
     ci = boot.filter(F.col(iter_col) != APPARENT).groupBy(*keys).agg(
         *[F.percentile(F.col(c), lo).alias(f"{c}_conf_low") for c in cols],
         *[F.percentile(F.col(c), hi).alias(f"{c}_conf_high") for c in cols])
-    return app.join(ci, keys, "left")
+    return app.join(ci, keys, "left") if keys else app.crossJoin(ci)

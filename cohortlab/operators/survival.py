@@ -79,14 +79,18 @@ def _risk_set_frame(pat: DataFrame, beta: DataFrame, keys, xs):
 
 
 def fine_gray(df: DataFrame, keys: Sequence[str], time: str, status: str, xs: Sequence[str],
-              weight: str | None = None, max_iter: int = 25, tol: float = 1e-9
+              weight: str | None = None, max_iter: int = 10, gtol: float = 1e-6, tol: float = 1e-9
               ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Fine-Gray subdistribution hazard regression per key.
 
+    Newton-Raphson from beta = 0; a key stops when u' I^-1 u < ``gtol`` (score-based, as the usual
+    competing-risk solver does) or the step is below ``tol``; at most ``max_iter`` (default 10) steps.
+
     Returns (coefficients[keys, term, estimate, std_error, statistic, p_value],
              baseline[keys, time, cum_hazard], fits[keys, loglik, iterations, converged, n_events]).
     """
     from ..functions import dist
+    from ..session import cut_lineage
     keys = list(keys)
     xs = list(xs)
     p = len(xs)
@@ -132,6 +136,9 @@ def fine_gray(df: DataFrame, keys: Sequence[str], time: str, status: str, xs: Se
             except np.linalg.LinAlgError:
                 step = np.linalg.lstsq(info, u, rcond=None)[0]
             st["beta"] = st["beta"] + step
+            if float(u @ step) < gtol:
+                st["conv"] = True  # score criterion met; the last (tiny) Newton step is kept
+                continue
             if np.max(np.abs(step)) < tol:
                 st["conv"] = True
     # final: information and baseline at the converged coefficients
@@ -139,6 +146,9 @@ def fine_gray(df: DataFrame, keys: Sequence[str], time: str, status: str, xs: Se
     rs, _ = _risk_set_frame(pat, bframe, keys, xs)
     wcum = Window.partitionBy(*keys).orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
     baseline = rs.select(*keys, "time", F.sum(F.col("__d") / F.col("S0")).over(wcum).alias("cum_hazard"))
+    # the baseline is small (keys x event times); write it to the checkpoint dir so later predictions do
+    # not recompute the pattern frame after it is released
+    baseline = cut_lineage(baseline)
     coef_rows, fit_rows = [], []
     for k, st in state.items():
         try:
