@@ -102,7 +102,10 @@ def logit_grouped(df: DataFrame, keys: Sequence[str], y: str, xs: Sequence[str],
     spark = df.sparkSession
     pat = df if compressed else compress(df, keys, y, xs, weight)
     if persist:
-        pat = pat.persist()
+        # re-read by every IRLS iteration: reliable checkpoint cuts the lineage (short plans per
+        # iteration, recomputation-free after executor loss)
+        from ..session import cut_lineage
+        pat = cut_lineage(pat)
     p = len(xs) + 1
     terms = [INTERCEPT] + xs
 
@@ -159,9 +162,6 @@ def logit_grouped(df: DataFrame, keys: Sequence[str], y: str, xs: Sequence[str],
             st["dev_old"] = d
             st["gram_used"] = g
             st["beta"] = _solve(g, rhs, st["keep"])
-    if persist:
-        pat.unpersist()
-
     coef_rows, fit_rows = [], []
     for k, st in state.items():
         keep = st["keep"]

@@ -95,7 +95,9 @@ def fine_gray(df: DataFrame, keys: Sequence[str], time: str, status: str, xs: Se
     xs = list(xs)
     p = len(xs)
     spark = df.sparkSession
-    pat = _prepare(df, keys, time, status, xs, weight).persist()
+    # compressed patterns are re-read by every Newton step: cut the lineage (reliable checkpoint into the
+    # shared checkpoint dir) so each step analyses a short plan and survives executor loss
+    pat = cut_lineage(_prepare(df, keys, time, status, xs, weight))
     key_types = dict(pat.dtypes)
     key_ddl = ", ".join(f"`{k}` {key_types[k]}" for k in keys)
     bddl = ", ".join(([key_ddl] if key_ddl else []) + [f"__b_{i} double" for i in range(p)])
@@ -165,7 +167,6 @@ def fine_gray(df: DataFrame, keys: Sequence[str], time: str, status: str, xs: Se
         .withColumn("statistic", F.col("estimate") / F.col("std_error")) \
         .withColumn("p_value", dist.norm_two_sided_p(F.col("statistic")))
     fits = spark.createDataFrame(fit_rows, pre + "loglik double, iterations int, converged boolean, n_events double")
-    pat.unpersist()
     return coefs, baseline, fits
 
 

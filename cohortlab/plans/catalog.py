@@ -13,6 +13,7 @@ from ..functions import expr as X
 from ..operators import agg as A
 from ..operators import contingency as K
 from ..operators import glm, meta, relational as rel, reshape as R, resample, survival
+from ..session import cut_lineage
 from ..sources import io
 from . import driver as D
 from .driver import SEGMENTS, table, with_ctes
@@ -247,11 +248,11 @@ COHORT_SQL = """
           AND value >= 200.0 AND user_id IN (SELECT person FROM cohort) GROUP BY user_id)"""
 
 
-def cohort_frames(spark, d):
+def cohort_frames(spark, d, cons: DataFrame | None = None):
     """Cohort keys, entry, maximum censor, outcomes between bounds, exclusion order date."""
     ev = table(spark, d, "events")
-    cohort = D.consistent_types(spark, d).select("person").join(D.test_results(spark, d).select("person"),
-                                                                "person").distinct()
+    cons = cons if cons is not None else D.consistent_types(spark, d)
+    cohort = cons.select("person").join(D.test_results(spark, d).select("person"), "person").distinct()
     pos = ev.filter((F.col("event_type") == "purchase") & (F.col("value") >= D.POSITIVE_VALUE))
     fp = rel.semi(pos.select(F.col("user_id").alias("person"), "ts"), cohort, "person") \
         .groupBy("person").agg(F.min("ts").alias("t"))
@@ -312,7 +313,8 @@ BASIC_SQL = """
 
 def basic_table(spark, d):
     """One row per cohort person with demographics, types and time-to-event columns (B13 filter)."""
-    f = cohort_frames(spark, d)
+    cons = D.consistent_types(spark, d)
+    f = cohort_frames(spark, d, cons)
     c = table(spark, d, "customer")
     race = c.select(F.col("c_custkey").alias("person"), X.recode("c_mktsegment", [
         (F.col("c_mktsegment") == "AUTOMOBILE", "white"), (F.col("c_mktsegment") == "BUILDING", "black"),
@@ -320,7 +322,7 @@ def basic_table(spark, d):
     demo = c.select(F.col("c_custkey").alias("person"), _r(F.col("c_acctbal") / 100.0).alias("age"),
                     F.when(F.col("c_mktsegment") == "MACHINERY", 1.0).otherwise(0.0).alias("male"),
                     F.when(F.col("c_nationkey") < 5, 1.0).otherwise(0.0).alias("hispanic"))
-    out = rel.assemble(f["cohort"], "person", inner=[demo, race, D.consistent_types(spark, d)],
+    out = rel.assemble(f["cohort"], "person", inner=[demo, race, cons],
                        left=[f["outcomes"].drop("death_date"), f["dnr"]])
     out = out.filter(X.consistent_times("intubation_censor_time", "cohort_entry_time") &
                      X.consistent_times("death_censor_time", "cohort_entry_time"))
@@ -425,8 +427,9 @@ COMPARISONS = {"positive_vs_general": ["covid_positive", "general_pop"],
 
 def typed_contingency(spark, d) -> DataFrame:
     fams = {"abo": ["abo"], "rh": ["rh"], "abo_rh": ["abo", "rh"]}
-    cont = K.contingency(D.tested_persons(spark, d), fams, ARMS, COMPL)
-    gen = A.grouped_levels(D.general_population(spark, d), fams, [F.count(F.lit(1)).alias("n")], total=None) \
+    cons = D.consistent_types(spark, d)
+    cont = K.contingency(D.tested_persons(spark, d, cons), fams, ARMS, COMPL)
+    gen = A.grouped_levels(D.general_population(spark, d, cons), fams, [F.count(F.lit(1)).alias("n")], total=None) \
         .withColumn("arm", F.lit("general_pop"))
     return K.add_external(cont, gen)
 
@@ -702,7 +705,8 @@ def fine_gray_intubation(spark, d):
             if x not in xs:
                 rr = rr.withColumn(x, F.lit(0.0))
         frames.append(rr)
-    data = rel.union_all(frames).select("model", "survival_time", "status", *allx).persist()
+    # model input is re-read by the fit and the standardisation: cut its (deep) lineage once
+    data = cut_lineage(rel.union_all(frames).select("model", "survival_time", "status", *allx))
     coefs, base, _fits = survival.fine_gray(data, ["model"], "survival_time", "status", allx)
     coefs = coefs.filter(~((F.col("model") == "unadjusted") & ~F.col("term").isin(models["unadjusted"])))
     strata = {"A": {"abo_N": 0.0, "abo_R": 0.0}, "N": {"abo_N": 1.0, "abo_R": 0.0}, "R": {"abo_N": 0.0, "abo_R": 1.0}}

@@ -87,16 +87,18 @@ def outcome_flags(spark: SparkSession, d: str) -> DataFrame:
         F.max(((F.col("event_type") == "click") & (F.col("value") >= 200.0)).cast("int")).alias("died"))
 
 
-def tested_persons(spark: SparkSession, d: str) -> DataFrame:
+def tested_persons(spark: SparkSession, d: str, cons: DataFrame | None = None) -> DataFrame:
     """Consistently typed, tested persons with outcome flags (one row per person)."""
-    return consistent_types(spark, d).join(test_results(spark, d), "person") \
+    cons = cons if cons is not None else consistent_types(spark, d)
+    return cons.join(test_results(spark, d), "person") \
         .join(outcome_flags(spark, d), "person", "left")
 
 
-def general_population(spark: SparkSession, d: str) -> DataFrame:
+def general_population(spark: SparkSession, d: str, cons: DataFrame | None = None) -> DataFrame:
     """Typed persons never tested (anti join on all event users)."""
     users = table(spark, d, "events").select(F.col("user_id").alias("person"))
-    return rel.anti(consistent_types(spark, d), users, "person")
+    cons = cons if cons is not None else consistent_types(spark, d)
+    return rel.anti(cons, users, "person")
 
 
 def customers_tested(spark: SparkSession, d: str) -> DataFrame:
