@@ -66,7 +66,11 @@ def chisq(cont: DataFrame, comparisons: Mapping[str, Sequence[str]], keys: Seque
     """
     keys = list(keys)
     cfg = F.broadcast(_arm_config(cont.sparkSession, comparisons))
-    j = cont.join(cfg, "arm").select(*keys, "comparison", group, "col_idx", F.col("n").cast("double").alias("o"))
+    obs = cont.join(cfg, "arm").select(*keys, "comparison", group, "col_idx", F.col("n").cast("double").alias("o"))
+    # complete the (group x arm) grid: a cell absent from the long frame is a zero count, as in R's matrix
+    groups = cont.select(*keys, group).distinct()
+    grid = groups.crossJoin(cfg.select("comparison", "col_idx"))
+    j = grid.join(obs, [*keys, "comparison", group, "col_idx"], "left").fillna(0.0, subset=["o"])
     # the frame is contingency-sized (groups x arms per key): windows over it are tiny
     part = keys + ["comparison"]
     w_all = Window.partitionBy(*part)
@@ -81,7 +85,8 @@ def chisq(cont: DataFrame, comparisons: Mapping[str, Sequence[str]], keys: Seque
     e = e.withColumn("yates", F.when(two_by_two, F.least(F.lit(0.5), F.min(F.abs(F.col("o") - F.col("e"))).over(w_all)))
                      .otherwise(F.lit(0.0)))
     cell = F.pow(F.abs(F.col("o") - F.col("e")) - F.col("yates"), 2) / F.col("e")
-    agg = e.groupBy(*part).agg(F.sum(cell).alias("statistic"),
+    # an empty row or column gives a zero expected count: the statistic is undefined (NaN in R) -> NULL
+    agg = e.groupBy(*part).agg(F.when(F.min("e") > 0, F.sum(F.when(F.col("e") > 0, cell))).alias("statistic"),
                                ((F.first("nr") - 1) * (F.first("nc") - 1)).cast("int").alias("parameter"),
                                F.max(F.col("yates") > 0).alias("__yates"))
     return agg.select(*part, "statistic", "parameter",
@@ -118,8 +123,8 @@ def one_vs_rest_2x2(cont: DataFrame, comparisons: Mapping[str, Sequence[str]], k
     cfg = F.broadcast(_arm_config(cont.sparkSession, {k: v[:2] for k, v in comparisons.items()}))
     j = cont.join(cfg, "arm")
     own = j.groupBy(*keys, "comparison", group).agg(
-        F.sum(F.when(F.col("col_idx") == 0, F.col("n"))).cast("long").alias("a"),
-        F.sum(F.when(F.col("col_idx") == 1, F.col("n"))).cast("long").alias("b"))
+        F.coalesce(F.sum(F.when(F.col("col_idx") == 0, F.col("n"))), F.lit(0)).cast("long").alias("a"),
+        F.coalesce(F.sum(F.when(F.col("col_idx") == 1, F.col("n"))), F.lit(0)).cast("long").alias("b"))
     tot = own.groupBy(*keys, "comparison").agg(F.sum("a").alias("ta"), F.sum("b").alias("tb"))
     return own.join(tot, keys + ["comparison"]).select(
         *keys, "comparison", F.col(group).alias("blood_group"), "a", "b",

@@ -58,8 +58,8 @@ def meta_binary(df: DataFrame, keys: Sequence[str] = ("target",), incr: float =
         F.count(F.lit(1)).alias("k"))
     q = F.col("swy2") - F.col("swy") * F.col("swy") / F.col("sw")
     het = s1.withColumn("q", F.greatest(q, F.lit(0.0))).withColumn("df", (F.col("k") - 1).cast("int")) \
-        .withColumn("tau2", F.greatest(F.lit(0.0), (F.col("q") - F.col("df")) /
-                                       (F.col("sw") - F.col("sw2") / F.col("sw"))))
+        .withColumn("tau2", F.greatest(F.lit(0.0), F.coalesce(F.try_divide(
+            F.col("q") - F.col("df"), F.col("sw") - F.col("sw2") / F.col("sw")), F.lit(0.0))))
     st2 = st.join(het.select(*keys, "tau2"), keys).withColumn("w_random", 1.0 / (F.col("var") + F.col("tau2")))
     s2 = st2.groupBy(*keys).agg(F.sum("w_random").alias("swr"),
                                 F.sum(F.col("w_random") * F.col("log_or")).alias("swry"),
@@ -78,14 +78,16 @@ def meta_binary(df: DataFrame, keys: Sequence[str] = ("target",), incr: float =
         F.exp(F.col("log_or") + z * F.col("se")).alias("conf_high"),
         (100.0 * F.col("w_random") / F.col("swr")).alias("weight_random"))
     # Higgins & Thompson (2002) intervals for H and I^2
-    kq, dfq = F.col("q"), F.col("df")
-    se_ln_h = F.when(kq > F.col("k"), 0.5 * (F.log(kq) - F.log(dfq)) / (F.sqrt(2.0 * kq) - F.sqrt(2.0 * F.col("k") - 3.0))) \
-        .otherwise(F.sqrt(1.0 / (2.0 * (F.col("k") - 2.0)) * (1.0 - 1.0 / (3.0 * F.pow(F.col("k") - 2.0, 2)))))
-    h = F.greatest(F.lit(1.0), F.sqrt(kq / dfq))
+    kq, dfq = F.col("q"), F.col("df").cast("double")
+    # undefined quantities (one study, Q = 0, k <= 2) are NULL rather than errors
+    se_ln_h = F.when(kq > F.col("k"), F.try_divide(0.5 * (F.log(kq) - F.log(dfq)),
+                                                   F.sqrt(2.0 * kq) - F.sqrt(2.0 * F.col("k") - 3.0))) \
+        .when(F.col("k") > 2, F.sqrt(1.0 / (2.0 * (F.col("k") - 2.0)) * (1.0 - 1.0 / (3.0 * F.pow(F.col("k") - 2.0, 2)))))
+    h = F.greatest(F.lit(1.0), F.sqrt(F.try_divide(kq, dfq)))
     heterogeneity = het.select(*keys, "q", "df", "tau2", "k") \
-        .withColumn("p_q", dist.chi2_sf(F.col("q"), F.col("df"))) \
-        .withColumn("i2", F.greatest(F.lit(0.0), (F.col("q") - F.col("df")) / F.col("q"))) \
-        .withColumn("h", F.sqrt(F.col("q") / F.col("df"))) \
+        .withColumn("p_q", F.when(F.col("df") > 0, dist.chi2_sf(F.col("q"), F.col("df")))) \
+        .withColumn("i2", F.greatest(F.lit(0.0), F.try_divide(F.col("q") - F.col("df"), F.col("q")))) \
+        .withColumn("h", F.sqrt(F.try_divide(F.col("q"), dfq))) \
         .withColumn("__se", se_ln_h) \
         .withColumn("h_low", F.greatest(F.lit(1.0), F.exp(F.log(h) - z * F.col("__se")))) \
         .withColumn("h_high", F.greatest(F.lit(1.0), F.exp(F.log(h) + z * F.col("__se")))) \

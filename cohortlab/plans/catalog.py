@@ -461,15 +461,27 @@ CFG_SQL = """
           ('positive_vs_negative', 'covid_positive', 0), ('positive_vs_negative', 'covid_negative', 1)) t(comparison, arm, col_idx))"""
 
 
-def _chisq_sql(source: str, part: str, p_expr: str) -> str:
+def _chisq_sql(source: str, part: str) -> str:
+    """Oracle chi-squared: zero-completed grid, Yates on 2x2, NULL when an expected count is 0, any df."""
+    x = "x"
     return f"""
-, j AS (SELECT {part}, comparison, "group", col_idx, CAST(n AS DOUBLE) AS o FROM {source} JOIN cfg USING (arm))
+, src AS (SELECT * FROM {source})
+, obs AS (SELECT {part}, comparison, "group", col_idx, CAST(n AS DOUBLE) AS o FROM src JOIN cfg USING (arm))
+, grid AS (SELECT g.*, c.comparison, c.col_idx FROM (SELECT DISTINCT {part}, "group" FROM src) g
+           CROSS JOIN (SELECT DISTINCT comparison, col_idx FROM cfg) c)
+, j AS (SELECT grid.*, COALESCE(obs.o, 0) AS o FROM grid LEFT JOIN obs USING ({part}, comparison, "group", col_idx))
 , e AS (SELECT *, SUM(o) OVER (PARTITION BY {part}, comparison, "group") * SUM(o) OVER (PARTITION BY {part}, comparison, col_idx)
                / SUM(o) OVER (PARTITION BY {part}, comparison) AS ex FROM j)
-, s AS (SELECT {part}, comparison, SUM(pow(o - ex, 2) / ex) AS x,
-          CAST((COUNT(DISTINCT "group") - 1) * (COUNT(DISTINCT col_idx) - 1) AS INTEGER) AS parameter FROM e GROUP BY ALL)
-SELECT {part}, comparison, ROUND(x, 6) AS statistic, parameter, ROUND({p_expr}, 8) AS p_value,
-       'Pearson''s Chi-squared test' AS method FROM s"""
+, dims AS (SELECT {part}, comparison, COUNT(DISTINCT "group") AS nr, COUNT(DISTINCT col_idx) AS nc,
+                  MIN(abs(o - ex)) AS mind, MIN(ex) AS minex FROM e GROUP BY ALL)
+, y AS (SELECT e.*, nr, nc, minex, CASE WHEN nr = 2 AND nc = 2 THEN LEAST(0.5, mind) ELSE 0.0 END AS yates
+        FROM e JOIN dims USING ({part}, comparison))
+, s AS (SELECT {part}, comparison,
+          CASE WHEN MIN(minex) > 0 THEN SUM(pow(abs(o - ex) - yates, 2) / ex) END AS x,
+          CAST((MAX(nr) - 1) * (MAX(nc) - 1) AS INTEGER) AS parameter, MAX(yates) > 0 AS yt FROM y GROUP BY ALL)
+SELECT {part}, comparison, ROUND({x}, 6) AS statistic, parameter, ROUND({D.sql_chi2_sf(x, "parameter")}, 8) AS p_value,
+       CASE WHEN yt THEN 'Pearson''s Chi-squared test with Yates'' continuity correction'
+            ELSE 'Pearson''s Chi-squared test' END AS method FROM s"""
 
 
 def _chisq_out(df: DataFrame, keys) -> DataFrame:
@@ -477,12 +489,10 @@ def _chisq_out(df: DataFrame, keys) -> DataFrame:
                      _r("p_value", 8).alias("p_value"), "method")
 
 
-@register("chisq_typed_abo", with_ctes(["tested", "general"], CONT_SQL + CFG_SQL +
-                                       _chisq_sql("(SELECT * FROM cont WHERE family = 'abo')", "family", "exp(-x / 2)")))
-def chisq_typed_abo(spark, d):
-    """K2: Pearson chi-squared of the ABO-analogue family (3 groups, df 2), two arm pairs."""
-    cont = typed_contingency(spark, d).filter(F.col("family") == "abo")
-    return _chisq_out(K.chisq(cont, COMPARISONS, keys=["family"]), ["family"])
+@register("chisq_typed", with_ctes(["tested", "general"], CONT_SQL + CFG_SQL + _chisq_sql("cont", "family")))
+def chisq_typed(spark, d):
+    """K2: Pearson chi-squared per family (ABO-, Rh- (2x2, Yates) and joint analogue), two arm pairs."""
+    return _chisq_out(K.chisq(typed_contingency(spark, d), COMPARISONS, keys=["family"]), ["family"])
 
 
 def segment_contingency(spark, d) -> DataFrame:
@@ -507,8 +517,7 @@ SEG_SQL = """
   UNION ALL SELECT 'segment', grp, 'general_pop', CAST(n AS BIGINT) FROM gen)"""
 
 
-@register("chisq_segment", with_ctes(["ctested"], SEG_SQL + CFG_SQL +
-                                     _chisq_sql("cont", "family", "exp(-x / 2) * (1 + x / 2)")))
+@register("chisq_segment", with_ctes(["ctested"], SEG_SQL + CFG_SQL + _chisq_sql("cont", "family")))
 def chisq_segment(spark, d):
     """Flagship K2: tested customers by segment, positive vs negative and vs never-tested (df 4)."""
     return _chisq_out(K.chisq(segment_contingency(spark, d), COMPARISONS, keys=["family"]), ["family"])
@@ -521,7 +530,7 @@ WITH ct AS (SELECT p.o_orderpriority, s.o_orderstatus, COUNT(o.o_orderkey) AS n
 e AS (SELECT *, SUM(n) OVER (PARTITION BY o_orderpriority) * SUM(n) OVER (PARTITION BY o_orderstatus) / SUM(n) OVER () AS ex FROM ct),
 s AS (SELECT SUM(pow(n - ex, 2) / ex) AS x, CAST((COUNT(DISTINCT o_orderpriority) - 1) * (COUNT(DISTINCT o_orderstatus) - 1) AS INTEGER) AS parameter FROM e)
 SELECT 'o_orderpriority_vs_o_orderstatus' AS comparison, ROUND(x, 6) AS statistic, parameter,
-  ROUND(exp(-x / 2) * (1 + x / 2 + pow(x / 2, 2) / 2 + pow(x / 2, 3) / 6), 8) AS p_value,
+  ROUND(""" + D.sql_chi2_sf("x", "parameter") + """, 8) AS p_value,
   'Pearson''s Chi-squared test' AS method FROM s""")
 def crosstab_chisq(spark, d):
     """Chi-squared of two categoricals with the zero-filled crosstab (5 x 3, df 8)."""
@@ -530,8 +539,8 @@ def crosstab_chisq(spark, d):
 
 @register("fisher_pvalue_segment", with_ctes(["ctested"], SEG_SQL + CFG_SQL + """
 , j AS (SELECT family, comparison, "group", col_idx, n FROM cont JOIN cfg USING (arm))
-, own AS (SELECT family, comparison, "group" AS blood_group, CAST(SUM(CASE WHEN col_idx = 0 THEN n END) AS BIGINT) AS a,
-                 CAST(SUM(CASE WHEN col_idx = 1 THEN n END) AS BIGINT) AS b FROM j GROUP BY ALL)
+, own AS (SELECT family, comparison, "group" AS blood_group, CAST(COALESCE(SUM(CASE WHEN col_idx = 0 THEN n END), 0) AS BIGINT) AS a,
+                 CAST(COALESCE(SUM(CASE WHEN col_idx = 1 THEN n END), 0) AS BIGINT) AS b FROM j GROUP BY ALL)
 , t AS (SELECT o.*, CAST(SUM(a) OVER (PARTITION BY family, comparison) - a AS BIGINT) AS c,
                CAST(SUM(b) OVER (PARTITION BY family, comparison) - b AS BIGINT) AS d FROM own o)
 , sup AS (SELECT t.*, x, lgamma(a + c + 1) - lgamma(x + 1) - lgamma(a + c - x + 1)
@@ -601,13 +610,15 @@ def _logit_grid(spark, d):
 
 
 @register("logit_grid", with_ctes(["ctested"], _closed_form_logit_sql(LOGIT_PREFIX, LOGIT_OUTCOMES) + """
-SELECT outcome, model, term, ROUND(est, 5) AS estimate, ROUND(se, 5) AS std_error, ROUND(est / se, 5) AS statistic
+SELECT outcome, model, term, ROUND(est, 5) AS estimate, ROUND(se, 5) AS std_error, ROUND(est / se, 5) AS statistic,
+  ROUND(""" + D.sql_norm_p("est / se") + """, 7) AS p_value
 FROM coef"""))
 def logit_grid(spark, d):
     """Outcome x formula grid fitted by batched IRLS; aliased last level dropped."""
     coefs, _fits = _logit_grid(spark, d)
     return coefs.select("outcome", "model", "term", _r("estimate", 5).alias("estimate"),
-                        _r("std_error", 5).alias("std_error"), _r("statistic", 5).alias("statistic"))
+                        _r("std_error", 5).alias("std_error"), _r("statistic", 5).alias("statistic"),
+                        _r("p_value", 7).alias("p_value"))
 
 
 @register("deviance_grid", with_ctes(["ctested"], LOGIT_PREFIX + """
@@ -622,7 +633,7 @@ SELECT outcome, 'segment_vs_null' AS comparison, 1 AS "row", nobs - 1 AS resid_d
   CAST(NULL AS DOUBLE) AS df, CAST(NULL AS DOUBLE) AS deviance, CAST(NULL AS DOUBLE) AS p_value FROM fit
 UNION ALL
 SELECT outcome, 'segment_vs_null', 2, nobs - k, ROUND(dev_seg, 5), CAST(k - 1 AS DOUBLE), ROUND(dev_null - dev_seg, 5),
-  ROUND(exp(-(dev_null - dev_seg) / 2) * (1 + (dev_null - dev_seg) / 2), 6) FROM fit"""))
+  ROUND(""" + D.sql_chi2_sf("dev_null - dev_seg", "k - 1") + """, 6) FROM fit"""))
 def deviance_grid(spark, d):
     """Analysis of deviance (null vs segment) per outcome, two rows per comparison (df 4)."""
     _coefs, fits = _logit_grid(spark, d)
@@ -746,8 +757,8 @@ def meta_regions(spark, d):
     base = c.join(F.broadcast(geo), c.c_nationkey == geo.n_nationkey) \
         .join(tests, c.c_custkey == tests.person, "left")
     counts = base.groupBy(F.col("r_name").alias("site"), F.col("c_mktsegment").alias("grp")).agg(
-        F.sum((F.col("cov_pos") == 1).cast("int")).cast("double").alias("cases"),
-        F.sum(F.col("cov_pos").isNull().cast("int")).cast("double").alias("controls"))
+        F.count_if(F.col("cov_pos") == 1).cast("double").alias("cases"),
+        F.count_if(F.col("cov_pos").isNull()).cast("double").alias("controls"))
     studies = meta.meta_counts(counts, "site", "grp", "cases", "controls")
     _st, pooled, het = meta.meta_binary(studies)
     return pooled.join(het.select("target", "q", "tau2", "i2"), "target").select(

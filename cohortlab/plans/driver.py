@@ -153,3 +153,29 @@ def with_ctes(names: list[str], body: str) -> str:
         add(n)
     ctes = [SQL_CTE[n] for n in _ORDER if n in need]
     return ("WITH " + ",\n".join(ctes) + "\n" + body) if ctes else body
+
+
+# ---------------------------------------------------------------- SQL expressions for the oracle only
+
+def sql_erfc(z: str) -> str:
+    """DuckDB expression for erfc(z), z >= 0 (series below 1.5, continued fraction above)."""
+    series = (f"(1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 60), lambda n: "
+              f"pow(-1, n) * pow({z}, 2 * n + 1) / (exp(lgamma(n + 1)) * (2 * n + 1)))))")
+    cf = (f"(exp(-({z}) * ({z})) / sqrt(pi()) / list_reduce(list_transform(range(100, 0, -1), lambda n: n / 2.0), "
+          f"lambda acc, h: ({z}) + h / acc, CAST({z} AS DOUBLE)))")
+    return f"(CASE WHEN ({z}) < 1.5 THEN {series} ELSE {cf} END)"
+
+
+def sql_chi2_sf(x: str, df: str) -> str:
+    """DuckDB expression for the chi-squared upper tail with integer df."""
+    y = f"(({x}) / 2.0)"
+    even = (f"list_sum(list_transform(range(0, CAST(({df}) / 2 AS BIGINT)), lambda j: "
+            f"exp(j * ln({y}) - {y} - lgamma(j + 1))))")
+    odd = (f"({sql_erfc(f'sqrt({y})')} + coalesce(list_sum(list_transform(range(0, CAST((({df}) - 1) / 2 AS BIGINT)), "
+           f"lambda j: exp((j + 0.5) * ln({y}) - {y} - lgamma(j + 1.5)))), 0))")
+    return f"(CASE WHEN ({x}) <= 0 THEN 1.0 WHEN ({df}) % 2 = 0 THEN {even} ELSE {odd} END)"
+
+
+def sql_norm_p(z: str) -> str:
+    """DuckDB two-sided normal p-value for a z statistic."""
+    return sql_erfc(f"(abs({z}) / sqrt(2.0))")
