@@ -21,6 +21,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .glm import alias_mask
+
 _LOG_ZERO = -745.0
 
 
@@ -67,7 +69,7 @@ def _risk_set_frame(pat: DataFrame, beta: DataFrame, keys, xs):
             F.first("g_minus").alias("__g")]
     for name, v in terms:
         aggs.append(F.sum(F.col("__r") * v).alias(f"__a{name}"))
-        aggs.append(F.sum(F.when(comp, F.col("__r") * v / F.col("g_minus")).otherwise(0.0)).alias(f"__c{name}"))
+        aggs.append(F.sum(F.when(comp, F.try_divide(F.col("__r") * v, F.col("g_minus"))).otherwise(0.0)).alias(f"__c{name}"))
     t = j.groupBy(*keys, "time").agg(*aggs)
     wdesc = Window.partitionBy(*keys).orderBy(F.col("time").desc()).rowsBetween(Window.unboundedPreceding, 0)
     wprev = Window.partitionBy(*keys).orderBy(F.col("time")).rowsBetween(Window.unboundedPreceding, -1)
@@ -114,11 +116,15 @@ def fine_gray(df: DataFrame, keys: Sequence[str], time: str, status: str, xs: Se
         bframe = spark.createDataFrame([(*k, *map(float, state[k]["beta"])) for k in active], bddl)
         rs, terms = _risk_set_frame(pat, bframe, keys, xs)
         s0 = F.col("S0")
-        aggs = [F.sum(F.col("__d") * F.log(s0)).alias("__ll0")]
+        # S0 > 0 at every event time unless exp(x b) underflows (separated data): such a key then gets
+        # NaN sums and is flagged below instead of failing the job
+        bad = F.max((s0 <= 0).cast("int")).alias("__bad")
+        aggs = [F.sum(F.col("__d") * F.log(s0)).alias("__ll0"), bad]
         for i in range(p):
-            aggs.append(F.sum(F.col("__d") * F.col(f"S1_{i}") / s0).alias(f"__u{i}"))
+            aggs.append(F.sum(F.col("__d") * F.try_divide(F.col(f"S1_{i}"), s0)).alias(f"__u{i}"))
         for a, b in _pairs(p):
-            aggs.append(F.sum(F.col("__d") * (F.col(f"S2_{a}_{b}") / s0 - F.col(f"S1_{a}") * F.col(f"S1_{b}") / (s0 * s0)))
+            aggs.append(F.sum(F.col("__d") * (F.try_divide(F.col(f"S2_{a}_{b}"), s0)
+                                              - F.try_divide(F.col(f"S1_{a}") * F.col(f"S1_{b}"), s0 * s0)))
                         .alias(f"__i{a}_{b}"))
         res = rs.groupBy(*keys).agg(*aggs).collect()
         for r in res:
@@ -126,19 +132,34 @@ def fine_gray(df: DataFrame, keys: Sequence[str], time: str, status: str, xs: Se
             st = state[k]
             evr = ev_rows.get(k)
             ex = np.array([evr[f"__ex{i}"] if evr else 0.0 for i in range(p)])
-            u = ex - np.array([r[f"__u{i}"] for i in range(p)])
+            u = ex - np.array([r[f"__u{i}"] if r[f"__u{i}"] is not None else np.nan for i in range(p)])
             info = np.zeros((p, p))
             for a, b in _pairs(p):
-                info[a, b] = info[b, a] = r[f"__i{a}_{b}"]
-            st["loglik"] = float(ex @ st["beta"] - r["__ll0"])
-            st["info"] = info
+                v = r[f"__i{a}_{b}"]
+                info[a, b] = info[b, a] = v if v is not None else np.nan
+            if r["__bad"]:
+                info[:] = np.nan
+            st["loglik"] = float(ex @ st["beta"] - r["__ll0"]) if r["__ll0"] is not None else None
             st["iter"] = it
-            try:
-                step = np.linalg.solve(info, u)
-            except np.linalg.LinAlgError:
-                step = np.linalg.lstsq(info, u, rcond=None)[0]
+            if not (np.all(np.isfinite(info)) and np.all(np.isfinite(u))):
+                st["conv"] = True  # numerically degenerate (e.g. separated resample): keep the last beta
+                st["failed"] = True
+                continue
+            if "keep" not in st:
+                # K9 for Fine-Gray: columns without variation in the risk sets (e.g. zeroed outside the
+                # cell's formula) or collinear ones are aliased and left out of the fit
+                st["keep"] = alias_mask(info) if p else np.zeros(0, dtype=bool)
+            kk = np.where(st["keep"])[0]
+            st["info"] = info
+            step = np.zeros(p)
+            if len(kk):
+                ikk = info[np.ix_(kk, kk)]
+                try:
+                    step[kk] = np.linalg.solve(ikk, u[kk])
+                except np.linalg.LinAlgError:
+                    step[kk] = np.linalg.pinv(ikk) @ u[kk]
             st["beta"] = st["beta"] + step
-            if float(u @ step) < gtol:
+            if float(u[kk] @ step[kk]) < gtol:
                 st["conv"] = True  # score criterion met; the last (tiny) Newton step is kept
                 continue
             if np.max(np.abs(step)) < tol:
@@ -147,21 +168,27 @@ def fine_gray(df: DataFrame, keys: Sequence[str], time: str, status: str, xs: Se
     bframe = spark.createDataFrame([(*k, *map(float, state[k]["beta"])) for k in state], bddl)
     rs, _ = _risk_set_frame(pat, bframe, keys, xs)
     wcum = Window.partitionBy(*keys).orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
-    baseline = rs.select(*keys, "time", F.sum(F.col("__d") / F.col("S0")).over(wcum).alias("cum_hazard"))
+    baseline = rs.select(*keys, "time", F.sum(F.try_divide(F.col("__d"), F.col("S0"))).over(wcum).alias("cum_hazard"))
     # the baseline is small (keys x event times); write it to the checkpoint dir so later predictions do
     # not recompute the pattern frame after it is released
     baseline = cut_lineage(baseline)
     coef_rows, fit_rows = [], []
     for k, st in state.items():
-        try:
-            cov = np.linalg.inv(st["info"])
-        except np.linalg.LinAlgError:
-            cov = np.linalg.pinv(st["info"])
-        se = np.sqrt(np.maximum(np.diag(cov), 0.0))
-        for i, x in enumerate(xs):
-            coef_rows.append((*k, x, float(st["beta"][i]), float(se[i])))
+        keep = st.get("keep", np.ones(p, dtype=bool))
+        kk = np.where(keep)[0]
+        se = np.full(p, np.nan)
+        if len(kk):
+            ikk = st["info"][np.ix_(kk, kk)]
+            try:
+                cov = np.linalg.inv(ikk)
+            except np.linalg.LinAlgError:
+                cov = np.linalg.pinv(ikk)
+            se[kk] = np.sqrt(np.maximum(np.diag(cov), 0.0))
+        for i in kk:
+            coef_rows.append((*k, xs[i], float(st["beta"][i]), float(se[i])))
         evr = ev_rows.get(k)
-        fit_rows.append((*k, st["loglik"], int(st["iter"]), bool(st["conv"]), float(evr["__nev"]) if evr else 0.0))
+        fit_rows.append((*k, st["loglik"], int(st["iter"]), bool(st["conv"]) and not st.get("failed", False),
+                         float(evr["__nev"]) if evr else 0.0))
     pre = key_ddl + ", " if key_ddl else ""
     coefs = spark.createDataFrame(coef_rows, pre + "term string, estimate double, std_error double") \
         .withColumn("statistic", F.col("estimate") / F.col("std_error")) \

@@ -896,6 +896,36 @@ def lab_text_values(spark, d):
     return ev.select("event_id", X.lab_value(F.concat(F.regexp_extract("props", "[0-9]+", 0), F.lit("%"))).alias("lab_value"))
 
 
+def _grid_inputs(spark, d):
+    """Dummies shared by the prevalence and competing-risk frames (reference levels: A, white, Rh+)."""
+    def dummies(df):
+        out = R.dummy(df, "abo", ["A", "N", "R"], drop=False, prefix="abo")
+        out = R.dummy(out, "race", ["white", "black", "asian", "other"], drop=False, prefix="race")
+        return out.withColumn("rh_neg", (F.col("rh") == "neg").cast("double"))
+    prev = prevalence_flags(spark, d).select("person", F.col("initial_pos").cast("double").alias("initial_cov_pos"))
+    prevalence = dummies(basic_table(spark, d)).join(prev, "person")
+    comp = {k: dummies(competing_records(spark, d, k)) for k in ("intubation", "death")}
+    return prevalence, comp
+
+
+GRID_EXPOSURES = {"abo": ["abo_N", "abo_R"], "rh": ["rh_neg"]}
+GRID_STRATA = {"abo": {"aboA": {"abo_N": 0.0, "abo_R": 0.0}, "aboN": {"abo_N": 1.0, "abo_R": 0.0},
+                       "aboR": {"abo_N": 0.0, "abo_R": 1.0}},
+               "rh": {"rh1": {"rh_neg": 1.0}, "rh0": {"rh_neg": 0.0}}}
+GRID_REFERENCES = {"abo": "aboA", "rh": "rh0"}
+GRID_ADJUSTMENTS = {"unadjusted": [], "adjusted": ["race_black", "race_asian", "race_other", "hispanic"]}
+
+
+@register("risk_grid_bootstrap", None)
+def risk_grid_bootstrap(spark, d, n_boot: int = 1000):
+    """2 exposures x 2 adjustments x 3 outcomes x (apparent + n_boot) fits, batched by key;
+    standardised risks, RD / NNT / RR with percentile intervals."""
+    from . import risk
+    prevalence, comp = _grid_inputs(spark, d)
+    return risk.risk_grid(prevalence, comp, "person", GRID_EXPOSURES, GRID_STRATA, GRID_REFERENCES,
+                          GRID_ADJUSTMENTS, n_boot=n_boot)
+
+
 @register("baseline_table", None)
 def baseline_table(spark, d):
     """Baseline characteristics by family (abo, rh, TOTAL): 'n (pct%)' cells."""
