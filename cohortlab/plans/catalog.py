@@ -200,8 +200,8 @@ def race_consensus(spark, d):
 SELECT c_custkey AS person,
   ROUND(datediff('day', CAST(MIN(o_orderdate) AS DATE), DATE '2002-01-01') / 365.0, 6) AS age,
   CASE WHEN c_mktsegment = 'MACHINERY' THEN 1.0 ELSE 0.0 END AS male,
-  CASE WHEN r_name = 'REGION_0' THEN 'hs' WHEN r_name IN ('REGION_1', 'REGION_2') THEN 'nonhs'
-       WHEN r_name = 'REGION_3' THEN 'other' END AS ethnicity
+  CASE WHEN r_name = 'AFRICA' THEN 'hs' WHEN r_name IN ('AMERICA', 'ASIA') THEN 'nonhs'
+       WHEN r_name = 'EUROPE' THEN 'other' END AS ethnicity
 FROM customer JOIN orders ON c_custkey = o_custkey JOIN nation ON c_nationkey = n_nationkey
 JOIN region ON n_regionkey = r_regionkey GROUP BY c_custkey, c_mktsegment, r_name""")
 def demographics(spark, d):
@@ -213,9 +213,9 @@ def demographics(spark, d):
     return j.select(F.col("c_custkey").alias("person"),
                     _r(X.age_years("birth", F.lit("2002-01-01"))).alias("age"),
                     F.when(F.col("c_mktsegment") == "MACHINERY", 1.0).otherwise(0.0).alias("male"),
-                    X.recode("r_name", [(F.col("r_name") == "REGION_0", "hs"),
-                                        (F.col("r_name").isin("REGION_1", "REGION_2"), "nonhs"),
-                                        (F.col("r_name") == "REGION_3", "other")], kind="expr").alias("ethnicity"))
+                    X.recode("r_name", [(F.col("r_name") == "AFRICA", "hs"),
+                                        (F.col("r_name").isin("AMERICA", "ASIA"), "nonhs"),
+                                        (F.col("r_name") == "EUROPE", "other")], kind="expr").alias("ethnicity"))
 
 
 COHORT_SQL = """
@@ -934,6 +934,113 @@ def baseline_table(spark, d):
                                     ["cov_pos", "intubated", "died"] + [f"rf_{f}" for f in FACTORS])
 
 
+# ====================================================================== K4, K14, K15, D9/X2, D10, E3
+
+STRAT_SQL = """
+WITH tests AS (SELECT user_id AS person, MAX(CASE WHEN event_type = 'purchase' AND value >= 150.0 THEN 1 ELSE 0 END) AS cov_pos
+               FROM events WHERE event_type NOT IN ('error') GROUP BY user_id),
+base AS (SELECT c_custkey, t.cov_pos, CASE WHEN c_nationkey < 12 THEN 1 ELSE 0 END AS lt12, r_name, c_mktsegment
+         FROM customer JOIN tests t ON c_custkey = t.person JOIN nation ON c_nationkey = n_nationkey
+         JOIN region ON n_regionkey = r_regionkey),
+long AS (SELECT 'region:' || r_name AS stratum, cov_pos, lt12 FROM base
+         UNION ALL SELECT 'segment:' || c_mktsegment, cov_pos, lt12 FROM base),
+g AS (SELECT stratum, lt12, CAST(SUM(cov_pos) AS DOUBLE) AS y, CAST(COUNT(*) AS DOUBLE) AS n FROM long GROUP BY ALL),
+ref AS (SELECT stratum, y AS yr, n AS nr FROM g WHERE lt12 = 0),
+coef AS (SELECT stratum, '(Intercept)' AS term, ln(yr / (nr - yr)) AS est, sqrt(1 / yr + 1 / (nr - yr)) AS se FROM ref
+         UNION ALL SELECT g.stratum, 'nation_lt12', ln(y / (n - y)) - ln(yr / (nr - yr)),
+                sqrt(1 / y + 1 / (n - y) + 1 / yr + 1 / (nr - yr)) FROM g JOIN ref USING (stratum) WHERE lt12 = 1)
+SELECT stratum, term, ROUND(est, 5) AS estimate, ROUND(se, 5) AS std_error FROM coef"""
+
+
+@register("stratified_logit_strata", STRAT_SQL)
+def stratified_logit_strata(spark, d):
+    """One logistic model per subgroup; the subgroup columns (region, segment) are
+    unpivoted and united into one stratum key, all strata fitted by one batched IRLS."""
+    ct = D.customers_tested(spark, d)
+    geo = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    base = ct.join(F.broadcast(geo), ct.c_nationkey == geo.n_nationkey) \
+        .withColumn("nation_lt12", (F.col("c_nationkey") < 12).cast("double")) \
+        .withColumn("nation_ge12", (F.col("c_nationkey") >= 12).cast("double")) \
+        .withColumnRenamed("r_name", "region").withColumnRenamed("c_mktsegment", "segment")
+    long = R.lengthen(base.select("person", "cov_pos", "nation_lt12", "nation_ge12", "region", "segment"),
+                      ["person", "cov_pos", "nation_lt12", "nation_ge12"], ["region", "segment"], "stype", "svalue")
+    long = R.unite(long, "stratum", ["stype", "svalue"], sep=":")
+    coefs, _ = glm.logit_grouped(long, ["stratum"], "cov_pos", ["nation_lt12", "nation_ge12"], epsilon=1e-14)
+    return coefs.select("stratum", "term", _r("estimate", 5).alias("estimate"), _r("std_error", 5).alias("std_error"))
+
+
+@register("compare_coefs_segment", None)
+def compare_coefs_segment(spark, d):
+    """Full (segment + balance class) vs nested (segment) model, estimate and p side by side."""
+    ct = _logit_input(spark, d).withColumn("acct_high", (F.col("c_acctbal") > 5000).cast("double"))
+    grid, terms = glm.model_grid(ct, {"cov_pos": ("cov_pos", None)},
+                                 {"nested": SEG_TERMS, "full": SEG_TERMS + ["acct_high"]})
+    coefs, _ = glm.logit_grouped(grid, ["outcome", "model"], "__y_val", terms)
+    return glm.compare_coefs(coefs.filter("model = 'full'").drop("model"),
+                             coefs.filter("model = 'nested'").drop("model"))
+
+
+@register("chisq_sites_regions", """
+WITH cnt AS (SELECT c_mktsegment AS "group", r_name AS arm, COUNT(*) AS n FROM customer
+             JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+             WHERE r_name IN ('AFRICA', 'AMERICA') GROUP BY ALL),
+cfg AS (SELECT * FROM (VALUES ('AFRICA_vs_AMERICA', 'AFRICA', 0), ('AFRICA_vs_AMERICA', 'AMERICA', 1)) t(comparison, arm, col_idx)),
+j AS (SELECT comparison, "group", col_idx, CAST(n AS DOUBLE) AS o FROM cnt JOIN cfg USING (arm)),
+e AS (SELECT *, SUM(o) OVER (PARTITION BY comparison, "group") * SUM(o) OVER (PARTITION BY comparison, col_idx)
+             / SUM(o) OVER (PARTITION BY comparison) AS ex FROM j),
+s AS (SELECT comparison, SUM(pow(o - ex, 2) / ex) AS x,
+        CAST((COUNT(DISTINCT "group") - 1) * (COUNT(DISTINCT col_idx) - 1) AS INTEGER) AS parameter FROM e GROUP BY ALL),
+p AS (SELECT *, """ + D.sql_chi2_sf("x", "parameter") + """ AS pv FROM s)
+SELECT comparison, ROUND(x, 6) AS statistic, parameter, ROUND(pv, 8) AS p_value,
+  CAST(floor(ln(pv) / ln(10)) AS BIGINT) AS p_exponent, ROUND(exp(ln(pv) - floor(ln(pv) / ln(10)) * ln(10)), 6) AS p_mantissa
+FROM p""")
+def chisq_sites_regions(spark, d):
+    """Homogeneity of the segment distribution between two sites, p as mantissa/exponent."""
+    c = table(spark, d, "customer")
+    geo = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    j = c.join(F.broadcast(geo), c.c_nationkey == geo.n_nationkey).filter(F.col("r_name").isin("AFRICA", "AMERICA"))
+    cnt = j.groupBy(F.col("c_mktsegment").alias("group"), F.col("r_name").alias("site")).agg(F.count(F.lit(1)).alias("n"))
+    r = K.chisq_sites(cnt, "AFRICA", "AMERICA")
+    return r.select("comparison", _r("statistic").alias("statistic"), "parameter", _r("p_value", 8).alias("p_value"),
+                    F.col("p_text.exponent").alias("p_exponent"), _r("p_text.mantissa").alias("p_mantissa"))
+
+
+@register("overall_summary_events", """
+SELECT characteristic, statistic, ROUND(value, 6) AS value, n_persons FROM (
+  SELECT 'value' AS characteristic, 'mean' AS statistic, AVG(value) AS value, COUNT(*) AS n_persons FROM events
+  UNION ALL SELECT 'value', 'median', quantile_cont(value, 0.5), COUNT(*) FROM events
+  UNION ALL SELECT 'value', 'q1', quantile_cont(value, 0.25), COUNT(*) FROM events
+  UNION ALL SELECT 'value', 'q3', quantile_cont(value, 0.75), COUNT(*) FROM events
+  UNION ALL SELECT 'purchase', 'share', AVG(CASE WHEN event_type = 'purchase' THEN 1.0 ELSE 0.0 END), COUNT(*) FROM events) u""")
+def overall_summary_events(spark, d):
+    """Mean, exact median and quartiles (linear interpolation), share of a flag; long form."""
+    from . import report
+    ev = table(spark, d, "events").withColumn("purchase", (F.col("event_type") == "purchase").cast("int"))
+    s = report.baseline_overall(ev, ["value"], ["purchase"])
+    return s.select("characteristic", "statistic", _r("value").alias("value"), "n_persons")
+
+
+@register("zscore_acctbal", """
+SELECT c_custkey, ROUND((c_acctbal - AVG(c_acctbal) OVER ()) / stddev_samp(c_acctbal) OVER (), 8) AS c_acctbal_z
+FROM customer""")
+def zscore_acctbal(spark, d):
+    """Z-score via a one-row aggregate broadcast back (no single-task global window)."""
+    z = A.zscore(table(spark, d, "customer").select("c_custkey", "c_acctbal"), "c_acctbal")
+    return z.select("c_custkey", _r("c_acctbal_z", 8).alias("c_acctbal_z"))
+
+
+@register("partition_counts_orders", """
+SELECT o_orderkey, o_custkey, COUNT(*) OVER (PARTITION BY o_custkey) AS n_in_group,
+       d.n_status FROM orders JOIN (SELECT o_custkey AS ck, COUNT(DISTINCT o_orderstatus) AS n_status FROM orders
+       GROUP BY o_custkey) d ON o_custkey = d.ck""")
+def partition_counts_orders(spark, d):
+    """Partition count and distinct count kept on each row (aggregate + join back, skew-safe)."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    o = A.partition_counts(o, ["o_custkey"])
+    o = A.partition_counts(o, ["o_custkey"], distinct_of="o_orderstatus", out="n_status")
+    return o.select("o_orderkey", "o_custkey", "n_in_group", "n_status")
+
+
 def queries():
     return {k: v[0] for k, v in REGISTRY.items()}
 
