@@ -18,6 +18,8 @@ HEADLINE = [
     "logit_grid", "deviance_grid", "standardised_risk_effects", "meta_regions", "cohort_entry_censor",
     "basic_time_to_event", "competing_risk_records", "fine_gray_intubation", "bootstrap_risk_ci",
     "corr_lineitem", "race_consensus", "first_order_per_customer", "histogram_event_value",
+    "stratified_logit_strata", "chisq_sites_regions", "overall_summary_events", "partition_counts_orders",
+    "risk_grid_bootstrap",
 ]
 
 

@@ -300,7 +300,7 @@ def ols_grouped(df: DataFrame, keys: Sequence[str], y: str, xs: Sequence[str], w
     """Linear model per key by normal equations from ONE aggregate (X'WX, X'Wy, y'Wy, n).
 
     Returns coefficients (keys, term, estimate, std_error, statistic, p_value [normal approx]) and fits
-    (keys, rss, df_residual, n_obs, rank, sigma).
+    (keys, rss, df_residual, n_obs, rank, sigma, xbar_<x> = weighted covariate means from the same pass).
     """
     keys = list(keys)
     xs = list(xs)
@@ -326,14 +326,16 @@ def ols_grouped(df: DataFrame, keys: Sequence[str], y: str, xs: Sequence[str], w
         se = np.sqrt(np.maximum(np.diag(cov), 0.0))
         for pos, i in enumerate(kk):
             coef_rows.append((*k, terms[i], float(beta[i]), float(se[pos])))
-        fit_rows.append((*k, rss, dfr, float(r["__n"]), rank, math.sqrt(sigma2) if sigma2 == sigma2 else None))
+        xbar = [float(g[0, i] / g[0, 0]) if g[0, 0] else None for i in range(1, p)]
+        fit_rows.append((*k, rss, dfr, float(r["__n"]), rank, math.sqrt(sigma2) if sigma2 == sigma2 else None, *xbar))
     kt = _key_types(df, keys)
     pre = ", ".join(f"`{n}` {t}" for n, t in kt)
     pre = pre + ", " if pre else ""
     coefs = spark.createDataFrame(coef_rows, pre + "term string, estimate double, std_error double") \
         .withColumn("statistic", F.col("estimate") / F.col("std_error")) \
         .withColumn("p_value", dist.norm_two_sided_p(F.col("statistic")))
-    fits = spark.createDataFrame(fit_rows, pre + "rss double, df_residual double, n_obs double, rank int, sigma double")
+    fits = spark.createDataFrame(fit_rows, pre + "rss double, df_residual double, n_obs double, rank int, sigma double"
+                                 + "".join(f", `xbar_{x}` double" for x in xs))
     return coefs, fits
 
 

@@ -350,9 +350,10 @@ CR_SQL = f"""
   FROM basic WHERE intubated IS NOT NULL AND cohort_entry_time <= TIMESTAMP '{ENTRY_LIMIT}')"""
 
 
-def competing_records(spark, d, kind: str = "intubation") -> DataFrame:
+def competing_records(spark, d, kind: str = "intubation", basic: DataFrame | None = None) -> DataFrame:
     """Competing-risk record (status 0 censor, 1 event, 2/3 competing), exclusions applied."""
-    b = basic_table(spark, d).filter(F.col("intubated").isNotNull() &
+    basic = basic if basic is not None else basic_table(spark, d)
+    b = basic.filter(F.col("intubated").isNotNull() &
                                      (F.col("cohort_entry_time") <= F.lit(ENTRY_LIMIT).cast("timestamp")))
     latest = F.lit(LATEST).cast("timestamp")
     if kind == "intubation":
@@ -903,8 +904,10 @@ def _grid_inputs(spark, d):
         out = R.dummy(out, "race", ["white", "black", "asian", "other"], drop=False, prefix="race")
         return out.withColumn("rh_neg", (F.col("rh") == "neg").cast("double"))
     prev = prevalence_flags(spark, d).select("person", F.col("initial_pos").cast("double").alias("initial_cov_pos"))
-    prevalence = dummies(basic_table(spark, d)).join(prev, "person")
-    comp = {k: dummies(competing_records(spark, d, k)) for k in ("intubation", "death")}
+    # the time-to-event table feeds three model families: materialise it once (reliable checkpoint)
+    basic = cut_lineage(basic_table(spark, d))
+    prevalence = dummies(basic).join(prev, "person")
+    comp = {k: dummies(competing_records(spark, d, k, basic)) for k in ("intubation", "death")}
     return prevalence, comp
 
 

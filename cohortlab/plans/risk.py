@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 
 from ..operators import glm, resample, survival
 from ..operators.relational import union_all
-from ..session import cut_lineage
 
 ITER = "bootstrap_iteration"
 W = "boot_w"
@@ -59,9 +58,10 @@ def linear_risks(df: DataFrame, y: str, person: str, exposures: Mapping[str, Seq
     boot = resample.bootstrap_weights(df, [person], n_boot, seed=seed)
     long, allx = _cells(boot, exposures, adjustments)
     keys = ["exposure", "model", ITER]
-    coefs, _fits = glm.ols_grouped(long, keys, y, allx, weight=W)
-    # weighted covariate means per key (one aggregate), then b . xbar with the exposure overwritten
-    means = long.groupBy(*keys).agg(*[(F.sum(F.col(W) * F.col(x)) / F.sum(W)).alias(f"__m_{x}") for x in allx])
+    coefs, fits = glm.ols_grouped(long, keys, y, allx, weight=W)
+    # weighted covariate means per key come from the same aggregate (first Gram row), then b . xbar with
+    # the exposure columns overwritten
+    means = fits.select(*keys, *[F.col(f"xbar_{x}").alias(f"__m_{x}") for x in allx])
     cw = coefs.groupBy(*keys).agg(*[F.max(F.when(F.col("term") == t, F.col("estimate"))).alias(f"__b_{i}")
                                     for i, t in enumerate([glm.INTERCEPT] + allx)])
     srows = _strata_rows(strata)
@@ -83,7 +83,8 @@ def fine_gray_risks(df: DataFrame, person: str, time: str, status: str, exposure
     boot = resample.bootstrap_weights(df, [person], n_boot, seed=seed)
     long, allx = _cells(boot, exposures, adjustments)
     keys = ["exposure", "model", ITER]
-    data = cut_lineage(long.select(*keys, time, status, W, *allx))
+    # records x cells x iterations is cheap to re-derive; the fit checkpoints its compressed patterns
+    data = long.select(*keys, time, status, W, *allx)
     coefs, base, _fits = survival.fine_gray(data, keys, time, status, allx, weight=W)
     # covariate patterns per key with their bootstrap weight: predictions on patterns, not persons
     pat = data.groupBy(*keys, *allx).agg(F.sum(W).alias("__w"))
