@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .relational import join_small
@@ -211,3 +211,41 @@ def share_of_max(df: DataFrame, c: str, out: str | None = None) -> DataFrame:
     """E5: value / global maximum (one-row aggregate, broadcast)."""
     mx = df.agg(F.max(c).alias("__mx"))
     return df.crossJoin(F.broadcast(mx)).withColumn(out or f"{c}_of_max", F.col(c) / F.col("__mx")).drop("__mx")
+
+
+# ---------------------------------------------------------------- distributed running sums
+
+def running_sums(df: DataFrame, keys: Sequence[str], order: str, cols: Sequence[str], descending: bool = False,
+                 inclusive: bool = True, rows_per_bucket: int | None = None, prefix: str = "cum_") -> DataFrame:
+    """Running (prefix) sums of ``cols`` along ``order`` within each key; rows must be distinct per order value.
+
+    ``rows_per_bucket=None``: one window per key (one task per key — right when keys are many and small).
+    Otherwise a two-level prefix sum that does not put a large key into one task: the key's order range is
+    cut into ``ceil(rows / rows_per_bucket)`` equal-width buckets, bucket totals get an exclusive prefix sum
+    over the small (key, bucket) frame, and each bucket finishes with its own window plus that offset.
+    Exact: only the summation order differs.
+    """
+    keys = list(keys)
+    ordering = F.col(order).desc() if descending else F.col(order).asc()
+    frame_end = 0 if inclusive else -1
+    if rows_per_bucket is None:
+        w = Window.partitionBy(*keys).orderBy(ordering).rowsBetween(Window.unboundedPreceding, frame_end)
+        return df.select("*", *[F.coalesce(F.sum(c).over(w), F.lit(0.0)).alias(prefix + c) for c in cols])
+    rng = df.groupBy(*keys).agg(F.min(order).alias("__lo"), F.max(order).alias("__hi"),
+                                F.count(F.lit(1)).alias("__cnt"))
+    nb = F.greatest(F.lit(1), F.ceil(F.col("__cnt") / float(rows_per_bucket))).cast("long")
+    span = F.col("__hi").cast("double") - F.col("__lo").cast("double")
+    pos = F.when(span > 0, F.floor((F.col(order).cast("double") - F.col("__lo").cast("double")) / span * nb)) \
+        .otherwise(F.lit(0))
+    b = F.least(pos, nb - 1)
+    if descending:
+        b = nb - 1 - b  # bucket order follows the summation direction
+    x = (df.join(F.broadcast(rng), keys) if keys else df.crossJoin(F.broadcast(rng))).withColumn("__b", b.cast("long"))
+    tot = x.groupBy(*keys, "__b").agg(*[F.sum(c).alias(f"__t_{c}") for c in cols])
+    wb = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    off = tot.select(*keys, "__b", *[F.coalesce(F.sum(f"__t_{c}").over(wb), F.lit(0.0)).alias(f"__o_{c}") for c in cols])
+    x = x.join(off, keys + ["__b"])
+    wi = Window.partitionBy(*keys, "__b").orderBy(ordering).rowsBetween(Window.unboundedPreceding, frame_end)
+    out = x.select(*df.columns, *[(F.col(f"__o_{c}") + F.coalesce(F.sum(c).over(wi), F.lit(0.0))).alias(prefix + c)
+                                  for c in cols])
+    return out

@@ -18,9 +18,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .agg import running_sums
 from .glm import alias_mask
 
 _LOG_ZERO = -745.0
@@ -31,29 +32,29 @@ def _pairs(p):
 
 
 def censoring_km(pat: DataFrame, keys: Sequence[str], time: str = "time", status: str = "status",
-                 n: str = "n") -> DataFrame:
+                 n: str = "n", rows_per_bucket: int | None = None) -> DataFrame:
     """Kaplan-Meier of the censoring distribution per key: (keys, time, g_minus = G(time-))."""
     keys = list(keys)
     t = pat.groupBy(*keys, time).agg(F.sum(n).alias("__all"),
                                      F.sum(F.when(F.col(status) == 0, F.col(n)).otherwise(0.0)).alias("__cens"))
-    wdesc = Window.partitionBy(*keys).orderBy(F.col(time).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    wprev = Window.partitionBy(*keys).orderBy(F.col(time)).rowsBetween(Window.unboundedPreceding, -1)
-    t = t.withColumn("__risk", F.sum("__all").over(wdesc))
-    frac = 1.0 - F.col("__cens") / F.col("__risk")
+    t = running_sums(t, keys, time, ["__all"], descending=True, inclusive=True, rows_per_bucket=rows_per_bucket,
+                     prefix="risk")
+    frac = 1.0 - F.col("__cens") / F.col("risk__all")
     t = t.withColumn("__lg", F.when(frac > 0, F.log(frac)).otherwise(F.lit(_LOG_ZERO)))
-    return t.withColumn("g_minus", F.exp(F.coalesce(F.sum("__lg").over(wprev), F.lit(0.0)))) \
-        .select(*keys, time, "g_minus")
+    t = running_sums(t, keys, time, ["__lg"], descending=False, inclusive=False, rows_per_bucket=rows_per_bucket,
+                     prefix="cum")
+    return t.select(*keys, time, F.exp(F.col("cum__lg")).alias("g_minus"))
 
 
-def _prepare(df: DataFrame, keys, time, status, xs, weight):
+def _prepare(df: DataFrame, keys, time, status, xs, weight, rows_per_bucket):
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     pat = df.groupBy(*keys, F.col(time).cast("double").alias("time"), F.col(status).cast("int").alias("status"),
                      *[F.col(x).cast("double").alias(x) for x in xs]).agg(F.sum(w).alias("n"))
-    g = censoring_km(pat, keys)
+    g = censoring_km(pat, keys, rows_per_bucket=rows_per_bucket)
     return pat.join(g, list(keys) + ["time"])
 
 
-def _risk_set_frame(pat: DataFrame, beta: DataFrame, keys, xs):
+def _risk_set_frame(pat: DataFrame, beta: DataFrame, keys, xs, rows_per_bucket=None):
     """Per (key, event time): d, S0, S1[p], S2[p(p+1)/2] at the coefficients in ``beta``."""
     p = len(xs)
     keys = list(keys)
@@ -71,18 +72,23 @@ def _risk_set_frame(pat: DataFrame, beta: DataFrame, keys, xs):
         aggs.append(F.sum(F.col("__r") * v).alias(f"__a{name}"))
         aggs.append(F.sum(F.when(comp, F.try_divide(F.col("__r") * v, F.col("g_minus"))).otherwise(0.0)).alias(f"__c{name}"))
     t = j.groupBy(*keys, "time").agg(*aggs)
-    wdesc = Window.partitionBy(*keys).orderBy(F.col("time").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    wprev = Window.partitionBy(*keys).orderBy(F.col("time")).rowsBetween(Window.unboundedPreceding, -1)
+    t = running_sums(t, keys, "time", [f"__a{name}" for name, _ in terms], descending=True, inclusive=True,
+                     rows_per_bucket=rows_per_bucket, prefix="A")
+    t = running_sums(t, keys, "time", [f"__c{name}" for name, _ in terms], descending=False, inclusive=False,
+                     rows_per_bucket=rows_per_bucket, prefix="C")
     sel = [*keys, "time", "__d", "__g"]
     for name, _v in terms:
-        s = F.sum(f"__a{name}").over(wdesc) + F.col("__g") * F.coalesce(F.sum(f"__c{name}").over(wprev), F.lit(0.0))
-        sel.append(s.alias(f"S{name}"))
+        sel.append((F.col(f"A__a{name}") + F.col("__g") * F.col(f"C__c{name}")).alias(f"S{name}"))
     return t.select(*sel).filter(F.col("__d") > 0), terms
 
 
+#: a model key with more distinct times than this gets the bucketed (multi-task) running sums
+SINGLE_TASK_TIMES = 2_000_000
+
+
 def fine_gray(df: DataFrame, keys: Sequence[str], time: str, status: str, xs: Sequence[str],
-              weight: str | None = None, max_iter: int = 10, gtol: float = 1e-6, tol: float = 1e-9
-              ) -> tuple[DataFrame, DataFrame, DataFrame]:
+              weight: str | None = None, max_iter: int = 10, gtol: float = 1e-6, tol: float = 1e-9,
+              rows_per_bucket: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Fine-Gray subdistribution hazard regression per key.
 
     Newton-Raphson from beta = 0; a key stops when u' I^-1 u < ``gtol`` (score-based, as the usual
@@ -99,7 +105,12 @@ def fine_gray(df: DataFrame, keys: Sequence[str], time: str, status: str, xs: Se
     spark = df.sparkSession
     # compressed patterns are re-read by every Newton step: cut the lineage (reliable checkpoint into the
     # shared checkpoint dir) so each step analyses a short plan and survives executor loss
-    pat = cut_lineage(_prepare(df, keys, time, status, xs, weight))
+    if rows_per_bucket is None:
+        # distinct times of the largest key decide whether one task per key is enough (one small job)
+        per_key = df.groupBy(*keys).agg(F.count_distinct(F.col(time)).alias("__t"))
+        largest = per_key.agg(F.max("__t")).collect()[0][0] or 0
+        rows_per_bucket = SINGLE_TASK_TIMES // 4 if largest > SINGLE_TASK_TIMES else None
+    pat = cut_lineage(_prepare(df, keys, time, status, xs, weight, rows_per_bucket))
     key_types = dict(pat.dtypes)
     key_ddl = ", ".join(f"`{k}` {key_types[k]}" for k in keys)
     bddl = ", ".join(([key_ddl] if key_ddl else []) + [f"__b_{i} double" for i in range(p)])
@@ -114,7 +125,7 @@ def fine_gray(df: DataFrame, keys: Sequence[str], time: str, status: str, xs: Se
         if not active:
             break
         bframe = spark.createDataFrame([(*k, *map(float, state[k]["beta"])) for k in active], bddl)
-        rs, terms = _risk_set_frame(pat, bframe, keys, xs)
+        rs, terms = _risk_set_frame(pat, bframe, keys, xs, rows_per_bucket)
         s0 = F.col("S0")
         # S0 > 0 at every event time unless exp(x b) underflows (separated data): such a key then gets
         # NaN sums and is flagged below instead of failing the job
@@ -166,9 +177,10 @@ def fine_gray(df: DataFrame, keys: Sequence[str], time: str, status: str, xs: Se
                 st["conv"] = True
     # final: information and baseline at the converged coefficients
     bframe = spark.createDataFrame([(*k, *map(float, state[k]["beta"])) for k in state], bddl)
-    rs, _ = _risk_set_frame(pat, bframe, keys, xs)
-    wcum = Window.partitionBy(*keys).orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
-    baseline = rs.select(*keys, "time", F.sum(F.try_divide(F.col("__d"), F.col("S0"))).over(wcum).alias("cum_hazard"))
+    rs, _ = _risk_set_frame(pat, bframe, keys, xs, rows_per_bucket)
+    jumps = rs.select(*keys, "time", F.try_divide(F.col("__d"), F.col("S0")).alias("dlam"))
+    baseline = running_sums(jumps, keys, "time", ["dlam"], rows_per_bucket=rows_per_bucket, prefix="cum_") \
+        .select(*keys, "time", F.col("cum_dlam").alias("cum_hazard"))
     # the baseline is small (keys x event times); write it to the checkpoint dir so later predictions do
     # not recompute the pattern frame after it is released
     baseline = cut_lineage(baseline)
