@@ -131,26 +131,40 @@ def one_vs_rest_2x2(cont: DataFrame, comparisons: Mapping[str, Sequence[str]], k
         (F.col("ta") - F.col("a")).alias("c"), (F.col("tb") - F.col("b")).alias("d"))
 
 
-def fisher_pvalue(tables: DataFrame, rel_err: float = 1 + 1e-7) -> DataFrame:
+#: support values generated per task when a Fisher support is exploded
+FISHER_CHUNK = 1 << 20
+
+
+def fisher_pvalue(tables: DataFrame, rel_err: float = 1 + 1e-7, chunk: int = FISHER_CHUNK) -> DataFrame:
     """Exact two-sided Fisher p for rows with a, b, c, d (native: support exploded, lgamma closed form).
 
-    p = sum of P(X = x) over the support with P(X = x) <= P(X = a) * (1 + 1e-7) (R's relErr).
-    The table's own columns identify it, so no surrogate id / join back is needed.
+    p = sum of P(X = x) over the support with P(X = x) <= P(X = a) * (1 + 1e-7) (R's relErr). The
+    density is scaled by its value at the hypergeometric mode (closed form), so no window is needed and
+    the sum is a plain grouped aggregate; the support is generated in chunks that are spread over tasks
+    (a support can have as many values as the smaller margin).
     """
     cols = tables.columns
     m = F.col("a") + F.col("c")
     n = F.col("b") + F.col("d")
     k = F.col("a") + F.col("b")
-    sup = tables.select(*cols, F.explode(F.sequence(F.greatest(F.lit(0), k - n).cast("long"),
-                                                    F.least(k, m).cast("long"))).alias("__x"))
-    sup = sup.withColumn("__ld", dist.lchoose(m, F.col("__x")) + dist.lchoose(n, k - F.col("__x")))
-    w = Window.partitionBy(*cols)  # one test's support; bounded by min(margins)
-    sup = sup.withColumn("__mx", F.max("__ld").over(w)) \
-        .withColumn("__lobs", F.max(F.when(F.col("__x") == F.col("a"), F.col("__ld"))).over(w)) \
-        .withColumn("__d", F.exp(F.col("__ld") - F.col("__mx")))
-    keep = F.col("__d") <= F.exp(F.col("__lobs") - F.col("__mx")) * rel_err
-    return sup.groupBy(*cols).agg(
-        F.least(F.lit(1.0), F.sum(F.when(keep, F.col("__d")).otherwise(0.0)) / F.sum("__d")).alias("p_value"))
+    lo = F.greatest(F.lit(0), k - n).cast("long")
+    hi = F.least(k, m).cast("long")
+    mode = F.least(F.greatest(F.floor((k + 1) * (m + 1) / (m + n + 2)).cast("long"), lo), hi)
+
+    def ld(x):
+        return dist.lchoose(m, x) + dist.lchoose(n, k - x)
+
+    t = tables.select(*cols, lo.alias("__lo"), hi.alias("__hi"), ld(mode).alias("__mx"), ld(F.col("a")).alias("__lobs"))
+    nchunks = F.floor((F.col("__hi") - F.col("__lo")) / chunk).cast("long")
+    parts = t.select("*", F.explode(F.sequence(F.lit(0).cast("long"), nchunks)).alias("__c"))
+    parts = parts.repartition(max(1, tables.sparkSession.sparkContext.defaultParallelism), *cols, "__c")
+    start = F.col("__lo") + F.col("__c") * chunk
+    end = F.least(F.col("__hi"), start + (chunk - 1))
+    sup = parts.select("*", F.explode(F.sequence(start, end)).alias("__x"))
+    d = F.exp(ld(F.col("__x")) - F.col("__mx"))
+    keep = d <= F.exp(F.col("__lobs") - F.col("__mx")) * rel_err
+    agg = sup.groupBy(*cols).agg(F.sum(F.when(keep, d).otherwise(0.0)).alias("__num"), F.sum(d).alias("__den"))
+    return agg.select(*cols, F.least(F.lit(1.0), F.col("__num") / F.col("__den")).alias("p_value"))
 
 
 def _fisher_one(a: int, b: int, c: int, d: int, conf_level: float = 0.95) -> tuple[float, float, float, float]:

@@ -75,3 +75,13 @@ def test_yates_2x2(spark):
     assert r.statistic == pytest.approx(stat, rel=1e-12)
     assert r.p_value == pytest.approx(math.erfc(math.sqrt(stat / 2)), rel=1e-10)
     assert "Yates" in r.method
+
+
+def test_fisher_pvalue_chunked_support(cont):
+    """Support generated in many small chunks gives the same p as one chunk."""
+    tables = K.one_vs_rest_2x2(cont, COMPARISONS, keys=["family"])
+    one = {(r.blood_group, r.comparison): r.p_value for r in K.fisher_pvalue(tables).collect()}
+    many = {(r.blood_group, r.comparison): r.p_value for r in K.fisher_pvalue(tables, chunk=37).collect()}
+    assert one.keys() == many.keys()
+    for k in one:
+        assert many[k] == pytest.approx(one[k], rel=1e-12)
