@@ -82,21 +82,27 @@ def anti(df: DataFrame, keys: DataFrame, on: str | Sequence[str]) -> DataFrame:
 
 
 def keep_consistent(df: DataFrame, key: str, cols: Sequence[str], policy: str = "distinct_non_null") -> DataFrame:
-    """Keep persons whose typed values agree (Q4, Q5).
+    """Keep persons whose typed values agree (Q4, Q5) — one aggregate, one pass over ``df``.
 
-    ``distinct_non_null``: ``COUNT(DISTINCT a, b) = 1`` (tuples with a NULL are not counted; all rows of
-    the kept persons are returned, deduplicated). ``single_row``: drop persons with more than one row.
+    ``distinct_non_null``: ``COUNT(DISTINCT a, b) = 1`` (tuples with a NULL are not counted; all distinct
+    rows of the kept persons are returned). The per-person set of distinct value tuples is bounded by the
+    product of the categories' levels, so collecting it per key is safe. ``single_row``: drop persons
+    with more than one row.
     """
+    tup = F.struct(*[F.col(c) for c in cols])
     if policy == "distinct_non_null":
-        any_null = F.lit(False)
-        for c in cols:
-            any_null = any_null | F.col(c).isNull()
-        tup = F.when(~any_null, F.struct(*[F.col(c) for c in cols]))
-        ok = df.groupBy(key).agg(F.count_distinct(tup).alias("__n")).filter("__n = 1").select(key)
-        return df.select(key, *cols).distinct().join(ok, key, "left_semi")
+        g = df.groupBy(key).agg(F.collect_set(tup).alias("__s"))
+
+        def complete(s):
+            ok = F.lit(True)
+            for c in cols:
+                ok = ok & s[c].isNotNull()
+            return ok
+        n = F.size(F.filter(F.col("__s"), complete))
+        return g.filter(n == 1).select(key, F.inline("__s"))
     if policy == "single_row":
-        bad = df.groupBy(key).count().filter("count > 1").select(key)
-        return anti(df, bad, key)
+        g = df.groupBy(key).agg(F.count(F.lit(1)).alias("__n"), F.max(tup).alias("__r"))
+        return g.filter(F.col("__n") == 1).select(key, *[F.col(f"__r.{c}").alias(c) for c in cols])
     raise ValueError(policy)
 
 

@@ -117,25 +117,30 @@ rf AS (
 
 
 def risk_factors(spark, d) -> DataFrame:
-    """Declarative rules over one scan per source table, unioned distinct (person, factor)."""
-    li = table(spark, d, "lineitem")
+    """Declarative rules with ONE scan per source table, unioned distinct (person, factor).
+
+    lineitem: the code rules (closure descendants of 'PROMO', brands LIKE 'Brand#21%'/'Brand#22%') form one
+    small (code, factor) list joined once (size-checked broadcast); the value rule (quantity with a date
+    floor) is evaluated in the same scan; orders is joined once for the person key. events: text-lab rule.
+    """
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_shipdate")
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey")
-    p = table(spark, d, "part").select("p_partkey", "p_brand")
-    closure_rows = rel.descendants(li.select("l_orderkey", "l_partkey"), "l_partkey", D.part_closure(spark, d),
-                                   ["PROMO"], anc_col="ancestor", desc_col="descendant")
-    cardio = closure_rows.join(o, closure_rows.l_orderkey == o.o_orderkey) \
-        .select(F.col("o_custkey").alias("person"), F.lit("cardio").alias("factor"))
-    pref = li.select("l_orderkey", "l_partkey").join(p.filter(X.like_any("p_brand", ["Brand#21%", "Brand#22%"])),
-                                                     F.col("l_partkey") == F.col("p_partkey"))
-    diabetes = pref.join(o, pref.l_orderkey == o.o_orderkey).select(F.col("o_custkey").alias("person"),
-                                                                    F.lit("diabetes").alias("factor"))
+    closure = D.part_closure(spark, d)
+    codes = rel.union_all([
+        closure.filter(F.col("ancestor") == "PROMO").select(F.col("descendant").alias("__code"),
+                                                           F.lit("cardio").alias("__factor")),
+        table(spark, d, "part").filter(X.like_any("p_brand", ["Brand#21%", "Brand#22%"]))
+        .select(F.col("p_partkey").alias("__code"), F.lit("diabetes").alias("__factor")),
+    ]).distinct()
+    coded = li.join(rel.checked_broadcast(codes), F.col("l_partkey") == F.col("__code"), "left")
+    value_rule = (F.col("l_quantity") >= 45) & (F.col("l_shipdate") >= F.lit("1998-01-01").cast("timestamp"))
+    factors = F.array_compact(F.array(F.col("__factor"), F.when(value_rule, F.lit("obesity"))))
+    hits = coded.select("l_orderkey", F.explode(factors).alias("factor"))
+    from_items = hits.join(o, hits.l_orderkey == o.o_orderkey).select(F.col("o_custkey").alias("person"), "factor")
     ev = table(spark, d, "events").filter(F.col("event_type") == "view")
     text = F.concat(F.regexp_extract("props", "[0-9]+", 0), F.lit("%"))
     lab = ev.filter(X.lab_value(text) >= 90).select(F.col("user_id").alias("person"), F.lit("lab").alias("factor"))
-    ob = li.filter((F.col("l_quantity") >= 45) & (F.col("l_shipdate") >= F.lit("1998-01-01").cast("timestamp")))
-    obesity = ob.join(o, ob.l_orderkey == o.o_orderkey).select(F.col("o_custkey").alias("person"),
-                                                              F.lit("obesity").alias("factor"))
-    return rel.union_distinct([cardio, diabetes, lab, obesity])
+    return rel.union_distinct([from_items, lab])
 
 
 @register("risk_factors_long", with_ctes(["closure"], "," + RISK_SQL + "\nSELECT DISTINCT person, factor FROM rf"))

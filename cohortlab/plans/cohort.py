@@ -159,43 +159,49 @@ def risk_factors(t: Mapping[str, DataFrame], date: str, rules: DataFrame | None
     """Distinct (pat_mrn_id, risk_factor) from all rules; every source table is scanned once."""
     spark = t["persons"].sparkSession
     rules = rules if rules is not None else rule_table(spark)
-    rules = rules.cache()
     ca, p2p = t["concept_ancestor"], t["patient2person"]
     day = F.lit(date).cast("date")
     out = []
-    # Closure over condition_occurrence / observation (OMOP side)
+    # Closure over condition_occurrence / observation (OMOP side), all ancestors of a table in one join
     for source, table_name, code_col in (("condition", "condition_occurrence", "condition_concept_id"),
                                          ("observation", "observation", "observation_concept_id")):
         r = rules.filter(F.col("source") == source).select("factor", F.col("key").cast("long").alias("ancestor_concept_id"))
         sub = ca.join(F.broadcast(r), "ancestor_concept_id").select("descendant_concept_id", "factor")
         ev = t[table_name].join(rel.checked_broadcast(sub), F.col(code_col) == F.col("descendant_concept_id"))
         out.append(ev.join(p2p, "person_id").select("pat_mrn_id", F.col("factor").alias("risk_factor")))
-    # Closure -> relationship -> concept (ICD10CM code list) joined to hospital diagnoses
+    # J4/C13 + J5 on hospital diagnoses in ONE scan: each row offers candidate keys — its cleaned code
+    # (closure -> relationship -> ICD10CM code list) and its prefixes of every length used by prefix rules —
+    # equi-joined to one (kind, key, factor) rule list
     r = rules.filter(F.col("source") == "icd_mapped").select("factor", F.col("key").cast("long").alias("ancestor_concept_id"))
-    codes = rel.mapped_codes(ca.join(F.broadcast(r), "ancestor_concept_id"), t["concept_relationship"], t["concept"],
-                             r.select("ancestor_concept_id"), MAPPED_RELATIONSHIPS, MAPPED_VOCABULARY) \
-        .select("factor", "concept_code").distinct()
-    dx = t["patients"].filter(F.col("date_retrieved") == day).withColumn("__code", F.replace("icd10_code", F.lit(","), F.lit("")))
-    out.append(dx.join(rel.checked_broadcast(codes), F.col("__code") == F.col("concept_code"))
+    mapped = rel.mapped_codes(ca.join(F.broadcast(r), "ancestor_concept_id"), t["concept_relationship"], t["concept"],
+                              r.select("ancestor_concept_id"), MAPPED_RELATIONSHIPS, MAPPED_VOCABULARY) \
+        .select(F.lit("code").alias("__kind"), F.col("concept_code").alias("__key"), "factor")
+    prefix_rules = [(row.factor, row.key) for row in rules.filter(F.col("source") == "icd_prefix")
+                    .select("factor", "key").collect()]  # configuration rows (bounded)
+    simple = [(f, k[:-1]) for f, k in prefix_rules if k.endswith("%") and not any(ch in k[:-1] for ch in "%_")]
+    other = [(f, k) for f, k in prefix_rules if (f, k[:-1]) not in simple]
+    lengths = sorted({len(k) for _f, k in simple})
+    keyed = mapped
+    if simple:
+        keyed = keyed.unionByName(spark.createDataFrame([(f"p{len(k)}", k, f) for f, k in simple],
+                                                        "__kind string, __key string, factor string"))
+    dx = t["patients"].filter(F.col("date_retrieved") == day)
+    cands = [F.struct(F.lit("code").alias("k"), F.replace("icd10_code", F.lit(","), F.lit("")).alias("v"))] + \
+            [F.struct(F.lit(f"p{n}").alias("k"), F.substring("icd10_code", 1, n).alias("v")) for n in lengths]
+    dxk = dx.select("pat_mrn_id", "icd10_code", F.inline(F.array(*cands)))
+    out.append(dxk.join(rel.checked_broadcast(keyed), (F.col("k") == F.col("__kind")) & (F.col("v") == F.col("__key")))
                .select("pat_mrn_id", F.col("factor").alias("risk_factor")))
-    # Code prefixes (LIKE) on hospital diagnoses
-    pre = rules.filter(F.col("source") == "icd_prefix").select("factor", F.col("key").alias("pattern"))
-    out.append(t["patients"].filter(F.col("date_retrieved") == day)
-               .join(F.broadcast(pre), F.expr("icd10_code LIKE pattern"))
-               .select("pat_mrn_id", F.col("factor").alias("risk_factor")))
-    # Text lab results over a threshold (OMOP measurement and hospital labs)
-    mt = rules.filter(F.col("source") == "measurement_text").select(
-        "factor", F.col("key").cast("long").alias("__cid"), "threshold")
-    mv = rules.filter(F.col("source") == "measurement_value").select(
-        "factor", F.col("key").cast("long").alias("__cid"), "threshold", "since")
-    meas = t["measurement"]
-    j6 = meas.join(F.broadcast(mt), F.col("measurement_concept_id") == F.col("__cid")) \
-        .filter(X.lab_value("value_source_value") >= F.col("threshold"))
-    # Numeric value over a threshold with a date floor
-    j7 = meas.join(F.broadcast(mv), F.col("measurement_concept_id") == F.col("__cid")) \
-        .filter((F.col("measurement_date") >= F.col("since").cast("date")) & (F.col("value_as_number") >= F.col("threshold")))
-    for part in (j6, j7):
-        out.append(part.join(p2p, "person_id").select("pat_mrn_id", F.col("factor").alias("risk_factor")))
+    if other:  # general LIKE patterns (none in the reference's rules)
+        pre = spark.createDataFrame(other, "factor string, pattern string")
+        out.append(dx.join(F.broadcast(pre), F.expr("icd10_code LIKE pattern"))
+                   .select("pat_mrn_id", F.col("factor").alias("risk_factor")))
+    # J6 + J7 on OMOP measurement in ONE join: text results over a threshold, numeric values with a date floor
+    mr = rules.filter(F.col("source").isin("measurement_text", "measurement_value")).select(
+        "factor", "source", F.col("key").cast("long").alias("__cid"), "threshold", "since")
+    mj = t["measurement"].join(F.broadcast(mr), F.col("measurement_concept_id") == F.col("__cid"))
+    hit = F.when(F.col("source") == "measurement_text", X.lab_value("value_source_value") >= F.col("threshold")) \
+        .otherwise((F.col("measurement_date") >= F.col("since").cast("date")) & (F.col("value_as_number") >= F.col("threshold")))
+    out.append(mj.filter(hit).join(p2p, "person_id").select("pat_mrn_id", F.col("factor").alias("risk_factor")))
     ht = rules.filter(F.col("source") == "hospital_lab_text").select(
         "factor", F.col("key").cast("long").alias("__loinc"), "threshold")
     out.append(t["measurements"].filter(F.col("date_retrieved") == day)

@@ -70,33 +70,40 @@ def consistent_types(spark: SparkSession, d: str) -> DataFrame:
     return rel.keep_consistent(typed(spark, d), "person", ["abo", "rh"], "distinct_non_null")
 
 
-def test_results(spark: SparkSession, d: str) -> DataFrame:
-    """Valid tests per person, ever positive."""
-    ev = table(spark, d, "events")
-    valid = ev.filter(~F.col("event_type").isin(INVALID_RESULTS))
-    pos = (F.col("event_type") == "purchase") & (F.col("value") >= POSITIVE_VALUE)
-    return valid.groupBy(F.col("user_id").alias("person")).agg(
-        F.max(pos.cast("int")).alias("cov_pos"), F.count(F.lit(1)).alias("n_tests"))
-
+def person_events(spark: SparkSession, d: str) -> DataFrame:
+    """ONE aggregate over events per person: valid tests, ever positive, outcome flags.
 
-def outcome_flags(spark: SparkSession, d: str) -> DataFrame:
-    """'intubated' / 'died' analogues per person (distinct persons with the event)."""
+    Test results, outcome flags and the set of persons with any event all derive from this frame, so a
+    plan that needs several of them shares one scan + exchange (identical subplans are reused).
+    """
     ev = table(spark, d, "events")
+    valid = ~F.col("event_type").isin(INVALID_RESULTS)
+    pos = valid & (F.col("event_type") == "purchase") & (F.col("value") >= POSITIVE_VALUE)
     return ev.groupBy(F.col("user_id").alias("person")).agg(
+        F.max(pos.cast("int")).alias("cov_pos"), F.count_if(valid).alias("n_tests"),
         F.max(((F.col("event_type") == "signup") & (F.col("value") >= POSITIVE_VALUE)).cast("int")).alias("intubated"),
         F.max(((F.col("event_type") == "click") & (F.col("value") >= 200.0)).cast("int")).alias("died"))
 
 
+def test_results(spark: SparkSession, d: str) -> DataFrame:
+    """Valid tests per person, ever positive (persons with only invalid results are untested)."""
+    return person_events(spark, d).filter(F.col("n_tests") > 0).select("person", "cov_pos", "n_tests")
+
+
+def outcome_flags(spark: SparkSession, d: str) -> DataFrame:
+    """'intubated' / 'died' analogues per person."""
+    return person_events(spark, d).select("person", "intubated", "died")
+
+
 def tested_persons(spark: SparkSession, d: str, cons: DataFrame | None = None) -> DataFrame:
-    """Consistently typed, tested persons with outcome flags (one row per person)."""
+    """Consistently typed, tested persons with outcome flags (one row per person, one events aggregate)."""
     cons = cons if cons is not None else consistent_types(spark, d)
-    return cons.join(test_results(spark, d), "person") \
-        .join(outcome_flags(spark, d), "person", "left")
+    return cons.join(person_events(spark, d).filter(F.col("n_tests") > 0), "person")
 
 
 def general_population(spark: SparkSession, d: str, cons: DataFrame | None = None) -> DataFrame:
     """Typed persons never tested (anti join on all event users)."""
-    users = table(spark, d, "events").select(F.col("user_id").alias("person"))
+    users = person_events(spark, d).select("person")
     cons = cons if cons is not None else consistent_types(spark, d)
     return rel.anti(cons, users, "person")
 
