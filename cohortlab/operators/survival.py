@@ -46,10 +46,13 @@ def censoring_km(pat: DataFrame, keys: Sequence[str], time: str = "time", status
     return t.select(*keys, time, F.exp(F.col("cum__lg")).alias("g_minus"))
 
 
-def _prepare(df: DataFrame, keys, time, status, xs, weight, rows_per_bucket):
+def _compress(df: DataFrame, keys, time, status, xs, weight):
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    pat = df.groupBy(*keys, F.col(time).cast("double").alias("time"), F.col(status).cast("int").alias("status"),
-                     *[F.col(x).cast("double").alias(x) for x in xs]).agg(F.sum(w).alias("n"))
+    return df.groupBy(*keys, F.col(time).cast("double").alias("time"), F.col(status).cast("int").alias("status"),
+                      *[F.col(x).cast("double").alias(x) for x in xs]).agg(F.sum(w).alias("n"))
+
+
+def _with_censoring(pat: DataFrame, keys, rows_per_bucket):
     g = censoring_km(pat, keys, rows_per_bucket=rows_per_bucket)
     return pat.join(g, list(keys) + ["time"])
 
@@ -105,26 +108,48 @@ def fine_gray(df: DataFrame, keys: Sequence[str], time: str, status: str, xs: Se
     spark = df.sparkSession
     # compressed patterns are re-read by every Newton step: cut the lineage (reliable checkpoint into the
     # shared checkpoint dir) so each step analyses a short plan and survives executor loss
+    comp = cut_lineage(_compress(df, keys, time, status, xs, weight))
     if rows_per_bucket is None:
-        # distinct times of the largest key decide whether one task per key is enough (one small job)
-        per_key = df.groupBy(*keys).agg(F.count_distinct(F.col(time)).alias("__t"))
+        # distinct times of the largest key decide whether one task per key is enough (on the compressed rows)
+        per_key = comp.groupBy(*keys).agg(F.count_distinct("time").alias("__t"))
         largest = per_key.agg(F.max("__t")).collect()[0][0] or 0
         rows_per_bucket = SINGLE_TASK_TIMES // 4 if largest > SINGLE_TASK_TIMES else None
-    pat = cut_lineage(_prepare(df, keys, time, status, xs, weight, rows_per_bucket))
+    pat = cut_lineage(_with_censoring(comp, keys, rows_per_bucket))
     key_types = dict(pat.dtypes)
     key_ddl = ", ".join(f"`{k}` {key_types[k]}" for k in keys)
     bddl = ", ".join(([key_ddl] if key_ddl else []) + [f"__b_{i} double" for i in range(p)])
-    # score term that does not depend on beta: sum over events of n * x
-    ev = pat.filter(F.col("status") == 1).groupBy(*keys).agg(
-        F.sum("n").alias("__nev"), *[F.sum(F.col("n") * F.col(x)).alias(f"__ex{i}") for i, x in enumerate(xs)])
-    ev_rows = {tuple(r[k] for k in keys): r for r in ev.collect()}  # one row per key
-    all_keys = [tuple(r[k] for k in keys) for r in pat.select(*keys).distinct().collect()] if keys else [()]
-    state = {k: {"beta": np.zeros(p), "conv": False, "iter": 0, "loglik": None, "info": np.eye(p)} for k in all_keys}
+    # score term that does not depend on beta (sum over events of n * x), and the key list: one pass
+    is_ev = F.col("status") == 1
+    ev = comp.groupBy(*keys).agg(
+        F.sum(F.when(is_ev, F.col("n")).otherwise(0.0)).alias("__nev"),
+        *[F.sum(F.when(is_ev, F.col("n") * F.col(x)).otherwise(0.0)).alias(f"__ex{i}") for i, x in enumerate(xs)])
+    evp = ev.toPandas()  # one row per key (bounded by the model grid), via Arrow
+    K = len(evp)
+    key_tuples = list(evp[keys].itertuples(index=False, name=None)) if keys else [()] * K
+    index = {t: i for i, t in enumerate(key_tuples)}
+    ex_all = evp[[f"__ex{i}" for i in range(p)]].to_numpy(dtype=float) if p else np.zeros((K, 0))
+    nev = evp["__nev"].to_numpy(dtype=float)
+    beta = np.zeros((K, p))
+    info_all = np.tile(np.eye(p), (K, 1, 1))
+    keep = np.ones((K, p), dtype=bool)
+    keep_set = np.zeros(K, dtype=bool)
+    loglik = np.full(K, np.nan)
+    iters = np.zeros(K, dtype=int)
+    failed = nev <= 0          # no event of interest: nothing to fit
+    conv = failed.copy()
+    eye = np.eye(p)
     for it in range(1, max_iter + 1):
-        active = [k for k, s in state.items() if not s["conv"]]
-        if not active:
+        active = np.where(~conv)[0]
+        if len(active) == 0:
             break
-        bframe = spark.createDataFrame([(*k, *map(float, state[k]["beta"])) for k in active], bddl)
+        bpdf = evp.loc[active, keys].reset_index(drop=True) if keys else None
+        bcols = {f"__b_{i}": beta[active, i] for i in range(p)}
+        if keys:
+            bpdf = bpdf.assign(**bcols)
+        else:
+            import pandas as pd
+            bpdf = pd.DataFrame(bcols)
+        bframe = spark.createDataFrame(bpdf, bddl)
         rs, terms = _risk_set_frame(pat, bframe, keys, xs, rows_per_bucket)
         s0 = F.col("S0")
         # S0 > 0 at every event time unless exp(x b) underflows (separated data): such a key then gets
@@ -133,50 +158,53 @@ def fine_gray(df: DataFrame, keys: Sequence[str], time: str, status: str, xs: Se
         aggs = [F.sum(F.col("__d") * F.log(s0)).alias("__ll0"), bad]
         for i in range(p):
             aggs.append(F.sum(F.col("__d") * F.try_divide(F.col(f"S1_{i}"), s0)).alias(f"__u{i}"))
-        for a, b in _pairs(p):
-            aggs.append(F.sum(F.col("__d") * (F.try_divide(F.col(f"S2_{a}_{b}"), s0)
-                                              - F.try_divide(F.col(f"S1_{a}") * F.col(f"S1_{b}"), s0 * s0)))
-                        .alias(f"__i{a}_{b}"))
-        res = rs.groupBy(*keys).agg(*aggs).collect()
-        for r in res:
-            k = tuple(r[c] for c in keys)
-            st = state[k]
-            evr = ev_rows.get(k)
-            ex = np.array([evr[f"__ex{i}"] if evr else 0.0 for i in range(p)])
-            u = ex - np.array([r[f"__u{i}"] if r[f"__u{i}"] is not None else np.nan for i in range(p)])
-            info = np.zeros((p, p))
-            for a, b in _pairs(p):
-                v = r[f"__i{a}_{b}"]
-                info[a, b] = info[b, a] = v if v is not None else np.nan
-            if r["__bad"]:
-                info[:] = np.nan
-            st["loglik"] = float(ex @ st["beta"] - r["__ll0"]) if r["__ll0"] is not None else None
-            st["iter"] = it
-            if not (np.all(np.isfinite(info)) and np.all(np.isfinite(u))):
-                st["conv"] = True  # numerically degenerate (e.g. separated resample): keep the last beta
-                st["failed"] = True
-                continue
-            if "keep" not in st:
-                # K9 for Fine-Gray: columns without variation in the risk sets (e.g. zeroed outside the
-                # cell's formula) or collinear ones are aliased and left out of the fit
-                st["keep"] = alias_mask(info) if p else np.zeros(0, dtype=bool)
-            kk = np.where(st["keep"])[0]
-            st["info"] = info
-            step = np.zeros(p)
-            if len(kk):
-                ikk = info[np.ix_(kk, kk)]
-                try:
-                    step[kk] = np.linalg.solve(ikk, u[kk])
-                except np.linalg.LinAlgError:
-                    step[kk] = np.linalg.pinv(ikk) @ u[kk]
-            st["beta"] = st["beta"] + step
-            if float(u[kk] @ step[kk]) < gtol:
-                st["conv"] = True  # score criterion met; the last (tiny) Newton step is kept
-                continue
-            if np.max(np.abs(step)) < tol:
-                st["conv"] = True
+        for a2, b2 in _pairs(p):
+            aggs.append(F.sum(F.col("__d") * (F.try_divide(F.col(f"S2_{a2}_{b2}"), s0)
+                                              - F.try_divide(F.col(f"S1_{a2}") * F.col(f"S1_{b2}"), s0 * s0)))
+                        .alias(f"__i{a2}_{b2}"))
+        res = rs.groupBy(*keys).agg(*aggs).toPandas()
+        if len(res) == 0:
+            break
+        ridx = np.array([index[t] for t in res[keys].itertuples(index=False, name=None)] if keys else [0])
+        u = ex_all[ridx] - res[[f"__u{i}" for i in range(p)]].to_numpy(dtype=float)
+        info = np.zeros((len(ridx), p, p))
+        for a2, b2 in _pairs(p):
+            v = res[f"__i{a2}_{b2}"].to_numpy(dtype=float)
+            info[:, a2, b2] = v
+            info[:, b2, a2] = v
+        info[res["__bad"].fillna(0).to_numpy() > 0] = np.nan
+        loglik[ridx] = (ex_all[ridx] * beta[ridx]).sum(axis=1) - res["__ll0"].to_numpy(dtype=float)
+        iters[ridx] = it
+        fin = np.isfinite(info).all(axis=(1, 2)) & np.isfinite(u).all(axis=1)
+        failed[ridx[~fin]] = True  # numerically degenerate (e.g. separated resample): keep the last beta
+        conv[ridx[~fin]] = True
+        ridx, u, info = ridx[fin], u[fin], info[fin]
+        # K9 for Fine-Gray, decided once per key at beta = 0: columns without variation in the risk sets
+        # (e.g. zeroed outside the cell's formula) or collinear ones are aliased and left out of the fit
+        for j, i in enumerate(ridx):
+            if not keep_set[i]:
+                keep[i] = alias_mask(info[j]) if p else keep[i]
+                keep_set[i] = True
+        info_all[ridx] = info
+        mask = keep[ridx]
+        both = mask[:, :, None] & mask[:, None, :]
+        sysm = np.where(both, info, 0.0) + eye[None] * (~mask)[:, :, None]
+        um = np.where(mask, u, 0.0)
+        try:
+            step = np.linalg.solve(sysm, um[..., None])[..., 0]
+        except np.linalg.LinAlgError:
+            step = np.stack([np.linalg.pinv(m) @ v for m, v in zip(sysm, um)]) if len(ridx) else um
+        beta[ridx] += step
+        done = ((um * step).sum(axis=1) < gtol) | (np.abs(step).max(axis=1, initial=0.0) < tol)
+        conv[ridx[done]] = True  # score criterion met; the last (tiny) Newton step is kept
     # final: information and baseline at the converged coefficients
-    bframe = spark.createDataFrame([(*k, *map(float, state[k]["beta"])) for k in state], bddl)
+    bcols = {f"__b_{i}": beta[:, i] for i in range(p)}
+    if keys:
+        bpdf = evp[keys].assign(**bcols)
+    else:
+        import pandas as pd
+        bpdf = pd.DataFrame(bcols)
+    bframe = spark.createDataFrame(bpdf, bddl)
     rs, _ = _risk_set_frame(pat, bframe, keys, xs, rows_per_bucket)
     jumps = rs.select(*keys, "time", F.try_divide(F.col("__d"), F.col("S0")).alias("dlam"))
     baseline = running_sums(jumps, keys, "time", ["dlam"], rows_per_bucket=rows_per_bucket, prefix="cum_") \
@@ -184,23 +212,19 @@ def fine_gray(df: DataFrame, keys: Sequence[str], time: str, status: str, xs: Se
     # the baseline is small (keys x event times); write it to the checkpoint dir so later predictions do
     # not recompute the pattern frame after it is released
     baseline = cut_lineage(baseline)
+    both = keep[:, :, None] & keep[:, None, :]
+    sysm = np.where(both, info_all, 0.0) + eye[None] * (~keep)[:, :, None]
+    try:
+        cov = np.linalg.inv(sysm)
+    except np.linalg.LinAlgError:
+        cov = np.stack([np.linalg.pinv(m) for m in sysm]) if K else sysm
+    se = np.sqrt(np.maximum(np.diagonal(cov, axis1=1, axis2=2), 0.0)) if p else np.zeros((K, 0))
     coef_rows, fit_rows = [], []
-    for k, st in state.items():
-        keep = st.get("keep", np.ones(p, dtype=bool))
-        kk = np.where(keep)[0]
-        se = np.full(p, np.nan)
-        if len(kk):
-            ikk = st["info"][np.ix_(kk, kk)]
-            try:
-                cov = np.linalg.inv(ikk)
-            except np.linalg.LinAlgError:
-                cov = np.linalg.pinv(ikk)
-            se[kk] = np.sqrt(np.maximum(np.diag(cov), 0.0))
-        for i in kk:
-            coef_rows.append((*k, xs[i], float(st["beta"][i]), float(se[i])))
-        evr = ev_rows.get(k)
-        fit_rows.append((*k, st["loglik"], int(st["iter"]), bool(st["conv"]) and not st.get("failed", False),
-                         float(evr["__nev"]) if evr else 0.0))
+    for i, k in enumerate(key_tuples):
+        for c in np.where(keep[i])[0]:
+            coef_rows.append((*k, xs[c], float(beta[i, c]), float(se[i, c])))
+        fit_rows.append((*k, None if np.isnan(loglik[i]) else float(loglik[i]), int(iters[i]),
+                         bool(conv[i] and not failed[i]), float(nev[i])))
     pre = key_ddl + ", " if key_ddl else ""
     coefs = spark.createDataFrame(coef_rows, pre + "term string, estimate double, std_error double") \
         .withColumn("statistic", F.col("estimate") / F.col("std_error")) \

@@ -28,21 +28,25 @@ W = "boot_w"
 
 
 def _cells(df: DataFrame, exposures: Mapping[str, Sequence[str]], adjustments: Mapping[str, Sequence[str]]):
-    """Replicate rows per (exposure, model) cell; columns outside the cell's formula are zeroed."""
+    """Replicate rows per (exposure, model) cell in ONE pass (explode of the small cell list); columns
+    outside a cell's formula are zeroed. Upstream work (e.g. bootstrap draws) is evaluated once per row."""
     allx = []
     for xs in list(exposures.values()) + list(adjustments.values()):
         for x in xs:
             if x not in allx:
                 allx.append(x)
-    frames = []
-    for ex, ex_cols in exposures.items():
-        for m, adj in adjustments.items():
-            use = set(ex_cols) | set(adj)
-            f = df.withColumn("exposure", F.lit(ex)).withColumn("model", F.lit(m))
-            for x in allx:
-                f = f.withColumn(x, F.col(x).cast("double") if x in use else F.lit(0.0))
-            frames.append(f)
-    return union_all(frames), allx
+    cells = [(ex, m, set(ex_cols) | set(adj)) for ex, ex_cols in exposures.items() for m, adj in adjustments.items()]
+    cell = F.explode(F.array(*[F.struct(F.lit(ex).alias("exposure"), F.lit(m).alias("model")) for ex, m, _ in cells]))
+    out = df.select("*", cell.alias("__cell")).select(
+        *[c for c in df.columns if c not in allx], F.col("__cell.exposure").alias("exposure"),
+        F.col("__cell.model").alias("model"), *[c for c in df.columns if c in allx])
+    for x in allx:
+        uses = F.lit(False)
+        for ex, m, use in cells:
+            if x in use:
+                uses = uses | ((F.col("exposure") == ex) & (F.col("model") == m))
+        out = out.withColumn(x, F.when(uses, F.col(x).cast("double")).otherwise(F.lit(0.0)))
+    return out, allx
 
 
 def _strata_rows(exposures_strata: Mapping[str, Mapping[str, Mapping[str, float]]]):
