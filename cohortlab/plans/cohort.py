@@ -334,7 +334,9 @@ def build_basic_v2(t: Mapping[str, DataFrame], outcome_date: str, as_of: str) ->
         F.coalesce("death_date", "max_censor_time").alias("death_censor_time"),
         F.coalesce("died", F.lit(0.0)).alias("died"))
     race = race_consensus_v2(persons, cohort)
-    basic = cohort.join(persons, "pat_mrn_id").join(race, "pat_mrn_id").join(types, "pat_mrn_id") \
+    # persons' own text death_date is not used here: age uses the outcome table's death date
+    person_cols = persons.select("pat_mrn_id", "birth_date", "sex_desc", "ethnicity")
+    basic = cohort.join(person_cols, "pat_mrn_id").join(race, "pat_mrn_id").join(types, "pat_mrn_id") \
         .join(outc, "pat_mrn_id", "left").join(dnr, "pat_mrn_id", "left")
     basic = basic.filter(X.consistent_times("intubation_censor_time", "cohort_entry_time") &
                          X.consistent_times("death_censor_time", "cohort_entry_time"))
