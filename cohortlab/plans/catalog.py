@@ -1049,6 +1049,28 @@ def partition_counts_orders(spark, d):
     return o.select("o_orderkey", "o_custkey", "n_in_group", "n_status")
 
 
+@register("qc_wide_table", with_ctes(["tested", "closure"], "," + RISK_SQL + """
+, flags AS (SELECT person, """ + ", ".join(f"MAX(CASE WHEN factor = '{f}' THEN 1 ELSE 0 END) AS rf_{f}" for f in FACTORS)
+                                   + """ FROM rf GROUP BY person)
+, w AS (SELECT t.person, c_mktsegment, t.abo, t.rh, t.cov_pos, COALESCE(t.intubated, 0) AS intubated,
+       COALESCE(t.died, 0) AS died, """ + ", ".join(f"COALESCE(rf_{f}, 0) AS rf_{f}" for f in FACTORS) + """
+FROM tested t JOIN customer ON t.person = c_custkey LEFT JOIN flags f ON t.person = f.person
+WHERE c_mktsegment IN ('AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY') AND t.person >= 0)
+SELECT 'rows' AS "check", COUNT(*) AS n FROM w
+UNION ALL SELECT 'distinct_keys', COUNT(DISTINCT person) FROM w
+UNION ALL SELECT 'duplicate_keys', COUNT(*) - COUNT(DISTINCT person) FROM w
+UNION ALL SELECT 'implausible:intubated_not_positive', COUNT(*) FILTER (WHERE intubated = 1 AND cov_pos = 0) FROM w
+UNION ALL SELECT 'implausible:died_not_positive', COUNT(*) FILTER (WHERE died = 1 AND cov_pos = 0) FROM w
+""" + "".join(f"UNION ALL SELECT 'null:{c}', COUNT(*) FILTER (WHERE {c} IS NULL) FROM w\n" for c in
+              ["person", "c_mktsegment", "abo", "rh", "cov_pos", "intubated", "died"] + [f"rf_{f}" for f in FACTORS])))
+def qc_wide_table(spark, d):
+    """One-pass QC of the wide table: key uniqueness, NULLs per column, implausible combinations."""
+    from . import report
+    return report.qc_report(wide_table(spark, d), "person",
+                            {"intubated_not_positive": "intubated = 1 AND cov_pos = 0",
+                             "died_not_positive": "died = 1 AND cov_pos = 0"})
+
+
 def queries():
     return {k: v[0] for k, v in REGISTRY.items()}
 

@@ -86,3 +86,17 @@ def effect_plot_frame(coefs: DataFrame, order: Sequence[str], term_col: str = "t
         .withColumn("lo", F.exp(F.col("estimate") - z * F.col("std_error"))) \
         .withColumn("hi", F.exp(F.col("estimate") + z * F.col("std_error"))) \
         .withColumn("order", R.level_rank(term_col, list(order)))
+
+
+def qc_report(df: DataFrame, key: str, implausible: dict | None = None) -> DataFrame:
+    """Quality checks in ONE aggregate pass: row count, distinct keys, duplicated keys, NULLs per column
+    and counts of implausible combinations (``{name: boolean Column or SQL predicate}``); long form."""
+    implausible = implausible or {}
+    aggs = [F.count(F.lit(1)).alias("rows"), F.count_distinct(key).alias("distinct_keys")]
+    aggs += [F.count_if(F.col(c).isNull()).alias(f"null:{c}") for c in df.columns]
+    aggs += [F.count_if(p if not isinstance(p, str) else F.expr(p)).alias(f"implausible:{n}")
+             for n, p in implausible.items()]
+    wide = df.agg(*aggs).withColumn("duplicate_keys", F.col("rows") - F.col("distinct_keys"))
+    cols = [c for c in wide.columns]
+    return wide.select(*[F.col(f"`{c}`").cast("long").alias(c) for c in cols]) \
+        .unpivot([], cols, "check", "n")

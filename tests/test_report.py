@@ -19,3 +19,11 @@ def test_regression_table_text(spark):
     assert r.or_text == "1.5" and r.p_text == "0.012"
     lo, hi = 1.5 * math.exp(-0.196), 1.5 * math.exp(0.196)
     assert r.ci_text == f"{lo:.2g} - {hi:.2g}"
+
+
+def test_qc_report(spark):
+    df = spark.createDataFrame([(1, 1, 0, None), (1, 0, 1, "A"), (2, 0, 1, "B")],
+                               "pat long, cov_pos int, intubated int, abo string")
+    q = {r.check: r.n for r in report.qc_report(df, "pat", {"intubated_not_positive": "intubated = 1 AND cov_pos = 0"}).collect()}
+    assert q["rows"] == 3 and q["distinct_keys"] == 2 and q["duplicate_keys"] == 1
+    assert q["null:abo"] == 1 and q["null:pat"] == 0 and q["implausible:intubated_not_positive"] == 2
