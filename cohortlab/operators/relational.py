@@ -65,8 +65,10 @@ def join_on_expr(left: DataFrame, right: DataFrame, left_key: Column, right_key:
 
 
 def semi(df: DataFrame, keys: DataFrame, on) -> DataFrame:
-    """``IN (subquery)``."""
-    return df.join(keys, on=on, how="left_semi")
+    """``IN (subquery)``; the key side is deduplicated first (partial aggregation), so a key repeated
+    in a third of the rows reaches the join once."""
+    on_list = [on] if isinstance(on, str) else list(on)
+    return df.join(keys.select(*on_list).distinct(), on=on_list, how="left_semi")
 
 
 def anti(df: DataFrame, keys: DataFrame, on: str | Sequence[str]) -> DataFrame:
@@ -77,7 +79,7 @@ def anti(df: DataFrame, keys: DataFrame, on: str | Sequence[str]) -> DataFrame:
     (scalable, shuffle-able) anti join is used instead of the broadcast-only null-aware one.
     """
     on_list = [on] if isinstance(on, str) else list(on)
-    inner = keys.select(*on_list).dropna()
+    inner = keys.select(*on_list).dropna().distinct()  # one row per key before the join (skew-safe)
     return df.join(inner, on=on_list, how="left_anti")
 
 
@@ -112,23 +114,29 @@ def entry_time(first: DataFrame, intervals: DataFrame, key: str, t: str, start:
                max_lag_hours: float = 96.0, out: str = "cohort_entry_time") -> DataFrame:
     """Interval start when ``t`` falls in [start, start + max_lag], else ``t``; min over intervals.
 
-    ``MIN(IF(t >= start AND t - start <= lag, start, t))`` after a left join; the range test lives
-    inside the aggregate so persons without intervals keep ``t``.
+    Equivalent to ``MIN(IF(t >= start AND t - start <= lag, start, t))`` after a LEFT join, computed as an
+    INNER join (AQE can split a person with a huge number of intervals — it cannot on the outer side of a
+    left join) whose one-row-per-person minimum is joined back and defaulted to ``t``.
     """
-    j = first.join(intervals.select(key, start), key, "left")
+    j = first.select(key, t).join(intervals.select(key, start), key, "inner")
     lag_ok = (F.col(t) >= F.col(start)) & (
-        (F.unix_micros(F.col(t).cast("timestamp")) - F.unix_micros(F.col(start).cast("timestamp"))) <= F.lit(int(max_lag_hours * 3.6e9)))
-    return j.groupBy(key).agg(F.min(F.when(lag_ok, F.col(start)).otherwise(F.col(t))).alias(out))
+        (F.unix_micros(F.col(t).cast("timestamp")) - F.unix_micros(F.col(start).cast("timestamp")))
+        <= F.lit(int(max_lag_hours * 3.6e9)))
+    m = j.groupBy(key).agg(F.min(F.when(lag_ok, F.col(start)).otherwise(F.col(t))).alias("__m"))
+    return first.select(key, t).join(m, key, "left").select(key, F.coalesce("__m", t).alias(out))
 
 
 def max_censor(entries: DataFrame, intervals: DataFrame, key: str, entry: str, start: str, end: str,
                horizon_days: int = 10, out: str = "max_censor_time") -> DataFrame:
-    """End of an interval spanning entry + horizon, else entry + horizon; max over intervals."""
+    """End of an interval spanning entry + horizon, else entry + horizon; max over intervals.
+
+    Inner join + per-person maximum joined back (skew-splittable, see :func:`entry_time`)."""
     plus = F.col(entry) + F.make_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(horizon_days))
-    j = entries.select(key, entry).join(intervals.select(key, start, end), key, "left") \
-        .withColumn("__plus", plus)
+    base = entries.select(key, entry).withColumn("__plus", plus)
+    j = base.join(intervals.select(key, start, end), key, "inner")
     spans = (F.col(start) <= F.col("__plus")) & (F.col(end) > F.col("__plus"))
-    return j.groupBy(key).agg(F.max(F.when(spans, F.col(end)).otherwise(F.col("__plus"))).alias(out))
+    m = j.groupBy(key).agg(F.max(F.when(spans, F.col(end)).otherwise(F.col("__plus"))).alias("__m"))
+    return base.join(m, key, "left").select(key, F.coalesce("__m", "__plus").alias(out))
 
 
 def events_between(bounds: DataFrame, events: DataFrame, key: str, lo: str, hi: str, ev_time: str,
