@@ -140,13 +140,24 @@ def zero_date(c) -> Column:
 
 # ---------------------------------------------------------------- dates and math
 
+def micros_between(later, earlier) -> Column:
+    """Wall-clock difference in microseconds, independent of the session time zone (no DST shifts):
+    both sides are taken as TIMESTAMP_NTZ, which the driver tables already are."""
+    return F.timestamp_diff("MICROSECOND", col(earlier).cast("timestamp_ntz"), col(later).cast("timestamp_ntz"))
+
+
+def epoch_micros(c) -> Column:
+    """Wall-clock microseconds since 1970-01-01 (session-time-zone independent)."""
+    return micros_between(c, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+
+
 def hours_between(later, earlier) -> Column:
     """(later - earlier) in hours as double."""
-    return (F.unix_micros(col(later).cast("timestamp")) - F.unix_micros(col(earlier).cast("timestamp"))) / 3.6e9
+    return micros_between(later, earlier) / 3.6e9
 
 
 def days_between(later, earlier) -> Column:
-    return (F.unix_micros(col(later).cast("timestamp")) - F.unix_micros(col(earlier).cast("timestamp"))) / 8.64e10
+    return micros_between(later, earlier) / 8.64e10
 
 
 def age_years(birth, as_of, kind: str = "days365") -> Column:

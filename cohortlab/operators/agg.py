@@ -11,6 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.expr import epoch_micros, micros_between
 from .relational import join_small
 
 
@@ -126,7 +127,7 @@ def corr_long(df: DataFrame, cols: Sequence[str], method: str = "pearson") -> Da
 def histogram(df: DataFrame, c: str, bins: int = 30, by: Sequence[str] = ()) -> DataFrame:
     """Equal-width histogram over [min, max] (times become epoch seconds)."""
     x = F.col(c)
-    xv = F.unix_micros(x.cast("timestamp")) / 1e6 if dict(df.dtypes)[c] in ("date", "timestamp", "timestamp_ntz") else x.cast("double")
+    xv = epoch_micros(x) / 1e6 if dict(df.dtypes)[c] in ("date", "timestamp", "timestamp_ntz") else x.cast("double")
     base = df.select(*by, xv.alias("__x"))
     mm = base.agg(F.min("__x").alias("__lo"), F.max("__x").alias("__hi"))
     b = base.crossJoin(F.broadcast(mm)).withColumn(
@@ -204,7 +205,7 @@ def since_first(df: DataFrame, key: str, ts: str, unit_hours: bool = True, out:
     first = df.groupBy(key).agg(F.min(ts).alias("__first"))
     j = df.join(first, key)
     scale = 3.6e9 if unit_hours else 8.64e10
-    return j.withColumn(out, (F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col("__first").cast("timestamp"))) / scale).drop("__first")
+    return j.withColumn(out, micros_between(ts, "__first") / scale).drop("__first")
 
 
 def share_of_max(df: DataFrame, c: str, out: str | None = None) -> DataFrame:

@@ -15,7 +15,7 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import col
+from ..functions.expr import col, micros_between
 
 #: default row bound for the explicit (counting) size check
 BROADCAST_MAX_ROWS = 2_000_000
@@ -119,9 +119,7 @@ def entry_time(first: DataFrame, intervals: DataFrame, key: str, t: str, start:
     left join) whose one-row-per-person minimum is joined back and defaulted to ``t``.
     """
     j = first.select(key, t).join(intervals.select(key, start), key, "inner")
-    lag_ok = (F.col(t) >= F.col(start)) & (
-        (F.unix_micros(F.col(t).cast("timestamp")) - F.unix_micros(F.col(start).cast("timestamp")))
-        <= F.lit(int(max_lag_hours * 3.6e9)))
+    lag_ok = (F.col(t) >= F.col(start)) & (micros_between(t, start) <= F.lit(int(max_lag_hours * 3.6e9)))
     m = j.groupBy(key).agg(F.min(F.when(lag_ok, F.col(start)).otherwise(F.col(t))).alias("__m"))
     return first.select(key, t).join(m, key, "left").select(key, F.coalesce("__m", t).alias(out))
 

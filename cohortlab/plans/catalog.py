@@ -133,7 +133,7 @@ def risk_factors(spark, d) -> DataFrame:
         .select(F.col("p_partkey").alias("__code"), F.lit("diabetes").alias("__factor")),
     ]).distinct()
     coded = li.join(rel.checked_broadcast(codes), F.col("l_partkey") == F.col("__code"), "left")
-    value_rule = (F.col("l_quantity") >= 45) & (F.col("l_shipdate") >= F.lit("1998-01-01").cast("timestamp"))
+    value_rule = (F.col("l_quantity") >= 45) & (F.col("l_shipdate") >= F.lit("1998-01-01").cast("timestamp_ntz"))
     factors = F.array_compact(F.array(F.col("__factor"), F.when(value_rule, F.lit("obesity"))))
     hits = coded.select("l_orderkey", F.explode(factors).alias("factor"))
     from_items = hits.join(o, hits.l_orderkey == o.o_orderkey).select(F.col("o_custkey").alias("person"), "factor")
@@ -359,8 +359,8 @@ def competing_records(spark, d, kind: str = "intubation", basic: DataFrame | Non
     """Competing-risk record (status 0 censor, 1 event, 2/3 competing), exclusions applied."""
     basic = basic if basic is not None else basic_table(spark, d)
     b = basic.filter(F.col("intubated").isNotNull() &
-                                     (F.col("cohort_entry_time") <= F.lit(ENTRY_LIMIT).cast("timestamp")))
-    latest = F.lit(LATEST).cast("timestamp")
+                                     (F.col("cohort_entry_time") <= F.lit(ENTRY_LIMIT).cast("timestamp_ntz")))
+    latest = F.lit(LATEST).cast("timestamp_ntz")
     if kind == "intubation":
         censor = X.pmin_na("intubation_censor_time", "death_censor_time", latest)
         outcome = F.when(F.least("intubation_censor_time", "death_censor_time") > latest, "censor") \
