@@ -105,13 +105,22 @@ def chisq_crosstab(df: DataFrame, a: str, b: str, correct: bool = True, name: st
 
 def chisq_sites(site_counts: DataFrame, site_a: str, site_b: str, group: str = "group", site: str = "site",
                 n: str = "n") -> DataFrame:
-    """K4: homogeneity of the group distribution between two sites; adds log10 p (T11) for tiny p."""
+    """Homogeneity of the group distribution between two sites.
+
+    Besides the tail p-value, reports what the reference prints for tiny p: the chi-squared log DENSITY at
+    the statistic split into a mantissa ``a`` and base-10 exponent ``b`` (both rounded to 1 decimal) and
+    the text ``'{a}e{b}'``.
+    """
+    from ..functions.fmt import _strip_zeros
     cont = site_counts.select(F.col(group).alias("group"), F.col(site).alias("arm"), F.col(n).alias("n"))
     res = chisq(cont, {f"{site_a}_vs_{site_b}": [site_a, site_b]})
-    # log of the upper tail via the density bound when p underflows: report mantissa/exponent
-    log_p = F.when(F.col("p_value") > 0, F.log(F.col("p_value"))).otherwise(
-        dist.chi2_logpdf(F.col("statistic"), F.col("parameter")) + F.log(F.lit(2.0)))
-    return res.withColumn("p_text", dist.mantissa_exponent(log_p))
+    me = dist.mantissa_exponent(dist.chi2_logpdf(F.col("statistic"), F.col("parameter")))
+    res = res.withColumn("log_density", dist.chi2_logpdf(F.col("statistic"), F.col("parameter"))) \
+        .withColumn("density_mantissa", F.bround(me["mantissa"], 1)) \
+        .withColumn("density_exponent", me["exponent"])
+    text = F.concat(_strip_zeros(F.format_string("%.1f", F.col("density_mantissa"))), F.lit("e"),
+                    F.col("density_exponent").cast("string"))
+    return res.withColumn("formatted", text)
 
 
 # ---------------------------------------------------------------- K5

@@ -998,19 +998,22 @@ e AS (SELECT *, SUM(o) OVER (PARTITION BY comparison, "group") * SUM(o) OVER (PA
              / SUM(o) OVER (PARTITION BY comparison) AS ex FROM j),
 s AS (SELECT comparison, SUM(pow(o - ex, 2) / ex) AS x,
         CAST((COUNT(DISTINCT "group") - 1) * (COUNT(DISTINCT col_idx) - 1) AS INTEGER) AS parameter FROM e GROUP BY ALL),
-p AS (SELECT *, """ + D.sql_chi2_sf("x", "parameter") + """ AS pv FROM s)
-SELECT comparison, ROUND(x, 6) AS statistic, parameter, ROUND(pv, 8) AS p_value,
-  CAST(floor(ln(pv) / ln(10)) AS BIGINT) AS p_exponent, ROUND(exp(ln(pv) - floor(ln(pv) / ln(10)) * ln(10)), 6) AS p_mantissa
+p AS (SELECT *, """ + D.sql_chi2_sf("x", "parameter") + """ AS pv,
+         (parameter / 2.0 - 1) * ln(x) - x / 2 - (parameter / 2.0) * ln(2) - lgamma(parameter / 2.0) AS ld FROM s)
+SELECT comparison, ROUND(x, 6) AS statistic, parameter, ROUND(pv, 8) AS p_value, ROUND(ld, 6) AS log_density,
+  CAST(floor(ld / ln(10)) AS BIGINT) AS density_exponent,
+  ROUND(round_even(exp(ld - floor(ld / ln(10)) * ln(10)), 1), 1) AS density_mantissa
 FROM p""")
 def chisq_sites_regions(spark, d):
-    """Homogeneity of the segment distribution between two sites, p as mantissa/exponent."""
+    """Homogeneity of the segment distribution between two sites; chi-squared log density as
+    mantissa/exponent (the reference's tiny-p print)."""
     c = table(spark, d, "customer")
     geo = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     j = c.join(F.broadcast(geo), c.c_nationkey == geo.n_nationkey).filter(F.col("r_name").isin("AFRICA", "AMERICA"))
     cnt = j.groupBy(F.col("c_mktsegment").alias("group"), F.col("r_name").alias("site")).agg(F.count(F.lit(1)).alias("n"))
     r = K.chisq_sites(cnt, "AFRICA", "AMERICA")
     return r.select("comparison", _r("statistic").alias("statistic"), "parameter", _r("p_value", 8).alias("p_value"),
-                    F.col("p_text.exponent").alias("p_exponent"), _r("p_text.mantissa").alias("p_mantissa"))
+                    _r("log_density").alias("log_density"), "density_exponent", "density_mantissa")
 
 
 @register("overall_summary_events", """

@@ -85,3 +85,17 @@ def test_fisher_pvalue_chunked_support(cont):
     assert one.keys() == many.keys()
     for k in one:
         assert many[k] == pytest.approx(one[k], rel=1e-12)
+
+
+def test_chisq_sites_density_text(spark):
+    # two sites with very different group distributions -> tiny p; reference prints the log density
+    rows = [("A", "s1", 900), ("B", "s1", 50), ("C", "s1", 50), ("A", "s2", 100), ("B", "s2", 450), ("C", "s2", 450)]
+    df = spark.createDataFrame(rows, "group string, site string, n long")
+    r = K.chisq_sites(df, "s1", "s2").collect()[0]
+    x, k = r.statistic, r.parameter
+    ld = (k / 2 - 1) * math.log(x) - x / 2 - (k / 2) * math.log(2) - math.lgamma(k / 2)
+    assert r.log_density == pytest.approx(ld, rel=1e-12)
+    b = math.floor(ld / math.log(10))
+    a = round(math.exp(ld - b * math.log(10)), 1)
+    assert r.density_exponent == b and r.density_mantissa == pytest.approx(a)
+    assert r.formatted == f"{a:g}e{b}"
