@@ -169,6 +169,17 @@ def age_years(birth, as_of, kind: str = "days365") -> Column:
     raise ValueError(kind)
 
 
+def interval_years(start, end) -> Column:
+    """Fractional years of the interval [start, end] as whole years plus the elapsed share of the next
+    year (lubridate ``time_length(interval(start, end), "years")``)."""
+    s0, e0 = F.to_date(col(start)), F.to_date(col(end))
+    n0 = F.floor(F.months_between(e0, s0) / 12).cast("int")
+    n = F.when(F.add_months(s0, n0 * 12) > e0, n0 - 1).otherwise(n0)
+    anchor = F.add_months(s0, n * 12)
+    nxt = F.add_months(s0, (n + 1) * 12)
+    return n + F.datediff(e0, anchor) / F.datediff(nxt, anchor)
+
+
 def pmin_na(*cols) -> Column:
     """T10 with Q13: row-wise minimum that is NULL when any input is NULL (R ``pmin``)."""
     cs = [col(c) for c in cols]

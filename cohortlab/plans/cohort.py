@@ -375,14 +375,24 @@ def general_population_v2(t: Mapping[str, DataFrame], outcome_date: str) -> Data
 # J26-J29 analysis-side records
 # ---------------------------------------------------------------------------------------------------
 
-def prevalence_v2(tests: DataFrame, hours: float = 96.0) -> DataFrame:
-    """Ever positive, and positive within ``hours`` of the first recorded test."""
+def _max_na(c: Column, na_rm: bool) -> Column:
+    """R ``max()``: NA when any value is NA (unless ``na_rm``); Spark's max skips NULLs."""
+    return F.max(c) if na_rm else F.when(F.count_if(c.isNull()) > 0, F.lit(None)).otherwise(F.max(c))
+
+
+def prevalence_v2(tests: DataFrame, hours: float = 96.0, na_rm: bool = False) -> DataFrame:
+    """Ever positive, and positive within ``hours`` of the first recorded test.
+
+    An unclassified result (NULL ``event_desc``, Q25) makes ``positive`` NA; as in R, the per-person max is
+    then NA, and ``NA & (h <= hours)`` is NA inside the window but FALSE outside it.
+    """
     first = tests.groupBy("pat_mrn_id").agg(F.min("test_result_datetime").alias("__first"))
     j = tests.join(first, "pat_mrn_id")
-    pos = F.col("event_desc") == "Test: positive"
+    pos = (F.col("event_desc") == "Test: positive").cast("double")
     within = X.hours_between("test_result_datetime", "__first") <= hours
-    return j.groupBy("pat_mrn_id").agg(F.max(pos.cast("double")).alias("cov_pos"),
-                                       F.max((pos & within).cast("double")).alias("initial_cov_pos"))
+    initial = F.when(~within, F.lit(0.0)).otherwise(pos)
+    return j.groupBy("pat_mrn_id").agg(_max_na(pos, na_rm).alias("cov_pos"),
+                                       _max_na(initial, na_rm).alias("initial_cov_pos"))
 
 
 def competing_risk_v2(basic: DataFrame, kind: str, latest: str = "2020-08-01",
@@ -414,21 +424,36 @@ def competing_risk_v2(basic: DataFrame, kind: str, latest: str = "2020-08-01",
     return r.filter(keep).withColumn("status", X.map_recode("outcome", status))
 
 
-def build_initial(persons: DataFrame, labs: DataFrame, intubation: DataFrame, date: str,
-                  exclude: DataFrame | None = None) -> DataFrame:
-    """First-version person table: 0/1 outcome flags, one row per person, ever positive."""
-    l = labs.filter(F.col("date_retrieved") == F.lit(date).cast("date"))
-    if exclude is not None:
-        l = rel.anti(l, exclude, "pat_mrn_id")
-    res = X.extract_or_null(F.lower("ord_value"), "(not detected|detected)")
-    tests = l.select("pat_mrn_id", (res == "detected").cast("int").alias("covid_result_binary"))
-    pos = tests.groupBy("pat_mrn_id").agg(F.max("covid_result_binary").alias("covid_result_binary"))
-    intub = intubation.select("pat_mrn_id").distinct().withColumn("intubation_binary", F.lit(1))
-    p = persons.select("pat_mrn_id", "sex_desc", "birth_date", "death_date").join(pos, "pat_mrn_id") \
-        .join(intub, "pat_mrn_id", "left")
-    return rel.distinct_by(p.select(
-        "pat_mrn_id", F.col("sex_desc").alias("sex"),
-        X.age_years("birth_date", F.lit(date), kind="calendar").alias("age"),
-        F.coalesce("intubation_binary", F.lit(0)).alias("intubation_binary"),
-        X.zero_date("death_date").isNotNull().cast("int").alias("died_binary"),
-        "covid_result_binary"), ["pat_mrn_id"])
+#: result-comment code selecting the tests used in the first analysis (fixed value of the reference)
+INITIAL_TEST_COMMENT_ID = 36072
+
+
+def build_initial(tests: DataFrame, blood_types: DataFrame, intubation: DataFrame, date: str,
+                  comment_id: int = INITIAL_TEST_COMMENT_ID) -> DataFrame:
+    """First-version person table (R pipeline semantics).
+
+    tests: pat_mrn_id, sex, birth_date, death_date (text), ord_value, comment_id;
+    blood_types: pat_mrn_id, blood_type_value; intubation: pat_mrn_id, order_date, description, display_name.
+    Persons with more than one distinct (abo, rh) tuple (NA tuples counted, as ``n_distinct``) are removed;
+    positivity is summed per (person, sex, age, abo, rh, intubation, death) with NA propagating; missing
+    ABO/Rh become 'unknown'.
+    """
+    t = tests.filter(F.col("comment_id") == comment_id).select(
+        "pat_mrn_id", "sex", "birth_date", "death_date", F.col("ord_value").alias("covid_result"))
+    bt = blood_types.select("pat_mrn_id", X.extract_or_null("blood_type_value", "^[ABO]+").alias("abo"),
+                            X.extract_or_null(F.lower("blood_type_value"), "pos|neg").alias("rh"))
+    multiple = bt.groupBy("pat_mrn_id").agg(F.count_distinct(F.struct("abo", "rh")).alias("__n")) \
+        .filter(F.col("__n") > 1).select("pat_mrn_id")
+    io_ = intubation.select("pat_mrn_id", F.col("order_date").alias("__od"), F.col("description").alias("__ds"),
+                            F.col("display_name").alias("__dn"))
+    full = rel.anti(t.join(bt, "pat_mrn_id", "left").join(io_, "pat_mrn_id", "left"), multiple, "pat_mrn_id")
+    rows = full.select(
+        "pat_mrn_id", "sex", X.interval_years("birth_date", F.lit(date)).alias("age"), "abo", "rh",
+        (F.col("covid_result") == "Detected").cast("int").alias("covid_result_binary"),
+        (F.col("__ds").isNotNull() & F.col("__od").isNotNull() & F.col("__dn").isNotNull()).cast("int")
+        .alias("intubation_binary"),
+        (F.col("death_date") != "0000-00-00").cast("int").alias("died_binary")).distinct()
+    c = F.col("covid_result_binary")
+    g = rows.groupBy("pat_mrn_id", "sex", "age", "abo", "rh", "intubation_binary", "died_binary").agg(
+        F.when(F.count_if(c.isNull()) > 0, F.lit(None)).otherwise(F.sum(c)).cast("long").alias("covid_result_binary"))
+    return g.filter(F.col("pat_mrn_id") != 0).fillna("unknown", subset=["abo", "rh"])

@@ -161,3 +161,16 @@ def test_race_consensus_v2(spark):
     got = {r.pat_mrn_id: r.race for r in C.race_consensus_v2(persons, cohort).collect()}
     # NULL race falls to ELSE 'other' (Q17), so a person with a SQL NULL column has two values
     assert got == {1: "other", 2: "other", 3: "missing", 4: "other"}
+
+
+def test_prevalence_na_semantics(spark):
+    rows = [(1, dt.datetime(2020, 4, 1), "Test: negative"), (1, dt.datetime(2020, 4, 2), "Test: positive"),
+            (2, dt.datetime(2020, 4, 1), "Test: positive"), (2, dt.datetime(2020, 4, 20), None),
+            (3, dt.datetime(2020, 4, 1), None), (3, dt.datetime(2020, 4, 2), "Test: positive")]
+    tests = spark.createDataFrame(rows, "pat_mrn_id long, test_result_datetime timestamp, event_desc string")
+    got = {r.pat_mrn_id: (r.cov_pos, r.initial_cov_pos) for r in C.prevalence_v2(tests).collect()}
+    assert got[1] == (1.0, 1.0)
+    assert got[2] == (None, 1.0)   # NA outside the 96 h window is FALSE; max(1, NA) over all is NA
+    assert got[3] == (None, None)  # NA inside the window propagates
+    rm = {r.pat_mrn_id: (r.cov_pos, r.initial_cov_pos) for r in C.prevalence_v2(tests, na_rm=True).collect()}
+    assert rm[3] == (1.0, 1.0)

@@ -85,9 +85,21 @@ def test_general_population_v2(t, spark):
     assert g == {"B": 1, "pos": 1}
 
 
-def test_build_initial(t):
-    init = {r.pat_mrn_id: r for r in C.build_initial(t["persons"], t["labs"], t["intubation_orders"],
-                                                    "2020-07-01").collect()}
-    assert init[201].covid_result_binary == 1 and init[201].intubation_binary == 1 and init[201].died_binary == 0
-    assert init[202].covid_result_binary == 1 and init[202].died_binary == 1
-    assert init[204].covid_result_binary == 0 and init[204].age == 40
+def test_build_initial(spark):
+    mk = spark.createDataFrame
+    tests = mk([(1, "F", dt.date(1980, 4, 1), "0000-00-00", "Detected", 36072),
+                (1, "F", dt.date(1980, 4, 1), "0000-00-00", "Not Detected", 36072),
+                (2, "M", dt.date(1970, 1, 1), "2020-04-01", "Not Detected", 36072),
+                (3, "M", dt.date(1960, 1, 1), "0000-00-00", "Detected", 36072),
+                (4, "M", dt.date(1960, 1, 1), "0000-00-00", "Detected", 36195),
+                (0, "M", dt.date(1960, 1, 1), "0000-00-00", "Detected", 36072)],
+               "pat_mrn_id long, sex string, birth_date date, death_date string, ord_value string, comment_id long")
+    bt = mk([(1, "A Positive"), (2, "O"), (3, "B Pos"), (3, "AB Neg")], "pat_mrn_id long, blood_type_value string")
+    io_ = mk([(1, T(2020, 4, 2), "intubate", "ETT"), (2, T(2020, 4, 2), None, "ETT")],
+             "pat_mrn_id long, order_date timestamp, description string, display_name string")
+    got = {r.pat_mrn_id: r for r in C.build_initial(tests, bt, io_, "2020-04-12").collect()}
+    assert set(got) == {1, 2}          # 3 has two blood types, 4 another comment id, 0 the error row
+    a, b = got[1], got[2]
+    assert (a.abo, a.rh, a.covid_result_binary, a.intubation_binary, a.died_binary) == ("A", "pos", 1, 1, 0)
+    assert a.age == pytest.approx(40 + 11 / 365)   # 40 whole years + 11 days of a 365-day year
+    assert (b.abo, b.rh, b.covid_result_binary, b.intubation_binary, b.died_binary) == ("O", "unknown", 0, 0, 1)
