@@ -15,7 +15,7 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import col, micros_between
+from ..functions.expr import micros_between
 
 #: default row bound for the explicit (counting) size check
 BROADCAST_MAX_ROWS = 2_000_000

@@ -1,7 +1,6 @@
 import datetime as dt
 
 import pytest
-from pyspark.sql import functions as F
 
 from cohortlab.plans import cohort as C
 from cohortlab.operators import relational as rel

@@ -1,7 +1,6 @@
 import math
 
 import pytest
-from pyspark.sql import functions as F
 
 from cohortlab.operators import contingency as K
 from golden import (ABO_CHISQ_0412, ABO_FISHER_0412, ABO_RH_CHISQ_0412, ABO_RH_FISHER_0412, COMPARISONS,

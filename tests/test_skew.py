@@ -1,5 +1,4 @@
 """Operators give the same answers when one key holds a third of all rows (checked against pandas)."""
-import datetime as dt
 
 import numpy as np
 import pandas as pd
