@@ -64,14 +64,20 @@ def estimate_ci(est, lo, hi, digits: int = 2) -> Column:
 
 
 def adaptive(c, kind: str) -> Column:
-    """Per-column kind decided by the caller (the reference decides from the first value)."""
+    """Per-column kind decided by the caller (the reference decides from the column's first value:
+    whole number -> 'int', |x| < 1 -> 'percent', |x| > 100 -> '1dp', else 'whole')."""
     x = col(c)
     if kind == "int":
         return F.format_string("%d", x.cast("long"))
-    if kind == "percent":
-        return F.concat(fmt_fixed(x * 100.0, 1), F.lit("%"))
+    if kind == "percent":  # share printed as 100 * x with one decimal (no % sign)
+        return fmt_fixed(x * 100.0, 1)
     if kind == "1dp":
         return fmt_fixed(x, 1)
     if kind == "whole":
         return fmt_fixed(x, 0)
     raise ValueError(kind)
+
+
+def count_share(n, total, kind_n: str = "int", kind_share: str = "percent") -> Column:
+    """X1 (second form): ``'{n} ({n / total})'`` with the adaptive number formats."""
+    return F.concat(adaptive(n, kind_n), F.lit(" ("), adaptive(col(n) / col(total), kind_share), F.lit(")"))

@@ -65,18 +65,18 @@ def meta_table(studies: DataFrame, pooled: DataFrame, keys: Sequence[str] = ("ta
     return out.withColumn("or_ci", fmt.estimate_ci("odds_ratio", "conf_low", "conf_high", 3))
 
 
-def risk_table(summary: DataFrame, reference_col: str = "is_reference") -> DataFrame:
-    """Risk, difference, NNT and ratio with CI text; the reference stratum shows a dash."""
-    def cell(est, lo, hi):
-        return F.when(F.col(reference_col), F.lit("-")).otherwise(
-            F.concat(fmt.fmt_fixed(est, 3), F.lit(" ("), fmt.fmt_fixed(lo, 3), F.lit(", "), fmt.fmt_fixed(hi, 3),
-                     F.lit(")")))
-    out = summary.withColumn("risk_text", F.concat(fmt.fmt_fixed("risk", 3), F.lit(" ("),
-                                                   fmt.fmt_fixed("risk_conf_low", 3), F.lit(", "),
-                                                   fmt.fmt_fixed("risk_conf_high", 3), F.lit(")")))
-    for m in ("risk_difference", "nnt", "relative_risk"):
+def risk_table(summary: DataFrame, reference_col: str = "is_reference", dash: str = "\u2014") -> DataFrame:
+    """Risk and risk difference as percentages (1 decimal), NNT and risk ratio with 2 decimals, each as
+    ``'est (lo to hi)'``; the reference stratum shows a dash for difference, NNT and ratio."""
+    def cell(est, lo, hi, scale, decimals):
+        return F.concat(fmt.fmt_fixed(F.col(est) * scale, decimals), F.lit(" ("),
+                        fmt.fmt_fixed(F.col(lo) * scale, decimals), F.lit(" to "),
+                        fmt.fmt_fixed(F.col(hi) * scale, decimals), F.lit(")"))
+    out = summary.withColumn("risk_text", cell("risk", "risk_conf_low", "risk_conf_high", 100.0, 1))
+    for m, scale, dec in (("risk_difference", 100.0, 1), ("nnt", 1.0, 2), ("relative_risk", 1.0, 2)):
         if m in summary.columns:
-            out = out.withColumn(f"{m}_text", cell(m, f"{m}_conf_low", f"{m}_conf_high"))
+            out = out.withColumn(f"{m}_text", F.when(F.col(reference_col), F.lit(dash))
+                                 .otherwise(cell(m, f"{m}_conf_low", f"{m}_conf_high", scale, dec)))
     return out
 
 

@@ -27,3 +27,19 @@ def test_qc_report(spark):
     q = {r.check: r.n for r in report.qc_report(df, "pat", {"intubated_not_positive": "intubated = 1 AND cov_pos = 0"}).collect()}
     assert q["rows"] == 3 and q["distinct_keys"] == 2 and q["duplicate_keys"] == 1
     assert q["null:abo"] == 1 and q["null:pat"] == 0 and q["implausible:intubated_not_positive"] == 2
+
+
+def test_risk_table_and_adaptive(spark):
+    from cohortlab.functions import fmt
+    rows = [("aboA", True, 0.1234, 0.1, 0.15, 0.0, 0.0, 0.0, None, None, None, 1.0, 1.0, 1.0),
+            ("aboB", False, 0.2, 0.15, 0.25, 0.0766, 0.02, 0.13, 13.05, 7.7, 50.0, 1.62, 1.1, 2.3)]
+    cols = ("stratum string, is_reference boolean, risk double, risk_conf_low double, risk_conf_high double, "
+            "risk_difference double, risk_difference_conf_low double, risk_difference_conf_high double, "
+            "nnt double, nnt_conf_low double, nnt_conf_high double, relative_risk double, "
+            "relative_risk_conf_low double, relative_risk_conf_high double")
+    t = {r.stratum: r for r in report.risk_table(spark.createDataFrame(rows, cols)).collect()}
+    assert t["aboA"].risk_text == "12.3 (10.0 to 15.0)" and t["aboA"].relative_risk_text == "—"
+    assert t["aboB"].risk_difference_text == "7.7 (2.0 to 13.0)"
+    assert t["aboB"].relative_risk_text == "1.62 (1.10 to 2.30)"
+    df = spark.createDataFrame([(12, 48)], "n long, total long")
+    assert df.select(fmt.count_share("n", "total")).collect()[0][0] == "12 (25.0)"
