@@ -53,9 +53,19 @@ def fmt_fixed(c, decimals: int = 1) -> Column:
     return F.format_string(f"%.{decimals}f", F.bround(col(c).cast("double"), decimals))
 
 
-def n_pct(n, pct, decimals: int = 1) -> Column:
-    """``'n (pct%)'`` cell."""
-    return F.format_string(f"%d (%.{decimals}f%%)", col(n).cast("long"), F.bround(col(pct).cast("double"), decimals))
+def n_pct(n, pct, decimals: int = 1, style: str = "fixed", percent_sign: bool = False) -> Column:
+    """``'n (pct)'`` cell.
+
+    ``style='fixed'``: ``sprintf('%.1f')`` (trailing zeros kept); ``style='round'``: R ``round(x, 1)`` printed
+    as a number (``12.0`` -> ``12``). ``percent_sign`` appends ``%`` inside the parentheses.
+    Both round the exact binary value half-even first, which is what C's printf does on decimal ties.
+    """
+    p = F.format_string(f"%.{decimals}f", F.bround(col(pct).cast("double"), decimals))
+    if style == "round":
+        p = _strip_zeros(p)
+    elif style != "fixed":
+        raise ValueError(style)
+    return F.concat(col(n).cast("long").cast("string"), F.lit(" ("), p, F.lit("%" if percent_sign else ""), F.lit(")"))
 
 
 def estimate_ci(est, lo, hi, digits: int = 2) -> Column:

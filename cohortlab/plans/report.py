@@ -15,13 +15,14 @@ from ..operators import reshape as R
 
 
 def baseline_by_group(df: DataFrame, families: Mapping[str, Sequence[str]], flags: Sequence[str],
-                      total: str = "TOTAL") -> DataFrame:
-    """One row per (family, group, characteristic): ``'n (pct%)'`` of persons with the 0/1 flag."""
+                      total: str = "TOTAL", style: str = "fixed", percent_sign: bool = False) -> DataFrame:
+    """One row per (family, group, characteristic): ``'n (pct)'`` of persons with the 0/1 flag
+    (later notebook: ``sprintf('%.1f')``, no sign; the first one: ``style='round', percent_sign=True``)."""
     aggs = [F.count(F.lit(1)).alias("n_persons")] + [F.sum(F.col(f).cast("long")).alias(f) for f in flags]
     g = A.grouped_levels(df, families, aggs, total=total)
     long = g.unpivot(["family", "group", "n_persons"], list(flags), "characteristic", "n")
     return long.withColumn("pct", 100.0 * F.col("n") / F.col("n_persons")) \
-        .withColumn("cell", fmt.n_pct("n", "pct"))
+        .withColumn("cell", fmt.n_pct("n", "pct", style=style, percent_sign=percent_sign))
 
 
 def baseline_overall(df: DataFrame, numeric: Sequence[str], flags: Sequence[str]) -> DataFrame:

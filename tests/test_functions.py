@@ -57,8 +57,11 @@ def test_formatting(spark):
     df = spark.createDataFrame([(v,) for v in vals], "x double")
     assert one(df, fmt.fmt_g("x", 2)) == ["%.2g" % v for v in vals]
     assert one(df, fmt.fmt_g("x", 3)) == ["%.3g" % v for v in vals]
-    cell = spark.createDataFrame([(12, 12.25)], "n long, p double").select(fmt.n_pct("n", "p")).collect()[0][0]
-    assert cell == "12 (12.2%)"   # half-even at the printed digit, as R's round()
+    d = spark.createDataFrame([(12, 12.25)], "n long, p double")
+    assert d.select(fmt.n_pct("n", "p")).collect()[0][0] == "12 (12.2)"   # 12.25 is a binary tie -> even
+    assert d.select(fmt.n_pct("n", "p", percent_sign=True)).collect()[0][0] == "12 (12.2%)"
+    assert spark.createDataFrame([(3, 12.0)], "n long, p double").select(
+        fmt.n_pct("n", "p", style="round")).collect()[0][0] == "3 (12)"
 
 
 def test_across_and_cols_like(spark):

@@ -6,10 +6,13 @@ def test_baseline_by_group(spark):
                                "abo string, rh string, cov_pos int, died int")
     rows = {(r.family, r.group, r.characteristic): r for r in
             report.baseline_by_group(df, {"abo": ["abo"], "rh": ["rh"]}, ["cov_pos", "died"]).collect()}
-    assert rows[("abo", "A", "cov_pos")].cell == "2 (100.0%)"
-    assert rows[("abo", "B", "cov_pos")].cell == "1 (50.0%)"
-    assert rows[("rh", "pos", "died")].cell == "0 (0.0%)"
-    assert rows[("TOTAL", "TOTAL", "cov_pos")].cell == "3 (75.0%)"
+    assert rows[("abo", "A", "cov_pos")].cell == "2 (100.0)"
+    assert rows[("abo", "B", "cov_pos")].cell == "1 (50.0)"
+    assert rows[("rh", "pos", "died")].cell == "0 (0.0)"
+    assert rows[("TOTAL", "TOTAL", "cov_pos")].cell == "3 (75.0)"
+    first = {(r.family, r.group, r.characteristic): r.cell for r in
+             report.baseline_by_group(df, {"abo": ["abo"]}, ["cov_pos"], style="round", percent_sign=True).collect()}
+    assert first[("abo", "A", "cov_pos")] == "2 (100%)" and first[("abo", "B", "cov_pos")] == "1 (50%)"
 
 
 def test_regression_table_text(spark):
