@@ -171,7 +171,18 @@ def wide_table(spark, d):
                        *[F.coalesce(f"rf_{f}", F.lit(0)).alias(f"rf_{f}") for f in FACTORS])
 
 
-@register("null_counts_wide", None)
+NULL_SQL = with_ctes(["tested", "closure"], "," + RISK_SQL + """
+, flags AS (SELECT person, """ + ", ".join(f"MAX(CASE WHEN factor = '{f}' THEN 1 ELSE 0 END) AS rf_{f}" for f in FACTORS)
+                   + """ FROM rf GROUP BY person)
+, w AS (SELECT t.person, c_mktsegment, t.abo, t.rh, t.cov_pos, COALESCE(t.intubated, 0) AS intubated,
+       COALESCE(t.died, 0) AS died, """ + ", ".join(f"COALESCE(rf_{f}, 0) AS rf_{f}" for f in FACTORS) + """
+FROM tested t JOIN customer ON t.person = c_custkey LEFT JOIN flags f ON t.person = f.person
+WHERE c_mktsegment IN ('AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY') AND t.person >= 0)
+""" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", COUNT(*) FILTER (WHERE {c} IS NULL) AS n_null FROM w" for c in
+                         ["person", "c_mktsegment", "abo", "rh", "cov_pos", "intubated", "died"] + [f"rf_{f}" for f in FACTORS]))
+
+
+@register("null_counts_wide", NULL_SQL)
 def null_counts_wide(spark, d):
     """NULL count of every column of the wide table in one pass."""
     return A.null_counts(wide_table(spark, d))
