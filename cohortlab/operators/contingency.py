@@ -11,6 +11,7 @@ Spark does the counting over persons; tests run on the aggregated long frame
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Mapping, Sequence
 
 import numpy as np
@@ -246,6 +247,9 @@ def fisher_exact(tables: DataFrame, conf_level: float = 0.95) -> DataFrame:
                              method="Fisher's Exact Test for Count Data", alternative="two.sided")
             yield pdf
 
+    # ship this module's code with the task (pickle by value): executors need numpy, not this package
+    from pyspark import cloudpickle
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     return tables.mapInPandas(run, out_schema)
 
 
