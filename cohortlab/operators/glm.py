@@ -147,7 +147,10 @@ def logit_grouped(df: DataFrame, keys: Sequence[str], y: str, xs: Sequence[str],
                       + F.when(F.col("__n") - F.col("__y") > 0, (F.col("__n") - F.col("__y")) * F.log(1.0 - mu))
                       .otherwise(0.0))
         joined = pat.join(F.broadcast(bframe), keys, "inner") if keys else pat.crossJoin(F.broadcast(bframe))
-        agg = joined.groupBy(*keys).agg(*_gram_aggs(xs, w, wz), F.sum(dev).alias("__dev"))
+        # per-row working weight / response / deviance as columns first: the p(p+1)/2 sums then multiply
+        # plain columns instead of each re-expanding the p-term linear predictor (small generated code)
+        rowwise = joined.select(*keys, *xs, w.alias("__w"), wz.alias("__wz"), dev.alias("__dv"))
+        agg = rowwise.groupBy(*keys).agg(*_gram_aggs(xs, F.col("__w"), F.col("__wz")), F.sum("__dv").alias("__dev"))
         for r in agg.collect():
             k = _key_tuple(r, keys)
             st = state[k]

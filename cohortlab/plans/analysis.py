@@ -29,8 +29,8 @@ MULTIVARIATE = ["age_normed", "male_sex", "ethnicity_hs", "ethnicity_other", "et
 FORMULAS = {"univariate": ["had_blood_group"], "multivariate": MULTIVARIATE}
 
 
-def blood_group_associations(wide: DataFrame, formulas=FORMULAS, outcomes=OUTCOME_RULES) -> tuple[DataFrame, DataFrame]:
-    """N1 one-vs-rest associations on the v1 wide table; returns (coefficients, fits)."""
+def _v1_design(wide: DataFrame, outcomes=OUTCOME_RULES) -> DataFrame:
+    """Shared preprocessing of the v1 wide table: z-scored age, 0/1 flags, dummy columns."""
     # outcome flags are BOOLEAN in the declared table; as numbers (R uses them as 0/1) the rules and y work
     base = wide.withColumn("age", F.col("age").cast("double"))
     for o in outcomes:
@@ -39,9 +39,17 @@ def blood_group_associations(wide: DataFrame, formulas=FORMULAS, outcomes=OUTCOM
     df = df.withColumn("abo_rh", F.concat_ws("_", "abo", "rh"))
     df = R.one_hot(df, "ethnicity", ["hs", "other", "missing"], prefix="ethnicity")
     df = R.one_hot(df, "race", ["asian", "black_aa", "other", "missing"], prefix="race")
+    df = R.one_hot(df, "abo", ABO_LEVELS, prefix="abo")
+    df = R.one_hot(df, "rh", RH_LEVELS, prefix="rh")
+    df = R.one_hot(df, "abo_rh", [f"{a}_{r}" for a in ABO_LEVELS for r in RH_LEVELS], prefix="abo_rh")
     for c in C.RISK_FACTORS:
         df = df.withColumn(f"risk_factor_{c}", F.col(f"risk_factor_{c}").cast("double"))
-    df = df.withColumn("male_sex", F.col("male_sex").cast("double"))
+    return df.withColumn("male_sex", F.col("male_sex").cast("double"))
+
+
+def blood_group_associations(wide: DataFrame, formulas=FORMULAS, outcomes=OUTCOME_RULES) -> tuple[DataFrame, DataFrame]:
+    """N1 one-vs-rest associations on the v1 wide table; returns (coefficients, fits)."""
+    df = _v1_design(wide, outcomes)
     # outcome rows (inclusion rule per outcome) and one row per blood-group indicator, in one explode each
     passed = [F.when(F.lit(True) if rule is None else F.expr(rule), F.lit(o)) for o, rule in outcomes.items()]
     df = df.withColumn("outcome", F.explode(F.array_compact(F.array(*passed))))
@@ -71,6 +79,38 @@ def blood_group_associations(wide: DataFrame, formulas=FORMULAS, outcomes=OUTCOM
     return glm.logit_grouped(df.select(*keys, "__y", *terms), keys, "__y", terms)
 
 
+RF = MULTIVARIATE[:-1]
+FIT_FORMULAS = {
+    "null": [],
+    "Risk factors": RF,
+    "ABO": ["abo_A", "abo_B", "abo_AB"],
+    "ABO + Risk factors": RF + ["abo_A", "abo_B", "abo_AB"],
+    "ABO/Rh": ["abo_rh_A_neg", "abo_rh_A_pos", "abo_rh_B_neg", "abo_rh_B_pos", "abo_rh_AB_pos", "abo_rh_O_neg"],
+    "ABO/Rh + Risk factors": RF + ["abo_rh_A_neg", "abo_rh_A_pos", "abo_rh_B_neg", "abo_rh_B_pos", "abo_rh_AB_pos",
+                                   "abo_rh_O_neg"],
+    "Rh(D)": ["rh_neg"],
+    "Rh(D) + Risk factors": RF + ["rh_neg"],
+}
+FIT_COMPARISONS = {
+    "Risk factors vs Null": ("null", "Risk factors"),
+    "ABO + Risk factors vs Risk factors": ("Risk factors", "ABO + Risk factors"),
+    "ABO/Rh + Risk factors vs Risk factors": ("Risk factors", "ABO/Rh + Risk factors"),
+    "Rh(D) + Risk factors vs Risk factors": ("Risk factors", "Rh(D) + Risk factors"),
+}
+
+
+def model_fit_comparisons(wide: DataFrame, formulas=FIT_FORMULAS, comparisons=FIT_COMPARISONS,
+                          outcomes=OUTCOME_RULES) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """N1 analysis of deviance: every (outcome, formula) model in one batched IRLS, then the nested
+    comparisons' test rows (R ``anova(test = 'Chisq')`` filtered to rows with a Df). Returns
+    (deviance tests, coefficients, fits)."""
+    df = _v1_design(wide, outcomes)
+    grid, terms = glm.model_grid(df, {o: (o, rule) for o, rule in outcomes.items()}, formulas)
+    coefs, fits = glm.logit_grouped(grid, ["outcome", "model"], "__y_val", terms)
+    tests = glm.deviance_table(fits, comparisons, keys=["outcome"]).filter(F.col("row") == 2).drop("row")
+    return tests, coefs, fits
+
+
 ABO_V2 = ["O", "A", "AB", "B"]          # O is the reference level
 RACE_V2 = ["white", "missing", "black", "other", "asian"]   # white is the reference level
 RISK_EXPOSURES = {"abo": ["abo_A", "abo_AB", "abo_B"], "rh": ["rh"]}

@@ -15,6 +15,7 @@ DEFAULT_CONF = {
     "spark.ui.enabled": "false",
     "spark.sql.ansi.enabled": "true",
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    "spark.driver.memory": "4g",   # local mode: the driver JVM is the executor (overridable via ``extra``)
 }
 
 

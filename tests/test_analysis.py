@@ -70,3 +70,16 @@ def test_standardised_risk_grid(spark):
     ref = [r for r in out if r.is_reference]
     assert all(r.risk_difference == 0 for r in ref)
     assert all(r.risk is not None and 0 <= r.risk <= 1 for r in out if r.outcome != "prevalence")
+
+
+def test_model_fit_comparisons(wide):
+    tests, coefs, fits = analysis.model_fit_comparisons(wide)
+    t = tests.collect()
+    assert len(t) == 3 * 4 and all(r.df is not None and r.p_value is not None for r in t)
+    f = {(r.outcome, r.model): r for r in fits.collect()}
+    r = [x for x in t if x.outcome == "cov_pos" and x.comparison == "Risk factors vs Null"][0]
+    assert r.deviance == pytest.approx(f[("cov_pos", "null")].deviance - f[("cov_pos", "Risk factors")].deviance)
+    assert r.df == 14
+    # ABO/Rh model: AB_neg and O_pos are not in the formula (reference groups)
+    terms = {x.term for x in coefs.collect() if x.outcome == "cov_pos" and x.model == "ABO/Rh"}
+    assert "abo_rh_AB_neg" not in terms and "abo_rh_O_neg" in terms
