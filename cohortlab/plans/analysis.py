@@ -137,3 +137,39 @@ def standardised_risk_grid(basic: DataFrame, tests: DataFrame, n_boot: int = 100
     comp = {k: v.filter(F.col("status").isNotNull()) for k, v in comp.items()}
     return risk.risk_grid(prevalence, comp, "pat_mrn_id", RISK_EXPOSURES, RISK_STRATA, RISK_REFERENCES,
                           RISK_ADJUSTMENTS, n_boot=n_boot, seed=seed)
+
+
+# Published external site counts used by the meta-analysis (patients, controls per blood group;
+# the Wuhan controls serve both Wuhan hospitals)
+EXTERNAL_SITE_COUNTS = [
+    ("A", "Wuhan Jinyintan", 670, 1188), ("B", "Wuhan Jinyintan", 469, 920),
+    ("AB", "Wuhan Jinyintan", 178, 336), ("O", "Wuhan Jinyintan", 458, 1250),
+    ("A", "Wuhan Renmin", 45, 1188), ("B", "Wuhan Renmin", 25, 920),
+    ("AB", "Wuhan Renmin", 15, 336), ("O", "Wuhan Renmin", 28, 1250),
+    ("A", "Shenzhen", 82, 6728), ("B", "Shenzhen", 83, 5880),
+    ("AB", "Shenzhen", 39, 1712), ("O", "Shenzhen", 81, 9066),
+]
+
+
+def meta_analysis(local_counts: DataFrame, site: str = "local", extra_sites: DataFrame | None = None,
+                  include_external: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """K17/K18 as in the second notebook: per blood group, target vs the other groups at each site,
+    patients vs controls, random-effects pooled across sites. ``local_counts``: blood_group, patients,
+    controls. Returns (studies, pooled, heterogeneity)."""
+    from ..operators import meta
+    spark = local_counts.sparkSession
+    frames = [local_counts.select("blood_group", F.lit(site).alias("site"),
+                                  F.col("patients").cast("double").alias("patients"),
+                                  F.col("controls").cast("double").alias("controls"))]
+    if include_external:
+        frames.append(spark.createDataFrame(EXTERNAL_SITE_COUNTS, "blood_group string, site string, patients long, "
+                                                                  "controls long")
+                      .select("blood_group", "site", F.col("patients").cast("double"), F.col("controls").cast("double")))
+    if extra_sites is not None:
+        frames.append(extra_sites.select("blood_group", "site", F.col("patients").cast("double"),
+                                         F.col("controls").cast("double")))
+    counts = frames[0]
+    for f in frames[1:]:
+        counts = counts.unionByName(f)
+    studies = meta.meta_counts(counts, "site", "blood_group", "patients", "controls")
+    return meta.meta_binary(studies)

@@ -83,3 +83,16 @@ def test_model_fit_comparisons(wide):
     # ABO/Rh model: AB_neg and O_pos are not in the formula (reference groups)
     terms = {x.term for x in coefs.collect() if x.outcome == "cov_pos" and x.model == "ABO/Rh"}
     assert "abo_rh_AB_neg" not in terms and "abo_rh_O_neg" in terms
+
+
+def test_meta_analysis_with_external_sites(spark):
+    local = spark.createDataFrame([("A", 337, 35508), ("B", 187, 16177), ("AB", 36, 4568), ("O", 507, 52232)],
+                                  "blood_group string, patients long, controls long")
+    studies, pooled, het = analysis.meta_analysis(local, site="NYP")
+    s = {(r.target, r.study): r for r in studies.collect()}
+    assert len({st for _t, st in s}) == 4
+    # Shenzhen, group A: patients 82 of 285, controls 6728 of 23386
+    a, b, c, d = 82, 285 - 82, 6728, 23386 - 6728
+    assert s[("A", "Shenzhen")].odds_ratio == pytest.approx((a * d) / (b * c), rel=1e-12)
+    h = {r.target: r for r in het.collect()}
+    assert h["O"].df == 3 and h["O"].k == 4
