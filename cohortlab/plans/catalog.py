@@ -215,7 +215,7 @@ def race_consensus(spark, d):
 @register("demographics", """
 SELECT c_custkey AS person,
   ROUND(datediff('day', CAST(MIN(o_orderdate) AS DATE), DATE '2002-01-01') / 365.0, 6) AS age,
-  CASE WHEN c_mktsegment = 'MACHINERY' THEN 1.0 ELSE 0.0 END AS male,
+  CAST(CASE WHEN c_mktsegment = 'MACHINERY' THEN 1.0 ELSE 0.0 END AS DOUBLE) AS male,
   CASE WHEN r_name = 'AFRICA' THEN 'hs' WHEN r_name IN ('AMERICA', 'ASIA') THEN 'nonhs'
        WHEN r_name = 'EUROPE' THEN 'other' END AS ethnicity
 FROM customer JOIN orders ON c_custkey = o_custkey JOIN nation ON c_nationkey = n_nationkey
@@ -256,9 +256,9 @@ COHORT_SQL = """
              WHERE d.death_date <= c.max_censor_time)
 , outcomes_t AS (SELECT c.person, c.cohort_entry_time, dd.death_date,
       COALESCE(i.intubation_date, c.max_censor_time) AS intubation_censor_time,
-      CASE WHEN i.intubation_date IS NOT NULL THEN 1.0 ELSE 0.0 END AS intubated,
+      CAST(CASE WHEN i.intubation_date IS NOT NULL THEN 1.0 ELSE 0.0 END AS DOUBLE) AS intubated,
       COALESCE(dd.death_date, c.max_censor_time) AS death_censor_time,
-      CASE WHEN dd.death_date IS NOT NULL THEN 1.0 ELSE 0.0 END AS died
+      CAST(CASE WHEN dd.death_date IS NOT NULL THEN 1.0 ELSE 0.0 END AS DOUBLE) AS died
     FROM cmm c LEFT JOIN intub i ON c.person = i.person LEFT JOIN deaths dd ON c.person = dd.person)
 , dnr AS (SELECT user_id AS person, MIN(ts) AS dnr_date FROM events WHERE event_type = 'error'
           AND value >= 200.0 AND user_id IN (SELECT person FROM cohort) GROUP BY user_id)"""
@@ -317,8 +317,8 @@ BASIC_SQL = """
 , race_c AS (SELECT c_custkey AS person, CASE WHEN c_mktsegment = 'AUTOMOBILE' THEN 'white'
      WHEN c_mktsegment = 'BUILDING' THEN 'black' WHEN c_mktsegment IN ('FURNITURE', 'HOUSEHOLD') THEN 'asian'
      ELSE 'other' END AS race FROM customer)
-, basic AS (SELECT k.person, ROUND(c_acctbal / 100.0, 6) AS age, CASE WHEN c_mktsegment = 'MACHINERY' THEN 1.0 ELSE 0.0 END AS male,
-     rc.race, CASE WHEN c_nationkey < 5 THEN 1.0 ELSE 0.0 END AS hispanic, ct.abo, ct.rh,
+, basic AS (SELECT k.person, ROUND(c_acctbal / 100.0, 6) AS age, CAST(CASE WHEN c_mktsegment = 'MACHINERY' THEN 1.0 ELSE 0.0 END AS DOUBLE) AS male,
+     rc.race, CAST(CASE WHEN c_nationkey < 5 THEN 1.0 ELSE 0.0 END AS DOUBLE) AS hispanic, ct.abo, ct.rh,
      o.cohort_entry_time, o.intubation_censor_time, o.intubated, dn.dnr_date, o.death_censor_time, o.died
    FROM cohort k JOIN customer ON k.person = c_custkey JOIN race_c rc ON k.person = rc.person
    JOIN consistent ct ON k.person = ct.person LEFT JOIN outcomes_t o ON k.person = o.person
@@ -787,7 +787,7 @@ def meta_regions(spark, d):
 
 @register("share_rest_segment", with_ctes(["ctested"], """
 , c AS (SELECT c_mktsegment, CAST(SUM(cov_pos) AS BIGINT) AS n FROM ctested GROUP BY c_mktsegment)
-SELECT c_mktsegment, n, ROUND(n / SUM(n) OVER (), 6) AS n_share, SUM(n) OVER () - n AS n_rest,
+SELECT c_mktsegment, n, ROUND(n / SUM(n) OVER (), 6) AS n_share, CAST(SUM(n) OVER () - n AS BIGINT) AS n_rest,
        ROUND(n / MAX(n) OVER (), 6) AS n_of_max FROM c"""))
 def share_rest_segment(spark, d):
     """Share of total, total minus own, share of maximum."""
@@ -817,8 +817,9 @@ def histogram_event_value(spark, d):
 
 
 @register("widen_status_by_segment", """
-SELECT c_mktsegment, SUM(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS F,
-  SUM(CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END) AS O, SUM(CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END) AS P
+SELECT c_mktsegment, CAST(SUM(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS F,
+  CAST(SUM(CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END) AS BIGINT) AS O,
+  CAST(SUM(CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END) AS BIGINT) AS P
 FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment""")
 def widen_status_by_segment(spark, d):
     """Long -> wide pivot with declared levels and zero fill."""
@@ -839,8 +840,8 @@ def lengthen_customer_numbers(spark, d):
 
 
 @register("one_hot_and_dummy", """
-SELECT c_custkey, """ + ", ".join(f"CASE WHEN c_mktsegment = '{s}' THEN 1.0 ELSE 0.0 END AS seg_{s}" for s in SEGMENTS)
-          + ", " + ", ".join(f"CASE WHEN o_orderstatus = '{s}' THEN 1.0 ELSE 0.0 END AS status_{s}" for s in ["O", "P"]) + """
+SELECT c_custkey, """ + ", ".join(f"CAST(CASE WHEN c_mktsegment = '{s}' THEN 1.0 ELSE 0.0 END AS DOUBLE) AS seg_{s}" for s in SEGMENTS)
+          + ", " + ", ".join(f"CAST(CASE WHEN o_orderstatus = '{s}' THEN 1.0 ELSE 0.0 END AS DOUBLE) AS status_{s}" for s in ["O", "P"]) + """
 FROM customer JOIN (SELECT o_custkey, o_orderstatus FROM orders WHERE o_orderkey IN
    (SELECT MIN(o_orderkey) FROM orders GROUP BY o_custkey)) o ON c_custkey = o_custkey""")
 def one_hot_and_dummy(spark, d):

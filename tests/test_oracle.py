@@ -33,6 +33,7 @@ def test_query_matches_oracle(spark, duck, name):
     sdf = E.queries()[name](spark, SF)
     rel = duck.sql(E.oracle_sql()[name])
     assert sorted(sdf.columns) == sorted(rel.columns)
+    assert oracle_check.type_diffs(sdf.dtypes, rel.columns, rel.types) == []
     a = oracle_check.canon(sdf.columns, [tuple(r) for r in sdf.collect()])
     b = oracle_check.canon(rel.columns, rel.fetchall())
     assert a == b
