@@ -1,6 +1,7 @@
 """Benchmark the headline queries: ONE JSON line on stdout.
 
-env: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8), BENCH_QUERIES (comma list, optional)
+env: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8), BENCH_QUERIES (comma list, optional),
+     BENCH_EVENT_LOG_DIR (optional: write Spark's event log there for stage/task timings; no UI is started)
 Each query is fully executed with the ``noop`` sink (no driver collect) and timed wall-clock.
 """
 from __future__ import annotations
@@ -30,8 +31,10 @@ def main() -> None:
     from cohortlab.session import get_spark
     from cohortlab.plans import catalog
 
-    spark = get_spark(f"local[{cpus}]", cpus, app="cohortlab-bench",
-                      extra={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEM", "16g")})
+    extra = {"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEM", "16g")}
+    if os.environ.get("BENCH_EVENT_LOG_DIR"):
+        extra.update({"spark.eventLog.enabled": "true", "spark.eventLog.dir": os.environ["BENCH_EVENT_LOG_DIR"]})
+    spark = get_spark(f"local[{cpus}]", cpus, app="cohortlab-bench", extra=extra)
     qs = catalog.queries()
     # warm-up: JVM, parquet footer cache, codegen
     spark.read.parquet(os.path.join(sf_dir, "customer.parquet")).write.format("noop").mode("overwrite").save()
