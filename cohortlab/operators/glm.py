@@ -103,8 +103,8 @@ def logit_grouped(df: DataFrame, keys: Sequence[str], y: str, xs: Sequence[str],
     if persist:
         # re-read by every IRLS iteration: reliable checkpoint cuts the lineage (short plans per
         # iteration, recomputation-free after executor loss)
-        from ..session import cut_lineage
-        pat = cut_lineage(pat)
+        from ..session import cut_lineage, reread_partitions
+        pat = cut_lineage(pat, reread_partitions(spark))
     p = len(xs) + 1
     terms = [INTERCEPT] + xs
 

@@ -101,20 +101,21 @@ def fine_gray(df: DataFrame, keys: Sequence[str], time: str, status: str, xs: Se
              baseline[keys, time, cum_hazard], fits[keys, loglik, iterations, converged, n_events]).
     """
     from ..functions import dist
-    from ..session import cut_lineage
+    from ..session import cut_lineage, reread_partitions
     keys = list(keys)
     xs = list(xs)
     p = len(xs)
     spark = df.sparkSession
     # compressed patterns are re-read by every Newton step: cut the lineage (reliable checkpoint into the
     # shared checkpoint dir) so each step analyses a short plan and survives executor loss
-    comp = cut_lineage(_compress(df, keys, time, status, xs, weight))
+    nparts = reread_partitions(spark)
+    comp = cut_lineage(_compress(df, keys, time, status, xs, weight), nparts)
     if rows_per_bucket is None:
         # distinct times of the largest key decide whether one task per key is enough (on the compressed rows)
         per_key = comp.groupBy(*keys).agg(F.count_distinct("time").alias("__t"))
         largest = per_key.agg(F.max("__t")).collect()[0][0] or 0
         rows_per_bucket = SINGLE_TASK_TIMES // 4 if largest > SINGLE_TASK_TIMES else None
-    pat = cut_lineage(_with_censoring(comp, keys, rows_per_bucket))
+    pat = cut_lineage(_with_censoring(comp, keys, rows_per_bucket), nparts)
     key_types = dict(pat.dtypes)
     key_ddl = ", ".join(f"`{k}` {key_types[k]}" for k in keys)
     bddl = ", ".join(([key_ddl] if key_ddl else []) + [f"__b_{i} double" for i in range(p)])

@@ -13,7 +13,7 @@ from ..functions import expr as X
 from ..operators import agg as A
 from ..operators import contingency as K
 from ..operators import glm, meta, relational as rel, reshape as R, resample, survival
-from ..session import cut_lineage
+from ..session import cut_lineage, reread_partitions
 from ..sources import io
 from . import driver as D
 from .driver import SEGMENTS, table, with_ctes
@@ -922,7 +922,7 @@ def _grid_inputs(spark, d):
         return out.withColumn("rh_neg", (F.col("rh") == "neg").cast("double"))
     prev = prevalence_flags(spark, d).select("person", F.col("initial_pos").cast("double").alias("initial_cov_pos"))
     # the time-to-event table feeds three model families: materialise it once (reliable checkpoint)
-    basic = cut_lineage(basic_table(spark, d))
+    basic = cut_lineage(basic_table(spark, d), reread_partitions(spark))
     prevalence = dummies(basic).join(prev, "person")
     comp = {k: dummies(competing_records(spark, d, k, basic)) for k in ("intubation", "death")}
     return prevalence, comp

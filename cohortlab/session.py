@@ -45,12 +45,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint dir (survives executor loss)."""
+def cut_lineage(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Reliable checkpoint into the shared checkpoint dir (survives executor loss).
+
+    A checkpoint keeps the partitioning it was written with; AQE may have coalesced a small upstream
+    shuffle to one partition, which would make every later pass over a re-read frame a single task.
+    ``partitions`` (e.g. :func:`reread_partitions`) spreads the rows round-robin once before writing.
+    """
     ensure_checkpoint_dir(df.sparkSession)
+    if partitions:
+        df = df.repartition(int(partitions))
     return df.checkpoint(eager=True)
 
 
+def reread_partitions(spark: SparkSession) -> int:
+    """Partition count for frames re-read by every iteration: the cluster's default parallelism."""
+    return max(1, spark.sparkContext.defaultParallelism)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, "tables", name)
