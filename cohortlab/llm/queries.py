@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ensure_checkpoint_dir
-from . import bpe, quality, secrets, tokens
+from . import bpe, quality, secrets, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,8 +32,15 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_files(_table(spark, sf_dir, "documents"), P.path("word_bpe_49k.json"), end_id=2)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.filter(~toxicity.held_out()))
+    return toxicity.toxicity_scores(docs, model).withColumn("held_out", toxicity.held_out())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_byte_bpe, op6_secret_scan, op7_quality_rules, op8_token_files)}
+    return {f.__name__: f for f in (
+        op3_byte_bpe, op6_secret_scan, op7_quality_rules, op8_token_files, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
