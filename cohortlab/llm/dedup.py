@@ -86,7 +86,7 @@ def signatures(keys: np.ndarray, at: np.ndarray, p: Params) -> np.ndarray:
     out = np.zeros((n, p.bands), np.uint64)
     c = stream(43, p.rows_per_band) | np.uint64(1)
     for b in range(p.bands):    # columns b, b + bands, ...: never both ends of one permutation
-        acc = np.full(n, np.uint64(b + 1) * np.uint64(0x9E3779B97F4A7C15), np.uint64)
+        acc = np.full(n, (b + 1) * 0x9E3779B97F4A7C15 % (1 << 64), np.uint64)
         for r in range(p.rows_per_band):
             acc = mix(acc + values[:, b + r * p.bands] * c[r])
         out[:, b] = acc
