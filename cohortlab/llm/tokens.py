@@ -35,13 +35,51 @@ TOKENS = "doc_id long, n_tokens long, ids array<int>"
 
 
 class PieceTable:
-    """Ids (little-endian int32 bytes) of blank-separated pieces, encoded by the library when first met."""
+    """Ids (little-endian int32 bytes) of blank-separated pieces, encoded by the library when first met.
+
+    Most pieces are a word of letters with punctuation behind it, which the pattern splits there. New words
+    are encoded in one call, blank-separated; the tokens that end a word tell where each word's ids end.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        ends = [i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]
+        self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends_word[ends] = True
         self.ids: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    def _alone(self, pieces: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<i4").tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def _learn_words(self, words: list[str]) -> None:
+        for lo in range(0, len(words), 2048):
+            some = words[lo:lo + 2048]
+            flat = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<i4")
+            stops = np.flatnonzero(self.ends_word[flat]) + 1
+            if len(stops) == len(some) and stops[-1] == len(flat):
+                raw, at = flat.tobytes(), (4 * stops).tolist()
+                self.words.update(zip(some, [raw[a:b] for a, b in zip([0, *at], at)]))
+            else:       # a vocabulary without word ends
+                self.words.update(zip(some, self._alone(some)))
+
+    def _learn(self, new: list[str]) -> None:
+        split, rest = [], []
+        for p in new:
+            core = p.rstrip(".,;:!?#$%&*")
+            if core.isalpha() and "\u03a3" not in core:     # the library has no final form of sigma, str.lower() has
+                split.append((p, core.lower(), p[len(core):]))
+            else:
+                rest.append(p)
+        if len(self.words) + len(split) > CACHE_ENTRIES:
+            self.words.clear()
+        self._learn_words(list({w for _, w, _ in split} - self.words.keys()))
+        tails = list({t for _, _, t in split})
+        tail = dict(zip(tails, self._alone(tails)))
+        self.ids.update([(p, self.words[w] + tail[t]) for p, w, t in split])
+        self.ids.update(zip(rest, self._alone(rest)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
@@ -49,11 +87,7 @@ class PieceTable:
         if len(self.ids) + len(new) > CACHE_ENTRIES:
             self.ids.clear()
             new = set().union(*split)
-        todo = list(new)
-        for lo in range(0, len(todo), 4096):
-            some = todo[lo:lo + 4096]
-            self.ids.update(zip(some, [np.array(e.ids, "<i4").tobytes()
-                                       for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]))
+        self._learn(list(new))
         return [b"".join(map(self.ids.__getitem__, s)) for s in split]
 
 
