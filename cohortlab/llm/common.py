@@ -118,16 +118,20 @@ class Rolling:
         out[0] = 1
         return np.multiply.accumulate(out)
 
-    def prefix(self, data: np.ndarray) -> np.ndarray:
-        n = len(data)
+    def _reach(self, n: int) -> None:
         if len(self.up) <= n:
             size = 1 << max(16, int(n + 1).bit_length())
             self.up, self.down = self._powers(self.base, size), self._powers(self.inverse, size)
+
+    def prefix(self, data: np.ndarray) -> np.ndarray:
+        n = len(data)
+        self._reach(n)
         out = np.zeros(n + 1, np.uint64)
         np.cumsum(self.table[data] * self.up[:n], out=out[1:])
         return out
 
     def spans(self, prefix: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        self._reach(len(prefix))
         return mix((prefix[hi] - prefix[lo]) * self.down[lo] + (hi - lo).astype(np.uint64))
 
 

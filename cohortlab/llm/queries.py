@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ensure_checkpoint_dir
-from . import bpe, decontaminate, dedup, licenses, quality, secrets, tokens, toxicity
+from . import bpe, decontaminate, dedup, licenses, quality, secrets, substring, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,6 +14,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -52,7 +56,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op2_decontaminate, op3_byte_bpe, op4_minhash_dedup, op5_license_scan, op6_secret_scan, op7_quality_rules, op8_token_files, op10_toxicity)}
+        op1_substring_dedup, op2_decontaminate, op3_byte_bpe, op4_minhash_dedup, op5_license_scan, op6_secret_scan, op7_quality_rules, op8_token_files, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
