@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ensure_checkpoint_dir
-from . import bpe, decontaminate, dedup, licenses, quality, secrets, substring, tokens, toxicity
+from . import bpe, decontaminate, dedup, language, licenses, quality, secrets, substring, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,12 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_files(_table(spark, sf_dir, "documents"), P.path("word_bpe_49k.json"), end_id=2)
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = language.fit(docs.filter(~language.held_out()))
+    return language.languages(docs, model).withColumn("held_out", language.held_out())
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels.filter(~toxicity.held_out()))
@@ -56,7 +62,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_substring_dedup, op2_decontaminate, op3_byte_bpe, op4_minhash_dedup, op5_license_scan, op6_secret_scan, op7_quality_rules, op8_token_files, op10_toxicity)}
+        op1_substring_dedup, op2_decontaminate, op3_byte_bpe, op4_minhash_dedup, op5_license_scan, op6_secret_scan, op7_quality_rules, op8_token_files, op9_language_id, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
