@@ -72,10 +72,12 @@ class TreeBPE:
         self.ranks, self.find, self.find_latin = ranks, regex.compile(pattern), latin_pattern(pattern)
         self.token = {v: k for k, v in ranks.items()}
         self.digits = {v: b"%d" % v for v in self.token}
+        self.raw = {v: v.to_bytes(4, "little") for v in self.token}
         self.stable: dict[tuple[int, int], bool] = {}
         self.memo: dict[bytes, tuple[int, ...]] = {}
         self.piece_ids: dict[str, bytes] = {}       # match -> its ids in decimal
         self.piece_bytes: dict[str, bytes] = {}     # match -> what those ids decode to
+        self.piece_raw: dict[str, bytes] = {}       # match -> its ids as little-endian int32
         pairs = sorted((ranks[k[:i]] << 32 | ranks[k[i:]], r) for k, r in ranks.items()
                        for i in range(1, len(k)) if k[:i] in ranks and k[i:] in ranks)
         self.pair_keys = np.array([k for k, _ in pairs], np.int64)
@@ -188,18 +190,19 @@ class TreeBPE:
 
     def learn(self, pieces: list[str]) -> None:
         """Encode and decode matches not seen yet: all leaves at once, then the joins of the longer ones."""
-        raw = [p.encode() for p in pieces]
-        leaves = list({x for b in raw if b not in self.ranks for x in self._leaves(b)} - self.ranks.keys() - self.memo.keys())
+        encoded, raw = [p.encode() for p in pieces], self.raw
+        leaves = list({x for b in encoded if b not in self.ranks for x in self._leaves(b)} - self.ranks.keys() - self.memo.keys())
         if len(self.memo) + len(leaves) > MEMO_ENTRIES:
             self.memo.clear()
-            leaves = list({x for b in raw if b not in self.ranks for x in self._leaves(b)} - self.ranks.keys())
+            leaves = list({x for b in encoded if b not in self.ranks for x in self._leaves(b)} - self.ranks.keys())
         if leaves:
             self.memo.update(zip(leaves, self._merge_many(leaves)))
         digits, token = self.digits, self.token
-        for p, b in zip(pieces, raw):
+        for p, b in zip(pieces, encoded):
             ids = self.encode_bytes(b)
             self.piece_ids[p] = b" ".join([digits[i] for i in ids])
             self.piece_bytes[p] = b"".join([token[i] for i in ids])
+            self.piece_raw[p] = b"".join([raw[i] for i in ids])
 
     def _pair_stable(self, a: int, b: int) -> bool:
         ok = self.stable.get((a, b))
@@ -279,13 +282,14 @@ class TreeBPE:
     def decode(self, ids) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
 
-    def digests(self, texts: list[str]) -> list[tuple[int, str, str, bool]]:
-        """Of each text: number of ids, sha256 of the ids, sha256 of what they decode to, whether that is the text."""
+    def digests(self, texts: list[str]) -> list[tuple[int, str, str, bool, bytes]]:
+        """Of each text: number of ids, sha256 of the ids, sha256 of what they decode to, whether that is the text, the ids."""
         split = [self.split(t) for t in texts]
         new = set().union(*split) - self.piece_ids.keys()
         if len(self.piece_ids) + len(new) > MEMO_ENTRIES:
             self.piece_ids.clear()
             self.piece_bytes.clear()
+            self.piece_raw.clear()
             new = set().union(*split)
         self.learn(list(new))
         out = []
@@ -293,7 +297,8 @@ class TreeBPE:
             ids = b" ".join(map(self.piece_ids.__getitem__, pieces))
             decoded = b"".join(map(self.piece_bytes.__getitem__, pieces))
             out.append((ids.count(b" ") + 1 if pieces else 0, hashlib.sha256(ids).hexdigest(),
-                        hashlib.sha256(decoded).hexdigest(), decoded == text.encode()))
+                        hashlib.sha256(decoded).hexdigest(), decoded == text.encode(),
+                        b"".join(map(self.piece_raw.__getitem__, pieces))))
         return out
 
 
@@ -335,8 +340,9 @@ def bpe_decode(tokens: DataFrame, rank_file: str, pattern: str, id_col: str = "d
         run, "doc_id long, decoded binary")
 
 
-def bpe_digests(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode and decode in one pass, keeping counts and digests only."""
+def bpe_digests(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
+                with_ids: bool = False) -> DataFrame:
+    """Encode and decode in one pass: counts, digests and, if asked for, the ids."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -344,7 +350,11 @@ def bpe_digests(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "do
         for batch in batches:
             for lo in range(0, batch.num_rows, DOCS_AT_ONCE):
                 part = batch.slice(lo, DOCS_AT_ONCE)
-                rows = bpe.digests(part.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, t) for c, t in zip(
-                    zip(*rows), (pa.int64(), pa.string(), pa.string(), pa.bool_())))], names=[f.split()[0] for f in SCHEMA.split(", ")])
-    return text_column(docs, id_col, text_col).mapInArrow(run, SCHEMA)
+                n, ids_sha, decoded_sha, same, raw = zip(*bpe.digests(part.column("text").to_pylist()))
+                columns = [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(decoded_sha), pa.array(same)]
+                if with_ids:
+                    offsets = pa.array(np.cumsum((0, *n)), pa.int32())
+                    columns.append(pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(raw), "<i4"))))
+                yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in schema.split(", ")])
+    schema = SCHEMA + (", ids array<int>" if with_ids else "")
+    return text_column(docs, id_col, text_col).mapInArrow(run, schema)

@@ -5,7 +5,7 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -196,5 +196,12 @@ def per_row(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return c[offsets[1:]] - c[offsets[:-1]]
 
 
-def hex_digest(df: DataFrame, column: str) -> DataFrame:
-    return df.withColumn(column, F.sha2(F.col(column), 256))
+def filter_rows(docs: DataFrame, keep: Callable[[pa.Array], np.ndarray], text_col: str = "text") -> DataFrame:
+    """Rows, with all their columns, for which ``keep`` says True on the text column. A narrow pass."""
+    ship(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text_col):
+                yield part.filter(pa.array(keep(part.column(text_col)), pa.bool_()))
+    return docs.mapInArrow(run, docs.schema)

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, flat, mix, ngrams, row_ranges, runs, ship, slices, stream, text_column
+from .common import Rolling, filter_rows, flat, mix, ngrams, row_ranges, runs, ship, slices, stream, text_column
 
 SCHEMA = "doc_id long, item_id long, distance int, item_words int, similarity double, start_word long, end_word long"
 SLICE = 3 << 20
@@ -233,20 +234,42 @@ def _search(index: Index):
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, params: Params = Params(), id_col: str = "doc_id",
-                 text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """One row per (document, item) that match: least distance, similarity and place in words."""
-    spark = docs.sparkSession
-    ship(spark)
-    src = text_column(docs, id_col, text_col)
+def indexes(benchmark: DataFrame, params: Params, item_col: str, item_text: str) -> Iterator[Index]:
+    """The items in blocks of about ``block_words`` words, each small enough for the driver and a task."""
     items = text_column(benchmark, item_col, item_text).filter("doc_id is not null and text <> ''")
     size = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
     blocks = max(1, -(-size // params.block_words))
-    out = spark.createDataFrame([], SCHEMA)
     for b in range(blocks):
-        rows = items.filter(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)) == b).orderBy("doc_id", "text").collect()   # about block_words words
+        rows = items.filter(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)) == b).orderBy("doc_id", "text").collect()
         words, lo, hi = words_of(pa.array([r["text"] for r in rows], pa.string()))
         some = [(r["doc_id"], words[x:y]) for r, x, y in zip(rows, lo, hi) if y > x]
         if some:
-            out = out.union(src.mapInArrow(_search(Index([i for i, _ in some], [w for _, w in some], params)), SCHEMA))
+            yield Index([i for i, _ in some], [w for _, w in some], params)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, params: Params = Params(), id_col: str = "doc_id",
+                 text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """One row per (document, item) that match: least distance, similarity and place in words."""
+    spark = docs.sparkSession
+    ship(spark)
+    src = text_column(docs, id_col, text_col)
+    out = spark.createDataFrame([], SCHEMA)
+    for index in indexes(benchmark, params, item_col, item_text):
+        out = out.union(src.mapInArrow(_search(index), SCHEMA))
     return out
+
+
+def _free(index: Index, column: pa.Array) -> np.ndarray:
+    words, lo, hi = words_of(column)
+    keep = np.ones(len(column), bool)
+    if len(words):
+        keep[[r for r, *_ in index.search(words, lo, hi)]] = False
+    return keep
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, params: Params = Params(), text_col: str = "text",
+                      item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The documents, with all their columns, that hold no item."""
+    for index in indexes(benchmark, params, item_col, item_text):
+        docs = filter_rows(docs, partial(_free, index), text_col)
+    return docs

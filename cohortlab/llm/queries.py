@@ -60,9 +60,15 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(docs, model).withColumn("held_out", toxicity.held_out())
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+    ensure_checkpoint_dir(spark)
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_substring_dedup, op2_decontaminate, op3_byte_bpe, op4_minhash_dedup, op5_license_scan, op6_secret_scan, op7_quality_rules, op8_token_files, op9_language_id, op10_toxicity)}
+        op1_substring_dedup, op2_decontaminate, op3_byte_bpe, op4_minhash_dedup, op5_license_scan, op6_secret_scan, op7_quality_rules, op8_token_files, op9_language_id, op10_toxicity, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_saved, flat, row_ranges, runs, saved, ship, slices, text_column
+from .common import drop_saved, filter_rows, flat, runs, saved, ship, slices, text_column
 
 # Word classes the grammar starts from (English, German, French, Spanish); the labels add insults and stems.
 INSULTS = """idiot idiots stupid moron morons loser losers scum trash clown pathetic disgusting worthless imbecile
@@ -217,25 +217,28 @@ def _events(model: Model):
     return run
 
 
+def score_texts(model: Model, machine: dict, heads: np.ndarray, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text: score, number of events, of matched clauses, worth of the worst clause."""
+    weights, index = np.array([model.weights[e] for e in EVENTS]), {e: i for i, e in enumerate(EVENTS)}
+    n = len(column)
+    counts, clauses, most = np.zeros((n, len(EVENTS))), np.zeros(n, np.int64), np.zeros(n)
+    for row, events in scan(model, machine, heads, column):
+        clauses[row] += 1
+        most[row] = max(most[row], model.worth(events))
+        for e in events:
+            counts[row, index[e]] += 1
+    return 1 / (1 + np.exp(-(model.bias + np.log1p(counts) @ weights))), counts.sum(1).astype(np.int64), clauses, most
+
+
 def _score(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine, heads = grammar(), _heads(model)
-        weights = np.array([model.weights[e] for e in EVENTS])
-        index = {e: i for i, e in enumerate(EVENTS)}
         for batch in batches:
             for part in slices(batch):
-                n = part.num_rows
-                counts, clauses, most = np.zeros((n, len(EVENTS))), np.zeros(n, np.int64), np.zeros(n)
-                for row, events in scan(model, machine, heads, part.column("text")):
-                    clauses[row] += 1
-                    most[row] = max(most[row], model.worth(events))
-                    for e in events:
-                        counts[row, index[e]] += 1
-                score = 1 / (1 + np.exp(-(model.bias + np.log1p(counts) @ weights)))
+                score, events, clauses, most = score_texts(model, machine, heads, part.column("text"))
                 yield pa.RecordBatch.from_arrays([
-                    part.column("doc_id"), pa.array(score), pa.array((score >= 0.5).astype(np.int32)),
-                    pa.array(counts.sum(1).astype(np.int64)), pa.array(clauses), pa.array(most)],
-                    names=[f.split()[0] for f in SCHEMA.split(", ")])
+                    part.column("doc_id"), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(events),
+                    pa.array(clauses), pa.array(most)], names=[f.split()[0] for f in SCHEMA.split(", ")])
     return run
 
 
@@ -322,5 +325,11 @@ def toxicity_scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
     return text_column(docs, id_col, text_col).mapInArrow(_score(model), SCHEMA)
 
 
+def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The documents, with all their columns, that are not predicted toxic."""
+    machine, heads = grammar(), _heads(model)
+    return filter_rows(docs, lambda column: score_texts(model, machine, heads, column)[0] < 0.5, text_col)
+
+
 def held_out():
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
