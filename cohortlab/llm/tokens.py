@@ -69,8 +69,10 @@ class PieceTable:
         split, rest = [], []
         for p in new:
             core = p.rstrip(".,;:!?#$%&*")
-            if core.isalpha() and "\u03a3" not in core:     # the library has no final form of sigma, str.lower() has
-                split.append((p, core.lower(), p[len(core):]))
+            low = core.lower()
+            # the library has no final form of sigma, str.lower() has; some letters turn into a letter and a mark
+            if core.isalpha() and low.isalpha() and "\u03a3" not in core:
+                split.append((p, low, p[len(core):]))
             else:
                 rest.append(p)
         if len(self.words) + len(split) > CACHE_ENTRIES:
