@@ -48,7 +48,7 @@ QUOTES = '"“”«»„'
 PRIOR = {"I": 2.5, "I+": 3.0, "I-": 1.0, "I+-": 1.2, "I~": 1.0, "I+~": 1.2, "I-~": 0.3, "I+-~": 0.4, "D": 0.3,
          "T": 0.2, "T+": 2.5, "T-": 0.0, "T+-": 0.5, "T~": 0.0, "T+~": 0.8, "T-~": 0.0, "T+-~": 0.2}
 EVENTS = tuple(PRIOR)
-PRIOR_BIAS, PRIOR_SPREAD = -2.5, 1.5
+PRIOR_BIAS, PRIOR_SPREAD = -1.5, 1.5
 
 NEGATION_REACH, TARGET_REACH, AFTER_REACH = 3, 4, 3     # words
 STEM_LENGTHS = (4, 5, 6)
@@ -259,8 +259,9 @@ def learn_lexicon(rows: DataFrame, max_entries: int = 4096, least: int = 5, log_
     if not pos or not neg:
         return []
     words = rows.select("doc_id", "label", _words(F.col("text")).alias("w"))
-    toxic = (words.filter("label = 1").select("doc_id", "w", F.posexplode("w").alias("i", "x"))
-             .select("doc_id", F.when(F.col("i") > 0, F.get("w", F.col("i") - 1)).alias("p"), F.explode(_word_keys(F.col("x"))).alias("k"))
+    pairs = F.arrays_zip(F.col("w").alias("x"), F.concat(F.array(F.lit(None).cast("string")), "w").alias("p"))
+    toxic = (words.filter("label = 1").select("doc_id", F.explode(F.filter(pairs, lambda y: y["x"].isNotNull())).alias("y"))
+             .select("doc_id", F.col("y.p").alias("p"), F.explode(_word_keys(F.col("y.x"))).alias("k"))
              .filter(F.octet_length("k") >= MIN_BYTES + F.when(F.endswith("k", F.lit("*")), 1).otherwise(0))
              .groupBy("k").agg(F.countDistinct("doc_id").alias("a"), F.countDistinct("p").alias("v"))
              .filter(F.col("v") >= F.greatest(F.lit(least), 0.3 * F.col("a"))).filter(F.col("a") >= least)
@@ -293,7 +294,7 @@ def _fit_weights(counts: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-        sample_rows: int = 20_000) -> Model:
+        sample_rows: int = 10_000) -> Model:
     """Fit on about ``sample_rows`` labelled rows at most (chosen by a hash of the id; all if there are fewer)."""
     ship(docs.sparkSession)
     known = (labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
