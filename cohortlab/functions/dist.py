@@ -99,27 +99,22 @@ def chi2_sf(x, df) -> Column:
     df = _c(df).cast("int")
     y = x / 2.0
     half = df % 2 == 1
-    # even: e^-y * sum_{j=0}^{df/2-1} y^j / j!
-    even = F.aggregate(
-        F.sequence(F.lit(1), F.greatest(df / 2, F.lit(1)).cast("int")),
-        F.struct(F.lit(1.0).alias("t"), F.lit(0.0).alias("s")),
-        lambda a, j: F.struct((a["t"] * y / j).alias("t"), (a["s"] + a["t"]).alias("s")),
-        lambda a: a["s"] * F.exp(-y),
-    )
-    # odd: erfc(sqrt y) + e^-y * sum_{j=0}^{(df-1)/2-1} y^(j+1/2) / Gamma(j+3/2)
-    t0 = F.sqrt(y) / F.lit(math.gamma(1.5))
-    odd_sum = F.aggregate(
-        F.sequence(F.lit(0), F.greatest((df - 1) / 2, F.lit(0)).cast("int")),
-        F.struct(t0.alias("t"), F.lit(0.0).alias("s"), F.lit(0).alias("n")),
-        lambda a, j: F.struct(
-            (a["t"] * y / (j + 1.5)).alias("t"),
-            F.when(j < (df - 1) / 2, a["s"] + a["t"]).otherwise(a["s"]).alias("s"),
-            (a["n"] + 1).alias("n"),
-        ),
-        lambda a: a["s"],
-    )
-    odd = erfc(F.sqrt(y)) + F.exp(-y) * odd_sum
-    res = F.when(half, odd).otherwise(even)
+    ly = F.log(F.greatest(y, F.lit(1e-300)))
+
+    # terms as logarithms: t = log(y^(j + c) e^-y / Gamma(j + c + 1)) neither overflows nor vanishes early
+    def series(first, count, shift):
+        return F.aggregate(
+            F.sequence(F.lit(1), F.greatest(count, F.lit(1)).cast("int")),
+            F.struct(first.alias("t"), F.lit(0.0).alias("s")),
+            lambda a, j: F.struct((a["t"] + ly - F.log(j + shift)).alias("t"),
+                                  F.when(j <= count, a["s"] + F.exp(a["t"])).otherwise(a["s"]).alias("s")),
+            lambda a: a["s"])
+
+    # even: sum_{j=0}^{df/2-1} y^j e^-y / j!
+    even = series(-y, df / 2, F.lit(0.0))
+    # odd: erfc(sqrt y) + sum_{j=0}^{(df-1)/2-1} y^(j+1/2) e^-y / Gamma(j+3/2)
+    odd = erfc(F.sqrt(y)) + series(-y + 0.5 * ly - F.lit(math.log(math.gamma(1.5))), (df - 1) / 2, F.lit(0.5))
+    res = F.least(F.lit(1.0), F.when(half, odd).otherwise(even))
     return F.when(x.isNull() | df.isNull() | F.isnan(x), F.lit(None).cast("double")) \
         .when(x <= 0, F.lit(1.0)).otherwise(res)
 

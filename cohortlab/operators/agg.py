@@ -63,7 +63,7 @@ def grouped_levels(df: DataFrame, families: Mapping[str, Sequence[str]], aggs: S
         cond = F.lit(True)
         for c in all_cols:
             cond = cond & (F.col(f"__g_{c}") == (0 if c in cs else 1))
-        lab = F.concat_ws(sep, *[F.col(c).cast("string") for c in cs])
+        lab = F.concat(*[F.lit(sep) if i % 2 else F.col(cs[i // 2]).cast("string") for i in range(2 * len(cs) - 1)])
         fam_expr = F.when(cond, F.lit(name)) if fam_expr is None else fam_expr.when(cond, F.lit(name))
         grp_expr = F.when(cond, lab) if grp_expr is None else grp_expr.when(cond, lab)
     if total is not None:
@@ -200,6 +200,11 @@ def partition_counts(df: DataFrame, by: Sequence[str], distinct_of: str | None =
     return join_small(df, tot, list(by))
 
 
+def partition_summary(df: DataFrame, by: Sequence[str], **aggs: Column) -> DataFrame:
+    """Several partition aggregates kept on each row: one aggregate, one join back."""
+    return join_small(df, df.groupBy(*by).agg(*[v.alias(k) for k, v in aggs.items()]), list(by))
+
+
 def since_first(df: DataFrame, key: str, ts: str, unit_hours: bool = True, out: str = "since_first") -> DataFrame:
     """Time since the first row of the partition (hours)."""
     first = df.groupBy(key).agg(F.min(ts).alias("__first"))
@@ -214,6 +219,37 @@ def share_of_max(df: DataFrame, c: str, out: str | None = None) -> DataFrame:
     return df.crossJoin(F.broadcast(mx)).withColumn(out or f"{c}_of_max", F.col(c) / F.col("__mx")).drop("__mx")
 
 
+# ---------------------------------------------------------------- order statistics
+
+def quantiles(df: DataFrame, by: Sequence[str], cols: Sequence[str], probs: Mapping[str, float],
+              rows_per_bucket: int = 500_000) -> DataFrame:
+    """Exact quantiles (linear interpolation) as order statistics, long: by, name, statistic, value, n.
+
+    Values are counted with map-side combining and ranked by two-level running sums, so no task holds a group's
+    rows; NULLs are left out, NaN is the largest value.
+    """
+    by = list(by)
+    long = df.unpivot(by, list(cols), "name", "__v") if by else df.unpivot([], list(cols), "name", "__v")
+    long = long.withColumn("__v", F.col("__v").cast("double")).filter(F.col("__v").isNotNull())
+    key = [*by, "name"]
+    counts = long.groupBy(*key, "__v").agg(F.count(F.lit(1)).cast("double").alias("__n"))
+    ranked = running_sums(counts, key, "__v", ["__n"], rows_per_bucket=rows_per_bucket, prefix="__c")
+    total = counts.groupBy(*key).agg(F.sum("__n").alias("__t"))
+    rows = ranked.join(total, key)
+    aggs = []
+    for name, p in probs.items():
+        rank = (F.col("__t") - 1) * F.lit(float(p))
+        for side, r in (("lo", F.floor(rank)), ("hi", F.ceil(rank))):
+            aggs.append(F.min(F.when(F.col("__c__n") > r, F.col("__v"))).alias(f"__{side}_{name}"))
+    got = rows.groupBy(*key).agg(F.first("__t").alias("__t"), *aggs)
+    parts = []
+    for name, p in probs.items():
+        rank = (F.col("__t") - 1) * F.lit(float(p))
+        lo, hi = F.col(f"__lo_{name}"), F.col(f"__hi_{name}")
+        parts.append(F.struct(F.lit(name).alias("statistic"), (lo + (hi - lo) * (rank - F.floor(rank))).alias("value")))
+    return got.select(*key, F.col("__t").cast("long").alias("n"), F.explode(F.array(*parts)).alias("__q")).select(*key, "__q.*", "n")
+
+
 # ---------------------------------------------------------------- distributed running sums
 
 def running_sums(df: DataFrame, keys: Sequence[str], order: str, cols: Sequence[str], descending: bool = False,

@@ -66,30 +66,43 @@ def chisq(cont: DataFrame, comparisons: Mapping[str, Sequence[str]], keys: Seque
     parameter (df), p_value, method.
     """
     keys = list(keys)
-    cfg = F.broadcast(_arm_config(cont.sparkSession, comparisons))
-    obs = cont.join(cfg, "arm").select(*keys, "comparison", group, "col_idx", F.col("n").cast("double").alias("o"))
-    # complete the (group x arm) grid: a cell absent from the long frame is a zero count, as in R's matrix
-    groups = cont.select(*keys, group).distinct()
-    grid = groups.crossJoin(cfg.select("comparison", "col_idx"))
-    j = grid.join(obs, [*keys, "comparison", group, "col_idx"], "left").fillna(0.0, subset=["o"])
-    # the frame is contingency-sized (groups x arms per key): windows over it are tiny
+    arms = sorted({a for v in comparisons.values() for a in v})
+    per_arm = cont.filter(F.col("arm").isin(arms)).groupBy(*keys, group, "arm").agg(F.sum("n").cast("double").alias("o"))
+    # the comparisons are literal configuration: every arm's row goes to each comparison that names it
+    named = F.array_compact(F.array(*(F.when(F.col("arm").isin(list(v)), F.lit(k)) for k, v in comparisons.items())))
+    cells = per_arm.withColumn("comparison", F.explode(named)).withColumnRenamed("arm", "__arm").withColumnRenamed(group, "__group")
+    n_cols = F.create_map(*[F.lit(x) for k, v in comparisons.items() for x in (k, len(v))])
+    n_groups = cont.groupBy(*keys).agg(F.count_distinct(group).alias("__nr"))
+    return _chisq_cells(cells, keys, n_groups, n_cols[F.col("comparison")], correct)
+
+
+def _chisq_cells(cells: DataFrame, keys: list[str], n_groups: DataFrame, n_cols: Column, correct: bool) -> DataFrame:
+    """The test from its non-zero cells ``(keys, comparison, __group, __arm, o)``.
+
+    A zero cell adds its expected count, and expected counts add up to the total, so zero cells need no grid.
+    A row or column of the table that has no cell makes the statistic undefined (NULL).
+    """
     part = keys + ["comparison"]
-    w_all = Window.partitionBy(*part)
-    w_row = Window.partitionBy(*part, group)
-    w_col = Window.partitionBy(*part, "col_idx")
-    e = j.withColumn("rt", F.sum("o").over(w_row)).withColumn("ct", F.sum("o").over(w_col)) \
-        .withColumn("tot", F.sum("o").over(w_all)) \
-        .withColumn("nr", F.size(F.collect_set(group).over(w_all))) \
-        .withColumn("nc", F.size(F.collect_set("col_idx").over(w_all))) \
-        .withColumn("e", F.col("rt") * F.col("ct") / F.col("tot"))
-    two_by_two = (F.col("nr") == 2) & (F.col("nc") == 2) & F.lit(bool(correct))
-    e = e.withColumn("yates", F.when(two_by_two, F.least(F.lit(0.5), F.min(F.abs(F.col("o") - F.col("e"))).over(w_all)))
-                     .otherwise(F.lit(0.0)))
-    cell = F.pow(F.abs(F.col("o") - F.col("e")) - F.col("yates"), 2) / F.col("e")
-    # an empty row or column gives a zero expected count: the statistic is undefined (NaN in R) -> NULL
-    agg = e.groupBy(*part).agg(F.when(F.min("e") > 0, F.sum(F.when(F.col("e") > 0, cell))).alias("statistic"),
-                               ((F.first("nr") - 1) * (F.first("nc") - 1)).cast("int").alias("parameter"),
-                               F.max(F.col("yates") > 0).alias("__yates"))
+    cells = cells.filter("o > 0")
+    rows = cells.groupBy(*part, "__group").agg(F.sum("o").alias("__rt"))
+    cols = cells.groupBy(*part, "__arm").agg(F.sum("o").alias("__ct"))
+    tot = rows.groupBy(*part).agg(F.sum("__rt").alias("__tot"), F.count(F.lit(1)).alias("__rows"), F.product("__rt").alias("__rp"))
+    ct = cols.groupBy(*part).agg(F.count(F.lit(1)).alias("__cols"), F.product("__ct").alias("__cp"))
+    tot = tot.join(ct, part)
+    tot = tot.join(n_groups, keys) if keys else tot.crossJoin(F.broadcast(n_groups))     # one row without keys
+    e = cells.join(rows, [*part, "__group"]).join(cols, [*part, "__arm"]).join(tot, part) \
+        .withColumn("e", F.col("__rt") * F.col("__ct") / F.col("__tot"))
+    gap = F.col("o") - F.col("e")
+    agg = e.groupBy(*part).agg(
+        F.sum(gap * gap / F.col("e")).alias("__s"), F.sum("e").alias("__se"), F.max(F.abs(gap)).alias("__gap"),
+        *[F.first(c).alias(c) for c in ("__tot", "__rows", "__cols", "__rp", "__cp", "__nr")]).withColumn("__nc", n_cols)
+    whole = (F.col("__rows") == F.col("__nr")) & (F.col("__cols") == F.col("__nc"))
+    two = (F.col("__nr") == 2) & (F.col("__nc") == 2) & F.lit(bool(correct))
+    yates = F.least(F.lit(0.5), F.col("__gap"))        # all four gaps of a 2x2 table are equal
+    corrected = F.pow(F.col("__gap") - yates, 2) * F.pow("__tot", 3) / (F.col("__rp") * F.col("__cp"))
+    plain = F.col("__s") + F.greatest(F.lit(0.0), F.col("__tot") - F.col("__se"))
+    agg = agg.select(*part, F.when(whole, F.when(two, corrected).otherwise(plain)).alias("statistic"),
+                     ((F.col("__nr") - 1) * (F.col("__nc") - 1)).cast("int").alias("parameter"), (two & (yates > 0)).alias("__yates"))
     return agg.select(*part, "statistic", "parameter",
                       dist.chi2_sf(F.col("statistic"), F.col("parameter")).alias("p_value"),
                       F.when(F.col("__yates"), F.lit("Pearson's Chi-squared test with Yates' continuity correction"))
@@ -97,11 +110,12 @@ def chisq(cont: DataFrame, comparisons: Mapping[str, Sequence[str]], keys: Seque
 
 
 def chisq_crosstab(df: DataFrame, a: str, b: str, correct: bool = True, name: str | None = None) -> DataFrame:
-    """K3: chi-squared of two person-level categoricals (zero cells included)."""
-    from .agg import crosstab
-    ct = crosstab(df, a, b).select(F.col(a).cast("string").alias("group"), F.col(b).cast("string").alias("arm"), "n")
-    arms = [r[0] for r in ct.select("arm").distinct().orderBy("arm").collect()]  # categorical levels
-    return chisq(ct, {name or f"{a}_vs_{b}": arms}, correct=correct)
+    """K3: chi-squared of two person-level categoricals (their levels are those that occur; zero cells count)."""
+    label = name or f"{a}_vs_{b}"
+    cells = df.groupBy(F.col(a).alias("__group"), F.col(b).alias("__arm")).agg(F.count(F.lit(1)).cast("double").alias("o")) \
+        .withColumn("comparison", F.lit(label))
+    n_groups = cells.agg(F.count_distinct("__group").alias("__nr"))
+    return _chisq_cells(cells, [], n_groups, F.col("__cols"), correct)
 
 
 def chisq_sites(site_counts: DataFrame, site_a: str, site_b: str, group: str = "group", site: str = "site",
@@ -130,7 +144,9 @@ def one_vs_rest_2x2(cont: DataFrame, comparisons: Mapping[str, Sequence[str]], k
                     group: str = "group") -> DataFrame:
     """D18 for tests: per group and comparison the 2x2 ``[[a, b], [c, d]]`` = [group, rest] x [arm1, arm2]."""
     keys = list(keys)
-    cfg = F.broadcast(_arm_config(cont.sparkSession, {k: v[:2] for k, v in comparisons.items()}))
+    if any(len(v) != 2 for v in comparisons.values()):
+        raise ValueError("a 2x2 table compares exactly two arms")
+    cfg = F.broadcast(_arm_config(cont.sparkSession, comparisons))      # literal configuration
     j = cont.join(cfg, "arm")
     own = j.groupBy(*keys, "comparison", group).agg(
         F.coalesce(F.sum(F.when(F.col("col_idx") == 0, F.col("n"))), F.lit(0)).cast("long").alias("a"),
@@ -177,61 +193,125 @@ def fisher_pvalue(tables: DataFrame, rel_err: float = 1 + 1e-7, chunk: int = FIS
     return agg.select(*cols, F.least(F.lit(1.0), F.col("__num") / F.col("__den")).alias("p_value"))
 
 
+#: support values handled at once in a Fisher root step
+FISHER_STEP = 1 << 16
+
+
+class _Hypergeometric:
+    """Moments and tails of the noncentral hypergeometric, summed outward from its mode in chunks.
+
+    A side of the support ends where its terms are exactly zero in double precision; the density falls
+    monotonically from the mode, so nothing beyond adds to a sum.
+    """
+
+    def __init__(self, m: int, n: int, k: int):
+        self.m, self.n, self.k = m, n, k
+        self.lo, self.hi = max(0, k - n), min(k, m)
+
+    def mode(self, t: float) -> int:
+        """Largest x with density ratio f(x) / f(x - 1) >= 1 under log odds ratio t (bisection on the ratio)."""
+        lo, hi = self.lo, self.hi
+        while lo < hi:
+            x = (lo + hi + 1) // 2
+            if math.log(self.m - x + 1) + math.log(self.k - x + 1) - math.log(x) - math.log(self.n - self.k + x) + t >= 0:
+                lo = x
+            else:
+                hi = x - 1
+        return lo
+
+    def _side(self, start: int, up: bool, t: float):
+        """(x, density relative to the mode) in chunks, the mode itself left out."""
+        level, x = 0.0, start
+        while (x < self.hi) if up else (x > self.lo):
+            if up:
+                v = np.arange(x, min(self.hi, x + FISHER_STEP), dtype=np.float64)
+                r = np.log(self.m - v) + np.log(self.k - v) - np.log(v + 1) - np.log(self.n - self.k + v + 1) + t
+                at = v + 1
+            else:
+                v = np.arange(x, max(self.lo, x - FISHER_STEP), -1, dtype=np.float64)
+                r = np.log(v) + np.log(self.n - self.k + v) - np.log(self.m - v + 1) - np.log(self.k - v + 1) - t
+                at = v - 1
+            logs = level + np.cumsum(r)
+            d = np.exp(logs)
+            yield at, d
+            if d[-1] == 0.0:
+                return
+            level, x = float(logs[-1]), int(at[-1])
+
+    def terms(self, t: float):
+        mode = self.mode(t)
+        yield np.array([float(mode)]), np.ones(1)
+        yield from self._side(mode, True, t)
+        yield from self._side(mode, False, t)
+
+    def mean(self, t: float) -> float:
+        mode, total, shift = self.mode(t), 0.0, 0.0
+        for x, d in self.terms(t):
+            total += float(d.sum())
+            shift += float(((x - mode) * d).sum())
+        return mode + shift / total
+
+    def tail(self, q: int, t: float, upper: bool) -> float:
+        total = part = 0.0
+        for x, d in self.terms(t):
+            total += float(d.sum())
+            part += float(d[x >= q].sum() if upper else d[x <= q].sum())
+        return part / total
+
+    def two_sided(self, q: int) -> float:
+        own = next((float(d[x == q][0]) for x, d in self.terms(0.0) if (x == q).any()), 0.0)
+        total = part = 0.0
+        for x, d in self.terms(0.0):
+            total += float(d.sum())
+            part += float(d[d <= own * (1 + 1e-7)].sum())
+        return min(1.0, part / total)
+
+
+def _increasing_root(f, guess: float) -> float:
+    """Root of an increasing function: a bracket around the guess, then the Illinois method."""
+    a = b = guess
+    fa = fb = f(guess)
+    step = 0.5
+    while fa > 0:
+        a, step = a - step, 2 * step
+        fa = f(a)
+    step = 0.5
+    while fb < 0:
+        b, step = b + step, 2 * step
+        fb = f(b)
+    side = 0
+    for _ in range(200):
+        if fa == 0 or fb == 0 or b - a <= 1e-14 * max(1.0, abs(a), abs(b)):
+            break
+        c = (a * fb - b * fa) / (fb - fa)
+        c = c if a < c < b else 0.5 * (a + b)
+        fc = f(c)
+        if fc > 0:
+            b, fb = c, fc
+            fa, side = (fa / 2 if side == 1 else fa), 1
+        else:
+            a, fa = c, fc
+            fb, side = (fb / 2 if side == -1 else fb), -1
+        if abs(fc) < 1e-15:
+            return c
+    return a if fa == 0 else b if fb == 0 else 0.5 * (a + b)
+
+
 def _fisher_one(a: int, b: int, c: int, d: int, conf_level: float = 0.95) -> tuple[float, float, float, float]:
     """Conditional MLE OR, CI and two-sided p for one 2x2 table (R fisher.test conventions)."""
-    m, n, k, x = a + c, b + d, a + b, a
-    lo, hi = max(0, k - n), min(k, m)
-    # restrict to where the density can matter (terms beyond this underflow relative to the mode)
-    var = max(k * m * n * (m + n - k) / max((m + n) ** 2 * max(m + n - 1, 1), 1), 0.0)
-    width = int(60 * math.sqrt(var) + 60)
-    mode = int((k + 1) * (m + 1) / (m + n + 2))
-    s_lo, s_hi = max(lo, min(mode, x) - width), min(hi, max(mode, x) + width)
-    sup = np.arange(s_lo, s_hi + 1, dtype=np.float64)
-    # log dhyper up to a constant, by cumulative log ratios d(x+1)/d(x)
-    xs = sup[:-1]
-    ratios = np.log(m - xs) + np.log(k - xs) - np.log(xs + 1) - np.log(n - k + xs + 1)
-    logdc = np.concatenate([[0.0], np.cumsum(ratios)])
-
-    def dn(ncp_log: float) -> np.ndarray:
-        dd = logdc + ncp_log * sup
-        dd = np.exp(dd - dd.max())
-        return dd / dd.sum()
-
-    def mean(ncp_log: float) -> float:
-        return float((sup * dn(ncp_log)).sum())
-
-    def cdf(q: int, ncp_log: float, upper: bool) -> float:
-        dd = dn(ncp_log)
-        return float(dd[sup >= q].sum() if upper else dd[sup <= q].sum())
-
-    def root(fn, increasing: bool) -> float:
-        # bisection in log(psi) over a wide bracket; returns psi
-        lo_l, hi_l = -60.0, 60.0
-        for _ in range(200):
-            mid = 0.5 * (lo_l + hi_l)
-            v = fn(mid)
-            if (v > 0) == increasing:
-                hi_l = mid
-            else:
-                lo_l = mid
-            if hi_l - lo_l < 1e-13:
-                break
-        return math.exp(0.5 * (lo_l + hi_l))
-
-    d1 = dn(0.0)
-    obs = d1[int(x - s_lo)]
-    p = float(d1[d1 <= obs * (1 + 1e-7)].sum())
-    p = min(1.0, p)
-    if x == lo:
-        est = 0.0
-    elif x == hi:
+    h, x = _Hypergeometric(a + c, b + d, a + b), a
+    alpha = (1 - conf_level) / 2
+    log_or = math.log((a + 0.5) * (d + 0.5) / ((b + 0.5) * (c + 0.5)))
+    z = 1.96 * math.sqrt(sum(1 / (v + 0.5) for v in (a, b, c, d)))
+    if x == h.lo:
+        est = 0.0 if h.lo < h.hi else math.nan
+    elif x == h.hi:
         est = math.inf
     else:
-        est = root(lambda t: mean(t) - x, increasing=True)
-    alpha = (1 - conf_level) / 2
-    low = 0.0 if x == lo else root(lambda t: cdf(x, t, True) - alpha, increasing=True)
-    high = math.inf if x == hi else root(lambda t: cdf(x, t, False) - alpha, increasing=False)
-    return est, low, high, p
+        est = math.exp(_increasing_root(lambda t: h.mean(t) - x, log_or))
+    low = 0.0 if x == h.lo else math.exp(_increasing_root(lambda t: h.tail(x, t, True) - alpha, log_or - z))
+    high = math.inf if x == h.hi else math.exp(_increasing_root(lambda t: alpha - h.tail(x, t, False), log_or + z))
+    return (0.0 if math.isnan(est) else est), low, high, h.two_sided(x)
 
 
 def fisher_exact(tables: DataFrame, conf_level: float = 0.95) -> DataFrame:

@@ -26,15 +26,29 @@ from .relational import checked_broadcast
 
 INTERCEPT = "(Intercept)"
 _EPS = 2.220446049250313e-16
-_THRESH = 30.0  # |eta| clamp (R's logit link inverse saturates near 1 - eps)
+_THRESH = 30.0  # beyond this |eta| the inverse logit link is held at its value there
 
 
 def _key_tuple(row, keys):
     return tuple(row[k] for k in keys)
 
 
+def complete_cases(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Rows without a missing (NULL or NaN) value in ``cols``: what a model is fitted on."""
+    return df.dropna(how="any", subset=list(dict.fromkeys(cols)))
+
+
+def dropped_cases(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """Per key: rows used and rows left out for a missing value (one aggregate)."""
+    types = dict(df.dtypes)
+    missing = [F.col(c).isNull() | (F.isnan(c) if types[c] in ("double", "float") else F.lit(False)) for c in cols]
+    bad = F.greatest(F.lit(0), *[m.cast("int") for m in missing])
+    return df.groupBy(*keys).agg(F.sum(1 - bad).cast("long").alias("n_used"), F.sum(bad).cast("long").alias("n_dropped"))
+
+
 def compress(df: DataFrame, keys: Sequence[str], y: str, xs: Sequence[str], weight: str | None = None) -> DataFrame:
-    """Covariate-pattern compression: ``(keys, xs) -> __y (sum of y*w), __n (sum of w)``."""
+    """Covariate-pattern compression of the complete rows: ``(keys, xs) -> __y (sum of y*w), __n (sum of w)``."""
+    df = complete_cases(df, [y, *xs, *([weight] if weight else [])])
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     return df.groupBy(*keys, *xs).agg(F.sum(F.col(y).cast("double") * w).alias("__y"), F.sum(w).alias("__n"))
 
@@ -138,8 +152,7 @@ def logit_grouped(df: DataFrame, keys: Sequence[str], y: str, xs: Sequence[str],
         for i in range(p):
             xi = F.lit(1.0) if i == 0 else F.col(xs[i - 1]).cast("double")
             eta = eta + F.col(f"__b_{i}") * xi
-        eta = F.greatest(F.least(eta, F.lit(_THRESH)), F.lit(-_THRESH))
-        mu = 1.0 / (1.0 + F.exp(-eta))
+        mu = 1.0 / (1.0 + F.exp(-F.greatest(F.least(eta, F.lit(_THRESH)), F.lit(-_THRESH))))
         var = mu * (1.0 - mu)
         w = F.col("__n") * var
         wz = w * eta + (F.col("__y") - F.col("__n") * mu)
@@ -311,6 +324,7 @@ def ols_grouped(df: DataFrame, keys: Sequence[str], y: str, xs: Sequence[str], w
     terms = [INTERCEPT] + xs
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     yv = F.col(y).cast("double")
+    df = complete_cases(df, [y, *xs, *([weight] if weight else [])])
     agg = df.groupBy(*keys).agg(*_gram_aggs(xs, w, w * yv), F.sum(w * yv * yv).alias("__yy"),
                                 F.sum(w).alias("__n"))
     coef_rows, fit_rows = [], []

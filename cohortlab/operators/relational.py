@@ -17,17 +17,10 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import micros_between
 
-#: default row bound for the explicit (counting) size check
-BROADCAST_MAX_ROWS = 2_000_000
 #: default byte bound for broadcasting on the optimizer's size estimate
 BROADCAST_MAX_BYTES = 64 * 1024 * 1024
 
 
-def fits_in(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows (runs a job reading at most max_rows+1 rows)."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
 def estimated_bytes(df: DataFrame) -> int:
     """Optimizer size estimate of the plan (an upper bound for scans + filters/projections; no job)."""
     try:
@@ -36,17 +29,9 @@ def estimated_bytes(df: DataFrame) -> int:
         return 1 << 62
 
 
-def checked_broadcast(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES, max_rows: int | None = None) -> DataFrame:
-    """Broadcast hint only behind a size check, else no hint (AQE re-plans from the real shuffle size).
-
-    By default the check is the optimizer's size estimate (free); ``max_rows`` adds an exact row-count
-    check (one small job) for sides whose estimate is unknown.
-    """
-    if estimated_bytes(df) <= max_bytes:
-        return F.broadcast(df)
-    if max_rows is not None and fits_in(df, max_rows):
-        return F.broadcast(df)
-    return df
+def checked_broadcast(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """Broadcast hint only behind the optimizer's size estimate, else no hint (AQE re-plans from the real size)."""
+    return F.broadcast(df) if estimated_bytes(df) <= max_bytes else df
 
 
 def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
@@ -192,14 +177,18 @@ def mapped_codes(closure: DataFrame, relationship: DataFrame, concept: DataFrame
                .select(*[c for c in sub.columns if c != "descendant_concept_id"], "concept_code").distinct())
 
 
-def with_config(df: DataFrame, config: DataFrame) -> DataFrame:
-    """C14: data x configuration grid (the configuration is a bounded driver-side list)."""
-    return df.crossJoin(F.broadcast(config))
+def with_config(df: DataFrame, config: Sequence[Mapping]) -> DataFrame:
+    """C14: data x configuration grid; the configuration is a list of the caller's, exploded on each row."""
+    rows = [F.struct(*(F.lit(v).alias(k) for k, v in c.items())) for c in config]
+    return df.withColumn("__c", F.explode(F.array(*rows))).select(*df.columns, "__c.*")
 
 
 def bind_one_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Attach a single-row result to every row."""
-    return df.crossJoin(F.broadcast(one_row.limit(1)))
+    """Attach a single-row result to every row; no row gives no rows, more than one is an error."""
+    packed = one_row.agg(F.count(F.lit(1)).alias("__n"), F.first(F.struct(*one_row.columns)).alias("__r"))
+    checked = packed.filter("__n > 0").select(
+        F.when(F.col("__n") == 1, F.col("__r")).otherwise(F.raise_error(F.lit("more than one row to bind"))).alias("__r"))
+    return df.crossJoin(F.broadcast(checked)).select(*df.columns, "__r.*")     # one row by the aggregate
 
 
 # ---------------------------------------------------------------- B14, B17, B18, H1, H2

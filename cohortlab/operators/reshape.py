@@ -5,6 +5,7 @@ them, and the width of the output is known at plan time.
 """
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -36,16 +37,22 @@ def lengthen(df: DataFrame, ids: Sequence[str], cols: Sequence[str] | None = Non
     return df.unpivot(list(ids), cols, names_to, values_to)
 
 
+def pasted(cols: Sequence[str], sep: str) -> Column:
+    """Columns joined by ``sep``, NULL if any is."""
+    parts = [F.lit(sep) if i % 2 else F.col(cols[i // 2]).cast("string") for i in range(2 * len(cols) - 1)]
+    return F.concat(*parts)
+
+
 def unite(df: DataFrame, out: str, cols: Sequence[str], sep: str = "_", remove: bool = True) -> DataFrame:
-    """Paste columns together."""
-    res = df.withColumn(out, F.concat_ws(sep, *[F.col(c).cast("string") for c in cols]))
+    """Paste columns together; a NULL piece makes the result NULL."""
+    res = df.withColumn(out, pasted(cols, sep))
     return res.drop(*[c for c in cols if c != out]) if remove else res
 
 
 def split_cols(df: DataFrame, c: str, names: Sequence[str], sep: str = "_",
                types: Mapping[str, str] | None = None, remove: bool = True) -> DataFrame:
     """Split one column into several, optionally typed (``try_cast``)."""
-    parts = F.split(F.col(c), sep)
+    parts = F.split(F.col(c), re.escape(sep))
     out = df
     for i, n in enumerate(names):
         v = parts.getItem(i)
@@ -57,7 +64,7 @@ def split_cols(df: DataFrame, c: str, names: Sequence[str], sep: str = "_",
 
 def split_rows(df: DataFrame, c: str, sep: str) -> DataFrame:
     """One row per piece of a delimited value."""
-    return df.withColumn(c, F.explode(F.split(F.col(c), sep)))
+    return df.withColumn(c, F.explode(F.split(F.col(c), re.escape(sep))))
 
 
 def one_hot(df: DataFrame, c: str, levels: Sequence, prefix: str | None = None, sep: str = "_",

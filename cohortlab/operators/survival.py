@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .agg import running_sums
-from .glm import alias_mask
+from .glm import alias_mask, complete_cases
 
 _LOG_ZERO = -745.0
 
@@ -85,13 +85,13 @@ def _risk_set_frame(pat: DataFrame, beta: DataFrame, keys, xs, rows_per_bucket=N
     return t.select(*sel).filter(F.col("__d") > 0), terms
 
 
-#: a model key with more distinct times than this gets the bucketed (multi-task) running sums
-SINGLE_TASK_TIMES = 2_000_000
+#: distinct times per bucket of the two-level running sums
+TIMES_PER_BUCKET = 500_000
 
 
 def fine_gray(df: DataFrame, keys: Sequence[str], time: str, status: str, xs: Sequence[str],
               weight: str | None = None, max_iter: int = 10, gtol: float = 1e-6, tol: float = 1e-9,
-              rows_per_bucket: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+              rows_per_bucket: int = TIMES_PER_BUCKET) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Fine-Gray subdistribution hazard regression per key.
 
     Newton-Raphson from beta = 0; a key stops when u' I^-1 u < ``gtol`` (score-based, as the usual
@@ -109,12 +109,8 @@ def fine_gray(df: DataFrame, keys: Sequence[str], time: str, status: str, xs: Se
     # compressed patterns are re-read by every Newton step: cut the lineage (reliable checkpoint into the
     # shared checkpoint dir) so each step analyses a short plan and survives executor loss
     nparts = reread_partitions(spark)
+    df = complete_cases(df, [time, status, *xs, *([weight] if weight else [])])
     comp = cut_lineage(_compress(df, keys, time, status, xs, weight), nparts)
-    if rows_per_bucket is None:
-        # distinct times of the largest key decide whether one task per key is enough (on the compressed rows)
-        per_key = comp.groupBy(*keys).agg(F.count_distinct("time").alias("__t"))
-        largest = per_key.agg(F.max("__t")).collect()[0][0] or 0
-        rows_per_bucket = SINGLE_TASK_TIMES // 4 if largest > SINGLE_TASK_TIMES else None
     pat = cut_lineage(_with_censoring(comp, keys, rows_per_bucket), nparts)
     key_types = dict(pat.dtypes)
     key_ddl = ", ".join(f"`{k}` {key_types[k]}" for k in keys)

@@ -269,31 +269,33 @@ def cohort_frames(spark, d, cons: DataFrame | None = None):
     ev = table(spark, d, "events")
     cons = cons if cons is not None else D.consistent_types(spark, d)
     cohort = cons.select("person").join(D.test_results(spark, d).select("person"), "person").distinct()
-    pos = ev.filter((F.col("event_type") == "purchase") & (F.col("value") >= D.POSITIVE_VALUE))
-    fp = rel.semi(pos.select(F.col("user_id").alias("person"), "ts"), cohort, "person") \
-        .groupBy("person").agg(F.min("ts").alias("t"))
+    # one aggregate over the events gives every per-person minimum; written once, so the steps below neither
+    # scan the events again for them nor repeat each other's lineage
+    order = ev.filter(F.col("event_type").isin("purchase", "click", "error")).groupBy(F.col("user_id").alias("person")).agg(
+        F.min(F.when((F.col("event_type") == "purchase") & (F.col("value") >= D.POSITIVE_VALUE), F.col("ts"))).alias("t"),
+        F.min(F.when((F.col("event_type") == "click") & (F.col("value") >= 200.0), F.col("ts"))).alias("death_date"),
+        F.min(F.when((F.col("event_type") == "error") & (F.col("value") >= 200.0), F.col("ts"))).alias("dnr_date"))
+    base = cut_lineage(cohort.join(order, "person", "left"))
+    fp = base.filter("t is not null").select("person", "t")
     enc = ev.filter(F.col("event_type") == "view").select(
         F.col("user_id").alias("person"), F.col("ts").alias("adm"),
         (F.col("ts") + F.expr("INTERVAL 48 HOURS")).alias("dis"))
-    entry = rel.entry_time(fp, enc, "person", "t", "adm", 96.0)
+    entry = cut_lineage(rel.entry_time(fp, enc, "person", "t", "adm", 96.0))
     mc = rel.max_censor(entry, enc, "person", "cohort_entry_time", "adm", "dis", 10)
-    cmm = entry.join(mc, "person")
+    cmm = cut_lineage(entry.join(mc, "person"))
     sign = ev.filter((F.col("event_type") == "signup") & (F.col("value") >= D.POSITIVE_VALUE)) \
         .select(F.col("user_id").alias("person"), "ts")
     intub = rel.events_between(cmm, sign, "person", "cohort_entry_time", "max_censor_time", "ts") \
         .groupBy("person").agg(F.min("ts").alias("intubation_date"))
-    death = ev.filter((F.col("event_type") == "click") & (F.col("value") >= 200.0)) \
-        .groupBy(F.col("user_id").alias("person")).agg(F.min("ts").alias("death_date"))
-    deaths = cmm.join(death, "person").filter(F.col("death_date") <= F.col("max_censor_time")).select("person", "death_date")
+    deaths = cmm.join(base.select("person", "death_date"), "person").filter(F.col("death_date") <= F.col("max_censor_time")).select("person", "death_date")
     out = cmm.join(intub, "person", "left").join(deaths, "person", "left").select(
         "person", "cohort_entry_time", "death_date",
         F.coalesce("intubation_date", "max_censor_time").alias("intubation_censor_time"),
         F.when(F.col("intubation_date").isNotNull(), 1.0).otherwise(0.0).alias("intubated"),
         F.coalesce("death_date", "max_censor_time").alias("death_censor_time"),
         F.when(F.col("death_date").isNotNull(), 1.0).otherwise(0.0).alias("died"))
-    dnr = rel.semi(ev.filter((F.col("event_type") == "error") & (F.col("value") >= 200.0)).select(F.col("user_id").alias("person"), "ts"),
-                   cohort, "person").groupBy("person").agg(F.min("ts").alias("dnr_date"))
-    return {"cohort": cohort, "fp": fp, "entry": entry, "mc": mc, "cmm": cmm, "outcomes": out, "dnr": dnr}
+    dnr = base.filter("dnr_date is not null").select("person", "dnr_date")
+    return {"cohort": base.select("person"), "fp": fp, "entry": entry, "mc": mc, "cmm": cmm, "outcomes": out, "dnr": dnr}
 
 
 @register("cohort_entry_censor", with_ctes(["consistent", "tests"], COHORT_SQL + """
@@ -402,6 +404,19 @@ def competing_risk_records(spark, d):
     return r.select("person", "abo", "rh", "outcome", _r("survival_time").alias("survival_time"))
 
 
+@register("death_records", with_ctes(["consistent", "tests"], COHORT_SQL + BASIC_SQL + f"""
+, dr AS (SELECT person, abo, rh, cohort_entry_time, LEAST(death_censor_time, TIMESTAMP '{LATEST}') AS censor_time,
+    CASE WHEN death_censor_time > TIMESTAMP '{LATEST}' THEN 'censor' WHEN died = 1.0 THEN 'death' ELSE 'recovery' END AS outcome
+  FROM basic WHERE intubated IS NOT NULL AND death_censor_time IS NOT NULL AND cohort_entry_time <= TIMESTAMP '{ENTRY_LIMIT}')
+SELECT person, abo, rh, outcome, CAST(CASE outcome WHEN 'censor' THEN 0 WHEN 'death' THEN 1 ELSE 2 END AS INTEGER) AS status,
+  ROUND((epoch_us(censor_time) - epoch_us(cohort_entry_time)) / 86400000000.0, 6) AS survival_time
+FROM dr WHERE cohort_entry_time <= censor_time"""))
+def death_records(spark, d):
+    """Death record with recovery competing, pre-entry exclusions."""
+    r = competing_records(spark, d, "death")
+    return r.select("person", "abo", "rh", "outcome", F.col("status").cast("int").alias("status"), _r("survival_time").alias("survival_time"))
+
+
 @register("prevalence_flags", """
 WITH v AS (SELECT user_id AS person, ts, CASE WHEN event_type = 'purchase' AND value >= 150.0 THEN 1 ELSE 0 END AS pos
            FROM events WHERE event_type NOT IN ('error')),
@@ -414,9 +429,11 @@ def prevalence_flags(spark, d):
     ev = table(spark, d, "events").filter(~F.col("event_type").isin(D.INVALID_RESULTS)).select(
         F.col("user_id").alias("person"), "ts",
         ((F.col("event_type") == "purchase") & (F.col("value") >= D.POSITIVE_VALUE)).cast("int").alias("pos"))
-    s = A.since_first(ev, "person", "ts", out="hours")
-    return s.groupBy("person").agg(F.max("pos").alias("ever_pos"),
-                                   F.max(((F.col("pos") == 1) & (F.col("hours") <= 96)).cast("int")).alias("initial_pos"))
+    # the earliest positive test decides whether any lies within the window of the first test: one aggregate
+    s = ev.groupBy("person").agg(F.min("ts").alias("first"), F.max("pos").alias("ever_pos"),
+                                 F.min(F.when(F.col("pos") == 1, F.col("ts"))).alias("positive"))
+    early = X.micros_between("positive", "first") <= 96 * 3_600_000_000
+    return s.select("person", "ever_pos", F.coalesce(early, F.lit(False)).cast("int").alias("initial_pos"))
 
 
 @register("flow_counts", with_ctes(["consistent", "tests"], """
@@ -707,7 +724,7 @@ def standardised_risk_effects(spark, d):
 
 
 @register("bootstrap_risk_ci", None)
-def bootstrap_risk_ci(spark, d, n_boot: int = 200):
+def bootstrap_risk_ci(spark, d, n_boot: int = 1000):
     """Poisson bootstrap (seeded hash draws) of per-segment risks, percentile 95% intervals."""
     ct = D.customers_tested(spark, d)
     w = resample.bootstrap_weights(ct, ["person"], n_boot, seed=0)
@@ -1059,11 +1076,81 @@ SELECT o_orderkey, o_custkey, COUNT(*) OVER (PARTITION BY o_custkey) AS n_in_gro
 def partition_counts_orders(spark, d):
     """Partition count and distinct count kept on each row (aggregate + join back, skew-safe)."""
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
-    o = A.partition_counts(o, ["o_custkey"])
-    o = A.partition_counts(o, ["o_custkey"], distinct_of="o_orderstatus", out="n_status")
+    o = A.partition_summary(o, ["o_custkey"], n_in_group=F.count(F.lit(1)), n_status=F.count_distinct("o_orderstatus"))
     return o.select("o_orderkey", "o_custkey", "n_in_group", "n_status")
 
 
+MISSING_SQL = """
+WITH o AS (SELECT o_orderstatus, CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END AS x,
+  CASE WHEN o_orderpriority = '5-LOW' THEN NULL WHEN o_totalprice > 150000 THEN 1.0 ELSE 0.0 END AS y FROM orders),
+n AS (SELECT COUNT(*) FILTER (WHERE y IS NULL) AS n_dropped, COUNT(y) AS n_used FROM o),
+c AS (SELECT SUM(y) FILTER (WHERE x = 1) AS a, SUM(1 - y) FILTER (WHERE x = 1) AS b,
+             SUM(y) FILTER (WHERE x = 0) AS c, SUM(1 - y) FILTER (WHERE x = 0) AS d FROM o WHERE y IS NOT NULL)"""
+
+
+def _missing_outcome(spark, d):
+    """Orders: y = expensive, unknown for one priority; x = finished."""
+    return table(spark, d, "orders").select(
+        (F.col("o_orderstatus") == "F").cast("double").alias("x"),
+        F.when(F.col("o_orderpriority") != "5-LOW", (F.col("o_totalprice") > 150000).cast("double")).alias("y"))
+
+
+def _with_counts(coefs, df):
+    return coefs.crossJoin(F.broadcast(glm.dropped_cases(df, [], ["y", "x"]))).select(
+        "term", _r("estimate", 6).alias("estimate"), "n_used", "n_dropped")
+
+
+@register("logit_missing_outcome", MISSING_SQL + """
+SELECT u.term, ROUND(u.estimate, 6) AS estimate, CAST(n_used AS BIGINT) AS n_used, CAST(n_dropped AS BIGINT) AS n_dropped
+FROM n, (SELECT '(Intercept)' AS term, ln(c / d) AS estimate FROM c UNION ALL SELECT 'x', ln(a * d / (b * c)) FROM c) u""")
+def logit_missing_outcome(spark, d):
+    """K6: fitted on complete rows; rows with a missing outcome are counted, not treated as non-events."""
+    df = _missing_outcome(spark, d)
+    return _with_counts(glm.logit(df, "y", ["x"])[0], df)
+
+
+@register("ols_missing_outcome", MISSING_SQL + """
+SELECT u.term, ROUND(u.estimate, 6) AS estimate, CAST(n_used AS BIGINT) AS n_used, CAST(n_dropped AS BIGINT) AS n_dropped
+FROM n, (SELECT '(Intercept)' AS term, c / (c + d) AS estimate FROM c UNION ALL SELECT 'x', a / (a + b) - c / (c + d) FROM c) u""")
+def ols_missing_outcome(spark, d):
+    """The linear model on complete rows."""
+    df = _missing_outcome(spark, d)
+    return _with_counts(glm.ols_grouped(df, [], "y", ["x"])[0], df)
+
+
+@register("chisq_types_nations", """
+WITH o AS (SELECT p_type AS r, s_nationkey AS c, COUNT(*) * 1.0 AS o FROM lineitem JOIN part ON l_partkey = p_partkey
+           JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL),
+rt AS (SELECT r, SUM(o) AS rt FROM o GROUP BY r), ct AS (SELECT c, SUM(o) AS ct FROM o GROUP BY c),
+t AS (SELECT SUM(rt) AS n, COUNT(*) AS nr FROM rt), k AS (SELECT COUNT(*) AS nc FROM ct),
+s AS (SELECT SUM((COALESCE(o, 0) - rt * ct / n) ** 2 / (rt * ct / n)) AS statistic, MAX((nr - 1) * (nc - 1)) AS parameter
+      FROM rt CROSS JOIN ct CROSS JOIN t CROSS JOIN k LEFT JOIN o ON o.r = rt.r AND o.c = ct.c),
+e AS (SELECT SUM(exp(-statistic / 2 + j * ln(statistic / 2) - lgamma(j + 1))) AS p
+      FROM s, generate_series(0, 100000) g(j) WHERE j < parameter / 2)
+SELECT ROUND(statistic, 4) AS statistic, CAST(parameter AS INTEGER) AS parameter, parameter > 1500 AND p > 0 AND p <= 1 AS tail_defined,
+       ROUND(CASE WHEN parameter % 2 = 0 THEN p END, 6) AS p_value FROM s, e""")
+def chisq_types_nations(spark, d):
+    """K3: part type x supplier nation: thousands of degrees of freedom, zero cells, no grid."""
+    j = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")) \
+        .join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    r = K.chisq_crosstab(j, "p_type", "s_nationkey")
+    p = F.col("p_value")
+    return r.select(_r("statistic", 4).alias("statistic"), "parameter", ((F.col("parameter") > 1500) & (p > 0) & (p <= 1)).alias("tail_defined"),
+                    F.when(F.col("parameter") % 2 == 0, _r("p_value")).alias("p_value"))
+
+
+@register("price_quantiles_by_segment", """
+SELECT c_mktsegment, COUNT(*) AS n, ROUND(quantile_cont(o_totalprice, 0.25), 4) AS q1, ROUND(median(o_totalprice), 4) AS median,
+  ROUND(quantile_cont(o_totalprice, 0.75), 4) AS q3 FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment""")
+def price_quantiles_by_segment(spark, d):
+    """Exact median and quartiles by group from distributed order statistics."""
+    o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    q = A.quantiles(o, ["c_mktsegment"], ["o_totalprice"], {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    wide = q.groupBy("c_mktsegment").agg(F.max("n").alias("n"), *[
+        F.max(F.when(F.col("statistic") == s, F.col("value"))).alias(s) for s in ("q1", "median", "q3")])
+    return wide.select("c_mktsegment", "n", *[_r(s, 4).alias(s) for s in ("q1", "median", "q3")])
+
+
 @register("qc_wide_table", with_ctes(["tested", "closure"], "," + RISK_SQL + """
 , flags AS (SELECT person, """ + ", ".join(f"MAX(CASE WHEN factor = '{f}' THEN 1 ELSE 0 END) AS rf_{f}" for f in FACTORS)
                                    + """ FROM rf GROUP BY person)

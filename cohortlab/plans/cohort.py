@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
+from ..session import cut_lineage
 from ..operators import relational as rel
 from ..operators.agg import consensus
 
@@ -312,10 +313,10 @@ def build_basic_v2(t: Mapping[str, DataFrame], outcome_date: str, as_of: str) ->
     fp = rel.semi(tests.filter(F.col("event_desc") == "Test: positive"), cohort, "pat_mrn_id") \
         .groupBy("pat_mrn_id").agg(F.min("test_result_datetime").alias("test_result_datetime"))
     adm = t["admission"]
-    entry = rel.entry_time(fp, adm, "pat_mrn_id", "test_result_datetime", "hosp_admsn_time", ENTRY_LAG_HOURS)
+    entry = cut_lineage(rel.entry_time(fp, adm, "pat_mrn_id", "test_result_datetime", "hosp_admsn_time", ENTRY_LAG_HOURS))
     mc = rel.max_censor(entry, adm, "pat_mrn_id", "cohort_entry_time", "hosp_admsn_time", "hosp_disch_time",
                         CENSOR_HORIZON_DAYS)
-    cmm = entry.join(mc, "pat_mrn_id")
+    cmm = cut_lineage(entry.join(mc, "pat_mrn_id"))     # used three times below
     dnr = rel.semi(t["orders"].filter(F.col("description") == DNR_DESCRIPTION), cohort, "pat_mrn_id") \
         .groupBy("pat_mrn_id").agg(F.min("order_date").alias("dnr_date"))
     io_ = t["intubation_orders"]

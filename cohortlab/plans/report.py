@@ -27,17 +27,17 @@ def baseline_by_group(df: DataFrame, families: Mapping[str, Sequence[str]], flag
 
 def baseline_overall(df: DataFrame, numeric: Sequence[str], flags: Sequence[str]) -> DataFrame:
     """Overall summary: mean/median/quartiles of numeric columns, n (pct%) of flags, long form."""
-    aggs = []
-    for c in numeric:
-        aggs += [F.avg(c).alias(f"{c}__mean"), F.percentile(c, 0.5).alias(f"{c}__median"),
-                 F.percentile(c, 0.25).alias(f"{c}__q1"), F.percentile(c, 0.75).alias(f"{c}__q3")]
-    for f in flags:
-        aggs.append(F.avg(F.col(f).cast("double")).alias(f"{f}__share"))
+    aggs = [F.avg(c).alias(f"{c}__mean") for c in numeric]
+    aggs += [F.avg(F.col(f).cast("double")).alias(f"{f}__share") for f in flags]
     wide = df.agg(F.count(F.lit(1)).alias("__n"), *aggs)
     cols = [c for c in wide.columns if c != "__n"]
     long = wide.unpivot(["__n"], cols, "key", "value")
-    return long.select(F.split("key", "__")[0].alias("characteristic"), F.split("key", "__")[1].alias("statistic"),
-                       "value", F.col("__n").alias("n_persons"))
+    out = long.select(F.split("key", "__")[0].alias("characteristic"), F.split("key", "__")[1].alias("statistic"),
+                      "value", F.col("__n").alias("n_persons"))
+    if not numeric:
+        return out
+    q = A.quantiles(df, [], numeric, {"q1": 0.25, "median": 0.5, "q3": 0.75}).select(F.col("name").alias("characteristic"), "statistic", "value")
+    return out.unionByName(q.crossJoin(F.broadcast(wide.select(F.col("__n").alias("n_persons")))))
 
 
 def test_table(tests: DataFrame, digits: int = 2) -> DataFrame:

@@ -18,11 +18,18 @@ SNAPSHOT_COL = "date_retrieved"
 VERSION_COL = "version_hash"
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists in the store its URI names (local, HDFS, object store)."""
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(sc._jsc.hadoopConfiguration()).exists(p)
+
+
 def read_table(spark: SparkSession, root: str, name: str, schema: T.StructType | str | None = None,
                fmt: str = "parquet") -> DataFrame:
     """A1: scan a named table ``root/name[.parquet]``; an explicit schema avoids inference."""
-    path = os.path.join(root, name)
-    if fmt == "parquet" and not os.path.exists(path) and os.path.exists(path + ".parquet"):
+    path = f"{root.rstrip('/')}/{name}"
+    if fmt == "parquet" and not _exists(spark, path) and _exists(spark, path + ".parquet"):
         path = path + ".parquet"
     reader = spark.read.format(fmt)
     if schema is not None:
