@@ -10,8 +10,10 @@ The plan keeps hot groups small at every step:
   go on as their smallest doc_id;
 * inside a band bucket each member is first compared with the bucket's hub only, the member whose buckets
   are the fullest, so a family of edited copies of one text is tied together by as many links as it has members;
-* what stays apart is compared with every member of the other components of its bucket, each pair in the
-  first band that the two share and only if the sizes allow the similarity, so no link is lost.
+* what stays apart in a bucket goes through prefix filtering: a pair as similar as asked shares one of the
+  rarest ``n - ceil(0.85 n) + 1`` shingles of either set, so only members of different components that share
+  a bucket and such a shingle are compared. The filter is exact and no link is lost, and edited copies that
+  are too far from each other, however many, meet in no rare shingle.
 
 Cases: null, empty or blank text -> empty set, its own component; fewer words than a shingle -> the whole
 sequence is the one shingle; repeated rows of one doc_id count once; very long texts whole; no rows -> no rows.
@@ -41,7 +43,7 @@ class Params:
 
 
 SIGNATURE = "doc_id long, n_shingles long, digest binary, bands array<long>"
-SETS = "doc_id long, shingles binary"
+SETS = "doc_id long, shingles array<long>"
 _ROLL = Rolling(4001)
 
 
@@ -112,9 +114,8 @@ def _set_batches(n: int):
         for batch in batches:
             for part in slices(batch):
                 keys, at = shingle_sets(*flat(part.column("text")), n)
-                raw, off = keys.astype("<u8").tobytes(), (8 * at).tolist()
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([raw[a:b] for a, b in zip(off, off[1:])], pa.binary())],
-                                                 names=["doc_id", "shingles"])
+                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(keys.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], names=["doc_id", "shingles"])
     return run
 
 
@@ -124,7 +125,7 @@ def _linked(numerator: int):
         for batch in batches:
             ok = []
             for x, y in zip(batch.column("set_a"), batch.column("set_b")):
-                a, b = (np.frombuffer(s.as_buffer(), "<u8") for s in (x, y))
+                a, b = (s.values.to_numpy().view(np.uint64) for s in (x, y))     # both sorted
                 at = np.searchsorted(a, b)
                 both = int((a[np.minimum(at, len(a) - 1)] == b).sum())
                 ok.append(100 * both >= numerator * (len(a) + len(b) - both))
@@ -171,6 +172,19 @@ def _labelled(members: DataFrame, links: DataFrame | None) -> DataFrame:
             .withColumn("component", F.coalesce("component", "doc_id")))
 
 
+def _rare_shingles(docs: DataFrame, sets: DataFrame, numerator: int) -> DataFrame:
+    """(shingle, how many rarer ones, doc_id, ...): the rarest shingles that a link must touch, without those of one document."""
+    said = sets.join(docs.select("doc_id"), "doc_id", "left_semi").select("doc_id", F.explode("shingles").alias("shingle"))
+    often = said.groupBy("shingle").agg(F.count("*").alias("n"))
+    ranked = said.join(often, "shingle").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("r"))
+    size = F.size("r")
+    prefix = F.slice("r", F.lit(1), (size - F.ceil(size * numerator / 100) + 1).cast("int"))
+    placed = F.filter(F.transform(prefix, lambda v, i: F.struct(v["n"].alias("n"), v["shingle"].alias("shingle"), i.alias("before"))),
+                      lambda v: v["n"] > 1)
+    return (ranked.select("doc_id", F.explode(placed).alias("v"))
+            .select("doc_id", F.col("v.shingle").alias("shingle"), F.col("v.before").alias("before")).join(docs, "doc_id"))
+
+
 def near_duplicates(docs: DataFrame, params: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: set size, class representative, component and whether the document stays."""
     ship(docs.sparkSession)
@@ -192,17 +206,22 @@ def near_duplicates(docs: DataFrame, params: Params = Params(), id_col: str = "d
                  .mapInArrow(_set_batches(params.words), SETS), "sets")
     links = saved(confirm(spokes, sets, params.numerator), "links")
 
-    # the rest: pairs across components of a bucket, once, in the first band that both share
+    # the rest: members of mixed buckets that share a rare shingle across components
     members = _labelled(members, links)
     mixed = (members.groupBy("band", "value").agg(F.min("component").alias("x"), F.max("component").alias("y"))
              .filter("x < y").select("band", "value"))
-    apart = members.join(mixed, ["band", "value"]).select("band", "value", "doc_id", "n_shingles", "bands", "component")
-    x, y = apart.alias("x"), apart.alias("y")
-    pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.value") == F.col("y.value"))
-                   & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component"))
+    apart = members.join(mixed, ["band", "value"], "left_semi").groupBy("doc_id").agg(
+        *[F.first(c).alias(c) for c in ("n_shingles", "bands", "component")])
+    rare = saved(_rare_shingles(apart, sets, params.numerator), "rare-shingles")
+    x, y = rare.alias("x"), rare.alias("y")
+    # the first shared shingle leaves room for the overlap that a link needs
+    least = params.numerator * (F.col("x.n_shingles") + F.col("y.n_shingles"))
+    room = [(100 + params.numerator) * (F.col(f"{t}.n_shingles") - F.col(f"{t}.before")) >= least for t in "xy"]
+    pairs = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.doc_id") < F.col("y.doc_id"))
+                   & (F.col("x.component") != F.col("y.component")) & room[0] & room[1]
                    & (100 * F.least("x.n_shingles", "y.n_shingles") >= params.numerator * F.greatest("x.n_shingles", "y.n_shingles"))
-                   & (F.array_position(F.zip_with("x.bands", "y.bands", lambda s, t: s == t), True) == F.col("x.band") + 1))
-    rest = confirm(pairs.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")), sets, params.numerator)
+                   & F.exists(F.zip_with("x.bands", "y.bands", lambda s, t: s == t), lambda v: v))
+    rest = confirm(pairs.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct(), sets, params.numerator)
     comp = components(saved(links.union(rest), "links"))
 
     rows = sig.dropDuplicates(["doc_id"]).join(classes.select("digest", "n_shingles", "rep"), ["digest", "n_shingles"], "left")
