@@ -5,6 +5,8 @@ so C-style ``%.Ng`` is rebuilt here from rounding + fixed formats.
 """
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,7 +21,7 @@ def _strip_zeros(s: Column) -> Column:
 def _fixed_var(x: Column, decimals: Column, max_dec: int) -> Column:
     out = None
     for k in range(0, max_dec + 1):
-        f = F.format_string(f"%.{k}f", x)
+        f = fmt_fixed(x, k)
         out = F.when(decimals == k, f) if out is None else out.when(decimals == k, f)
     return out
 
@@ -49,8 +51,21 @@ def fmt_g(c, digits: int = 2) -> Column:
 
 
 def fmt_fixed(c, decimals: int = 1) -> Column:
-    """``sprintf('%.Nf')`` with half-even ties (R rounds the printed value the same way)."""
-    return F.format_string(f"%.{decimals}f", F.bround(col(c).cast("double"), decimals))
+    """``sprintf('%.Nf')``: rounds the exact binary value, half-even on true ties.
+
+    ``x * 10^N`` is split into its rounded product and the exact error (Dekker), which settles products that
+    only look like ties.
+    """
+    x, b = col(c).cast("double"), float(10 ** decimals)
+    p = x * b
+    t = x * 134217729.0
+    hi = t - (t - x)
+    error = (hi * b - p) + (x - hi) * b
+    tie = F.abs(p - F.floor(p) - 0.5) == 0.0
+    r = F.when(tie & (error > 0), F.ceil(p).cast("double")).when(tie & (error < 0), F.floor(p).cast("double")).otherwise(F.rint(p))
+    exact = (r.cast("decimal(25,0)") * F.lit(Decimal(1).scaleb(-decimals))).cast(f"decimal(30,{decimals})").cast("string")
+    exact = F.when((r == 0) & (x < 0), F.concat(F.lit("-"), exact)).otherwise(exact)
+    return F.when(F.abs(p) < 2.0 ** 52, exact).otherwise(F.format_string(f"%.{decimals}f", x))
 
 
 def n_pct(n, pct, decimals: int = 1, style: str = "fixed", percent_sign: bool = False) -> Column:

@@ -101,13 +101,11 @@ def unnest_struct(df: DataFrame, name: str) -> DataFrame:
     return df.select(*keys, f"{name}.*")
 
 
-def transpose(df: DataFrame, id_col: str, names_to: str = "name") -> DataFrame:
-    """Small summary transpose: rows become columns named by ``id_col`` (unpivot -> pivot)."""
+def transpose(df: DataFrame, id_col: str, ids: Sequence, names_to: str = "name") -> DataFrame:
+    """Small summary transpose: the rows with the declared ``ids`` become columns (unpivot -> pivot)."""
     vals = [c for c in df.columns if c != id_col]
-    long = df.select(id_col, *[F.col(c).cast("string").alias(c) for c in vals]).unpivot(
-        [id_col], vals, names_to, "__v")
-    ids = [r[0] for r in df.select(id_col).distinct().orderBy(id_col).collect()]  # report-sized frame
-    return long.groupBy(names_to).pivot(id_col, ids).agg(F.first("__v"))
+    long = df.select(id_col, *[F.col(c).cast("string").alias(c) for c in vals]).unpivot([id_col], vals, names_to, "__v")
+    return long.groupBy(names_to).pivot(id_col, list(ids)).agg(F.first("__v"))
 
 
 def lower_triangle(df: DataFrame, a: str, b: str, order: Sequence[str]) -> DataFrame:

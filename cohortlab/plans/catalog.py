@@ -6,14 +6,16 @@ chi-squared / normal tail (no ``erfc`` in DuckDB), a seeded hash draw, or an ite
 """
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import expr as X
+from ..functions import expr as X, fmt
 from ..operators import agg as A
 from ..operators import contingency as K
 from ..operators import glm, meta, relational as rel, reshape as R, resample, survival
-from ..session import cut_lineage, reread_partitions
+from ..session import cut_lineage, reread_partitions, scratch_path
 from ..sources import io
 from . import driver as D
 from .driver import SEGMENTS, table, with_ctes
@@ -1173,6 +1175,96 @@ def qc_wide_table(spark, d):
                              "died_not_positive": "died = 1 AND cov_pos = 0"})
 
 
+# ---------------------------------------------------------------- sources, scalars and shapes on whole tables
+
+@register("versioned_customers", """
+SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment = 'BUILDING'""")
+def versioned_customers(spark, d):
+    """A4/A5: two appended versions of an analysis table; the second is read back."""
+    c = table(spark, d, "customer").select("c_custkey", "c_mktsegment")
+    path = scratch_path(spark, f"versions-{uuid.uuid4().hex[:8]}")
+    io.append_version(c, path, "2020-04-12", "all")
+    io.append_version(c.filter("c_mktsegment = 'BUILDING'"), path, "2020-04-18", "building")
+    return io.read_version(spark, path, "2020-04-18", "building").select("c_custkey", "c_mktsegment")
+
+
+@register("snapshot_one_day", """
+SELECT o_orderstatus, COUNT(*) AS n FROM orders
+WHERE CAST(o_orderdate AS DATE) = (SELECT CAST(MAX(o_orderdate) AS DATE) FROM orders) GROUP BY o_orderstatus""")
+def snapshot_one_day(spark, d):
+    """A2: rows of exactly one retrieval date (here the last order date)."""
+    o = table(spark, d, "orders").withColumn("date_retrieved", F.to_date("o_orderdate"))
+    last = o.agg(F.max("date_retrieved")).first()[0]
+    return io.snapshot(o, last).groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("tsv_bundle_roundtrip", """
+SELECT c_custkey, c_name, CASE WHEN c_nationkey % 3 = 0 THEN NULL ELSE c_nationkey END AS nation FROM customer""")
+def tsv_bundle_roundtrip(spark, d):
+    """A bundle of tab-separated tables with NA, read back typed."""
+    c = table(spark, d, "customer").select("c_custkey", "c_name", F.when(F.col("c_nationkey") % 3 != 0, F.col("c_nationkey")).alias("nation"))
+    path = scratch_path(spark, f"bundle-{uuid.uuid4().hex[:8]}")
+    io.write_bundle({"customer": c, "region": table(spark, d, "region")}, path)
+    types = dict(c.dtypes)
+    return io.read_tsv(spark, f"{path}/customer", ", ".join(f"{k} {types[k]}" for k in c.columns))
+
+
+@register("sql_template", """
+SELECT o_orderpriority, w.weight, COUNT(*) AS n FROM orders JOIN (VALUES ('F', 2), ('O', 1)) w(status, weight)
+ON o_orderstatus = w.status WHERE o_totalprice >= 100000 GROUP BY o_orderpriority, w.weight""")
+def sql_template(spark, d):
+    """A literal table joined in a parameterised SQL text."""
+    table(spark, d, "orders").createOrReplaceTempView("orders_for_template")
+    io.literal_table(spark, [("F", 2), ("O", 1)], "status string, weight int").createOrReplaceTempView("weights_for_template")
+    return io.run_sql(spark, "SELECT o_orderpriority, weight, COUNT(*) AS n FROM IDENTIFIER(:orders) JOIN weights_for_template "
+                             "ON o_orderstatus = status WHERE o_totalprice >= :least GROUP BY o_orderpriority, weight",
+                      {"orders": "orders_for_template", "least": 100000})
+
+
+@register("text_scalars", """
+SELECT p_partkey, CASE WHEN regexp_matches(p_type, '^[A-Z]+ P[A-Z]+') THEN regexp_extract(p_type, '^[A-Z]+ P[A-Z]+') END AS extracted,
+  upper(p_type[1]) || lower(p_type[2:]) AS sentence, trim(regexp_replace('  ' || p_name || '   x ', '\\s+', ' ', 'g')) AS squished,
+  CASE WHEN p_brand = 'Brand#11' THEN NULL ELSE p_brand END AS brand, CAST(p_partkey AS BIGINT) AS code FROM part""")
+def text_scalars(spark, d):
+    """Extract or NULL, sentence case, check digit, squish, missing tokens."""
+    return table(spark, d, "part").select(
+        "p_partkey", X.extract_or_null("p_type", "^[A-Z]+ P[A-Z]+").alias("extracted"), X.sentence_case("p_type").alias("sentence"),
+        X.squish(F.concat(F.lit("  "), "p_name", F.lit("   x "))).alias("squished"), X.null_tokens("p_brand", ("Brand#11",)).alias("brand"),
+        X.drop_check_digit(F.concat(F.col("p_partkey").cast("string"), F.lit("-"), (F.col("p_partkey") % 10).cast("string"))).cast("long").alias("code"))
+
+
+@register("number_formats", """
+SELECT c_custkey, printf('%.6g', c_acctbal) AS general, printf('%.1f', c_acctbal) AS fixed FROM customer""")
+def number_formats(spark, d):
+    """Significant-digit and fixed formatting."""
+    return table(spark, d, "customer").select("c_custkey", fmt.fmt_g("c_acctbal", 6).alias("general"), fmt.fmt_fixed("c_acctbal", 1).alias("fixed"))
+
+
+@register("nested_nations", """SELECT n_regionkey, n_nationkey, n_name FROM nation""")
+def nested_nations(spark, d):
+    """Rows nested per region (a bounded group) and unnested again."""
+    n = table(spark, d, "nation").select("n_regionkey", "n_nationkey", "n_name")
+    return R.unnest(R.nest(n, ["n_regionkey"])).select("n_regionkey", "n_nationkey", "n_name")
+
+
+@register("transposed_status", """
+SELECT 'n' AS name, CAST(COUNT(*) FILTER (WHERE o_orderstatus = 'F') AS VARCHAR) AS F, CAST(COUNT(*) FILTER (WHERE o_orderstatus = 'O') AS VARCHAR) AS O,
+       CAST(COUNT(*) FILTER (WHERE o_orderstatus = 'P') AS VARCHAR) AS P FROM orders""")
+def transposed_status(spark, d):
+    """A small summary turned round; its columns are declared levels, so nothing is collected."""
+    s = table(spark, d, "orders").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
+    return R.transpose(s, "o_orderstatus", ["F", "O", "P"])
+
+
+@register("top_customers_by_level", """
+SELECT c_custkey, c_mktsegment, c_acctbal FROM customer
+ORDER BY CASE c_mktsegment WHEN 'MACHINERY' THEN 0 WHEN 'BUILDING' THEN 1 ELSE 2 END, c_acctbal DESC, c_custkey LIMIT 25""")
+def top_customers_by_level(spark, d):
+    """Sort by a declared level order, then balance; the first rows of the report."""
+    c = table(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
+    return R.order_by_levels(c, "c_mktsegment", ["MACHINERY", "BUILDING"], extra=[F.desc("c_acctbal"), "c_custkey"]).limit(25)
+
+
 def queries():
     return {k: v[0] for k, v in REGISTRY.items()}
 
