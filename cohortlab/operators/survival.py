@@ -91,7 +91,7 @@ TIMES_PER_BUCKET = 500_000
 
 def fine_gray(df: DataFrame, keys: Sequence[str], time: str, status: str, xs: Sequence[str],
               weight: str | None = None, max_iter: int = 10, gtol: float = 1e-6, tol: float = 1e-9,
-              rows_per_bucket: int = TIMES_PER_BUCKET) -> tuple[DataFrame, DataFrame, DataFrame]:
+              rows_per_bucket: int | None = TIMES_PER_BUCKET) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Fine-Gray subdistribution hazard regression per key.
 
     Newton-Raphson from beta = 0; a key stops when u' I^-1 u < ``gtol`` (score-based, as the usual

@@ -89,7 +89,8 @@ def fine_gray_risks(df: DataFrame, person: str, time: str, status: str, exposure
     keys = ["exposure", "model", ITER]
     # records x cells x iterations is cheap to re-derive; the fit checkpoints its compressed patterns
     data = long.select(*keys, time, status, W, *allx)
-    coefs, base, _fits = survival.fine_gray(data, keys, time, status, allx, weight=W)
+    coefs, base, _fits = survival.fine_gray(data, keys, time, status, allx, weight=W,
+                                          rows_per_bucket=None)     # thousands of small keys: one window each
     # covariate patterns per key with their bootstrap weight: predictions on patterns, not persons
     pat = data.groupBy(*keys, *allx).agg(F.sum(W).alias("__w"))
     srows = _strata_rows(strata)
