@@ -73,24 +73,28 @@ def chisq(cont: DataFrame, comparisons: Mapping[str, Sequence[str]], keys: Seque
     cells = per_arm.withColumn("comparison", F.explode(named)).withColumnRenamed("arm", "__arm").withColumnRenamed(group, "__group")
     n_cols = F.create_map(*[F.lit(x) for k, v in comparisons.items() for x in (k, len(v))])
     n_groups = cont.groupBy(*keys).agg(F.count_distinct(group).alias("__nr"))
-    return _chisq_cells(cells, keys, n_groups, n_cols[F.col("comparison")], correct)
+    return _chisq_cells(cells, keys, ["comparison"], n_groups, n_cols[F.col("comparison")], correct)
 
 
-def _chisq_cells(cells: DataFrame, keys: list[str], n_groups: DataFrame, n_cols: Column, correct: bool) -> DataFrame:
+def _matched(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """Join on the keys; without keys the right side is a one-row aggregate."""
+    return left.join(right, on) if on else left.crossJoin(F.broadcast(right))
+
+
+def _chisq_cells(cells: DataFrame, keys: list[str], named: list[str], n_groups: DataFrame, n_cols: Column, correct: bool) -> DataFrame:
     """The test from its non-zero cells ``(keys, comparison, __group, __arm, o)``.
 
     A zero cell adds its expected count, and expected counts add up to the total, so zero cells need no grid.
     A row or column of the table that has no cell makes the statistic undefined (NULL).
     """
-    part = keys + ["comparison"]
+    part = keys + named
     cells = cells.filter("o > 0")
     rows = cells.groupBy(*part, "__group").agg(F.sum("o").alias("__rt"))
     cols = cells.groupBy(*part, "__arm").agg(F.sum("o").alias("__ct"))
     tot = rows.groupBy(*part).agg(F.sum("__rt").alias("__tot"), F.count(F.lit(1)).alias("__rows"), F.product("__rt").alias("__rp"))
     ct = cols.groupBy(*part).agg(F.count(F.lit(1)).alias("__cols"), F.product("__ct").alias("__cp"))
-    tot = tot.join(ct, part)
-    tot = tot.join(n_groups, keys) if keys else tot.crossJoin(F.broadcast(n_groups))     # one row without keys
-    e = cells.join(rows, [*part, "__group"]).join(cols, [*part, "__arm"]).join(tot, part) \
+    tot = _matched(_matched(tot, ct, part), n_groups, keys)
+    e = _matched(cells.join(rows, [*part, "__group"]).join(cols, [*part, "__arm"]), tot, part) \
         .withColumn("e", F.col("__rt") * F.col("__ct") / F.col("__tot"))
     gap = F.col("o") - F.col("e")
     agg = e.groupBy(*part).agg(
@@ -112,10 +116,10 @@ def _chisq_cells(cells: DataFrame, keys: list[str], n_groups: DataFrame, n_cols:
 def chisq_crosstab(df: DataFrame, a: str, b: str, correct: bool = True, name: str | None = None) -> DataFrame:
     """K3: chi-squared of two person-level categoricals (their levels are those that occur; zero cells count)."""
     label = name or f"{a}_vs_{b}"
-    cells = df.groupBy(F.col(a).alias("__group"), F.col(b).alias("__arm")).agg(F.count(F.lit(1)).cast("double").alias("o")) \
-        .withColumn("comparison", F.lit(label))
+    cells = df.groupBy(F.col(a).alias("__group"), F.col(b).alias("__arm")).agg(F.count(F.lit(1)).cast("double").alias("o"))
     n_groups = cells.agg(F.count_distinct("__group").alias("__nr"))
-    return _chisq_cells(cells, [], n_groups, F.col("__cols"), correct)
+    out = _chisq_cells(cells, [], [], n_groups, F.col("__cols"), correct)
+    return out.select(F.lit(label).alias("comparison"), "*")
 
 
 def chisq_sites(site_counts: DataFrame, site_a: str, site_b: str, group: str = "group", site: str = "site",
