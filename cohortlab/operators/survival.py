@@ -85,15 +85,15 @@ def _risk_set_frame(pat: DataFrame, beta: DataFrame, keys, xs, rows_per_bucket=N
     return t.select(*sel).filter(F.col("__d") > 0), terms
 
 
-#: distinct times per bucket of the two-level running sums
-TIMES_PER_BUCKET = 500_000
-
-
 def fine_gray(df: DataFrame, keys: Sequence[str], time: str, status: str, xs: Sequence[str],
               weight: str | None = None, max_iter: int = 10, gtol: float = 1e-6, tol: float = 1e-9,
-              rows_per_bucket: int | None = TIMES_PER_BUCKET) -> tuple[DataFrame, DataFrame, DataFrame]:
+              rows_per_bucket: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Fine-Gray subdistribution hazard regression per key.
 
+    Sums run along a key's distinct times in one window (rows are compressed to distinct times and covariate
+    patterns first); ``rows_per_bucket`` asks for the two-level sums instead, for keys with more distinct times
+    than one task should sort. The choice is the caller's and does not depend on the data.
+
     Newton-Raphson from beta = 0; a key stops when u' I^-1 u < ``gtol`` (score-based, as the usual
     competing-risk solver does) or the step is below ``tol``; at most ``max_iter`` (default 10) steps.
 
