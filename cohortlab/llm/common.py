@@ -15,14 +15,21 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 
-SLICE_BYTES = 2 << 20   # text handled at once inside a task: bounds the numpy temporaries, not the result
+SLICE_BYTES = 1 << 20   # text handled at once inside a task: bounds the numpy temporaries, not the result
+
+ARROW_ROWS = 1000        # at most so many documents reach a Python worker at once
 
 _SHIPPED = "_cohortlab_llm_shipped"
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application (Spark's own file server)."""
+    """Send this package to the executors once per application (Spark's own file server).
+
+    Rows here are documents or shingle sets, so Spark's default of 10,000 rows an Arrow batch is lowered.
+    """
     sc = spark.sparkContext
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     if getattr(sc, _SHIPPED, False):
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
