@@ -4,7 +4,8 @@
 folder and read again as the next one's input. Each stage works on all that its predecessor kept:
 
 1. toxicity           documents that the clause grammar rejects go
-2. near_duplicates    one document (the smallest doc_id) of each component stays
+2. near_duplicates    one document (the smallest doc_id) of each component stays; documents whose sets of 5-word
+                      shingles are 0.8 or more similar are linked (op4_minhash_dedup alone links at 0.85)
 3. decontamination    documents that hold a benchmark item go
 4. secrets            found secrets are replaced by ``[SECRET:kind]`` in the text; every document stays
 5. byte_bpe           texts become token ids; the last stage returns (doc_id, n_tokens, ids, digests)
@@ -28,6 +29,10 @@ ORACLE_SQL = None
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+#: Stage 2 links at 0.8; the 13 bands of 3 miss such a pair with probability 9e-5.
+NEAR = dedup.Params(numerator=80)
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -39,7 +44,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = dedup.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_kept"))
+    kept = dedup.near_duplicates(docs, NEAR).filter("kept").select(F.col("doc_id").alias("_kept"))
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
 
 
