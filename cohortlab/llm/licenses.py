@@ -5,7 +5,7 @@ word -> (template, position). One pass over the documents keeps, per file, the p
 (a fixed vocabulary, so what is kept is small) and the places of the base phrases. From these
 
 1. the licence words' inverse document frequencies are counted over all documents,
-2. each file looks up its highest-IDF licence words and votes for (template, position in file - position in
+2. each file looks up all its licence words (the vocabulary is bounded) and votes for (template, position in file - position in
    template); postings that agree on the difference are one alignment,
 3. an alignment counts if its IDF weight is a set share of the template's and the words of a mandatory key
    phrase stand at their aligned places.
@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import saved, text_column
@@ -50,7 +50,6 @@ TEMPLATES = [
 #: Words of the templates that say nothing about licences; they are not indexed.
 COMMON = "a and any are as by for in into is may no of or part the this to use with without 0 1 2 3 4".split()
 
-TOP_WORDS = 12          # distinct licence words looked up for a file, highest IDF first
 LEAST_SHARE = 0.6       # of a template's IDF weight that an alignment must reach
 
 
@@ -109,10 +108,8 @@ def alignments(scanned: DataFrame) -> DataFrame:
     vocabulary = spark.createDataFrame([(w,) for w in VOCABULARY], "word string")
     unseen = F.log((F.lit(n) + 1) / 0.5)
     weights = F.broadcast(vocabulary.join(idf, "word", "left").select("word", F.coalesce("idf", unseen).alias("idf")))  # one row a vocabulary word
-    by_idf = Window.partitionBy("doc_id").orderBy(F.desc("idf"), "word")
-    looked_up = rare.join(weights, "word").withColumn("rank", F.dense_rank().over(by_idf)).filter(F.col("rank") <= TOP_WORDS)
     weight = indexed.join(weights, "word").groupBy("template").agg(F.sum("idf").alias("weight"))
-    votes = (looked_up.join(indexed, "word").withColumn("shift", F.col("pos") - F.col("tpos"))
+    votes = (rare.join(weights, "word").join(indexed, "word").withColumn("shift", F.col("pos") - F.col("tpos"))
              .groupBy("doc_id", "template", "label", "shift").agg(F.sum("idf").alias("got"))
              .join(F.broadcast(weight), "template")
              .withColumn("share", F.when(F.col("weight") > 0, F.col("got") / F.col("weight")).otherwise(0.0))

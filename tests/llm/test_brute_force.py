@@ -212,6 +212,19 @@ def test_op5_positional_method(spark):
     assert (got[4]["n_base"], got[4]["first_word"], got[4]["last_word"]) == (3, 0, 6) and got[100]["labels"] == ""
 
 
+def test_op5_several_licences_in_one_file(spark):
+    """Every passage of a file counts in full, however many others stand beside it."""
+    filler = " ".join(f"plain{i}" for i in range(60))
+    some = [next(t for x, t, _ in licenses.TEMPLATES if x == label) for label in ("gpl-2", "bsd", "isc")]
+    rows = [(1, f" {filler} ".join(some)), (2, f" {filler} ".join(t for _, t, _ in licenses.TEMPLATES)),
+            (3, some[0] + f" {filler} " + " ".join(licenses.VOCABULARY))]
+    rows += [(100 + i, f"plain text number {i} without any of it") for i in range(30)]
+    got = {r["doc_id"]: r for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1]["labels"] == "bsd,gpl-2,isc" and abs(got[1]["score"] - 1) < 1e-9
+    assert got[2]["labels"] == ",".join(sorted({x for x, *_ in licenses.TEMPLATES}))
+    assert got[3]["labels"] == "gpl-2" and abs(got[3]["score"] - 1) < 1e-9
+
+
 def _base_spans(t):
     a = [("assign", m.start(), m.end()) for m in re.finditer(
         r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t) if len(m[2]) >= 6]
