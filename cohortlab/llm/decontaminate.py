@@ -234,13 +234,18 @@ def _search(index: Index):
     return run
 
 
-def indexes(benchmark: DataFrame, params: Params, item_col: str, item_text: str) -> Iterator[Index]:
-    """The items in blocks of about ``block_words`` words, each small enough for the driver and a task."""
-    items = text_column(benchmark, item_col, item_text).filter("doc_id is not null and text <> ''")
+def indexes(benchmark: DataFrame, params: Params, item_col: str, item_text: str, unnamed: bool = False) -> Iterator[Index]:
+    """The items in blocks of about ``block_words`` words, each small enough for the driver and a task.
+
+    Items without an id are left out unless ``unnamed``: a pair could not say which item it is about.
+    """
+    items = text_column(benchmark, item_col, item_text).filter("text <> ''")
+    if not unnamed:
+        items = items.filter("doc_id is not null")
     size = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
     blocks = max(1, -(-size // params.block_words))
     for b in range(blocks):
-        rows = items.filter(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)) == b).orderBy("doc_id", "text").collect()
+        rows = items.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)) == b).orderBy("doc_id", "text").collect()
         words, lo, hi = words_of(pa.array([r["text"] for r in rows], pa.string()))
         some = [(r["doc_id"], words[x:y]) for r, x, y in zip(rows, lo, hi) if y > x]
         if some:
@@ -269,7 +274,7 @@ def _free(index: Index, column: pa.Array) -> np.ndarray:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, params: Params = Params(), text_col: str = "text",
                       item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The documents, with all their columns, that hold no item."""
-    for index in indexes(benchmark, params, item_col, item_text):
+    """The documents, with all their columns, that hold no item, with an id or without."""
+    for index in indexes(benchmark, params, item_col, item_text, unnamed=True):
         docs = filter_rows(docs, partial(_free, index), text_col)
     return docs

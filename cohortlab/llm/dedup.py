@@ -17,6 +17,9 @@ The plan keeps hot groups small at every step:
 
 Cases: null, empty or blank text -> empty set, its own component; fewer words than a shingle -> the whole
 sequence is the one shingle; repeated rows of one doc_id count once; very long texts whole; no rows -> no rows.
+Documents without a doc_id are keyed by a 64-bit fingerprint of their text, so equal texts without an id count
+once. A document with an id stays before one without; where no document of a class or component has an id,
+``class_id`` and ``component_id`` hold the smallest such key.
 """
 from __future__ import annotations
 
@@ -26,10 +29,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, Rolling, flat, mix, ngrams, row_ranges, runs, saved, ship, slices, stream, text_column
+from .common import LOWER, SPACE, Rolling, flat, mix, ngrams, row_ranges, runs, saved, ship, slices, stream
 
 
 @dataclass(frozen=True)
@@ -42,7 +45,7 @@ class Params:
     bands: int = 13
 
 
-SIGNATURE = "doc_id long, n_shingles long, digest binary, bands array<long>"
+SIGNATURE = "doc_id long, named boolean, n_shingles long, digest binary, bands array<long>"
 SETS = "doc_id long, shingles array<long>"
 _ROLL = Rolling(4001)
 
@@ -104,8 +107,8 @@ def _signature_batches(p: Params):
                 raw, off = keys.astype("<u8").tobytes(), (8 * at).tolist()
                 digest = [hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(off, off[1:])]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(bands) + 1, dtype=np.int32) * p.bands), pa.array(bands.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(at), pa.int64()), pa.array(digest, pa.binary()), lists],
-                                                 names=["doc_id", "n_shingles", "digest", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("named"), pa.array(np.diff(at), pa.int64()), pa.array(digest, pa.binary()), lists],
+                                                 names=["doc_id", "named", "n_shingles", "digest", "bands"])
     return run
 
 
@@ -185,13 +188,46 @@ def _rare_shingles(docs: DataFrame, sets: DataFrame, numerator: int) -> DataFram
             .select("doc_id", F.col("v.shingle").alias("shingle"), F.col("v.before").alias("before")).join(docs, "doc_id"))
 
 
+def _key(id_col: str, text_col: str) -> Column:
+    """The doc_id, or for documents without one a key made of the text."""
+    return F.coalesce(F.col(id_col).cast("long"), F.xxhash64(F.lit("no doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+
+
+def _labels_by_id(comp: DataFrame, classes: DataFrame) -> DataFrame:
+    """Components that a key made of a text names take their smallest doc_id as the name, if they have one."""
+    unnamed = classes.filter("real is null").select(F.col("rep").alias("key"))
+    touched = comp.join(unnamed, F.col("component") == F.col("key"), "left_semi")
+    names = (touched.join(unnamed, F.col("id") == F.col("key"), "left_anti")
+             .groupBy("component").agg(F.min("id").alias("name")))
+    renamed = comp.join(names, "component", "left").select("id", F.coalesce("name", "component").alias("component"))
+    return renamed.union(names.select(F.col("component").alias("id"), F.col("name").alias("component")))     # the name given up has no row of its own
+
+
 def near_duplicates(docs: DataFrame, params: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: set size, class representative, component and whether the document stays."""
+    return _verdicts(docs, params, id_col, text_col).select(
+        F.when(F.col("named"), F.col("key")).alias("doc_id"), "n_shingles", "class_id", "component_id", "kept")
+
+
+def drop_near_duplicates(docs: DataFrame, params: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, with all their columns, that stay. Rows of one doc_id share its verdict; of equal texts without an id one stays."""
+    kept = saved(_verdicts(docs, params, id_col, text_col).filter("kept").select(F.col("key").alias("_kept"), "named", "n_shingles"), "kept")
+    named = docs.filter(F.col(id_col).isNotNull()).join(kept.filter("named").select("_kept"), F.col(id_col).cast("long") == F.col("_kept"), "left_semi")
+    bare = docs.filter(F.col(id_col).isNull()).withColumn("_key", _key(id_col, text_col))
+    blank, said = (kept.filter(f"not named and n_shingles {x} 0").select("_kept") for x in ("=", ">"))
+    return (named.union(bare.join(blank, F.col("_key") == F.col("_kept"), "left_semi").drop("_key"))
+            .union(bare.join(said, F.col("_key") == F.col("_kept"), "left_semi").dropDuplicates(["_key"]).drop("_key")))
+
+
+def _verdicts(docs: DataFrame, params: Params, id_col: str, text_col: str) -> DataFrame:
+    """(key, named, n_shingles, class_id, component_id, kept) of each doc_id and each text without one."""
     ship(docs.sparkSession)
-    src = text_column(docs, id_col, text_col)
+    src = docs.select(_key(id_col, text_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
+                      F.col(id_col).cast("long").isNotNull().alias("named"))
     sig = saved(src.mapInArrow(_signature_batches(params), SIGNATURE), "minmax")
     classes = (sig.filter("n_shingles > 0").groupBy("digest", "n_shingles")
-               .agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands")))
+               .agg(F.min(F.when(F.col("named"), F.col("doc_id"))).alias("real"), F.min("doc_id").alias("low"), F.min_by("bands", "doc_id").alias("bands"))
+               .withColumn("rep", F.coalesce("real", "low")))
     posted = classes.select(F.col("rep").alias("doc_id"), "n_shingles", "bands", F.posexplode("bands").alias("band", "value"))
     sizes = posted.groupBy("band", "value").agg(F.count("*").alias("size")).filter("size > 1")
     members = saved(posted.join(sizes, ["band", "value"]), "buckets")
@@ -222,9 +258,9 @@ def near_duplicates(docs: DataFrame, params: Params = Params(), id_col: str = "d
                    & (100 * F.least("x.n_shingles", "y.n_shingles") >= params.numerator * F.greatest("x.n_shingles", "y.n_shingles"))
                    & F.exists(F.zip_with("x.bands", "y.bands", lambda s, t: s == t), lambda v: v))
     rest = confirm(pairs.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct(), sets, params.numerator)
-    comp = components(saved(links.union(rest), "links"))
+    comp = _labels_by_id(components(saved(links.union(rest), "links")), classes)
 
     rows = sig.dropDuplicates(["doc_id"]).join(classes.select("digest", "n_shingles", "rep"), ["digest", "n_shingles"], "left")
     out = rows.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select(
-        "doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("class_id"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+        F.col("doc_id").alias("key"), "named", "n_shingles", F.coalesce("rep", "doc_id").alias("class_id"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    return out.withColumn("kept", F.col("key") == F.col("component_id"))

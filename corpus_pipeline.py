@@ -10,14 +10,15 @@ folder and read again as the next one's input. Each stage works on all that its
 4. secrets            found secrets are replaced by ``[SECRET:kind]`` in the text; every document stays
 5. byte_bpe           texts become token ids; the last stage returns (doc_id, n_tokens, ids, digests)
 
-Null and empty texts pass all stages; rows with the same doc_id share the verdict of stage 2; an empty table passes through as an empty one.
+Null and empty texts pass all stages; rows with the same doc_id share the verdict of stage 2. A document without a
+doc_id goes if its component has one with an id; else one text of the component stays, once. Stage 3 searches items
+without an item_id too. An empty table passes through as an empty one.
 """
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from cohortlab.llm import bpe, decontaminate, dedup, secrets, toxicity
 from cohortlab.llm.common import saved
@@ -44,8 +45,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = dedup.near_duplicates(docs, NEAR).filter("kept").select(F.col("doc_id").alias("_kept"))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    return dedup.drop_near_duplicates(docs, NEAR)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,6 +24,17 @@ def awkward(spark):
     return spark.createDataFrame(rows, SCHEMA)
 
 
+@pytest.fixture(scope="session")
+def unnamed(spark):
+    """Documents without an id: (lang, text), beside two with ids. Near copies differ in one word of 120."""
+    r = random.Random(9)
+    a, b, c, d = (" ".join(f"{x}{r.randrange(900)}" for _ in range(120)) for x in "abcd")
+    near = lambda t: t.rsplit(" ", 1)[0] + " anders"
+    rows = [(7, a, "a7"), (None, a, "a"), (None, near(a), "a'"), (None, b, "b"), (None, b, "b"), (None, near(b), "b'"),
+            (None, c, "c"), (-5, near(d), "d-5"), (None, d, "d"), (None, "", "empty"), (None, "", "empty"), (None, None, "null"), (None, " \n", "blank"), (None, "one", "one")]
+    return spark.createDataFrame([(i, t, x, "s", None) for i, t, x in rows], SCHEMA)
+
+
 @pytest.fixture(scope="session")
 def nothing(spark):
     return spark.createDataFrame([], SCHEMA)

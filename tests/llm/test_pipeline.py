@@ -105,3 +105,26 @@ def test_stages_at_080(spark):
     texts = {r["doc_id"]: r["text"] for r in free.collect()}
     assert {r["doc_id"]: r["text"] for r in masked.collect()} == {i: secrets.masked(t, secrets.find(t)) for i, t in texts.items()}
     assert ids(last) == ids(free) and last.filter("not round_trip or size(ids) <> n_tokens").count() == 0
+
+
+def test_documents_without_an_id(spark, unnamed):
+    """Unique ones stay, copies of each other stay once, copies of a document with an id go."""
+    got = sorted(r["lang"] for r in C.drop_near_duplicates(spark, unnamed, SMALL).collect())
+    bs = [x for x in got if x[0] == "b" and x != "blank"]
+    assert len(bs) == 1 and [x for x in got if x not in bs] == sorted(["a7", "blank", "c", "d-5", "empty", "empty", "null", "one"])
+    rows = dedup.near_duplicates(unnamed).collect()
+    assert all(r["kept"] is not None and r["component_id"] is not None for r in rows)
+    assert {r["doc_id"]: r["component_id"] for r in rows if r["doc_id"] is not None} == {7: 7, -5: -5}
+    assert sum(r["component_id"] == 7 for r in rows) == 3 and sum(r["component_id"] == -5 for r in rows) == 2
+    frame = unnamed
+    for name, stage in C.STAGES:
+        frame = stage(spark, frame, SMALL)
+    assert len(frame.collect()) == len(got)
+
+
+def test_items_without_an_id(spark):
+    r = random.Random(4)
+    item, other = (" ".join(f"x{r.randrange(3000)}" for _ in range(40)) for _ in range(2))
+    docs = spark.createDataFrame([(1, "before " + item + " after"), (2, other), (None, item)], "doc_id long, text string")
+    items = spark.createDataFrame([(None, item)], "item_id long, text string")
+    assert [x["doc_id"] for x in decontaminate.drop_contaminated(docs, items).collect()] == [2]
