@@ -4,9 +4,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from . import bpe, decontaminate, dedup, language, licenses, quality, secrets, substring, tokens, toxicity
+from . import bpe, decontaminate, dedup, exact, language, licenses, oracle, periodic, quality, secrets, selection, substring, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +61,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(docs, model).withColumn("held_out", toxicity.held_out())
 
 
+def op11_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = selection.resampled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.run_digests(periodic.periodic_runs(periodic.with_planted_runs(_table(spark, sf_dir, "documents"))))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the documents, by a hash of the id, are the history; the others come as a batch."""
+    return exact.exact_duplicates(_table(spark, sf_dir, "documents"), F.pmod(F.xxhash64("id"), F.lit(2)) == 0)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     ensure_checkpoint_dir(spark)
@@ -68,8 +83,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_substring_dedup, op2_decontaminate, op3_byte_bpe, op4_minhash_dedup, op5_license_scan, op6_secret_scan, op7_quality_rules, op8_token_files, op9_language_id, op10_toxicity, pipeline)}
+        op1_substring_dedup, op2_decontaminate, op3_byte_bpe, op4_minhash_dedup, op5_license_scan, op6_secret_scan,
+        op7_quality_rules, op8_token_files, op9_language_id, op10_toxicity, op11_importance_resample,
+        op12_periodic_runs, op13_exact_dedup, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.ORACLE_SQL
