@@ -221,8 +221,7 @@ def share_of_max(df: DataFrame, c: str, out: str | None = None) -> DataFrame:
 
 # ---------------------------------------------------------------- order statistics
 
-def quantiles(df: DataFrame, by: Sequence[str], cols: Sequence[str], probs: Mapping[str, float],
-              rows_per_bucket: int = 500_000) -> DataFrame:
+def quantiles(df: DataFrame, by: Sequence[str], cols: Sequence[str], probs: Mapping[str, float]) -> DataFrame:
     """Exact quantiles (linear interpolation) as order statistics, long: by, name, statistic, value, n.
 
     Values are counted with map-side combining and ranked by two-level running sums, so no task holds a group's
@@ -233,7 +232,7 @@ def quantiles(df: DataFrame, by: Sequence[str], cols: Sequence[str], probs: Mapp
     long = long.withColumn("__v", F.col("__v").cast("double")).filter(F.col("__v").isNotNull())
     key = [*by, "name"]
     counts = long.groupBy(*key, "__v").agg(F.count(F.lit(1)).cast("double").alias("__n"))
-    ranked = running_sums(counts, key, "__v", ["__n"], rows_per_bucket=rows_per_bucket, prefix="__c")
+    ranked = running_sums(counts, key, "__v", ["__n"], bucketed=True, prefix="__c")
     total = counts.groupBy(*key).agg(F.sum("__n").alias("__t"))
     rows = ranked.join(total, key)
     aggs = []
@@ -253,36 +252,36 @@ def quantiles(df: DataFrame, by: Sequence[str], cols: Sequence[str], probs: Mapp
 # ---------------------------------------------------------------- distributed running sums
 
 def running_sums(df: DataFrame, keys: Sequence[str], order: str, cols: Sequence[str], descending: bool = False,
-                 inclusive: bool = True, rows_per_bucket: int | None = None, prefix: str = "cum_") -> DataFrame:
-    """Running (prefix) sums of ``cols`` along ``order`` within each key; rows must be distinct per order value.
-
-    ``rows_per_bucket=None``: one window per key (one task per key — right when keys are many and small).
-    Otherwise a two-level prefix sum that does not put a large key into one task: the key's order range is
-    cut into ``ceil(rows / rows_per_bucket)`` equal-width buckets, bucket totals get an exclusive prefix sum
-    over the small (key, bucket) frame, and each bucket finishes with its own window plus that offset.
-    Exact: only the summation order differs.
+                 inclusive: bool = True, bucketed: bool = False, prefix: str = "cum_", how: str = "sum") -> DataFrame:
+    """Running sums (``how="max"``: running maxima) of ``cols`` along ``order`` in each key; rows must be distinct
+    per order value.
+
+    ``bucketed=False``: one window per key (right when keys are many and small). ``True``: range partitions cut at
+    sampled quantiles of (keys, order) and written once; their totals get an exclusive prefix over the small
+    (key, partition) frame, and each partition finishes with its own window plus that offset. No task holds a large
+    key, however skewed its axis. Exact: only the summation order differs.
     """
+    from ..session import saved
     keys = list(keys)
     ordering = F.col(order).desc() if descending else F.col(order).asc()
     frame_end = 0 if inclusive else -1
-    if rows_per_bucket is None:
+    fold = F.sum if how == "sum" else F.max
+    zero = F.lit(0.0) if how == "sum" else F.lit(None).cast("double")
+    if not bucketed:
         w = Window.partitionBy(*keys).orderBy(ordering).rowsBetween(Window.unboundedPreceding, frame_end)
-        return df.select("*", *[F.coalesce(F.sum(c).over(w), F.lit(0.0)).alias(prefix + c) for c in cols])
-    rng = df.groupBy(*keys).agg(F.min(order).alias("__lo"), F.max(order).alias("__hi"),
-                                F.count(F.lit(1)).alias("__cnt"))
-    nb = F.greatest(F.lit(1), F.ceil(F.col("__cnt") / float(rows_per_bucket))).cast("long")
-    span = F.col("__hi").cast("double") - F.col("__lo").cast("double")
-    pos = F.when(span > 0, F.floor((F.col(order).cast("double") - F.col("__lo").cast("double")) / span * nb)) \
-        .otherwise(F.lit(0))
-    b = F.least(pos, nb - 1)
-    if descending:
-        b = nb - 1 - b  # bucket order follows the summation direction
-    x = (df.join(F.broadcast(rng), keys) if keys else df.crossJoin(F.broadcast(rng))).withColumn("__b", b.cast("long"))
-    tot = x.groupBy(*keys, "__b").agg(*[F.sum(c).alias(f"__t_{c}") for c in cols])
-    wb = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    off = tot.select(*keys, "__b", *[F.coalesce(F.sum(f"__t_{c}").over(wb), F.lit(0.0)).alias(f"__o_{c}") for c in cols])
-    x = x.join(off, keys + ["__b"])
+        return df.select("*", *[F.coalesce(fold(c).over(w), zero).alias(prefix + c) for c in cols])
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    x = saved(df.repartitionByRange(n, *keys, order).withColumn("__b", F.spark_partition_id()), "running-ranges")
+    tot = x.groupBy(*keys, "__b").agg(*[fold(c).alias(f"__t_{c}") for c in cols])
+    wb = Window.partitionBy(*keys).orderBy(F.col("__b").desc() if descending else F.col("__b").asc()).rowsBetween(Window.unboundedPreceding, -1)
+    off = tot.select(*keys, "__b", *[F.coalesce(fold(f"__t_{c}").over(wb), zero).alias(f"__o_{c}") for c in cols])
+    same = F.lit(True)
+    for k in [*keys, "__b"]:            # keys may be NULL
+        same = same & F.col(f"x.{k}").eqNullSafe(F.col(f"o.{k}"))
+    x = x.alias("x").join(off.alias("o"), same).select("x.*", *[f"o.__o_{c}" for c in cols])
     wi = Window.partitionBy(*keys, "__b").orderBy(ordering).rowsBetween(Window.unboundedPreceding, frame_end)
-    out = x.select(*df.columns, *[(F.col(f"__o_{c}") + F.coalesce(F.sum(c).over(wi), F.lit(0.0))).alias(prefix + c)
-                                  for c in cols])
-    return out
+
+    def both(c):
+        own = F.coalesce(fold(c).over(wi), zero)
+        return F.col(f"__o_{c}") + own if how == "sum" else F.greatest(F.col(f"__o_{c}"), own)
+    return x.select(*df.columns, *[both(c).alias(prefix + c) for c in cols])

@@ -3,10 +3,12 @@
 Batched IRLS for many logistic models at once
 ---------------------------------------------
 Rows are first compressed to covariate patterns ``(keys, x...) -> (y_sum, n)`` (one partial-aggregated
-shuffle). Each IRLS iteration is then ONE Spark aggregate over the patterns grouped by model key,
-returning the deviance at the current coefficients and the normal equations X'WX, X'Wz. Only the
-p x p systems (one per model key, bounded by the model grid) come to the driver, are solved with NumPy,
-and go back as a small broadcast coefficient frame — the plan does not grow across iterations.
+shuffle). Each IRLS iteration is then ONE Spark job: an aggregate over the patterns grouped by model key gives the
+deviance at the current coefficients and the normal equations X'WX, X'Wz, and the p x p systems are solved as arrays
+in the tasks where the keys' sums arrive. Coefficients, deviances and convergence flags are a DataFrame (one row per
+key) between iterations; the driver learns how many keys are still going and nothing else, so the number of models is
+not bounded by the driver. The join of patterns and coefficients is broadcast only if Spark finds the written state
+below its threshold.
 
 Conventions follow R ``glm(family = binomial)`` on person rows: start from ``mustart = (y + 0.5) / 2``,
 convergence ``|dev - dev_old| / (|dev| + 0.1) < 1e-8``, at most 25 iterations, Bernoulli deviance,
@@ -18,21 +20,18 @@ import math
 from collections.abc import Mapping, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dist
-from .relational import checked_broadcast
+from .relational import checked_broadcast, join_null_safe
 
 INTERCEPT = "(Intercept)"
 _EPS = 2.220446049250313e-16
 _THRESH = 30.0  # beyond this |eta| the inverse logit link is held at its value there
 
 
-def _key_tuple(row, keys):
-    return tuple(row[k] for k in keys)
-
-
 def complete_cases(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Rows without a missing (NULL or NaN) value in ``cols``: what a model is fitted on."""
     return df.dropna(how="any", subset=list(dict.fromkeys(cols)))
@@ -66,16 +65,6 @@ def _gram_aggs(xcols: Sequence[str], wcol: Column, zcol: Column | None) -> list[
     return out
 
 
-def _unpack(row, p: int, with_r: bool = True):
-    g = np.zeros((p, p))
-    for i in range(p):
-        for j in range(i, p):
-            v = row[f"__g_{i}_{j}"] or 0.0
-            g[i, j] = g[j, i] = v
-    r = np.array([row[f"__r_{i}"] or 0.0 for i in range(p)]) if with_r else None
-    return g, r
-
-
 def alias_mask(gram: np.ndarray, tol: float = 1e-9) -> np.ndarray:
     """K9: sequential sweep in column order; a column is aliased when its residual sum of squares after
     projection on the kept columns is <= tol * its own sum of squares (or it is all zero)."""
@@ -101,6 +90,66 @@ def alias_mask(gram: np.ndarray, tol: float = 1e-9) -> np.ndarray:
     return keep
 
 
+def alias_masks(gram: np.ndarray, tol: float = 1e-9) -> np.ndarray:
+    """:func:`alias_mask` of many Gram matrices (n, p, p) at once."""
+    n, p = gram.shape[:2]
+    keep = np.zeros((n, p), dtype=bool)
+    for j in range(p):
+        own = gram[:, j, j]
+        cross = np.where(keep, gram[:, :, j], 0.0)
+        resid = own - (cross * masked_solve(gram, cross, keep)).sum(axis=1)
+        keep[:, j] = (own > 0) & (resid > tol * own)
+    return keep
+
+
+def masked_solve(gram: np.ndarray, rhs: np.ndarray, keep: np.ndarray) -> np.ndarray:
+    """Solutions of many systems on their kept columns, 0 elsewhere."""
+    both = keep[:, :, None] & keep[:, None, :]
+    system = np.where(both, gram, 0.0) + np.eye(gram.shape[1]) * ~keep[:, None, :]
+    rhs = np.where(keep, rhs, 0.0)
+    try:
+        return np.linalg.solve(system, rhs[..., None])[..., 0]
+    except np.linalg.LinAlgError:
+        return (np.linalg.pinv(system) @ rhs[..., None])[..., 0]
+
+
+def masked_se(gram: np.ndarray, keep: np.ndarray) -> np.ndarray:
+    """Square roots of the inverse's diagonal on the kept columns."""
+    both = keep[:, :, None] & keep[:, None, :]
+    system = np.where(both, gram, 0.0) + np.eye(gram.shape[1]) * ~keep[:, None, :]
+    try:
+        cov = np.linalg.inv(system)
+    except np.linalg.LinAlgError:
+        cov = np.linalg.pinv(system)
+    return np.sqrt(np.maximum(np.diagonal(cov, axis1=1, axis2=2), 0.0))
+
+
+def _grams(batch: pa.RecordBatch, p: int) -> np.ndarray:
+    """The __g_i_j columns of a batch as symmetric matrices; sums over no rows are 0."""
+    out = np.zeros((batch.num_rows, p, p))
+    for i in range(p):
+        for j in range(i, p):
+            out[:, i, j] = out[:, j, i] = _doubles(batch, f"__g_{i}_{j}")
+    return out
+
+
+def _doubles(batch: pa.RecordBatch, c: str) -> np.ndarray:
+    return batch.column(c).fill_null(0.0).to_numpy(zero_copy_only=False)
+
+
+def _vectors(batch: pa.RecordBatch, c: str, width: int) -> np.ndarray:
+    return batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, width).copy()
+
+
+def _lists(m: np.ndarray) -> pa.Array:
+    n, k = m.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * k), pa.array(np.ascontiguousarray(m).ravel()))
+
+
+_LOGIT_STATE = ["__beta array<double>", "__keep array<boolean>", "__gram array<double>", "__dev_old double", "__dev_now double", "__nobs double",
+                "__going boolean", "__steps int"]
+
+
 def logit_grouped(df: DataFrame, keys: Sequence[str], y: str, xs: Sequence[str], weight: str | None = None,
                   max_iter: int = 25, epsilon: float = 1e-8, compressed: bool = False,
                   persist: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -108,98 +157,98 @@ def logit_grouped(df: DataFrame, keys: Sequence[str], y: str, xs: Sequence[str],
 
     coefficients: keys, term, estimate, std_error, statistic, p_value (aliased terms omitted, as in tidy())
     fits: keys, deviance, df_residual, n_obs, rank, converged, iterations, aic
-    ``xs`` order is the term order used to drop aliased columns from the right.
+    ``xs`` order is the term order used to drop aliased columns from the right. Keys may be NULL.
     """
-    keys = list(keys)
-    xs = list(xs)
-    spark = df.sparkSession
+    from ..session import drop_saved, run_by_value, saved, saved_counting
+    keys, xs = list(keys), list(xs)
     pat = df if compressed else compress(df, keys, y, xs, weight)
-    if persist:
-        # re-read by every IRLS iteration: reliable checkpoint cuts the lineage (short plans per
-        # iteration, recomputation-free after executor loss)
-        from ..session import cut_lineage, reread_partitions
-        pat = cut_lineage(pat, reread_partitions(spark))
+    if persist:     # re-read by every iteration: written once to the shared folder
+        pat = saved(pat, "logit-patterns")
     p = len(xs) + 1
     terms = [INTERCEPT] + xs
+    key_ddl = "".join(f"`{n}` {t}, " for n, t in _key_types(pat, keys))
+    state_cols = [c.split()[0] for c in _LOGIT_STATE]
+    run_by_value(__name__)
+
+    def rows(batch: pa.RecordBatch, *cols) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), *cols], names=[*keys, *state_cols])
+
+    def start(batches):
+        for batch in batches:
+            n = batch.num_rows
+            gram = _grams(batch, p)
+            keep = alias_masks(gram)
+            beta = masked_solve(gram, np.stack([_doubles(batch, f"__r_{i}") for i in range(p)], axis=1), keep)
+            dev = pa.array(_doubles(batch, "__dev"))
+            yield rows(batch, _lists(beta), _lists(keep), _lists(gram.reshape(n, -1)), dev, dev, pa.array(_doubles(batch, "__nobs_0")),
+                       pa.array(np.ones(n, bool)), pa.array(np.zeros(n, np.int32)))
+
+    def step(batches):
+        """Rows of the state, with the new sums where a key was still going."""
+        for batch in batches:
+            n = batch.num_rows
+            old, keep = _vectors(batch, "__beta", p), _vectors(batch, "__keep", p).astype(bool)
+            gram_used = _vectors(batch, "__gram", p * p)
+            going = batch.column("__going").to_numpy(zero_copy_only=False).astype(bool)
+            dev_old, dev = _doubles(batch, "__dev_old"), np.where(going, _doubles(batch, "__dev"), _doubles(batch, "__dev_now"))
+            done = going & (np.abs(dev - dev_old) / (np.abs(dev) + 0.1) < epsilon)
+            on = going & ~done
+            gram = np.where(on[:, None, None], _grams(batch, p), np.eye(p))
+            new = masked_solve(gram, np.stack([_doubles(batch, f"__r_{i}") for i in range(p)], axis=1), keep)
+            steps = batch.column("__steps").to_numpy(zero_copy_only=False) + going.astype(np.int32)
+            yield rows(batch, _lists(np.where(on[:, None], new, old)), _lists(keep), _lists(np.where(on[:, None], gram.reshape(n, -1), gram_used)),
+                       pa.array(np.where(on, dev, dev_old)), pa.array(dev), batch.column("__nobs"), pa.array(on), pa.array(steps.astype(np.int32)))
+
+    def errors(batches):
+        for batch in batches:
+            keep = _vectors(batch, "__keep", p).astype(bool)
+            se = masked_se(_vectors(batch, "__gram", p * p).reshape(-1, p, p), keep)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), batch.column("__beta"), batch.column("__keep"), _lists(se)],
+                                             names=[*keys, "__beta", "__keep", "__se"])
 
     # iteration 0 at mustart = (y + 0.5)/2 per person: w = 3/16 per person, z = +-(logit(3/4) + 4/3)
     z0 = math.log(3.0) + 4.0 / 3.0
     w0 = F.lit(0.1875) * F.col("__n")
     wz0 = F.lit(0.1875 * z0) * (2.0 * F.col("__y") - F.col("__n"))
     dev0 = F.lit(-2.0 * math.log(0.75)) * F.col("__n")
-    agg0 = pat.groupBy(*keys).agg(*_gram_aggs(xs, w0, wz0), F.sum(dev0).alias("__dev"),
-                                  F.sum("__n").alias("__nobs"))
-    rows = agg0.collect()  # one row per model key (bounded by the model grid)
-    state = {}
-    for r in rows:
-        k = _key_tuple(r, keys)
-        g, rhs = _unpack(r, p)
-        keep = alias_mask(g)
-        state[k] = {"keep": keep, "dev_old": r["__dev"], "nobs": r["__nobs"], "gram": g, "rhs": rhs,
-                    "beta": None, "converged": False, "iter": 0}
-    for st in state.values():
-        st["beta"] = _solve(st["gram"], st["rhs"], st["keep"])
-        st["gram_used"] = st["gram"]
-
-    key_ddl = ", ".join(f"`{n}` {t}" for n, t in _key_types(pat, keys))
-    beta_ddl = ", ".join(([key_ddl] if key_ddl else []) + [f"__b_{i} double" for i in range(p)])
-    for it in range(1, max_iter + 1):
-        active = [k for k, st in state.items() if not st["converged"]]
-        if not active:
-            break
-        bframe = _beta_frame(spark, active, state, beta_ddl)
+    agg0 = pat.groupBy(*keys).agg(*_gram_aggs(xs, w0, wz0), F.sum(dev0).alias("__dev"), F.sum("__n").alias("__nobs_0"))
+    ddl = key_ddl + ", ".join(_LOGIT_STATE)
+    state = saved(agg0.mapInArrow(start, ddl), "logit-state")
+    for _ in range(max_iter):
+        now = state.filter("__going").select(*keys, *[F.element_at("__beta", i + 1).alias(f"__b_{i}") for i in range(p)])
         eta = F.lit(0.0)
         for i in range(p):
             xi = F.lit(1.0) if i == 0 else F.col(xs[i - 1]).cast("double")
             eta = eta + F.col(f"__b_{i}") * xi
-        mu = 1.0 / (1.0 + F.exp(-F.greatest(F.least(eta, F.lit(_THRESH)), F.lit(-_THRESH))))
-        var = mu * (1.0 - mu)
-        w = F.col("__n") * var
-        wz = w * eta + (F.col("__y") - F.col("__n") * mu)
-        dev = -2.0 * (F.when(F.col("__y") > 0, F.col("__y") * F.log(mu)).otherwise(0.0)
-                      + F.when(F.col("__n") - F.col("__y") > 0, (F.col("__n") - F.col("__y")) * F.log(1.0 - mu))
-                      .otherwise(0.0))
-        joined = pat.join(F.broadcast(bframe), keys, "inner") if keys else pat.crossJoin(F.broadcast(bframe))
-        # per-row working weight / response / deviance as columns first: the p(p+1)/2 sums then multiply
-        # plain columns instead of each re-expanding the p-term linear predictor (small generated code)
-        rowwise = joined.select(*keys, *xs, w.alias("__w"), wz.alias("__wz"), dev.alias("__dv"))
-        agg = rowwise.groupBy(*keys).agg(*_gram_aggs(xs, F.col("__w"), F.col("__wz")), F.sum("__dv").alias("__dev"))
-        for r in agg.collect():
-            k = _key_tuple(r, keys)
-            st = state[k]
-            d = r["__dev"]
-            st["iter"] = it
-            st["dev"] = d
-            if abs(d - st["dev_old"]) / (abs(d) + 0.1) < epsilon:
-                st["converged"] = True
-                continue
-            g, rhs = _unpack(r, p)
-            st["dev_old"] = d
-            st["gram_used"] = g
-            st["beta"] = _solve(g, rhs, st["keep"])
-    coef_rows, fit_rows = [], []
-    for k, st in state.items():
-        keep = st["keep"]
-        kk = np.where(keep)[0]
-        g = st["gram_used"][np.ix_(kk, kk)]
-        try:
-            cov = np.linalg.inv(g)
-        except np.linalg.LinAlgError:
-            cov = np.linalg.pinv(g)
-        se = np.sqrt(np.maximum(np.diag(cov), 0.0))
-        for pos, i in enumerate(kk):
-            coef_rows.append((*k, terms[i], float(st["beta"][i]), float(se[pos])))
-        rank = int(keep.sum())
-        dev = float(st.get("dev", st["dev_old"]))
-        fit_rows.append((*k, dev, float(st["nobs"] - rank), float(st["nobs"]), rank, bool(st["converged"]),
-                         int(st["iter"]), dev + 2.0 * rank))
-    pre = (key_ddl + ", ") if key_ddl else ""
-    coefs = spark.createDataFrame(coef_rows, pre + "term string, estimate double, std_error double")
-    coefs = coefs.withColumn("statistic", F.col("estimate") / F.col("std_error")) \
-        .withColumn("p_value", dist.norm_two_sided_p(F.col("statistic")))
-    fits = spark.createDataFrame(fit_rows, pre + "deviance double, df_residual double, n_obs double, rank int, "
-                                               "converged boolean, iterations int, aic double")
-    return coefs, fits
+        mu = 1.0 / (1.0 + F.exp(-F.greatest(F.least(F.col("__eta"), F.lit(_THRESH)), F.lit(-_THRESH))))
+        w = F.col("__n") * F.col("__mu") * (1.0 - F.col("__mu"))
+        wz = F.col("__w") * F.col("__eta") + (F.col("__y") - F.col("__n") * F.col("__mu"))
+        dev = -2.0 * (F.when(F.col("__y") > 0, F.col("__y") * F.log("__mu")).otherwise(0.0)
+                      + F.when(F.col("__n") - F.col("__y") > 0, (F.col("__n") - F.col("__y")) * F.log(1.0 - F.col("__mu"))).otherwise(0.0))
+        # working weight, response and deviance as columns first: the p(p+1)/2 sums then multiply plain columns
+        # instead of each re-expanding the p-term linear predictor (small generated code)
+        at = join_null_safe(pat, now, keys).withColumn("__eta", eta).withColumn("__mu", mu).withColumn("__w", w)
+        rowwise = at.select(*keys, *xs, "__w", wz.alias("__wz"), dev.alias("__dv"))
+        sums = rowwise.groupBy(*keys).agg(*_gram_aggs(xs, F.col("__w"), F.col("__wz")), F.sum("__dv").alias("__dev"))
+        new, seen = saved_counting(join_null_safe(state, sums, keys, "left").mapInArrow(step, ddl), "logit-state", going=F.count_if("__going"))
+        drop_saved(state)
+        state = new
+        if not seen["going"]:
+            break
+    rank = F.size(F.filter("__keep", lambda k: k))
+    fits = state.select(*keys, F.col("__dev_now").alias("deviance"), (F.col("__nobs") - rank).alias("df_residual"), F.col("__nobs").alias("n_obs"),
+                        rank.alias("rank"), (~F.col("__going")).alias("converged"), F.col("__steps").alias("iterations"),
+                        (F.col("__dev_now") + 2.0 * rank).alias("aic"))
+    solved = state.mapInArrow(errors, key_ddl + "__beta array<double>, __keep array<boolean>, __se array<double>")
+    return _tidy(solved, keys, terms), fits
+
+
+def _tidy(solved: DataFrame, keys: Sequence[str], terms: Sequence[str]) -> DataFrame:
+    """(keys, __beta[], __keep[], __se[]) -> one row per kept term."""
+    cells = F.arrays_zip(F.array(*map(F.lit, terms)).alias("term"), F.col("__beta").alias("b"), F.col("__se").alias("s"), F.col("__keep").alias("k"))
+    t = solved.select(*keys, F.explode(cells).alias("__t")).filter("__t.k")
+    t = t.select(*keys, F.col("__t.term").alias("term"), F.col("__t.b").alias("estimate"), F.col("__t.s").alias("std_error"))
+    return t.withColumn("statistic", F.try_divide("estimate", "std_error")).withColumn("p_value", dist.norm_two_sided_p(F.col("statistic")))
 
 
 def _key_types(df: DataFrame, keys: Sequence[str]) -> list[tuple[str, str]]:
@@ -207,23 +256,6 @@ def _key_types(df: DataFrame, keys: Sequence[str]) -> list[tuple[str, str]]:
     return [(k, d[k]) for k in keys]
 
 
-def _beta_frame(spark, active, state, ddl: str):
-    rows = [(*k, *[float(v) for v in state[k]["beta"]]) for k in active]
-    return spark.createDataFrame(rows, ddl)
-
-
-def _solve(g: np.ndarray, rhs: np.ndarray, keep: np.ndarray) -> np.ndarray:
-    beta = np.zeros(len(keep))
-    kk = np.where(keep)[0]
-    if len(kk):
-        gkk = g[np.ix_(kk, kk)]
-        try:
-            beta[kk] = np.linalg.solve(gkk, rhs[kk])
-        except np.linalg.LinAlgError:
-            beta[kk] = np.linalg.lstsq(gkk, rhs[kk], rcond=None)[0]
-    return beta
-
-
 def logit(df: DataFrame, y: str, xs: Sequence[str], weight: str | None = None, **kw):
     """A single logistic model (``xs=[]`` is the null model)."""
     return logit_grouped(df, [], y, xs, weight, **kw)
@@ -317,42 +349,36 @@ def ols_grouped(df: DataFrame, keys: Sequence[str], y: str, xs: Sequence[str], w
     Returns coefficients (keys, term, estimate, std_error, statistic, p_value [normal approx]) and fits
     (keys, rss, df_residual, n_obs, rank, sigma, xbar_<x> = weighted covariate means from the same pass).
     """
-    keys = list(keys)
-    xs = list(xs)
-    spark = df.sparkSession
+    from ..session import run_by_value, saved
+    keys, xs = list(keys), list(xs)
     p = len(xs) + 1
-    terms = [INTERCEPT] + xs
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     yv = F.col(y).cast("double")
     df = complete_cases(df, [y, *xs, *([weight] if weight else [])])
-    agg = df.groupBy(*keys).agg(*_gram_aggs(xs, w, w * yv), F.sum(w * yv * yv).alias("__yy"),
-                                F.sum(w).alias("__n"))
-    coef_rows, fit_rows = [], []
-    for r in agg.collect():  # one row per model key
-        k = _key_tuple(r, keys)
-        g, rhs = _unpack(r, p)
-        keep = alias_mask(g)
-        beta = _solve(g, rhs, keep)
-        rss = float(r["__yy"] - 2 * beta @ rhs + beta @ g @ beta)
-        rank = int(keep.sum())
-        dfr = float(r["__n"] - rank)
-        sigma2 = rss / dfr if dfr > 0 else float("nan")
-        kk = np.where(keep)[0]
-        cov = np.linalg.pinv(g[np.ix_(kk, kk)]) * sigma2
-        se = np.sqrt(np.maximum(np.diag(cov), 0.0))
-        for pos, i in enumerate(kk):
-            coef_rows.append((*k, terms[i], float(beta[i]), float(se[pos])))
-        xbar = [float(g[0, i] / g[0, 0]) if g[0, 0] else None for i in range(1, p)]
-        fit_rows.append((*k, rss, dfr, float(r["__n"]), rank, math.sqrt(sigma2) if sigma2 == sigma2 else None, *xbar))
-    kt = _key_types(df, keys)
-    pre = ", ".join(f"`{n}` {t}" for n, t in kt)
-    pre = pre + ", " if pre else ""
-    coefs = spark.createDataFrame(coef_rows, pre + "term string, estimate double, std_error double") \
-        .withColumn("statistic", F.col("estimate") / F.col("std_error")) \
-        .withColumn("p_value", dist.norm_two_sided_p(F.col("statistic")))
-    fits = spark.createDataFrame(fit_rows, pre + "rss double, df_residual double, n_obs double, rank int, sigma double"
-                                 + "".join(f", `xbar_{x}` double" for x in xs))
-    return coefs, fits
+    agg = df.groupBy(*keys).agg(*_gram_aggs(xs, w, w * yv), F.sum(w * yv * yv).alias("__yy"), F.sum(w).alias("__n"))
+    run_by_value(__name__)
+
+    def solve(batches):
+        for batch in batches:
+            gram, rhs = _grams(batch, p), np.stack([_doubles(batch, f"__r_{i}") for i in range(p)], axis=1)
+            keep = alias_masks(gram)
+            beta = masked_solve(gram, rhs, keep)
+            rss = _doubles(batch, "__yy") - 2 * (beta * rhs).sum(axis=1) + np.einsum("ki,kij,kj->k", beta, gram, beta)
+            n, rank = _doubles(batch, "__n"), keep.sum(axis=1)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                sigma = np.sqrt(np.maximum(rss, 0.0) / (n - rank))
+                xbar = gram[:, 0, 1:] / gram[:, :1, 0]
+            has = n > rank
+            se = masked_se(gram, keep) * np.where(has, sigma, np.nan)[:, None]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(k) for k in keys), _lists(beta), _lists(keep), _lists(se), pa.array(rss), pa.array(n - rank), pa.array(n),
+                 pa.array(rank.astype(np.int32)), pa.array(sigma, mask=~has), *(pa.array(xbar[:, i], mask=~(n > 0)) for i in range(p - 1))],
+                names=[*keys, "__beta", "__keep", "__se", "rss", "df_residual", "n_obs", "rank", "sigma", *[f"xbar_{x}" for x in xs]])
+
+    ddl = "".join(f"`{n}` {t}, " for n, t in _key_types(df, keys)) + "__beta array<double>, __keep array<boolean>, __se array<double>, rss double, " \
+        "df_residual double, n_obs double, rank int, sigma double" + "".join(f", `xbar_{x}` double" for x in xs)
+    solved = saved(agg.mapInArrow(solve, ddl), "ols")
+    return _tidy(solved, keys, [INTERCEPT] + xs), solved.drop("__beta", "__keep", "__se")
 
 
 def predict_linear(df: DataFrame, coefs: DataFrame, xs: Sequence[str], keys: Sequence[str] = (),

@@ -40,6 +40,18 @@ def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
     return big.join(checked_broadcast(small, max_bytes), on=on, how=how)
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on same-named keys in which NULL equals NULL; ``on=[]`` pairs with a one-row frame."""
+    if not on:
+        return left.join(right, how=how) if how != "inner" else left.crossJoin(right)
+    left, right = left.alias("__l"), right.alias("__r")
+    same = F.col(f"__l.`{on[0]}`").eqNullSafe(F.col(f"__r.`{on[0]}`"))
+    for k in on[1:]:
+        same = same & F.col(f"__l.`{k}`").eqNullSafe(F.col(f"__r.`{k}`"))
+    rest = [c for c in right.columns if c not in on] if how not in ("left_semi", "left_anti") else []
+    return left.join(right, same, how).select("__l.*", *[f"__r.`{c}`" for c in rest])
+
+
 # ---------------------------------------------------------------- C3, C8, C9, C10
 
 def join_on_expr(left: DataFrame, right: DataFrame, left_key: Column, right_key: str,

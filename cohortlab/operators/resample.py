@@ -1,70 +1,12 @@
-"""Bootstrap, g-computation and effect measures.
-
-Bootstrap at scale
-------------------
-Each person row gets, for every iteration b = 1..B, a multiplicity drawn from Poisson(1) (the
-"Poisson bootstrap": the distributed form of n-out-of-n resampling, any seeded draw being acceptable
-for the reference). Draws come from a counter-based hash of (seed, b, row key) -> uniform -> Poisson
-inverse CDF, all native expressions, so results do not depend on partitioning and a lost task
-recomputes the same draws. Iteration 0 is the "Apparent" fit with weight 1. Rows with weight 0 are
-dropped, and models fed by :func:`bootstrap_weights` compress to covariate patterns per iteration,
-so the shuffle is B x #patterns, not B x #persons.
-"""
+"""g-computation, effect measures and percentile intervals; bootstrap draws are in ``vectors``."""
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 APPARENT = 0
-_POIS_TERMS = 24  # P(Poisson(1) > 24) < 1e-25: the truncated inverse CDF is exact in double precision
-
-
-def uniform_hash(*cols: Column, seed: int = 0) -> Column:
-    """Deterministic U(0,1) from a 64-bit hash of the given columns (53 random bits)."""
-    h = F.xxhash64(F.lit(seed), *cols)
-    return (F.shiftrightunsigned(h, 11).cast("double") + 0.5) / float(1 << 53)
-
-
-def poisson1(u: Column) -> Column:
-    """Inverse CDF of Poisson(1) at u (native ``aggregate`` over k = 0..24)."""
-    e1 = math.exp(-1.0)
-    acc = F.aggregate(
-        F.sequence(F.lit(1), F.lit(_POIS_TERMS)),
-        F.struct(F.lit(e1).alias("p"), F.lit(e1).alias("c"), F.lit(0).alias("k"), F.lit(False).alias("done")),
-        lambda a, k: F.struct(
-            (a["p"] / k).alias("p"),
-            (a["c"] + a["p"] / k).alias("c"),
-            F.when(a["done"] | (u <= a["c"]), a["k"]).otherwise(k).alias("k"),
-            (a["done"] | (u <= a["c"])).alias("done"),
-        ),
-        lambda a: a["k"],
-    )
-    return acc
-
-
-def bootstrap_weights(df: DataFrame, row_key: Sequence[str], n_boot: int, seed: int = 0,
-                      apparent: bool = True, iter_col: str = "bootstrap_iteration",
-                      weight_col: str = "boot_w") -> DataFrame:
-    """Rows x iterations with a bootstrap multiplicity (Poisson(1)); iteration 0 = Apparent (w=1).
-
-    ``row_key`` must identify a row (e.g. the person id); zero-weight rows are dropped.
-    """
-    first = 0 if apparent else 1
-    it = F.explode(F.sequence(F.lit(first), F.lit(n_boot))).alias(iter_col)
-    x = df.select("*", it)
-    u = uniform_hash(F.col(iter_col), *[F.col(c) for c in row_key], seed=seed)
-    w = F.when(F.col(iter_col) == APPARENT, F.lit(1)).otherwise(poisson1(u))
-    return x.withColumn(weight_col, w.cast("double")).filter(F.col(weight_col) > 0)
-
-
-def set_level(df: DataFrame, assignments: Mapping[str, object]) -> DataFrame:
-    """Overwrite columns with constants (a stratum assignment for g-computation)."""
-    for c, v in assignments.items():
-        df = df.withColumn(c, F.lit(v).cast(dict(df.dtypes)[c]))
-    return df
 
 
 def strata_frame(spark, strata: Mapping[str, Mapping[str, float]]) -> DataFrame:
@@ -119,11 +61,15 @@ def effects(risks: DataFrame, keys: Sequence[str], reference: str | Mapping[str,
 
 def percentile_ci(boot: DataFrame, keys: Sequence[str], cols: Sequence[str], iter_col: str = "bootstrap_iteration",
                   level: float = 0.95) -> DataFrame:
-    """Apparent estimate + percentile interval (linear interpolation, R type 7) over iterations >= 1."""
+    """Apparent estimate + percentile interval (linear interpolation, R type 7) over iterations >= 1.
+
+    A failed iteration has NULL in the first of ``cols`` and stays out of the interval: ``n_boot_used`` and
+    ``n_failed`` count both kinds. A group holds one row per iteration."""
     keys = list(keys)
     lo, hi = (1 - level) / 2, 1 - (1 - level) / 2
     app = boot.filter(F.col(iter_col) == APPARENT).select(*keys, *cols)
     ci = boot.filter(F.col(iter_col) != APPARENT).groupBy(*keys).agg(
         *[F.percentile(F.col(c), lo).alias(f"{c}_conf_low") for c in cols],
-        *[F.percentile(F.col(c), hi).alias(f"{c}_conf_high") for c in cols])
+        *[F.percentile(F.col(c), hi).alias(f"{c}_conf_high") for c in cols],
+        F.count(cols[0]).alias("n_boot_used"), F.count_if(F.col(cols[0]).isNull()).alias("n_failed"))
     return app.join(ci, keys, "left") if keys else app.crossJoin(ci)

@@ -8,21 +8,30 @@ where G is the Kaplan-Meier estimate of the censoring distribution. Hence each r
 
     S_k(t) = sum_{T_j >= t} r_j x_j^k  +  G(t-) * sum_{competing, T_j < t} r_j x_j^k / G(T_j-),   r = n e^{x b}
 
-i.e. one descending and one ascending running sum over the distinct times of a model key — no pairwise
-join. Rows are compressed to (key, time, status, x) -> n first; each Newton step is one aggregate and
-only p x p systems reach the driver. Model keys (outcome x model x bootstrap iteration) are fitted
-together; running sums are windows partitioned by key over that key's distinct times.
+i.e. one descending and one ascending running sum along the time axis of a unit - no pairwise join.
+
+Layout. Rows are compressed to patterns (unit, time, status, x) -> w[], a vector over bootstrap iterations (length 1
+without a bootstrap). Patterns are laid out once: range partitions cut at sampled quantiles of (unit, time), packed
+into chunks in the shared folder. A Newton step is two passes over the chunks: every chunk sums its rows, the sums are
+scanned per unit (one small row per chunk), and every chunk adds its offset and returns the score and information of
+its own events. Rows of one time may lie in several chunks; the scan carries sums of ties. The p x p solves happen
+where the sums arrive; coefficients stay a DataFrame between steps, and the driver sees one number, how many fits are
+still going. ``cells`` are covariate masks fitted on the same patterns (a formula grid without copies of the rows).
 """
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import drop_saved, run_by_value, saved, saved_counting
+from . import vectors
 from .agg import running_sums
-from .glm import alias_mask, complete_cases
+from .glm import alias_masks, complete_cases, masked_se, masked_solve
+from .vectors import chunked, lists, matrix, offsets, running, summed
 
 _LOG_ZERO = -745.0
 
@@ -31,58 +40,261 @@ def _pairs(p):
     return [(a, b) for a in range(p) for b in range(a, p)]
 
 
-def censoring_km(pat: DataFrame, keys: Sequence[str], time: str = "time", status: str = "status",
-                 n: str = "n", rows_per_bucket: int | None = None) -> DataFrame:
-    """Kaplan-Meier of the censoring distribution per key: (keys, time, g_minus = G(time-))."""
-    keys = list(keys)
-    t = pat.groupBy(*keys, time).agg(F.sum(n).alias("__all"),
-                                     F.sum(F.when(F.col(status) == 0, F.col(n)).otherwise(0.0)).alias("__cens"))
-    t = running_sums(t, keys, time, ["__all"], descending=True, inclusive=True, rows_per_bucket=rows_per_bucket,
-                     prefix="risk")
-    frac = 1.0 - F.col("__cens") / F.col("risk__all")
-    t = t.withColumn("__lg", F.when(frac > 0, F.log(frac)).otherwise(F.lit(_LOG_ZERO)))
-    t = running_sums(t, keys, time, ["__lg"], descending=False, inclusive=False, rows_per_bucket=rows_per_bucket,
-                     prefix="cum")
-    return t.select(*keys, time, F.exp(F.col("cum__lg")).alias("g_minus"))
+def _ddl(df: DataFrame, cols: Sequence[str]) -> str:
+    types = dict(df.dtypes)
+    return "".join(f"`{c}` {types[c]}, " for c in cols)
 
 
-def _compress(df: DataFrame, keys, time, status, xs, weight):
-    w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    return df.groupBy(*keys, F.col(time).cast("double").alias("time"), F.col(status).cast("int").alias("status"),
-                      *[F.col(x).cast("double").alias(x) for x in xs]).agg(F.sum(w).alias("n"))
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1)
 
 
-def _with_censoring(pat: DataFrame, keys, rows_per_bucket):
-    g = censoring_km(pat, keys, rows_per_bucket=rows_per_bucket)
-    return pat.join(g, list(keys) + ["time"])
+# ---- censoring distribution -----------------------------------------------------------------------------------------
 
+def censoring_km(pats: DataFrame, unit: Sequence[str], rows: int | None = None) -> DataFrame:
+    """Kaplan-Meier of the censoring distribution, per iteration: (unit..., time, g[]) with g = G(time-)."""
+    unit = list(unit)
+    run_by_value(__name__, vectors.__name__)
 
-def _risk_set_frame(pat: DataFrame, beta: DataFrame, keys, xs, rows_per_bucket=None):
-    """Per (key, event time): d, S0, S1[p], S2[p(p+1)/2] at the coefficients in ``beta``."""
-    p = len(xs)
-    keys = list(keys)
-    j = pat.join(F.broadcast(beta), keys) if keys else pat.crossJoin(F.broadcast(beta))
-    xb = F.lit(0.0)
-    for i, x in enumerate(xs):
-        xb = xb + F.col(f"__b_{i}") * F.col(x)
-    j = j.withColumn("__r", F.col("n") * F.exp(xb))
-    comp = F.col("status") >= 2
-    terms = [("0", F.lit(1.0))] + [(f"1_{i}", F.col(x)) for i, x in enumerate(xs)] + \
-            [(f"2_{a}_{b}", F.col(xs[a]) * F.col(xs[b])) for a, b in _pairs(p)]
-    aggs = [F.sum(F.when(F.col("status") == 1, F.col("n")).otherwise(0.0)).alias("__d"),
-            F.first("g_minus").alias("__g")]
-    for name, v in terms:
-        aggs.append(F.sum(F.col("__r") * v).alias(f"__a{name}"))
-        aggs.append(F.sum(F.when(comp, F.try_divide(F.col("__r") * v, F.col("g_minus"))).otherwise(0.0)).alias(f"__c{name}"))
-    t = j.groupBy(*keys, "time").agg(*aggs)
-    t = running_sums(t, keys, "time", [f"__a{name}" for name, _ in terms], descending=True, inclusive=True,
-                     rows_per_bucket=rows_per_bucket, prefix="A")
-    t = running_sums(t, keys, "time", [f"__c{name}" for name, _ in terms], descending=False, inclusive=False,
-                     rows_per_bucket=rows_per_bucket, prefix="C")
-    sel = [*keys, "time", "__d", "__g"]
-    for name, _v in terms:
-        sel.append((F.col(f"A__a{name}") + F.col("__g") * F.col(f"C__c{name}")).alias(f"S{name}"))
-    return t.select(*sel).filter(F.col("__d") > 0), terms
+    def at_risk(batches):
+        for batch in batches:
+            if batch.num_rows:
+                w = matrix(batch.column("w"))
+                c = w * (batch.column("status").to_numpy() == 0)[:, None]
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in unit), batch.column("time"), lists(np.concatenate([w, c], axis=1))],
+                                                 names=[*unit, "time", "v"])
+
+    def log_factor(batches):
+        for batch in batches:
+            if batch.num_rows:
+                v, risk = matrix(batch.column("v")), matrix(batch.column("risk"))
+                b = v.shape[1] // 2
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    frac = np.where(risk[:, :b] > 0, 1.0 - v[:, b:] / risk[:, :b], 1.0)
+                    lg = np.where(frac > 0, np.log(np.maximum(frac, 1e-300)), _LOG_ZERO)
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in unit), batch.column("time"), lists(lg)], names=[*unit, "time", "lg"])
+
+    def exponential(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in unit), batch.column("time"), lists(np.exp(matrix(batch.column("cum"))))],
+                                                 names=[*unit, "time", "g"])
+
+    key = _ddl(pats, unit) + "time double, "
+    times = summed(pats.mapInArrow(at_risk, key + "v array<double>"), [*unit, "time"])
+    risk = running(times, unit, "time", "v", "risk", descending=True, rows=rows)
+    cum = running(risk.mapInArrow(log_factor, key + "lg array<double>"), unit, "time", "lg", "cum", inclusive=False, rows=rows)
+    return cum.mapInArrow(exponential, key + "g array<double>")
+
+
+def layout(pats: DataFrame, unit: Sequence[str], xs: Sequence[str], rows: int | None = None) -> DataFrame:
+    """Patterns (unit, time, status, xs, w[]) as chunks with g[] next to events and competing events, written once."""
+    g = censoring_km(pats, unit, rows)
+    # censored rows need no G: their (often most frequent) times stay out of the join
+    events = pats.filter("status >= 1").join(g, [*unit, "time"], "left")
+    whole = events.unionByName(pats.filter("status < 1").withColumn("g", F.lit(None).cast("array<double>")))
+    return saved(chunked(whole.select(*unit, "time", "status", *xs, "w", "g"), unit, "time", rows), "survival-chunks")
+
+
+def _met(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Join spread over all shuffle partitions: chunks are few and small but costly, and would be coalesced to one task."""
+    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return left.repartition(n, *on).join(right.repartition(n, *on), list(on))
+
+
+# ---- one chunk ------------------------------------------------------------------------------------------------------
+
+class _Chunk:
+    """Arrays of one chunk row: x (m, p), w and g (m, b), times and status."""
+
+    def __init__(self, row: pa.RecordBatch, xs: Sequence[str]):
+        self.time = row.column("time")[0].values.to_numpy(zero_copy_only=False)
+        self.status = row.column("status")[0].values.to_numpy(zero_copy_only=False)
+        self.x = np.stack([row.column(c)[0].values.to_numpy(zero_copy_only=False) for c in xs], axis=1) if xs else np.zeros((len(self.time), 0))
+        self.w = matrix(row.column("w")[0].values)
+        self.g = np.ones_like(self.w)
+        g = row.column("g")[0].values
+        has = g.is_valid().to_numpy(zero_copy_only=False)
+        if has.any():
+            self.g[has] = matrix(g.filter(pa.array(has)))
+
+    def weights(self, beta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """r = w e^{x b} of all rows, and r / G(T-) of competing ones (else 0)."""
+        with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+            r = np.where(self.w > 0, self.w * np.exp(self.x @ beta), 0.0)
+            c = np.where((self.status >= 2)[:, None] & (self.g > 0), r / self.g, 0.0)
+        return r, c
+
+    def terms(self) -> Iterator[np.ndarray]:
+        p = self.x.shape[1]
+        yield np.ones(len(self.time))
+        for i in range(p):
+            yield self.x[:, i]
+        for a, b in _pairs(p):
+            yield self.x[:, a] * self.x[:, b]
+
+
+def _chunk_sums(k: _Chunk, beta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per cell, for A and C, per term and iteration: sums over the chunk and over the rows at its last time."""
+    tied = k.time == k.time[-1]
+    total, tie = [], []
+    for cell in beta:
+        for v in k.weights(cell):
+            t = np.stack(list(k.terms()))
+            total.append(t @ v)
+            tie.append(t[:, tied] @ v[tied])
+    return np.concatenate([x.ravel() for x in total]), np.concatenate([x.ravel() for x in tie])
+
+
+def _chunk_events(k: _Chunk, beta: np.ndarray, before: np.ndarray, after: np.ndarray, tied: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums over the chunk's events: per cell [loglik, bad, lambda, events, score, information], each per iteration.
+
+    Also the jump d/S0 of each event row per cell (and which rows those are)."""
+    cells, p, b = beta.shape
+    n_terms = 1 + p + p * (p + 1) // 2
+    shape = (cells, 2, n_terms, b)
+    before, after, tied = (x.reshape(shape) for x in (before, after, tied))
+    ev = np.flatnonzero(k.status == 1)
+    first = np.searchsorted(k.time, k.time[ev])             # first row with the event's time
+    at_start = (k.time[ev] == k.time[0])[:, None]
+    w, x = k.w[ev], k.x[ev]
+    live = w > 0
+    out, jumps = [], []
+    for c in range(cells):
+        r, comp = k.weights(beta[c])
+        s = []
+        for t, v in enumerate(k.terms()):
+            a = np.cumsum((r * v[:, None])[::-1], axis=0)[::-1][first] + after[c, 0, t] + at_start * tied[c, 0, t]
+            cum = np.cumsum(np.concatenate([np.zeros((1, b)), comp * v[:, None]]), axis=0)[first] + before[c, 1, t] - at_start * tied[c, 1, t]
+            s.append(a + k.g[ev] * cum)
+        s0 = s[0]
+        ok = live & (s0 > 0) & np.isfinite(s0)
+        inv = np.where(ok, 1.0 / np.where(ok, s0, 1.0), 0.0)
+        lam = w * inv
+        with np.errstate(invalid="ignore"):
+            rows = [(w * (x @ beta[c])).sum(axis=0) - np.where(ok, w * np.log(np.where(ok, s0, 1.0)), 0.0).sum(axis=0),
+                    (live & ~ok).sum(axis=0), lam.sum(axis=0), w.sum(axis=0)]
+            m = [s[1 + i] * inv for i in range(p)]
+            rows += [(w * (x[:, i:i + 1] - m[i])).sum(axis=0) for i in range(p)]
+            rows += [(w * (s[1 + p + j] * inv - m[a2] * m[b2])).sum(axis=0) for j, (a2, b2) in enumerate(_pairs(p))]
+        out.append(np.stack(rows))
+        jumps.append(lam)
+    return np.stack(out).ravel(), np.stack(jumps) if jumps else np.zeros((0, 0, b)), ev
+
+
+def _unpacked(v: np.ndarray, cells: int, p: int, b: int):
+    """loglik, bad, lambda, events (cells, b), score (cells, b, p), information (cells, b, p, p)."""
+    t = v.reshape(cells, 4 + p + p * (p + 1) // 2, b)
+    info = np.zeros((cells, b, p, p))
+    for j, (a2, b2) in enumerate(_pairs(p)):
+        info[:, :, a2, b2] = info[:, :, b2, a2] = t[:, 4 + p + j]
+    return t[:, 0], t[:, 1], t[:, 2], t[:, 3], np.moveaxis(t[:, 4:4 + p], 1, 2), info
+
+
+# ---- Newton steps ---------------------------------------------------------------------------------------------------
+
+STATE = "beta array<double>, se array<double>, keep array<boolean>, going array<boolean>, failed array<boolean>, steps array<int>, " \
+        "loglik array<double>, lam array<double>, events array<double>"
+
+
+def fit_cells(chunks: DataFrame, unit: Sequence[str], xs: Sequence[str], cells: Sequence[Sequence[bool]], b: int,
+              max_iter: int = 10, gtol: float = 1e-6, tol: float = 1e-9) -> DataFrame:
+    """One row per unit of :func:`layout` chunks with the state of its cells x iterations fits (STATE, flat arrays
+    in the order cell, covariate, iteration). ``lam`` is the baseline cumulative hazard at the last event time."""
+    unit, xs = list(unit), list(xs)
+    p, n_cells = len(xs), len(cells)
+    mask = np.array(cells, bool).reshape(n_cells, p)
+    key = _ddl(chunks, unit)
+    run_by_value(__name__, vectors.__name__, alias_masks.__module__)
+
+    def beta_of(row: pa.RecordBatch) -> np.ndarray:
+        return row.column("beta")[0].values.to_numpy(zero_copy_only=False).reshape(n_cells, p, b)
+
+    def totals(batches):
+        for row in _rows(batches):
+            k = _Chunk(row, xs)
+            total, tie = _chunk_sums(k, beta_of(row))
+            yield pa.RecordBatch.from_arrays([*(row.column(c) for c in unit), row.column("chunk"), pa.array([k.time[0]]), pa.array([k.time[-1]]),
+                                              lists(total[None]), lists(tie[None])], names=[*unit, "chunk", "first", "last", "total", "tie"])
+
+    def events(batches):
+        for row in _rows(batches):
+            v, _, _ = _chunk_events(_Chunk(row, xs), beta_of(row), *(row.column(c)[0].values.to_numpy() for c in ("before", "after", "tied")))
+            yield pa.RecordBatch.from_arrays([*(row.column(c) for c in unit), lists(v[None])], names=[*unit, "v"])
+
+    def solved(last: bool):
+        def run(batches):
+            for row in _rows(batches):
+                get = lambda c: row.column(c)[0].values.to_numpy(zero_copy_only=False).copy()
+                beta = np.moveaxis(beta_of(row), 1, 2).copy()                               # (cells, b, p)
+                keep = get("keep").astype(bool).reshape(n_cells, b, p)
+                going, failed = (get(c).astype(bool).reshape(n_cells, b) for c in ("going", "failed"))
+                steps = get("steps").reshape(n_cells, b)
+                loglik, bad, lam, n_events, score, info = _unpacked(row.column("v")[0].values.to_numpy(zero_copy_only=False), n_cells, p, b)
+                fine = (bad == 0) & np.isfinite(info).all(axis=(2, 3)) & np.isfinite(score).all(axis=2) & (n_events > 0)
+                failed |= going & ~fine         # no event, or a numerically degenerate (separated) resample
+                going &= fine
+                if not steps.any():             # first step, at beta = 0: columns without variation or collinear ones are left out
+                    part = mask[:, None, :, None] & mask[:, None, None, :] & going[..., None, None]
+                    keep = alias_masks(np.where(part, info, 0.0).reshape(n_cells * b, p, p)).reshape(keep.shape)
+                used = keep & fine[..., None]
+                system, used_flat = np.where(fine[..., None, None], info, 0.0).reshape(n_cells * b, p, p), used.reshape(n_cells * b, p)
+                if last:
+                    se = masked_se(system, used_flat).reshape(used.shape)
+                    failed |= ~fine
+                else:
+                    se = np.moveaxis(get("se").reshape(n_cells, p, b), 1, 2)
+                    grad = np.where(used, score, 0.0)
+                    step = masked_solve(system, grad.reshape(n_cells * b, p), used_flat).reshape(used.shape)
+                    beta += step * going[..., None]
+                    steps += going
+                    done = ((grad * step).sum(axis=2) < gtol) | (np.abs(step).max(axis=2, initial=0.0) < tol)
+                    going &= ~done              # score criterion met; the last (tiny) step is kept
+                flat = lambda m: np.moveaxis(m, 2, 1).ravel()
+                cols = [lists(flat(beta)[None]), lists(flat(se)[None])]
+                cols += [pa.array([m.ravel().tolist()], pa.list_(t)) for m, t in ((keep, pa.bool_()), (going, pa.bool_()), (failed, pa.bool_()), (steps, pa.int32()))]
+                cols += [lists(m.ravel()[None]) for m in (loglik, lam, n_events)]
+                yield pa.RecordBatch.from_arrays([*(row.column(c) for c in unit), *cols], names=[*unit, *[f.split()[0] for f in STATE.split(", ")]])
+        return run
+
+    zeros = lambda n: F.array_repeat(F.lit(0.0), n)
+    n_fits = n_cells * b
+    state = saved(chunks.select(*unit).distinct().select(
+        *unit, zeros(n_fits * p).alias("beta"), zeros(n_fits * p).alias("se"), F.array_repeat(F.lit(False), n_fits * p).alias("keep"),
+        F.array_repeat(F.lit(True), n_fits).alias("going"), F.array_repeat(F.lit(False), n_fits).alias("failed"),
+        F.array_repeat(F.lit(0), n_fits).alias("steps"), *[zeros(n_fits).alias(c) for c in ("loglik", "lam", "events")]), "survival-state")
+
+    def pass_over(state: DataFrame, last: bool) -> DataFrame:
+        at = chunks.join(state.select(*unit, "beta"), unit)
+        sums = at.mapInArrow(totals, key + "chunk long, first double, last double, total array<double>, tie array<double>")
+        found = _met(at, offsets(sums, unit), [*unit, "chunk"]).mapInArrow(events, key + "v array<double>")
+        return saved_counting(state.join(summed(found, unit), unit).mapInArrow(solved(last), key + STATE), "survival-state",
+                              going=F.count_if(F.exists("going", lambda g: g)))
+
+    for _ in range(max_iter):
+        new, seen = pass_over(state, False)
+        drop_saved(state)
+        state = new
+        if not seen["going"]:
+            break
+    new, _ = pass_over(state, True)
+    drop_saved(state)
+    return new
+
+
+# ---- K20 ------------------------------------------------------------------------------------------------------------
+
+def columns(xs: Sequence[str]) -> list[str]:
+    """Names of the covariates inside the engine, so that they cannot clash with its own columns."""
+    return [f"__x{i}" for i in range(len(xs))]
+
+
+def _compress(df: DataFrame, keys, time, status, xs, weight):
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    return df.groupBy(*keys, F.col(time).cast("double").alias("time"), F.col(status).cast("int").alias("status"),
+                      *[F.col(x).cast("double").alias(c) for x, c in zip(xs, columns(xs))]).agg(F.sum(w).alias("n"))
 
 
 def fine_gray(df: DataFrame, keys: Sequence[str], time: str, status: str, xs: Sequence[str],
@@ -90,157 +302,100 @@ def fine_gray(df: DataFrame, keys: Sequence[str], time: str, status: str, xs: Se
               rows_per_bucket: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Fine-Gray subdistribution hazard regression per key.
 
-    Sums run along a key's distinct times in one window (rows are compressed to distinct times and covariate
-    patterns first); ``rows_per_bucket`` asks for the two-level sums instead, for keys with more distinct times
-    than one task should sort. The choice is the caller's and does not depend on the data.
+    ``rows_per_bucket``: rows of one chunk of the time axis. A key's axis is always cut into range partitions and
+    chunks; no task sorts or holds all of it.
 
     Newton-Raphson from beta = 0; a key stops when u' I^-1 u < ``gtol`` (score-based, as the usual
     competing-risk solver does) or the step is below ``tol``; at most ``max_iter`` (default 10) steps.
 
     Returns (coefficients[keys, term, estimate, std_error, statistic, p_value],
-             baseline[keys, time, cum_hazard], fits[keys, loglik, iterations, converged, n_events]).
+             baseline[keys, time, cum_hazard], fits[keys, loglik, iterations, converged, n_events]); a key without
+    events of interest has a row in fits (converged false, n_events 0), no baseline and no coefficients.
     """
     from ..functions import dist
-    from ..session import cut_lineage, reread_partitions
-    keys = list(keys)
-    xs = list(xs)
+    keys, xs = list(keys), list(xs)
+    unit = [*keys, "blk"]
     p = len(xs)
-    spark = df.sparkSession
-    # compressed patterns are re-read by every Newton step: cut the lineage (reliable checkpoint into the
-    # shared checkpoint dir) so each step analyses a short plan and survives executor loss
-    nparts = reread_partitions(spark)
     df = complete_cases(df, [time, status, *xs, *([weight] if weight else [])])
-    comp = cut_lineage(_compress(df, keys, time, status, xs, weight), nparts)
-    pat = cut_lineage(_with_censoring(comp, keys, rows_per_bucket), nparts)
-    key_types = dict(pat.dtypes)
-    key_ddl = ", ".join(f"`{k}` {key_types[k]}" for k in keys)
-    bddl = ", ".join(([key_ddl] if key_ddl else []) + [f"__b_{i} double" for i in range(p)])
-    # score term that does not depend on beta (sum over events of n * x), and the key list: one pass
-    is_ev = F.col("status") == 1
-    ev = comp.groupBy(*keys).agg(
-        F.sum(F.when(is_ev, F.col("n")).otherwise(0.0)).alias("__nev"),
-        *[F.sum(F.when(is_ev, F.col("n") * F.col(x)).otherwise(0.0)).alias(f"__ex{i}") for i, x in enumerate(xs)])
-    evp = ev.toPandas()  # one row per key (bounded by the model grid), via Arrow
-    K = len(evp)
-    key_tuples = list(evp[keys].itertuples(index=False, name=None)) if keys else [()] * K
-    index = {t: i for i, t in enumerate(key_tuples)}
-    ex_all = evp[[f"__ex{i}" for i in range(p)]].to_numpy(dtype=float) if p else np.zeros((K, 0))
-    nev = evp["__nev"].to_numpy(dtype=float)
-    beta = np.zeros((K, p))
-    info_all = np.tile(np.eye(p), (K, 1, 1))
-    keep = np.ones((K, p), dtype=bool)
-    keep_set = np.zeros(K, dtype=bool)
-    loglik = np.full(K, np.nan)
-    iters = np.zeros(K, dtype=int)
-    failed = nev <= 0          # no event of interest: nothing to fit
-    conv = failed.copy()
-    eye = np.eye(p)
-    for it in range(1, max_iter + 1):
-        active = np.where(~conv)[0]
-        if len(active) == 0:
-            break
-        bpdf = evp.loc[active, keys].reset_index(drop=True) if keys else None
-        bcols = {f"__b_{i}": beta[active, i] for i in range(p)}
-        if keys:
-            bpdf = bpdf.assign(**bcols)
-        else:
-            import pandas as pd
-            bpdf = pd.DataFrame(bcols)
-        bframe = spark.createDataFrame(bpdf, bddl)
-        rs, terms = _risk_set_frame(pat, bframe, keys, xs, rows_per_bucket)
-        s0 = F.col("S0")
-        # S0 > 0 at every event time unless exp(x b) underflows (separated data): such a key then gets
-        # NaN sums and is flagged below instead of failing the job
-        bad = F.max((s0 <= 0).cast("int")).alias("__bad")
-        aggs = [F.sum(F.col("__d") * F.log(s0)).alias("__ll0"), bad]
-        for i in range(p):
-            aggs.append(F.sum(F.col("__d") * F.try_divide(F.col(f"S1_{i}"), s0)).alias(f"__u{i}"))
-        for a2, b2 in _pairs(p):
-            aggs.append(F.sum(F.col("__d") * (F.try_divide(F.col(f"S2_{a2}_{b2}"), s0)
-                                              - F.try_divide(F.col(f"S1_{a2}") * F.col(f"S1_{b2}"), s0 * s0)))
-                        .alias(f"__i{a2}_{b2}"))
-        res = rs.groupBy(*keys).agg(*aggs).toPandas()
-        if len(res) == 0:
-            break
-        ridx = np.array([index[t] for t in res[keys].itertuples(index=False, name=None)] if keys else [0])
-        u = ex_all[ridx] - res[[f"__u{i}" for i in range(p)]].to_numpy(dtype=float)
-        info = np.zeros((len(ridx), p, p))
-        for a2, b2 in _pairs(p):
-            v = res[f"__i{a2}_{b2}"].to_numpy(dtype=float)
-            info[:, a2, b2] = v
-            info[:, b2, a2] = v
-        info[res["__bad"].fillna(0).to_numpy() > 0] = np.nan
-        loglik[ridx] = (ex_all[ridx] * beta[ridx]).sum(axis=1) - res["__ll0"].to_numpy(dtype=float)
-        iters[ridx] = it
-        fin = np.isfinite(info).all(axis=(1, 2)) & np.isfinite(u).all(axis=1)
-        failed[ridx[~fin]] = True  # numerically degenerate (e.g. separated resample): keep the last beta
-        conv[ridx[~fin]] = True
-        ridx, u, info = ridx[fin], u[fin], info[fin]
-        # K9 for Fine-Gray, decided once per key at beta = 0: columns without variation in the risk sets
-        # (e.g. zeroed outside the cell's formula) or collinear ones are aliased and left out of the fit
-        for j, i in enumerate(ridx):
-            if not keep_set[i]:
-                keep[i] = alias_mask(info[j]) if p else keep[i]
-                keep_set[i] = True
-        info_all[ridx] = info
-        mask = keep[ridx]
-        both = mask[:, :, None] & mask[:, None, :]
-        sysm = np.where(both, info, 0.0) + eye[None] * (~mask)[:, :, None]
-        um = np.where(mask, u, 0.0)
-        try:
-            step = np.linalg.solve(sysm, um[..., None])[..., 0]
-        except np.linalg.LinAlgError:
-            step = np.stack([np.linalg.pinv(m) @ v for m, v in zip(sysm, um)]) if len(ridx) else um
-        beta[ridx] += step
-        done = ((um * step).sum(axis=1) < gtol) | (np.abs(step).max(axis=1, initial=0.0) < tol)
-        conv[ridx[done]] = True  # score criterion met; the last (tiny) Newton step is kept
-    # final: information and baseline at the converged coefficients
-    bcols = {f"__b_{i}": beta[:, i] for i in range(p)}
-    if keys:
-        bpdf = evp[keys].assign(**bcols)
-    else:
-        import pandas as pd
-        bpdf = pd.DataFrame(bcols)
-    bframe = spark.createDataFrame(bpdf, bddl)
-    rs, _ = _risk_set_frame(pat, bframe, keys, xs, rows_per_bucket)
-    jumps = rs.select(*keys, "time", F.try_divide(F.col("__d"), F.col("S0")).alias("dlam"))
-    baseline = running_sums(jumps, keys, "time", ["dlam"], rows_per_bucket=rows_per_bucket, prefix="cum_") \
-        .select(*keys, "time", F.col("cum_dlam").alias("cum_hazard"))
-    # the baseline is small (keys x event times); write it to the checkpoint dir so later predictions do
-    # not recompute the pattern frame after it is released
-    baseline = cut_lineage(baseline)
-    both = keep[:, :, None] & keep[:, None, :]
-    sysm = np.where(both, info_all, 0.0) + eye[None] * (~keep)[:, :, None]
-    try:
-        cov = np.linalg.inv(sysm)
-    except np.linalg.LinAlgError:
-        cov = np.stack([np.linalg.pinv(m) for m in sysm]) if K else sysm
-    se = np.sqrt(np.maximum(np.diagonal(cov, axis1=1, axis2=2), 0.0)) if p else np.zeros((K, 0))
-    coef_rows, fit_rows = [], []
-    for i, k in enumerate(key_tuples):
-        for c in np.where(keep[i])[0]:
-            coef_rows.append((*k, xs[c], float(beta[i, c]), float(se[i, c])))
-        fit_rows.append((*k, None if np.isnan(loglik[i]) else float(loglik[i]), int(iters[i]),
-                         bool(conv[i] and not failed[i]), float(nev[i])))
-    pre = key_ddl + ", " if key_ddl else ""
-    coefs = spark.createDataFrame(coef_rows, pre + "term string, estimate double, std_error double") \
-        .withColumn("statistic", F.col("estimate") / F.col("std_error")) \
-        .withColumn("p_value", dist.norm_two_sided_p(F.col("statistic")))
-    fits = spark.createDataFrame(fit_rows, pre + "loglik double, iterations int, converged boolean, n_events double")
-    return coefs, baseline, fits
+    pats = _compress(df, keys, time, status, xs, weight).select(*keys, F.lit(0).alias("blk"), "time", "status", *columns(xs), F.array("n").alias("w"))
+    chunks = layout(saved(pats, "survival-patterns"), unit, columns(xs), rows_per_bucket)
+    fit = fit_cells(chunks, unit, columns(xs), [[True] * p], 1, max_iter, gtol, tol)
+    at = lambda c, i=0: F.element_at(c, i + 1)
+    terms = F.explode(F.filter(F.array(*[F.struct(F.lit(x).alias("term"), at("beta", i).alias("estimate"), at("se", i).alias("std_error"), at("keep", i).alias("kept"))
+                                         for i, x in enumerate(xs)]), lambda t: t["kept"])) if p else None
+    none = fit.limit(0).select(*keys, F.lit("").alias("term"), F.lit(0.0).alias("estimate"), F.lit(0.0).alias("std_error"))
+    coefs = fit.select(*keys, terms.alias("t")).select(*keys, "t.term", "t.estimate", "t.std_error") if p else none
+    coefs = coefs.withColumn("statistic", F.col("estimate") / F.col("std_error")).withColumn("p_value", dist.norm_two_sided_p(F.col("statistic")))
+    fits = fit.select(*keys, F.when(at("events") > 0, at("loglik")).alias("loglik"), at("steps").alias("iterations"),
+                      (~at("going") & ~at("failed")).alias("converged"), at("events").alias("n_events"))
+    return coefs, _baseline(chunks, fit, keys, unit, columns(xs), rows_per_bucket), fits
+
+
+def _baseline(chunks: DataFrame, fit: DataFrame, keys, unit, xs, rows) -> DataFrame:
+    """(keys, time, cum_hazard) at the final coefficients: jumps per event time, then a prefix scan along the times."""
+    p = len(xs)
+
+    def beta_of(row):
+        return row.column("beta")[0].values.to_numpy(zero_copy_only=False).reshape(1, p, 1)
+
+    def totals(batches):
+        for row in _rows(batches):
+            k = _Chunk(row, xs)
+            total, tie = _chunk_sums(k, beta_of(row))
+            yield pa.RecordBatch.from_arrays([*(row.column(c) for c in unit), row.column("chunk"), pa.array([k.time[0]]), pa.array([k.time[-1]]),
+                                              lists(total[None]), lists(tie[None])], names=[*unit, "chunk", "first", "last", "total", "tie"])
 
+    def jumps(batches):
+        for row in _rows(batches):
+            k = _Chunk(row, xs)
+            _, lam, ev = _chunk_events(k, beta_of(row), *(row.column(c)[0].values.to_numpy() for c in ("before", "after", "tied")))
+            again = pa.array(np.zeros(len(ev), np.int64))
+            yield pa.RecordBatch.from_arrays([*(row.column(c).take(again) for c in unit), pa.array(k.time[ev]), lists(lam[0].reshape(len(ev), 1))],
+                                             names=[*unit, "time", "v"])
+
+    key = _ddl(chunks, unit)
+    at = chunks.join(fit.select(*unit, "beta"), unit)
+    sums = at.mapInArrow(totals, key + "chunk long, first double, last double, total array<double>, tie array<double>")
+    found = _met(at, offsets(sums, unit), [*unit, "chunk"]).mapInArrow(jumps, key + "time double, v array<double>")
+    steps = running(summed(found, [*unit, "time"]), unit, "time", "v", "cum", rows=rows)
+    return saved(steps.select(*keys, "time", F.element_at("cum", 1).alias("cum_hazard")), "survival-baseline")
+
+
+# ---- K21 ------------------------------------------------------------------------------------------------------------
 
 def predict_cif_last(df: DataFrame, coefs: DataFrame, baseline: DataFrame, xs: Sequence[str],
                      keys: Sequence[str] = (), out: str = "pred") -> DataFrame:
-    """Cumulative incidence at the last event time: 1 - exp(-Lambda(t_max) * exp(x b)) per row."""
-    keys = list(keys)
-    lam = baseline.groupBy(*keys).agg(F.max_by("cum_hazard", "time").alias("__lam"))
-    wide = coefs.groupBy(*keys).agg(*[F.max(F.when(F.col("term") == x, F.col("estimate"))).alias(f"__c{i}")
-                                      for i, x in enumerate(xs)])
-    par = lam.join(wide, keys) if keys else lam.crossJoin(wide)
-    j = df.join(F.broadcast(par), keys) if keys else df.crossJoin(F.broadcast(par))
+    """Cumulative incidence at the last event time: 1 - exp(-Lambda(t_max) * exp(x b)) per row.
+
+    Every row is kept; a key without events of interest has risk 0."""
+    return predict_cif(df, coefs, baseline, xs, keys, None, out)
+
+
+def predict_cif(df: DataFrame, coefs: DataFrame, baseline: DataFrame, xs: Sequence[str], keys: Sequence[str] = (),
+                at: float | str | None = None, out: str = "pred") -> DataFrame:
+    """Cumulative incidence at a time: the last event time (None), a number, or a column of ``df``.
+
+    The baseline is a step function: the value at ``at`` is that of the last step not after it, 0 before the first.
+    Rows of keys without a baseline (no event) get 0; no row is lost. For a column the steps and the rows are put on
+    one axis and the jumps are summed along it (range partitions, see :func:`agg.running_sums`)."""
+    keys, cols = list(keys), df.columns
+    wide = coefs.groupBy(*keys).agg(*[F.max(F.when(F.col("term") == x, F.col("estimate"))).alias(f"__c{i}") for i, x in enumerate(xs)],
+                                    F.lit(1).alias("__one"))
+    j = df.join(wide, keys, "left") if keys else df.crossJoin(F.broadcast(wide))
+    if isinstance(at, str):
+        # steps and the rows' times are points of one axis; the cumulative hazard never falls, so the last step is the maximum so far
+        rows = saved(j, "cif-rows")
+        first = [*keys, "__t"]
+        before = baseline.select(*keys, F.col("time").alias("__t"), F.col("cum_hazard").alias("__h"))
+        points = rows.select(*keys, F.col(at).cast("double").alias("__t")).filter("__t is not null").distinct()
+        axis = points.join(before, first, "full").groupBy(*first).agg(F.max("__h").alias("__h"))
+        lam = running_sums(axis, keys, "__t", ["__h"], bucketed=True, how="max", prefix="__lam").select(*first, F.col("__lam__h").alias("__lam"))
+        j = rows.withColumn("__t", F.col(at).cast("double")).join(lam, first, "left").drop("__t")
+    else:
+        steps = baseline if at is None else baseline.filter(F.col("time") <= F.lit(float(at)))
+        lam = steps.groupBy(*keys).agg(F.max("cum_hazard").alias("__lam"))
+        j = j.join(lam, keys, "left") if keys else j.crossJoin(F.broadcast(lam))
     xb = F.lit(0.0)
     for i, x in enumerate(xs):
         xb = xb + F.coalesce(F.col(f"__c{i}"), F.lit(0.0)) * F.col(x).cast("double")
-    return j.withColumn(out, 1.0 - F.exp(-F.col("__lam") * F.exp(xb))) \
-        .drop("__lam", *[f"__c{i}" for i in range(len(xs))])
+    return j.withColumn(out, 1.0 - F.exp(-F.coalesce(F.col("__lam"), F.lit(0.0)) * F.exp(xb))).select(*cols, out)

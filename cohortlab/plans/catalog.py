@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import expr as X, fmt
 from ..operators import agg as A
 from ..operators import contingency as K
-from ..operators import glm, meta, relational as rel, reshape as R, resample, survival
+from ..operators import glm, meta, relational as rel, reshape as R, resample, survival, vectors
 from ..session import cut_lineage, reread_partitions, scratch_path
 from ..sources import io
 from . import driver as D
@@ -725,14 +725,28 @@ def standardised_risk_effects(spark, d):
                     _r("nnt", 4).alias("nnt"), _r("relative_risk").alias("relative_risk"))
 
 
-@register("bootstrap_risk_ci", None)
-def bootstrap_risk_ci(spark, d, n_boot: int = 1000):
-    """Poisson bootstrap (seeded hash draws) of per-segment risks, percentile 95% intervals."""
+N_BOOT = 1000
+
+
+@register("bootstrap_risk_ci", with_ctes(["ctested"], f"""
+, drawn AS (SELECT c_mktsegment, b, cov_pos, {vectors.sql_draw("person", "b")} AS w
+            FROM ctested, (SELECT unnest(range(0, {N_BOOT + 1})) AS b))
+, r AS (SELECT c_mktsegment, b, CASE WHEN SUM(w) > 0 THEN SUM(w * cov_pos)::DOUBLE / SUM(w) END AS risk FROM drawn GROUP BY c_mktsegment, b)
+SELECT c_mktsegment, ROUND(MAX(risk) FILTER (WHERE b = 0), 8) AS risk, ROUND(quantile_cont(risk, 0.025) FILTER (WHERE b > 0), 8) AS risk_conf_low,
+  ROUND(quantile_cont(risk, 0.975) FILTER (WHERE b > 0), 8) AS risk_conf_high,
+  COUNT(risk) FILTER (WHERE b > 0) AS n_boot_used, COUNT(*) FILTER (WHERE b > 0 AND risk IS NULL) AS n_failed
+FROM r GROUP BY c_mktsegment"""))
+def bootstrap_risk_ci(spark, d, n_boot: int = N_BOOT):
+    """Poisson bootstrap (seeded hash draws) of per-segment risks, percentile 95% intervals. Multiplicities are
+    vectors per pattern (segment, outcome); ten patterns become rows per iteration, persons never do."""
     ct = D.customers_tested(spark, d)
-    w = resample.bootstrap_weights(ct, ["person"], n_boot, seed=0)
-    risks = w.groupBy("bootstrap_iteration", "c_mktsegment").agg(
-        (F.sum(F.col("boot_w") * F.col("cov_pos")) / F.sum("boot_w")).alias("risk"))
-    return resample.percentile_ci(risks, ["c_mktsegment"], ["risk"])
+    seg = F.array_position(F.array(*map(F.lit, SEGMENTS)), F.col("c_mktsegment"))
+    pats = vectors.pattern_vectors(ct.withColumn("seg", seg), "person", ["seg", "cov_pos"], n_boot)
+    w = vectors.iteration_rows(pats, n_boot)
+    risks = w.groupBy("bootstrap_iteration", F.element_at(F.array(*map(F.lit, SEGMENTS)), F.col("seg").cast("int")).alias("c_mktsegment")).agg(
+        F.try_divide(F.sum(F.col("boot_w") * F.col("cov_pos")), F.sum("boot_w")).alias("risk"))
+    ci = resample.percentile_ci(risks, ["c_mktsegment"], ["risk"])
+    return ci.select("c_mktsegment", *[_r(c, 8).alias(c) for c in ("risk", "risk_conf_low", "risk_conf_high")], "n_boot_used", "n_failed")
 
 
 @register("fine_gray_intubation", None)

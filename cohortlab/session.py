@@ -2,9 +2,11 @@
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -15,6 +17,11 @@ DEFAULT_CONF = {
     "spark.ui.enabled": "false",
     "spark.sql.ansi.enabled": "true",
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    # finished queries and stages the driver remembers (each keeps its plan)
+    "spark.sql.ui.retainedExecutions": "20",
+    "spark.ui.retainedJobs": "200",
+    "spark.ui.retainedStages": "200",
+    "spark.ui.retainedTasks": "5000",
     "spark.driver.memory": "4g",   # local mode: the driver JVM is the executor (overridable via ``extra``)
 }
 
@@ -69,3 +76,33 @@ def reread_partitions(spark: SparkSession) -> int:
 def scratch_path(spark: SparkSession, name: str) -> str:
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, "tables", name)
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """Write once to the shared folder and read back: cuts lineage, survives executor loss, and gives the optimizer
+    the real size (a join may broadcast it behind Spark's own threshold)."""
+    path = os.path.join(ensure_checkpoint_dir(df.sparkSession), "tables", f"{name}-{uuid.uuid4().hex[:12]}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def saved_counting(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, dict]:
+    """:func:`saved`, with aggregates of the written rows observed in the same job."""
+    seen = Observation(f"{name}-{uuid.uuid4().hex[:8]}")
+    out = saved(df.observe(seen, *[c.alias(k) for k, c in metrics.items()]), name)
+    return out, seen.get
+
+
+def drop_saved(df: DataFrame) -> None:
+    """Delete the folder behind a frame made by :func:`saved` (through Hadoop, so any shared store works)."""
+    sc = df.sparkSession.sparkContext
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def run_by_value(*modules: str) -> None:
+    """Send functions of these modules to the executors by value: they need numpy and Arrow, not this package."""
+    from pyspark import cloudpickle
+    for m in modules:
+        cloudpickle.register_pickle_by_value(sys.modules[m])

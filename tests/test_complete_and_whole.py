@@ -78,7 +78,7 @@ def test_read_table_from_a_uri(spark):
 def test_quantiles_equal_percentile(spark):
     df = spark.range(1001).select((F.col("id") % 4).alias("k"), F.when(F.col("id") % 7 > 0, (F.col("id") * 37 % 101) / 3.0).alias("v"))
     want = {r["k"]: r["p"] for r in df.groupBy("k").agg(F.percentile("v", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias("p")).collect()}
-    got = agg.quantiles(df, ["k"], ["v"], {"a": 0.1, "b": 0.5, "c": 0.9}, rows_per_bucket=10).collect()
+    got = agg.quantiles(df, ["k"], ["v"], {"a": 0.1, "b": 0.5, "c": 0.9}).collect()
     for k, p in want.items():
         assert [r["value"] for s in "abc" for r in got if r["k"] == k and r["statistic"] == s] == pytest.approx(p)
 

@@ -50,7 +50,7 @@ def test_anti_semi_hot_key(skewed, spark):
 
 def test_running_sums_hot_key(skewed):
     pdf, df = skewed
-    got = A.running_sums(df.select("k", "i", "v"), ["k"], "i", ["v"], rows_per_bucket=50).toPandas()
+    got = A.running_sums(df.select("k", "i", "v"), ["k"], "i", ["v"], bucketed=True).toPandas()
     got = got.sort_values("i")
     exp = pdf.sort_values("i").groupby("k")["v"].cumsum()
     assert np.allclose(got["cum_v"].to_numpy(), exp.to_numpy(), atol=1e-9)

@@ -103,5 +103,48 @@ def test_running_sums_modes_agree(spark):
     for desc in (False, True):
         for inc in (False, True):
             one = {(r.k, r.t): r.cum_v for r in running_sums(df, ["k"], "t", ["v"], desc, inc).collect()}
-            many = {(r.k, r.t): r.cum_v for r in running_sums(df, ["k"], "t", ["v"], desc, inc, rows_per_bucket=9).collect()}
+            many = {(r.k, r.t): r.cum_v for r in running_sums(df, ["k"], "t", ["v"], desc, inc, bucketed=True).collect()}
             assert one == many
+
+
+def test_ties_across_chunks(spark):
+    """A third of the rows share one time, with distinct covariates, over chunks of five rows."""
+    rng = np.random.default_rng(2)
+    n = 90
+    X = np.column_stack([rng.integers(0, 2, n), rng.normal(size=n)]).astype(float)
+    t = np.where(np.arange(n) % 3 == 0, 6.0, np.round(rng.exponential(8, n)) + 1.0)
+    s = rng.choice([0, 1, 2], size=n, p=[.2, .5, .3])
+    df = spark.createDataFrame([(float(a), int(b), *map(float, x)) for a, b, x in zip(t, s, X)], "t double, s int, x1 double, x2 double")
+    coefs, _, _ = survival.fine_gray(df, [], "t", "s", ["x1", "x2"], rows_per_bucket=5)
+    got = {r.term: r for r in coefs.collect()}
+    beta, se = brute_fine_gray(t, s, X)
+    assert [got[x].estimate for x in ("x1", "x2")] == pytest.approx(beta, abs=1e-8)
+    assert [got[x].std_error for x in ("x1", "x2")] == pytest.approx(se, rel=1e-6)
+
+
+def test_keys_without_events_are_kept(spark):
+    rng = np.random.default_rng(4)
+    rows = [("a", float(rng.integers(1, 20)), int(rng.choice([0, 1, 2])), float(rng.integers(0, 2))) for _ in range(60)]
+    rows += [("b", 3.0, 2, 1.0), ("b", 5.0, 0, 0.0)]
+    df = spark.createDataFrame(rows, "k string, t double, s int, x double")
+    coefs, base, fits = survival.fine_gray(df, ["k"], "t", "s", ["x"])
+    f = {r.k: r for r in fits.collect()}
+    assert f["a"].converged and not f["b"].converged and f["b"].n_events == 0 and f["b"].loglik is None
+    pred = survival.predict_cif_last(df, coefs, base, ["x"], ["k"]).collect()
+    assert len(pred) == len(rows) and all((r.pred == 0) == (r.k == "b") for r in pred)
+
+
+def test_cif_at_a_time_is_a_step_function(spark):
+    rng = np.random.default_rng(6)
+    rows = [(float(rng.integers(2, 30)), int(rng.choice([0, 1, 2])), float(rng.integers(0, 2))) for _ in range(80)]
+    df = spark.createDataFrame(rows, "t double, s int, x double")
+    coefs, base, _ = survival.fine_gray(df, [], "t", "s", ["x"])
+    beta = coefs.first().estimate
+    steps = sorted((r.time, r.cum_hazard) for r in base.collect())
+    at = spark.createDataFrame([(q, x) for q in (0.0, 2.0, 2.5, 17.0, 17.25, 99.0, None) for x in (0.0, 1.0)], "q double, x double")
+    for r in survival.predict_cif(at, coefs, base, ["x"], at="q").collect():
+        lam = max((h for u, h in steps if r.q is not None and u <= r.q), default=0.0)
+        assert r.pred == pytest.approx(1 - np.exp(-lam * np.exp(beta * r.x)), abs=1e-12)
+    fixed = survival.predict_cif(at, coefs, base, ["x"], at=17.25).collect()
+    lam = max(h for u, h in steps if u <= 17.25)
+    assert len(fixed) == 14 and all(r.pred == pytest.approx(1 - np.exp(-lam * np.exp(beta * r.x))) for r in fixed)
