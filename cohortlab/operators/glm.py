@@ -184,18 +184,16 @@ def logit_grouped(df: DataFrame, keys: Sequence[str], y: str, xs: Sequence[str],
                        pa.array(np.ones(n, bool)), pa.array(np.zeros(n, np.int32)))
 
     def step(batches):
-        """Rows of the state, with the new sums where a key was still going."""
+        """The state of keys still going with the sums at their coefficients -> the next state."""
         for batch in batches:
             n = batch.num_rows
             old, keep = _vectors(batch, "__beta", p), _vectors(batch, "__keep", p).astype(bool)
             gram_used = _vectors(batch, "__gram", p * p)
-            going = batch.column("__going").to_numpy(zero_copy_only=False).astype(bool)
-            dev_old, dev = _doubles(batch, "__dev_old"), np.where(going, _doubles(batch, "__dev"), _doubles(batch, "__dev_now"))
-            done = going & (np.abs(dev - dev_old) / (np.abs(dev) + 0.1) < epsilon)
-            on = going & ~done
+            dev_old, dev = _doubles(batch, "__dev_old"), _doubles(batch, "__dev")
+            on = ~(np.abs(dev - dev_old) / (np.abs(dev) + 0.1) < epsilon)
             gram = np.where(on[:, None, None], _grams(batch, p), np.eye(p))
             new = masked_solve(gram, np.stack([_doubles(batch, f"__r_{i}") for i in range(p)], axis=1), keep)
-            steps = batch.column("__steps").to_numpy(zero_copy_only=False) + going.astype(np.int32)
+            steps = batch.column("__steps").to_numpy(zero_copy_only=False) + 1
             yield rows(batch, _lists(np.where(on[:, None], new, old)), _lists(keep), _lists(np.where(on[:, None], gram.reshape(n, -1), gram_used)),
                        pa.array(np.where(on, dev, dev_old)), pa.array(dev), batch.column("__nobs"), pa.array(on), pa.array(steps.astype(np.int32)))
 
@@ -230,7 +228,9 @@ def logit_grouped(df: DataFrame, keys: Sequence[str], y: str, xs: Sequence[str],
         at = join_null_safe(pat, now, keys).withColumn("__eta", eta).withColumn("__mu", mu).withColumn("__w", w)
         rowwise = at.select(*keys, *xs, "__w", wz.alias("__wz"), dev.alias("__dv"))
         sums = rowwise.groupBy(*keys).agg(*_gram_aggs(xs, F.col("__w"), F.col("__wz")), F.sum("__dv").alias("__dev"))
-        new, seen = saved_counting(join_null_safe(state, sums, keys, "left").mapInArrow(step, ddl), "logit-state", going=F.count_if("__going"))
+        # the written state is the side with a known size; keys that are done are passed on as they are
+        met = join_null_safe(sums, state.filter("__going"), keys)
+        new, seen = saved_counting(met.mapInArrow(step, ddl).unionByName(state.filter(~F.col("__going"))), "logit-state", going=F.count_if("__going"))
         drop_saved(state)
         state = new
         if not seen["going"]:

@@ -969,6 +969,79 @@ GRID_REFERENCES = {"abo": "aboA", "rh": "rh0"}
 GRID_ADJUSTMENTS = {"unadjusted": [], "adjusted": ["race_black", "race_asian", "race_other", "hispanic"]}
 
 
+@register("risk_grid_linear", with_ctes(["consistent", "tests"], COHORT_SQL + BASIC_SQL + f"""
+, v AS (SELECT user_id AS person, ts, CASE WHEN event_type = 'purchase' AND value >= 150.0 THEN 1 ELSE 0 END AS pos
+        FROM events WHERE event_type NOT IN ('error'))
+, first_v AS (SELECT person, MIN(ts) AS first_ts FROM v GROUP BY person)
+, flag AS (SELECT v.person, MAX(CASE WHEN pos = 1 AND (epoch_us(ts) - epoch_us(first_ts)) / 3600000000.0 <= 96 THEN 1 ELSE 0 END) AS y
+           FROM v JOIN first_v USING (person) GROUP BY v.person)
+, p AS (SELECT person, y, abo, rh FROM basic JOIN flag USING (person))
+, drawn AS MATERIALIZED (SELECT p.*, b, {vectors.sql_draw("person", "b")} AS w FROM p, (SELECT unnest(range(0, {N_BOOT + 1})) AS b))
+, r AS (SELECT 'abo' AS exposure, 'abo' || abo AS stratum, b, SUM(w * y)::DOUBLE AS num, SUM(w) AS den FROM drawn GROUP BY abo, b
+        UNION ALL SELECT 'rh', CASE WHEN rh = 'neg' THEN 'rh1' ELSE 'rh0' END, b, SUM(w * y)::DOUBLE, SUM(w) FROM drawn GROUP BY (rh = 'neg'), CASE WHEN rh = 'neg' THEN 'rh1' ELSE 'rh0' END, b)
+, f AS (SELECT *, CASE WHEN MIN(den) OVER (PARTITION BY exposure, b) > 0 THEN num / den END AS risk FROM r)
+, e AS (SELECT f.*, f.risk - g.risk AS rd FROM f JOIN f g ON f.exposure = g.exposure AND f.b = g.b AND g.stratum IN ('aboA', 'rh0'))
+SELECT exposure, stratum, ROUND(MAX(risk) FILTER (WHERE b = 0), 6) AS risk, ROUND(MAX(rd) FILTER (WHERE b = 0), 6) AS risk_difference,
+  ROUND(quantile_cont(risk, 0.025) FILTER (WHERE b > 0), 6) AS risk_conf_low, ROUND(quantile_cont(risk, 0.975) FILTER (WHERE b > 0), 6) AS risk_conf_high,
+  ROUND(quantile_cont(rd, 0.025) FILTER (WHERE b > 0), 6) AS risk_difference_conf_low,
+  ROUND(quantile_cont(rd, 0.975) FILTER (WHERE b > 0), 6) AS risk_difference_conf_high,
+  COUNT(risk) FILTER (WHERE b > 0) AS n_boot_used, COUNT(*) FILTER (WHERE b > 0 AND risk IS NULL) AS n_failed
+FROM e GROUP BY exposure, stratum"""))
+def risk_grid_linear(spark, d, n_boot: int = N_BOOT):
+    """K22-K26, the linear part without adjustment (the oracle redraws the multiplicities): risks, differences to the
+    reference stratum, percentile intervals and how many resamples they rest on."""
+    from . import risk
+    prevalence, _ = _grid_inputs(spark, d)
+    grid = risk.Grid(GRID_EXPOSURES, GRID_STRATA, {"unadjusted": []})
+    r = risk.linear_risks(prevalence, "initial_cov_pos", "person", grid, n_boot)
+    out = risk.summarise(r, GRID_REFERENCES, keys=("exposure",))
+    cols = [f"{c}{e}" for c in ("risk", "risk_difference") for e in ("", "_conf_low", "_conf_high")]
+    return out.select("exposure", "stratum", *[_r(c).alias(c) for c in cols], "n_boot_used", "n_failed")
+
+
+def _fine_gray_sql(steps: int = 14) -> str:
+    """Newton steps over pairwise risk sets (every event time with every subject), two covariates."""
+    sql = """
+, rec AS (SELECT (epoch_us(censor_time) - epoch_us(cohort_entry_time)) / 86400000000.0 AS t,
+            CASE outcome WHEN 'censor' THEN 0 WHEN 'intubation' THEN 1 WHEN 'death' THEN 2 ELSE 3 END AS s,
+            (abo = 'N')::DOUBLE AS x1, (abo = 'R')::DOUBLE AS x2
+          FROM cr WHERE cohort_entry_time <= censor_time AND (dnr_date IS NULL OR dnr_date > censor_time) AND outcome IS NOT NULL)
+, km AS (SELECT t, CASE WHEN c < n THEN ln(1 - c / n) ELSE -745.0 END AS lg FROM (
+           SELECT c.t, c.c::DOUBLE AS c, (SELECT COUNT(*) FROM rec r WHERE r.t >= c.t)::DOUBLE AS n
+           FROM (SELECT t, COUNT(*) AS c FROM rec WHERE s = 0 GROUP BY t) c) u)
+, g AS (SELECT d.t, exp(coalesce(SUM(km.lg), 0)) AS g FROM (SELECT DISTINCT t FROM rec) d LEFT JOIN km ON km.t < d.t GROUP BY d.t)
+, ev AS (SELECT t, COUNT(*)::DOUBLE AS d, SUM(x1) AS ex1, SUM(x2) AS ex2 FROM rec WHERE s = 1 GROUP BY t)
+, pairs AS MATERIALIZED (SELECT ev.t, ev.d, r.x1, r.x2, CASE WHEN r.t >= ev.t THEN 1.0 ELSE ge.g / gr.g END AS w
+           FROM ev JOIN rec r ON r.t >= ev.t OR r.s >= 2 JOIN g ge ON ge.t = ev.t JOIN g gr ON gr.t = r.t)
+, step0 AS (SELECT 0.0::DOUBLE AS b1, 0.0::DOUBLE AS b2)"""
+    sums = """(SELECT b1, b2, (SELECT SUM(ex1) FROM ev) - SUM(d * s1 / s0) AS u1, (SELECT SUM(ex2) FROM ev) - SUM(d * s2 / s0) AS u2,
+      SUM(d * (s1 / s0 - s1 * s1 / (s0 * s0))) AS i11, SUM(d * (s2 / s0 - s2 * s2 / (s0 * s0))) AS i22, SUM(d * (0 - s1 * s2 / (s0 * s0))) AS i12, SUM(d / s0) AS lam
+    FROM (SELECT b1, b2, t, ANY_VALUE(d) AS d, SUM(w * exp(x1 * b1 + x2 * b2)) AS s0, SUM(w * x1 * exp(x1 * b1 + x2 * b2)) AS s1,
+                 SUM(w * x2 * exp(x1 * b1 + x2 * b2)) AS s2 FROM pairs, step{k} GROUP BY b1, b2, t) z GROUP BY b1, b2)"""
+    for k in range(steps):
+        sql += f"""
+, step{k + 1} AS MATERIALIZED (SELECT b1 + (i22 * u1 - i12 * u2) / (i11 * i22 - i12 * i12) AS b1, b2 + (i11 * u2 - i12 * u1) / (i11 * i22 - i12 * i12) AS b2
+    FROM {sums.replace('{k}', str(k))} y)"""
+    return sql + f"""
+, fin AS (SELECT *, i11 * i22 - i12 * i12 AS det FROM {sums.replace('{k}', str(steps))} y)
+SELECT 'A' AS stratum, CAST(NULL AS DOUBLE) AS estimate, CAST(NULL AS DOUBLE) AS std_error, ROUND(1 - exp(-lam), 6) AS risk FROM fin
+UNION ALL SELECT 'N', ROUND(b1, 6), ROUND(sqrt(i22 / det), 6), ROUND(1 - exp(-lam * exp(b1)), 6) FROM fin
+UNION ALL SELECT 'R', ROUND(b2, 6), ROUND(sqrt(i11 / det), 6), ROUND(1 - exp(-lam * exp(b2)), 6) FROM fin"""
+
+
+@register("fine_gray_unadjusted", with_ctes(["consistent", "tests"], COHORT_SQL + BASIC_SQL + CR_SQL + _fine_gray_sql()))
+def fine_gray_unadjusted(spark, d):
+    """Fine-Gray for intubation (death, recovery competing) on the ABO-analogue, coefficients and cumulative
+    incidence at the last event time per stratum; the oracle takes the Newton steps over pairwise risk sets."""
+    r = R.dummy(competing_records(spark, d, "intubation"), "abo", ["A", "N", "R"], drop=False, prefix="abo", sep="_")
+    data = cut_lineage(r.select("survival_time", "status", "abo_N", "abo_R"))
+    coefs, base, _ = survival.fine_gray(data, [], "survival_time", "status", ["abo_N", "abo_R"], max_iter=25, gtol=1e-18)
+    at = spark.createDataFrame([("A", 0.0, 0.0), ("N", 1.0, 0.0), ("R", 0.0, 1.0)], "stratum string, abo_N double, abo_R double")
+    risks = survival.predict_cif_last(at, coefs, base, ["abo_N", "abo_R"])
+    got = coefs.select(F.substring("term", 5, 1).alias("stratum"), _r("estimate").alias("estimate"), _r("std_error").alias("std_error"))
+    return risks.join(got, "stratum", "left").select("stratum", "estimate", "std_error", _r("pred").alias("risk"))
+
+
 @register("risk_grid_bootstrap", None)
 def risk_grid_bootstrap(spark, d, n_boot: int = 1000):
     """2 exposures x 2 adjustments x 3 outcomes x (apparent + n_boot) fits, batched by key;

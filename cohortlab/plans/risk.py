@@ -13,8 +13,8 @@ patterns, and every sufficient statistic is a vector over iterations:
   weighted mean over patterns of ``1 - exp(-Lambda(t_max) exp(x b))``.
 
 Then RD / NNT / RR against the reference stratum per (cell, iteration) and percentile intervals over iterations, next
-to the apparent estimate. A fit that fails (no events, a level without persons, separated data, not converged) gives
-a NULL risk: ``n_boot_used`` and ``n_failed`` say how many iterations an interval rests on.
+to the apparent estimate. A fit that fails (no events, a level of the exposure without persons, separated data,
+not converged) gives NULL risks: ``n_boot_used`` and ``n_failed`` say how many iterations an interval rests on.
 """
 from __future__ import annotations
 
@@ -45,6 +45,7 @@ class Grid:
         self.cells = [(e, m) for e in exposures for m in adjustments]
         self.masks = [[x in exposures[e] or x in adjustments[m] for x in self.xs] for e, m in self.cells]
         self.strata = {e: [(s, [(self.xs.index(c), float(v)) for c, v in a.items()]) for s, a in strata[e].items()] for e in exposures}
+        self.levels = {e: sorted({c for _, values in self.strata[e] for c, v in values if v}) for e in exposures}
 
 
 def _risk_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -57,7 +58,7 @@ def linear_risks(df: DataFrame, y: str, person: str, grid: Grid, n_boot: int, se
     """Standardised risks of a linear probability model per (exposure, model, iteration, stratum)."""
     xs, blocks = grid.names, Blocks(n_boot)
     p = len(xs) + 1
-    cells, masks, strata = grid.cells, [np.array(m, bool) for m in grid.masks], grid.strata
+    cells, masks, strata, levels = grid.cells, [np.array(m, bool) for m in grid.masks], grid.strata, grid.levels
     src = df.select(person, F.col(y).alias("__y"), *[F.col(x).alias(c) for x, c in zip(grid.xs, xs)])
     pats = pattern_vectors(src, person, ["__y", *xs], n_boot, seed)
     run_by_value(__name__, vectors.__name__, alias_masks.__module__)
@@ -87,12 +88,11 @@ def linear_risks(df: DataFrame, y: str, person: str, grid: Grid, n_boot: int, se
                     gram = np.where(used[:, None] & used[None, :], full[:, :p, :p], 0.0)
                     keep = alias_masks(gram)
                     beta = masked_solve(gram, full[:, :p, p], keep)
+                    fit = keep[:, [0, *(c + 1 for c in levels[exposure])]].all(axis=1)      # else a level without persons
                     for s, values in strata[exposure]:
                         x = np.where(used, xbar, 0.0)
                         for c, value in values:
                             x[:, c + 1] = value
-                        # a level without persons has no estimate
-                        fit = keep[:, 0] & np.array([keep[:, c + 1] for c, value in values if value] or [keep[:, 0]]).all(axis=0)
                         rows += [(exposure, model, it, s, float(r) if ok else None)
                                  for it, r, ok in zip(its.tolist(), (beta * x).sum(axis=1), fit) if it <= n_boot]
                 yield _risk_batch(rows)
@@ -107,7 +107,7 @@ def fine_gray_risks(competing: Mapping[str, DataFrame], person: str, time: str,
 
     All outcomes are units of one fit and take their Newton steps together."""
     xs, blocks, cells, strata = grid.names, Blocks(n_boot), grid.cells, grid.strata
-    b, p, n_cells = blocks.size, len(xs), len(cells)
+    b, p, n_cells, levels = blocks.size, len(xs), len(cells), grid.levels
     unit = ["outcome", "blk"]
     pats = union_all([pattern_vectors(df.select(person, F.col(time).alias("time"), F.col(status).alias("status"),
                                            *[F.col(x).alias(c) for x, c in zip(grid.xs, xs)]), person, ["time", "status", *xs], n_boot, seed)
@@ -146,11 +146,12 @@ def fine_gray_risks(competing: Mapping[str, DataFrame], person: str, time: str,
                 keep = get("keep").astype(bool).reshape(n_cells, b, p)
                 rows, at = [], 0
                 for c, (exposure, model) in enumerate(cells):
-                    for s, values in strata[exposure]:
+                    ok_fit = ~bad[c] & (v[0] > 0) & keep[c][:, levels[exposure]].all(axis=1)
+                    for s, _ in strata[exposure]:
                         at += 1
                         for j, it in enumerate(its.tolist()):
                             if it <= n_boot:
-                                ok = not bad[c, j] and v[0, j] > 0 and all(keep[c, j, col] for col, value in values if value)
+                                ok = ok_fit[j]
                                 rows.append((exposure, model, it, s, float(v[at, j] / v[0, j]) if ok else None))
                 out = _risk_batch(rows)
                 outcome = batch.column("outcome").take(pa.array(np.full(out.num_rows, i)))
