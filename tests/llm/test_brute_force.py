@@ -286,7 +286,10 @@ def test_op7_base(mixed):
 def test_op8_files(mixed, tmp_path):
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    tok.encode_special_tokens = True
+    special = ["a <|endoftext|> b", "x<|startoftext|>y <|ENDOFTEXT|>", "<|endoftext|>", "<|endoftext|><|endoftext|> <|end oftext|>"]
+    more = mixed.sparkSession.createDataFrame([(200_000 + i, t, None, None, None) for i, t in enumerate(special)], mixed.schema)
+    mixed = mixed.union(more)
+    assert tok.encode(special[0], add_special_tokens=False).ids == [320, 49407, 321]
     rows, at = [], 0
     for i, t in sorted(texts_of(mixed)):
         ids = tok.encode(t, add_special_tokens=False).ids + [2]
@@ -305,9 +308,43 @@ def test_op8_pieces_equal_whole_texts():
     table = tokens.PieceTable(P.path("word_bpe_49k.json"))
     r = random.Random(3)
     alphabets = ["abC .,!?#", "a'sretvmld '", " \n\t a\r\x0b", "É̀é Ñ", "Σσς Α", "é日本 a1 2!?", "\x1c a\x85\xa0", "İıß ǅ ﬁ"]
-    for _ in range(400):
-        s = "".join(r.choice(r.choice(alphabets)) for _ in range(r.randint(0, 60)))
-        assert np.frombuffer(table.encode([s])[0], "<i4").tolist() == table.tokenizer.encode(s, add_special_tokens=False).ids
+    for trial in range(60):
+        texts = ["".join(r.choice(r.choice(alphabets)) for _ in range(r.randint(0, 60))) for _ in range(7)] + ["", "one <|endoftext|>two"]
+        if trial == 30:
+            table._forget()
+        ids, offsets = table.encode(pa.array([*texts, None]))
+        want = [table.tokenizer.encode(s, add_special_tokens=False).ids for s in texts] + [[]]
+        assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:])] == want
+    empty, offsets = table.encode(pa.array([], pa.string()))
+    assert len(empty) == 0 and offsets.tolist() == [0]
+
+
+def test_op8_fingerprints_that_clash(monkeypatch):
+    """Two pieces with one 64-bit key still get their own ids, in one slice and against the table."""
+    class Same:
+        prefix = staticmethod(lambda data: data)
+        spans = staticmethod(lambda p, a, b: np.zeros(len(a), np.uint64))
+    table = tokens.PieceTable(P.path("word_bpe_49k.json"))
+    monkeypatch.setattr(tokens, "_KEY", Same)
+    for texts in (["alpha beta alpha", "gamma"], ["beta", "alpha gamma delta"]):
+        ids, offsets = table.encode(pa.array(texts))
+        want = [table.tokenizer.encode(s, add_special_tokens=False).ids for s in texts]
+        assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:])] == want
+
+
+def test_op8_rows_with_one_id(spark, tmp_path):
+    """Files and index order rows of one id alike: by text."""
+    from tokenizers import Tokenizer
+    tok = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    rows = [(5, t) for t in ("zebra crossing", "apple", "mid way there now", "apple")] + [(1, "first")]
+    path = str(tmp_path / "t")
+    tokens.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), P.path("word_bpe_49k.json"), 2, path)
+    want, at = [], 0
+    for i, t in sorted(rows):
+        ids = tok.encode(t, add_special_tokens=False).ids + [2]
+        want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    assert sorted(map(tuple, tokens.token_index(spark, path).collect())) == want
 
 
 def test_op9_held_out_accuracy(spark, docs):
