@@ -30,11 +30,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import ship, text_column
+from .common import lean, ship, slices, text_column
 
 BLOCK_CHARS = 1 << 15      # leaf of the text tree
 MEMO_BYTES = 32            # only short strings are remembered ...
-MEMO_ENTRIES = 500_000     # ... and so many of them, then the table starts anew
+MEMO_ENTRIES = 100_000     # ... and so many of them, then the table starts anew
+PIECE_BYTES = 8 << 20      # matches a worker remembers, in UTF-8 bytes, then it starts anew
+PIECE_ENTRIES = 300_000
 HEAP_BYTES = 48
 LEAF_BYTES = 16            # leaf of the byte tree, encoded by definition
 DOCS_AT_ONCE = 256
@@ -71,13 +73,11 @@ class TreeBPE:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.find, self.find_latin = ranks, regex.compile(pattern), latin_pattern(pattern)
         self.token = {v: k for k, v in ranks.items()}
-        self.digits = {v: b"%d" % v for v in self.token}
-        self.raw = {v: v.to_bytes(4, "little") for v in self.token}
+        self.token_bytes = _Table([self.token.get(i, b"") for i in range(max(self.token, default=-1) + 1)])
+        self.digits = _Table([b"%d " % i for i in range(max(self.token, default=-1) + 1)])
         self.stable: dict[tuple[int, int], bool] = {}
         self.memo: dict[bytes, tuple[int, ...]] = {}
-        self.piece_ids: dict[str, bytes] = {}       # match -> its ids in decimal
-        self.piece_bytes: dict[str, bytes] = {}     # match -> what those ids decode to
-        self.piece_raw: dict[str, bytes] = {}       # match -> its ids as little-endian int32
+        self._forget()
         pairs = sorted((ranks[k[:i]] << 32 | ranks[k[i:]], r) for k, r in ranks.items()
                        for i in range(1, len(k)) if k[:i] in ranks and k[i:] in ranks)
         self.pair_keys = np.array([k for k, _ in pairs], np.int64)
@@ -188,21 +188,33 @@ class TreeBPE:
         m = len(b) // 2
         return self._leaves(b[:m]) + self._leaves(b[m:])
 
+    def _forget(self) -> None:
+        """Start the tables of matches and strings anew (every entry can be made again)."""
+        self.memo.clear()
+        self.stable.clear()
+        self.number: dict[str, int] = {}            # match -> entry; an entry's ids lie in one buffer
+        self.flat, self.ends, self.held = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)], 0
+
     def learn(self, pieces: list[str]) -> None:
-        """Encode and decode matches not seen yet: all leaves at once, then the joins of the longer ones."""
-        encoded, raw = [p.encode() for p in pieces], self.raw
+        """Encode matches not seen yet: all leaves at once, then the joins of the longer ones."""
+        encoded = [p.encode() for p in pieces]
         leaves = list({x for b in encoded if b not in self.ranks for x in self._leaves(b)} - self.ranks.keys() - self.memo.keys())
         if len(self.memo) + len(leaves) > MEMO_ENTRIES:
             self.memo.clear()
             leaves = list({x for b in encoded if b not in self.ranks for x in self._leaves(b)} - self.ranks.keys())
         if leaves:
             self.memo.update(zip(leaves, self._merge_many(leaves)))
-        digits, token = self.digits, self.token
-        for p, b in zip(pieces, encoded):
-            ids = self.encode_bytes(b)
-            self.piece_ids[p] = b" ".join([digits[i] for i in ids])
-            self.piece_bytes[p] = b"".join([token[i] for i in ids])
-            self.piece_raw[p] = b"".join([raw[i] for i in ids])
+        found = [self.encode_bytes(b) for b in encoded]
+        self.number.update(zip(pieces, range(len(self.number), len(self.number) + len(pieces))))
+        self.flat.append(np.array([i for ids in found for i in ids], np.int32))
+        self.ends.append(self.ends[-1][-1] + np.cumsum([len(ids) for ids in found], dtype=np.int64))
+        self.held += sum(map(len, encoded))
+
+    def _pieces(self) -> tuple[np.ndarray, np.ndarray]:
+        """All remembered ids and where each entry's begin and end."""
+        if len(self.flat) > 1:
+            self.flat, self.ends = [np.concatenate(self.flat)], [np.concatenate(self.ends)]
+        return self.flat[0], self.ends[0]
 
     def _pair_stable(self, a: int, b: int) -> bool:
         ok = self.stable.get((a, b))
@@ -282,24 +294,58 @@ class TreeBPE:
     def decode(self, ids) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
 
-    def digests(self, texts: list[str]) -> list[tuple[int, str, str, bool, bytes]]:
-        """Of each text: number of ids, sha256 of the ids, sha256 of what they decode to, whether that is the text, the ids."""
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and the offsets of the texts."""
         split = [self.split(t) for t in texts]
-        new = set().union(*split) - self.piece_ids.keys()
-        if len(self.piece_ids) + len(new) > MEMO_ENTRIES:
-            self.piece_ids.clear()
-            self.piece_bytes.clear()
-            self.piece_raw.clear()
-            new = set().union(*split)
-        self.learn(list(new))
+        distinct = set().union(*split)
+        new = distinct - self.number.keys()
+        if len(self.number) + len(new) > PIECE_ENTRIES or self.held > PIECE_BYTES:
+            self._forget()
+            new = distinct
+        if new:
+            self.learn(list(new))
+        flat, ends = self._pieces()
+        number = self.number
+        entry = np.array([number[p] for s in split for p in s], np.int64)
+        sizes = ends[entry + 1] - ends[entry]
+        ids = _gather(flat, ends[entry], sizes)
+        total = np.concatenate([[0], np.cumsum(sizes)])
+        offsets = total[np.concatenate([[0], np.cumsum([len(s) for s in split], dtype=np.int64)])]
+        if self.held > PIECE_BYTES:         # one slice of very long matches is not kept
+            self._forget()
+        return ids, offsets
+
+    def digests(self, texts: list[str]) -> tuple[list[tuple[int, str, str, bool]], np.ndarray, np.ndarray]:
+        """Of each text: number of ids, sha256 of the ids, sha256 of what they decode to, whether that is the text;
+        the ids of all texts and their offsets."""
+        ids, offsets = self.encode_all(texts)
+        decimal, at = self.digits.joined(ids)
+        decoded, to = self.token_bytes.joined(ids)
         out = []
-        for text, pieces in zip(texts, split):
-            ids = b" ".join(map(self.piece_ids.__getitem__, pieces))
-            decoded = b"".join(map(self.piece_bytes.__getitem__, pieces))
-            out.append((ids.count(b" ") + 1 if pieces else 0, hashlib.sha256(ids).hexdigest(),
-                        hashlib.sha256(decoded).hexdigest(), decoded == text.encode(),
-                        b"".join(map(self.piece_raw.__getitem__, pieces))))
-        return out
+        for text, lo, hi in zip(texts, offsets[:-1].tolist(), offsets[1:].tolist()):
+            back = decoded[to[lo]:to[hi]]
+            out.append((hi - lo, hashlib.sha256(decimal[at[lo]:max(at[hi] - 1, at[lo])]).hexdigest(), hashlib.sha256(back).hexdigest(), back == text.encode()))
+        return out, ids, offsets
+
+
+class _Table:
+    """Byte strings by number, laid end to end."""
+
+    def __init__(self, strings: list[bytes]):
+        self.flat = np.frombuffer(b"".join(strings), np.uint8)
+        self.ends = np.concatenate([[0], np.cumsum([len(x) for x in strings], dtype=np.int64)])
+
+    def joined(self, ids: np.ndarray) -> tuple[bytes, list[int]]:
+        """The strings of all ids one after the other, and where each begins."""
+        sizes = self.ends[ids + 1] - self.ends[ids]
+        return _gather(self.flat, self.ends[ids], sizes).tobytes(), np.concatenate([[0], np.cumsum(sizes)])
+
+
+def _gather(flat: np.ndarray, start: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The ranges [start, start + size) of an array one after the other."""
+    n = int(sizes.sum())
+    first = np.cumsum(sizes) - sizes
+    return flat[np.arange(n) + np.repeat(start - first, sizes)]
 
 
 _loaded: dict[tuple[str, str], TreeBPE] = {}
@@ -324,7 +370,7 @@ def bpe_encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc
                 ids = [bpe.encode(t) for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.list_(pa.int32())),
                                                   pa.array(map(len, ids), pa.int64())], names=["doc_id", "ids", "n_tokens"])
-    return text_column(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>, n_tokens long")
+    return text_column(docs, id_col, text_col).mapInArrow(lean(run), "doc_id long, ids array<int>, n_tokens long")
 
 
 def bpe_decode(tokens: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -337,7 +383,7 @@ def bpe_decode(tokens: DataFrame, rank_file: str, pattern: str, id_col: str = "d
             decoded = [bpe.decode(x or ()) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(decoded, pa.binary())], names=["doc_id", "decoded"])
     return tokens.select(tokens[id_col].cast("long").alias("doc_id"), tokens[ids_col].alias("ids")).mapInArrow(
-        run, "doc_id long, decoded binary")
+        lean(run), "doc_id long, decoded binary")
 
 
 def bpe_digests(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
@@ -348,13 +394,12 @@ def bpe_digests(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "do
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(rank_file, pattern)
         for batch in batches:
-            for lo in range(0, batch.num_rows, DOCS_AT_ONCE):
-                part = batch.slice(lo, DOCS_AT_ONCE)
-                n, ids_sha, decoded_sha, same, raw = zip(*bpe.digests(part.column("text").to_pylist()))
+            for part in slices(batch):
+                rows, ids, offsets = bpe.digests(part.column("text").to_pylist())
+                n, ids_sha, decoded_sha, same = zip(*rows)
                 columns = [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(decoded_sha), pa.array(same)]
                 if with_ids:
-                    offsets = pa.array(np.cumsum((0, *n)), pa.int32())
-                    columns.append(pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(raw), "<i4"))))
+                    columns.append(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids)))
                 yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in schema.split(", ")])
     schema = SCHEMA + (", ids array<int>" if with_ids else "")
-    return text_column(docs, id_col, text_col).mapInArrow(run, schema)
+    return text_column(docs, id_col, text_col).mapInArrow(lean(run), schema)

@@ -1,6 +1,7 @@
 """Shared by the operators: code shipping, scratch tables, and vectorised scans over Arrow text columns."""
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -113,12 +114,18 @@ def stream(seed: int, n: int) -> np.ndarray:
 class Rolling:
     """Substring fingerprints by prefix sums modulo 2**64: one pass, then any span in O(1)."""
 
+    every: list[Rolling] = []       # of this process; their power tables grow with the longest text of a task
+
     def __init__(self, seed: int):
+        Rolling.every.append(self)
         self.table = stream(seed, 256)
         self.base = int(stream(seed + 1, 1)[0]) | 1
         self.inverse = pow(self.base, -1, 1 << 64)
         self.up = self.down = np.ones(1, np.uint64)
 
+    def shrink(self) -> None:
+        self.up = self.down = np.ones(1, np.uint64)
+
     @staticmethod
     def _powers(base: int, n: int) -> np.ndarray:
         out = np.full(n, np.uint64(base), np.uint64)
@@ -203,6 +210,26 @@ def per_row(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return c[offsets[1:]] - c[offsets[:-1]]
 
 
+def give_back() -> None:
+    """Return to the system what a finished task would leave behind in a reused Python worker."""
+    for r in Rolling.every:
+        r.shrink()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)      # glibc only
+    if trim is not None:
+        trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """The function for mapInArrow, leaving a small worker behind at the end of each task."""
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+    return inner
+
+
 def filter_rows(docs: DataFrame, keep: Callable[[pa.Array], np.ndarray], text_col: str = "text") -> DataFrame:
     """Rows, with all their columns, for which ``keep`` says True on the text column. A narrow pass."""
     ship(docs.sparkSession)
@@ -211,4 +238,4 @@ def filter_rows(docs: DataFrame, keep: Callable[[pa.Array], np.ndarray], text_co
         for batch in batches:
             for part in slices(batch, text_col):
                 yield part.filter(pa.array(keep(part.column(text_col)), pa.bool_()))
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, filter_rows, flat, mix, ngrams, row_ranges, runs, ship, slices, stream, text_column
+from .common import Rolling, filter_rows, flat, lean, mix, ngrams, row_ranges, runs, ship, slices, stream, text_column
 
 SCHEMA = "doc_id long, item_id long, distance int, item_words int, similarity double, start_word long, end_word long"
 SLICE = 3 << 20
@@ -260,7 +260,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, params: Params = Params(
     src = text_column(docs, id_col, text_col)
     out = spark.createDataFrame([], SCHEMA)
     for index in indexes(benchmark, params, item_col, item_text):
-        out = out.union(src.mapInArrow(_search(index), SCHEMA))
+        out = out.union(src.mapInArrow(lean(_search(index)), SCHEMA))
     return out
 
 

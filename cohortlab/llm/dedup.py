@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, Rolling, flat, mix, ngrams, row_ranges, runs, saved, ship, slices, stream
+from .common import LOWER, SPACE, Rolling, flat, lean, mix, ngrams, row_ranges, runs, saved, ship, slices, stream
 
 
 @dataclass(frozen=True)
@@ -140,7 +140,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, numerator: int) -> DataFrame:
     """(a, b) pairs -> those linked on full sets. The larger side joins last, next to the sets of the hubs."""
     a = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a"))
     b = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b"))
-    return pairs.join(a, "a").join(b, "b").mapInArrow(_linked(numerator), "a long, b long")
+    return pairs.join(a, "a").join(b, "b").mapInArrow(lean(_linked(numerator)), "a long, b long")
 
 
 def components(links: DataFrame, name: str = "component", rounds: int = 60) -> DataFrame:
@@ -224,7 +224,7 @@ def _verdicts(docs: DataFrame, params: Params, id_col: str, text_col: str) -> Da
     ship(docs.sparkSession)
     src = docs.select(_key(id_col, text_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
                       F.col(id_col).cast("long").isNotNull().alias("named"))
-    sig = saved(src.mapInArrow(_signature_batches(params), SIGNATURE), "minmax")
+    sig = saved(src.mapInArrow(lean(_signature_batches(params)), SIGNATURE), "minmax")
     classes = (sig.filter("n_shingles > 0").groupBy("digest", "n_shingles")
                .agg(F.min(F.when(F.col("named"), F.col("doc_id"))).alias("real"), F.min("doc_id").alias("low"), F.min_by("bands", "doc_id").alias("bands"))
                .withColumn("rep", F.coalesce("real", "low")))
@@ -239,7 +239,7 @@ def _verdicts(docs: DataFrame, params: Params, id_col: str, text_col: str) -> Da
     spokes = (members.join(hubs, ["band", "value"]).filter("doc_id <> hub")
               .select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct())
     sets = saved(src.join(members.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-                 .mapInArrow(_set_batches(params.words), SETS), "sets")
+                 .mapInArrow(lean(_set_batches(params.words)), SETS), "sets")
     links = saved(confirm(spokes, sets, params.numerator), "links")
 
     # the rest: members of mixed buckets that share a rare shingle across components
