@@ -95,12 +95,14 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def alignments(scanned: DataFrame) -> DataFrame:
-    """(doc_id, label, share): templates found in a file, with the share of their IDF weight that is aligned."""
+    """(row, label, share): templates found in a file, with the share of their IDF weight that is aligned.
+
+    Files are told apart by their row number, so rows with one id, or none, do not add up."""
     spark = scanned.sparkSession
     n = scanned.count()
-    hits = scanned.filter(F.size("hits") > 0).select("doc_id", F.explode("hits").alias("h")).select("doc_id", "h.pos", "h.word")
+    hits = scanned.filter(F.size("hits") > 0).select("row", F.explode("hits").alias("h")).select("row", "h.pos", "h.word")
     rare = hits.filter(F.col("word").isin(*VOCABULARY))
-    idf = (rare.groupBy("word").agg(F.countDistinct("doc_id").alias("df"))
+    idf = (rare.groupBy("word").agg(F.countDistinct("row").alias("df"))
            .select("word", F.log((F.lit(n) + 1) / (F.col("df") + 0.5)).alias("idf")))
     # fixed values, about 150 rows: safe to broadcast
     postings = spark.createDataFrame(_template_words(), "template int, label string, tpos int, word string")
@@ -110,7 +112,7 @@ def alignments(scanned: DataFrame) -> DataFrame:
     weights = F.broadcast(vocabulary.join(idf, "word", "left").select("word", F.coalesce("idf", unseen).alias("idf")))  # one row a vocabulary word
     weight = indexed.join(weights, "word").groupBy("template").agg(F.sum("idf").alias("weight"))
     votes = (rare.join(weights, "word").join(indexed, "word").withColumn("shift", F.col("pos") - F.col("tpos"))
-             .groupBy("doc_id", "template", "label", "shift").agg(F.sum("idf").alias("got"))
+             .groupBy("row", "template", "label", "shift").agg(F.sum("idf").alias("got"))
              .join(F.broadcast(weight), "template")
              .withColumn("share", F.when(F.col("weight") > 0, F.col("got") / F.col("weight")).otherwise(0.0))
              .filter(F.col("share") >= LEAST_SHARE))
@@ -119,18 +121,18 @@ def alignments(scanned: DataFrame) -> DataFrame:
             for i in range(len(text.split())) if text.split()[i:i + len(p.split())] == p.split() for j, w in enumerate(p.split())]
     wanted = F.broadcast(spark.createDataFrame(keys, "template int, phrase string, tpos int, word string, size int"))
     asked = votes.join(wanted, "template").withColumn("pos", F.col("shift") + F.col("tpos"))
-    verified = (asked.join(hits, ["doc_id", "pos", "word"], "left_semi")
-                .groupBy("doc_id", "template", "label", "shift", "share", "phrase", "size").agg(F.count("*").alias("n")).filter("n = size"))
-    return verified.groupBy("doc_id", "label").agg(F.max("share").alias("share"))
+    verified = (asked.join(hits, ["row", "pos", "word"], "left_semi")
+                .groupBy("row", "template", "label", "shift", "share", "phrase", "size").agg(F.count("*").alias("n")).filter("n = size"))
+    return verified.groupBy("row", "label").agg(F.max("share").alias("share"))
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: words, base places, labels and a score (1 with a base phrase, else the best aligned share)."""
-    scanned = saved(scan(docs, id_col, text_col), "license-hits")
-    found = alignments(scanned).groupBy("doc_id").agg(F.collect_set("label").alias("more"), F.max("share").alias("share"))
+    scanned = saved(scan(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "license-hits")
+    found = alignments(scanned).groupBy("row").agg(F.collect_set("label").alias("more"), F.max("share").alias("share"))
     places = F.concat(*(F.col(v) for v in (f"`{x}`" for x in BASE.values())))
     base = F.array_sort(F.array_compact(F.array(*(F.when(F.size(f"`{x}`") > 0, F.lit(x)) for x in BASE.values()))))
-    rows = scanned.join(found, "doc_id", "left").withColumn("places", places).withColumn("base", base)
+    rows = scanned.join(found, "row", "left").withColumn("places", places).withColumn("base", base)
     return rows.select(
         "doc_id", "n_words", F.size("places").cast("long").alias("n_base"),
         F.array_min("places").cast("long").alias("first_word"), F.array_max("places").cast("long").alias("last_word"),
