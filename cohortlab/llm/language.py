@@ -15,6 +15,8 @@ repeated rows give equal rows; very long texts whole; no rows -> no rows.
 """
 from __future__ import annotations
 
+import functools
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,8 +32,33 @@ UNKNOWN = "und"
 SCHEMA = "doc_id long, lang_pred string, score double, n_letter_words long, n_switches long, word_share double"
 NGRAMS = (2, 3, 4)
 _ROLL = Rolling(9001)
-_LETTER = np.zeros(256, bool)
-_LETTER[[*range(97, 123), *range(128, 256)]] = True
+
+
+@functools.cache
+def _classes() -> np.ndarray:
+    """Of every code point: 1 letter (category L), 2 mark (M), 0 neither."""
+    out = np.zeros(0x110000, np.uint8)
+    for i in range(0x110000):
+        c = unicodedata.category(chr(i))[0]
+        if c in "LM":
+            out[i] = 1 if c == "L" else 2
+    return out
+
+
+def _kinds(data: np.ndarray) -> np.ndarray:
+    """The class of the character that each byte of a UTF-8 buffer belongs to."""
+    classes = _classes()
+    out = classes[data] * (data < 0x80)
+    d = np.concatenate([data, np.zeros(3, np.uint8)]).astype(np.int64)
+    for least, end, size, bits in ((0xC0, 0xE0, 2, 0x1F), (0xE0, 0xF0, 3, 0x0F), (0xF0, 0xF8, 4, 0x07)):
+        at = np.flatnonzero((data >= least) & (data < end))
+        point = d[at] & bits
+        for k in range(1, size):
+            point = point << 6 | d[at + k] & 0x3F
+        kind = classes[np.minimum(point, 0x10FFFF)]
+        for k in range(size):
+            out[at + k] = kind
+    return out
 
 
 @dataclass(frozen=True)
@@ -54,22 +81,13 @@ class Model:
 
 
 def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Lower-cased bytes, word starts and ends, and each row's range of words. Letters only."""
+    """Lower-cased bytes, word starts and ends, and each row's range of words: letters and marks, a letter at least."""
     data, offsets = flat(pc.utf8_lower(pc.fill_null(column, "")))
-    mask = _LETTER[data]
-    if len(data) > 2:       # two- and three-byte signs that are no letters
-        at = np.flatnonzero((data[:-2] == 0xE2) & (data[1:-1] >= 0x80) & (data[1:-1] <= 0xAF))
-        mask[at] = mask[at + 1] = mask[at + 2] = False
-        at = np.flatnonzero((data[:-2] == 0xE3) & (data[1:-1] == 0x80) & (data[2:] <= 0x84))
-        mask[at] = mask[at + 1] = mask[at + 2] = False
-        at = np.flatnonzero((data[:-1] == 0xC2) & (data[1:] >= 0x80) & (data[1:] != 0xAA) & (data[1:] != 0xB5) & (data[1:] != 0xBA))
-        mask[at] = mask[at + 1] = False
-        at = np.flatnonzero((data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7)))
-        mask[at] = mask[at + 1] = False
-        for at in np.flatnonzero(data >= 0xF0).tolist():       # emoji and other signs beyond the basic plane
-            if not data[at:at + 4].tobytes().decode("utf-8", "replace").isalpha():
-                mask[at:at + 4] = False
-    starts, ends = runs(mask, offsets)
+    kind = _kinds(data)
+    starts, ends = runs(kind > 0, offsets)
+    letters = np.concatenate([[0], np.cumsum(kind == 1)])
+    real = letters[ends] > letters[starts]
+    starts, ends = starts[real], ends[real]
     lo, hi, _ = row_ranges(starts, offsets)
     return data, starts, ends, lo, hi
 
@@ -247,7 +265,7 @@ def fit(docs: DataFrame, params: Params = Params(), id_col: str = "doc_id", text
     known = docs.filter(F.col(label_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
     n = known.count()
     share = min(1.0, params.sample_rows / n) if n else 0.0
-    rows = (known.filter(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < int(share * 1_000_000))
+    rows = (known.filter(F.pmod(F.xxhash64(id_col), F.lit(1 << 62)) < F.lit(int(share * (1 << 62))))
             .select(F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("string").alias("label"))
             .distinct().collect())      # about sample_rows rows
     rows = sorted(rows)

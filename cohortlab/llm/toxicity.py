@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_saved, filter_rows, flat, runs, saved, ship, slices, text_column
+from .common import drop_saved, filter_rows, flat, lean, runs, saved, ship, slices, text_column
 
 # Word classes the grammar starts from (English, German, French, Spanish); the labels add insults and stems.
 INSULTS = """idiot idiots stupid moron morons loser losers scum trash clown pathetic disgusting worthless imbecile
@@ -304,14 +304,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not n:
         return model
     share = min(1.0, sample_rows / n)
-    some = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    some = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 62)) < F.lit(int(share * (1 << 62))))
     rows = saved(text_column(docs, id_col, text_col).join(some, "doc_id").dropDuplicates(["text", "label"]), "toxicity-sample")
     for key in learn_lexicon(rows):
         if key.endswith("*"):
             model.stems |= {key[:-1]}
         else:
             model.classes.setdefault(key, "I")
-    got = rows.mapInArrow(_events(model), "doc_id long, label int, counts array<int>").select("label", "counts").collect()
+    got = rows.mapInArrow(lean(_events(model)), "doc_id long, label int, counts array<int>").select("label", "counts").collect()
     drop_saved(rows)
     y = np.array([r["label"] for r in got], float)
     if 0 < y.sum() < len(y):
@@ -323,7 +323,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def toxicity_scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: score, 0/1 prediction, numbers of events and matched clauses, the worth of the worst clause."""
     ship(docs.sparkSession)
-    return text_column(docs, id_col, text_col).mapInArrow(_score(model), SCHEMA)
+    return text_column(docs, id_col, text_col).mapInArrow(lean(_score(model)), SCHEMA)
 
 
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
