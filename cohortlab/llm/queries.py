@@ -16,7 +16,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.remove_repeats(_table(spark, sf_dir, "documents")).drop("kept")
+    found = substring.remove_repeats(_table(spark, sf_dir, "documents")).drop("kept")
+    return found.withColumn("has_repeat", F.col("n_removed") > 0)
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

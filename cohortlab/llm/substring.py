@@ -37,6 +37,7 @@ from .common import Rolling, drop_saved, flat, mix, saved, ship, slices
 
 PARTS = (16, 1)         # sizes of the offset ranges after the whole window
 BATCHES = 4
+HOT_PARTS = 1000        # keys with more than 1/HOT_PARTS of the rows are hot
 _A, _B = Rolling(1001), Rolling(1002)
 SUFFIX = "rid long, pos int, lo int, hi int, core long, e1 long, e2 long"
 NODE = "rid long, pos int, lo int, hi int, open boolean, core long, core2 long, e1 long, e2 long"
@@ -168,23 +169,40 @@ class SuffixFamily:
             drop_saved(f)
 
 
+def semi(left: DataFrame, right: DataFrame, on: list[str], n: int, how: str = "left_semi") -> DataFrame:
+    """Rows of ``left`` with (or, left_anti, without) their key in ``right``; ``left`` is a written table of n rows.
+
+    Keys with more than 1/HOT_PARTS of the rows are fewer than HOT_PARTS and are broadcast, so that no task of the
+    shuffle gets a frequent gram's rows; the others join as they come."""
+    hot = left.groupBy(*on).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > n // HOT_PARTS).select(*on)
+    hot = hot.join(right.select(*on).distinct().withColumn("__in", F.lit(True)), on, "left").withColumn("__in", F.coalesce("__in", F.lit(False)))
+    seen = left.join(F.broadcast(hot), on, "left")
+    wanted = F.col("__in") if how == "left_semi" else ~F.col("__in")
+    rest = seen.filter(F.col("__in").isNull()).select(*left.columns)
+    return seen.filter(wanted).select(*left.columns).unionByName(rest.join(right.select(*on), on, how))
+
+
 def _release(spark: SparkSession) -> None:
     """Let Spark's cleaner delete the shuffle files of finished steps; it acts when the driver collects garbage."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
-def _by_extent(alive: DataFrame, core: list[str]) -> tuple[DataFrame, DataFrame]:
+def _by_extent(alive: DataFrame, core: list[str]) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
     """Runs whose extent occurs again are settled; one of them goes on as a partner for the open ones."""
-    extents = saved(alive.groupBy("e1", "e2").agg(F.count("*").alias("n"), F.min(F.struct("rid", "pos", "lo", "hi")).alias("one"),
+    extents = saved(alive.groupBy("e1", "e2").agg(F.count("*").alias("n"), F.min(F.struct("rid", "pos", "lo", "hi", "open")).alias("one"),
                                                   *(F.first(c).alias(c) for c in core)), "substring-extents")
-    twice = extents.filter("n > 1")
-    settled = alive.filter("open").join(twice.select("e1", "e2"), ["e1", "e2"], "left_semi").select("rid", "lo", "hi")
-    single = alive.join(twice.select("e1", "e2"), ["e1", "e2"], "left_anti").select("rid", "pos", "lo", "hi", "open", *core)
+    twice, total = extents.filter("n > 1"), alive.count()
+    settled = semi(alive, twice, ["e1", "e2"], total).filter("open").select("rid", "lo", "hi")
+    # an extent that occurs once is a row of the extents; no join is needed to find these
+    once = extents.filter("n = 1").select("one.rid", "one.pos", "one.lo", "one.hi", "one.open", *core)
+    single = saved(once, "substring-single")
     wanted = single.filter("open").select(*core).distinct()
     partners = twice.select("one.rid", "one.pos", "one.lo", "one.hi", F.lit(False).alias("open"), *core)
-    going_on = single.union(partners).join(wanted, core, "left_semi").select("rid", "pos", "lo", "hi", "open")
-    return settled, going_on
+    both = saved(single.union(partners), "substring-going")
+    settled = saved(settled, "substring-settled")
+    drop_saved(extents)
+    return settled, semi(both, wanted, core, total).select("rid", "pos", "lo", "hi", "open"), [single, both]
 
 
 def repeated_runs(src: DataFrame, p: Params = Params()) -> DataFrame:
@@ -195,26 +213,27 @@ def repeated_runs(src: DataFrame, p: Params = Params()) -> DataFrame:
     family = SuffixFamily()
     for b in range(BATCHES):
         family.add(suffixes.filter(F.pmod("rid", F.lit(BATCHES)) == b).select("core"))
-    alive = saved(suffixes.join(family.repeated(), "core", "left_semi").withColumn("open", F.lit(True)), "substring-alive")
+    alive = saved(semi(suffixes, family.repeated(), ["core"], suffixes.count()).withColumn("open", F.lit(True)), "substring-alive")
     family.drop()
     drop_saved(suffixes)
     _release(spark)
     # 2. long matches
-    settled, going_on = _by_extent(alive, ["core"])
-    done = [saved(settled, "substring-settled")]
+    settled, going_on, held = _by_extent(alive, ["core"])
+    done = [settled]
     for part_size in PARTS:
         places = going_on.groupBy("rid").agg(F.collect_list(F.struct("pos", "lo", "hi", "open")).alias("places"))
         nodes = saved(src.join(places, "rid").mapInArrow(_nodes(p, part_size), NODE), "substring-nodes")
-        drop_saved(alive)
+        for f in (alive, *held):
+            drop_saved(f)
         _release(spark)
         cores = nodes.groupBy("core", "core2").agg(F.count("*").alias("n"), F.max("open").alias("wanted")).filter("n > 1 and wanted")
-        again = nodes.join(cores.select("core", "core2"), ["core", "core2"], "left_semi")
+        again = semi(nodes, cores, ["core", "core2"], nodes.count())
         if part_size == 1:
-            settled = again.filter("open").select("rid", "lo", "hi")
+            settled = saved(again.filter("open").select("rid", "lo", "hi"), "substring-settled")
         else:
             alive = saved(again, "substring-alive")
-            settled, going_on = _by_extent(alive, ["core", "core2"])
-        done.append(saved(settled, "substring-settled"))
+            settled, going_on, held = _by_extent(alive, ["core", "core2"])
+        done.append(settled)
         drop_saved(nodes)
     out = done[0]
     for d in done[1:]:

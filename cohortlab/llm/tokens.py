@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import LOWER, Rolling, flat, row_ranges, runs, scratch, ship, slices, text_column
+from .common import LOWER, Rolling, flat, lean, row_ranges, runs, scratch, ship, slices, text_column
 
 CACHE_ENTRIES = 600_000     # pieces a worker remembers, then it starts anew
 _KEY, _CHECK = Rolling(8001), Rolling(8002)
@@ -219,7 +219,7 @@ def write_tokens(docs: DataFrame, tokenizer_file: str, end_id: int, path: str, i
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n + 1), out], names=["doc_id", "n_tokens", "ids"])
     src = text_column(docs, id_col, text_col)
     by = [partitions, "doc_id"] if partitions else ["doc_id"]
-    rows = src.repartitionByRange(*by).sortWithinPartitions("doc_id", "text").mapInArrow(run, TOKENS)
+    rows = src.repartitionByRange(*by).sortWithinPartitions("doc_id", "text").mapInArrow(lean(run), TOKENS)
     rows.withColumn("place", F.monotonically_increasing_id()).withColumn("part", F.spark_partition_id()).write.options(**WRITE_OPTIONS).parquet(path)
 
 
