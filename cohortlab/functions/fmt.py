@@ -5,9 +5,10 @@ so C-style ``%.Ng`` is rebuilt here from rounding + fixed formats.
 """
 from __future__ import annotations
 
+from collections.abc import Sequence
 from decimal import Decimal
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .expr import col
@@ -18,6 +19,11 @@ def _strip_zeros(s: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(s, r"(\.\d*?)0+$", "$1"), r"\.$", "")
 
 
+def strip_zeros(s: Column) -> Column:
+    """Decimals without trailing zeros: 12.0 -> 12."""
+    return _strip_zeros(s)
+
+
 def _fixed_var(x: Column, decimals: Column, max_dec: int) -> Column:
     out = None
     for k in range(0, max_dec + 1):
@@ -73,9 +79,9 @@ def n_pct(n, pct, decimals: int = 1, style: str = "fixed", percent_sign: bool =
 
     ``style='fixed'``: ``sprintf('%.1f')`` (trailing zeros kept); ``style='round'``: R ``round(x, 1)`` printed
     as a number (``12.0`` -> ``12``). ``percent_sign`` appends ``%`` inside the parentheses.
-    Both round the exact binary value half-even first, which is what C's printf does on decimal ties.
+    Both round the exact binary value half-even, which is what C's printf does.
     """
-    p = F.format_string(f"%.{decimals}f", F.bround(col(pct).cast("double"), decimals))
+    p = fmt_fixed(pct, decimals)
     if style == "round":
         p = _strip_zeros(p)
     elif style != "fixed":
@@ -106,3 +112,18 @@ def adaptive(c, kind: str) -> Column:
 def count_share(n, total, kind_n: str = "int", kind_share: str = "percent") -> Column:
     """X1 (second form): ``'{n} ({n / total})'`` with the adaptive number formats."""
     return F.concat(adaptive(n, kind_n), F.lit(" ("), adaptive(col(n) / col(total), kind_share), F.lit(")"))
+
+
+def adaptive_by_first(df: DataFrame, cols: Sequence[str], order: Sequence[str], suffix: str = "_text") -> DataFrame:
+    """Each column printed in the kind that its first value decides (whole number, below 1, above 100, else).
+
+    "First" is the row with the least ``order`` (which must tell rows apart); NULL first values decide "whole". One
+    aggregate of one row decides all columns; the texts are column expressions."""
+    first = df.agg(*[F.min_by(F.col(c).cast("double"), F.struct(*order)).alias(f"__f_{c}") for c in cols])
+    out = df.crossJoin(F.broadcast(first))      # one row by the aggregate
+    for c in cols:
+        f = F.col(f"__f_{c}")
+        text = F.when(f % 1 == 0, adaptive(c, "int")).when(F.abs(f) < 1, adaptive(c, "percent")).when(F.abs(f) > 100, adaptive(c, "1dp")) \
+            .otherwise(adaptive(c, "whole"))
+        out = out.withColumn(c + suffix, text)
+    return out.drop(*[f"__f_{c}" for c in cols])

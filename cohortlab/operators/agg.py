@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import epoch_micros, micros_between
-from .relational import join_small
+from .relational import join_null_safe, join_small
 
 
 def _cols(x) -> list[str]:
@@ -81,12 +81,28 @@ def null_counts(df: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- D13-D21
 
+#: texts one key may collect; more is an error, not a memory problem
+MAX_TEXTS = 100_000
+
+
 def join_text(df: DataFrame, keys: Sequence[str], text: str, order: str | None = None, sep: str = ", ",
-              out: str | None = None) -> DataFrame:
-    """Ordered string aggregation per key."""
-    order = order or text
-    arr = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).cast("string").alias("t"))))
-    return df.groupBy(*keys).agg(F.array_join(F.transform(arr, lambda s: s["t"]), sep).alias(out or text))
+              out: str | None = None, distinct: bool = False, max_texts: int = MAX_TEXTS) -> DataFrame:
+    """Ordered string aggregation per key (by ``order``, then text); NULL texts are left out.
+
+    Equal (order, text) pairs are counted before anything is collected, so a hot key shuffles each of them once per
+    task and is repeated (or, ``distinct``, not) only in the text. A key with more than ``max_texts`` different pairs
+    raises an error before its texts are collected.
+    """
+    keys, order = list(keys), order or text
+    pairs = df.filter(F.col(text).isNotNull()).groupBy(*keys, F.col(order).alias("__o"), F.col(text).cast("string").alias("__t")) \
+        .agg(F.count(F.lit(1)).cast("int").alias("__k"))
+    sizes = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    fits = F.when(F.col("__n") <= max_texts, F.col("__t")).otherwise(F.raise_error(F.lit(f"more than {max_texts} texts to join for one key")))
+    pairs = join_null_safe(pairs, sizes, keys).withColumn("__t", fits)
+    times = F.lit(1) if distinct else F.col("__k")
+    arr = F.array_sort(F.collect_list(F.struct(F.col("__o").alias("o"), F.col("__t").alias("t"), times.alias("k"))))
+    texts = F.flatten(F.transform(arr, lambda x: F.array_repeat(x["t"], x["k"])))
+    return pairs.groupBy(*keys).agg(F.array_join(texts, sep).alias(out or text))
 
 
 def consensus(df: DataFrame, key: str, value: str, none: str = "missing", many: str = "other",
@@ -142,7 +158,7 @@ def one_vs_rest(counts: DataFrame, group: str, value_cols: Sequence[str], target
                 by: Sequence[str] = ()) -> DataFrame:
     """For every group, its own counts vs. the sum of all other groups (rest = total - own)."""
     tot = counts.groupBy(*by).agg(*[F.sum(c).alias(f"__t_{c}") for c in value_cols])
-    j = counts.join(F.broadcast(tot), list(by), "inner") if by else counts.crossJoin(F.broadcast(tot))
+    j = join_small(counts, tot, list(by)) if by else counts.crossJoin(F.broadcast(tot))     # one row
     own = [F.col(c).alias(c) for c in value_cols]
     rest = [(F.col(f"__t_{c}") - F.col(c)).alias(f"rest_{c}") for c in value_cols]
     return j.select(*by, F.col(group).alias(target_col), *own, *rest)
@@ -228,13 +244,36 @@ def quantiles(df: DataFrame, by: Sequence[str], cols: Sequence[str], probs: Mapp
     rows; NULLs are left out, NaN is the largest value.
     """
     by = list(by)
-    long = df.unpivot(by, list(cols), "name", "__v") if by else df.unpivot([], list(cols), "name", "__v")
-    long = long.withColumn("__v", F.col("__v").cast("double")).filter(F.col("__v").isNotNull())
-    key = [*by, "name"]
-    counts = long.groupBy(*key, "__v").agg(F.count(F.lit(1)).cast("double").alias("__n"))
+    counts = _value_counts(df, by, cols)
+    return _order_statistics(counts.withColumn("__n", F.col("__n").cast("double")), [*by, "name"], probs)
+
+
+def _value_counts(df: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    long = df.select(*by, *[F.col(c).cast("double").alias(c) for c in cols if c not in by]).unpivot(list(by), list(cols), "name", "__v")
+    return long.filter(F.col("__v").isNotNull()).groupBy(*by, "name", "__v").agg(F.count(F.lit(1)).alias("__n"))
+
+
+def grouped_quantiles(df: DataFrame, families: Mapping[str, Sequence[str]], cols: Sequence[str], probs: Mapping[str, float],
+                      total: str | None = "TOTAL", sep: str = "-") -> DataFrame:
+    """D9 over the overlapping families of :func:`grouped_levels` (levels, joint levels, TOTAL): family, group, name,
+    statistic, value, n. Rows are counted once at the finest level; only counts are repeated per family."""
+    levels = list(dict.fromkeys(c for cs in families.values() for c in cs))
+    counts = _value_counts(df, levels, cols)
+    group = {f: F.concat(*[F.lit(sep) if i % 2 else F.col(cs[i // 2]).cast("string") for i in range(2 * len(cs) - 1)]) for f, cs in families.items()}
+    if total is not None:
+        group[total] = F.lit(total)
+    parts = F.array(*[F.struct(F.lit(f).alias("family"), g.alias("group")) for f, g in group.items()])
+    rows = counts.withColumn("__f", F.explode(parts)).select("__f.*", "name", "__v", "__n")
+    merged = rows.groupBy("family", "group", "name", "__v").agg(F.sum("__n").cast("double").alias("__n"))
+    return _order_statistics(merged, ["family", "group", "name"], probs)
+
+
+def _order_statistics(counts: DataFrame, key: Sequence[str], probs: Mapping[str, float]) -> DataFrame:
+    """Quantiles of counted values (key, __v, __n)."""
+    key = list(key)
     ranked = running_sums(counts, key, "__v", ["__n"], bucketed=True, prefix="__c")
     total = counts.groupBy(*key).agg(F.sum("__n").alias("__t"))
-    rows = ranked.join(total, key)
+    rows = join_null_safe(ranked, total, key)
     aggs = []
     for name, p in probs.items():
         rank = (F.col("__t") - 1) * F.lit(float(p))

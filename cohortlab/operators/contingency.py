@@ -337,19 +337,6 @@ def fisher_exact(tables: DataFrame, conf_level: float = 0.95) -> DataFrame:
     return tables.mapInPandas(run, out_schema)
 
 
-def fisher_one_vs_rest(cont: DataFrame, comparisons: Mapping[str, Sequence[str]], keys: Sequence[str] = (),
-                       group: str = "group") -> DataFrame:
-    """K5 composite: one-vs-rest 2x2 per group and comparison, then :func:`fisher_exact`."""
-    return fisher_exact(one_vs_rest_2x2(cont, comparisons, keys, group))
-
-
-def wide_to_long(df: DataFrame, group: str, arms: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
-    """Wide contingency (one column per arm) -> long (keys, group, arm, n)."""
-    return df.select(*keys, F.col(group).alias("group"), *[F.col(a).cast("long").alias(a) for a in arms]) \
-        .unpivot([*keys, "group"], list(arms), "arm", "n")
-
-
-
 def min_cell(cont: DataFrame, arm: str, k: int, keys: Sequence[str] = ("family",), group: str = "group") -> DataFrame:
     """Keep groups whose count in ``arm`` is greater than ``k`` (e.g. total_tested > 5)."""
     ok = cont.filter((F.col("arm") == arm) & (F.col("n") > k)).select(*keys, group)

@@ -251,6 +251,19 @@ def _tidy(solved: DataFrame, keys: Sequence[str], terms: Sequence[str]) -> DataF
     return t.withColumn("statistic", F.try_divide("estimate", "std_error")).withColumn("p_value", dist.norm_two_sided_p(F.col("statistic")))
 
 
+def logit_responses(df: DataFrame, responses: Sequence[str], xs: Sequence[str], name: str = "response", **kw) -> tuple[DataFrame, DataFrame]:
+    """K7: one logistic model per 0/1 response column, all on the same covariates.
+
+    Rows are compressed once to (x...) -> n and one sum per response; patterns, not rows, are then repeated per
+    response. A row with a missing covariate or response is left out of all models."""
+    complete = complete_cases(df, [*responses, *xs])
+    table = complete.groupBy(*[F.col(x).cast("double").alias(x) for x in xs]).agg(
+        F.count(F.lit(1)).cast("double").alias("__n"), *[F.sum(F.col(r).cast("double")).alias(f"__y_{i}") for i, r in enumerate(responses)])
+    each = F.explode(F.array(*[F.struct(F.lit(r).alias(name), F.col(f"__y_{i}").alias("__y")) for i, r in enumerate(responses)]))
+    patterns = table.withColumn("__r", each).select("__r.*", *xs, "__n")
+    return logit_grouped(patterns, [name], "__y", xs, compressed=True, **kw)
+
+
 def _key_types(df: DataFrame, keys: Sequence[str]) -> list[tuple[str, str]]:
     d = dict(df.dtypes)
     return [(k, d[k]) for k in keys]
@@ -332,6 +345,15 @@ def coef_table(tables: Mapping[str, DataFrame], label: str = "comparison") -> Da
     return out
 
 
+def coef_table(tables: Mapping[str, DataFrame], label: str = "comparison") -> DataFrame:
+    """Coefficient frames of several fits stacked under a label; columns that one lacks are NULL."""
+    frames = [t.withColumn(label, F.lit(name)) for name, t in tables.items()]
+    out = frames[0]
+    for t in frames[1:]:
+        out = out.unionByName(t, allowMissingColumns=True)
+    return out
+
+
 def compare_coefs(full: DataFrame, nested: DataFrame, keys: Sequence[str] = ("outcome",)) -> DataFrame:
     """Full vs nested estimate and p per term, side by side."""
     keys = list(keys)

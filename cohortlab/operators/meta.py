@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dist
+from .relational import join_small
 
 Z975 = 1.959963984540054
 
@@ -23,7 +24,7 @@ def meta_counts(counts: DataFrame, site: str, group: str, cases: str, controls:
     ``counts`` has one row per (site, group) with case and control counts.
     """
     tot = counts.groupBy(site).agg(F.sum(cases).alias("__tc"), F.sum(controls).alias("__tk"))
-    j = counts.join(F.broadcast(tot), site)
+    j = join_small(counts, tot, site)
     return j.select(F.col(group).alias("target"), F.col(site).alias("study"),
                     F.col(cases).cast("double").alias("event_e"), F.col("__tc").cast("double").alias("n_e"),
                     F.col(controls).cast("double").alias("event_c"), F.col("__tk").cast("double").alias("n_c"))

@@ -54,12 +54,6 @@ def join_null_safe(left: DataFrame, right: DataFrame, on: Sequence[str], how: st
 
 # ---------------------------------------------------------------- C3, C8, C9, C10
 
-def join_on_expr(left: DataFrame, right: DataFrame, left_key: Column, right_key: str,
-                 how: str = "inner") -> DataFrame:
-    """Equi-join on a computed key: materialise the key as a column so it stays an equi-join."""
-    tmp = "__join_key__"
-    return left.withColumn(tmp, left_key).join(right, F.col(tmp) == right[right_key], how).drop(tmp)
-
 
 def semi(df: DataFrame, keys: DataFrame, on) -> DataFrame:
     """``IN (subquery)``; the key side is deduplicated first (partial aggregation), so a key repeated
@@ -189,6 +183,22 @@ def mapped_codes(closure: DataFrame, relationship: DataFrame, concept: DataFrame
                .select(*[c for c in sub.columns if c != "descendant_concept_id"], "concept_code").distinct())
 
 
+def match_codes(events: DataFrame, code: Column, codes: DataFrame, code_col: str, label: str = "matched") -> DataFrame:
+    """Every event with ``label`` true if its (normalised) code is one of ``codes``.
+
+    The code is computed once and the join is an equi-join on a distinct code list (checked broadcast), so matched
+    events and the quality report on unmatched ones (:func:`match_report`) come from the same pass."""
+    known = codes.select(F.col(code_col).alias("__code")).filter("__code is not null").distinct().withColumn("__hit", F.lit(True))
+    out = events.withColumn("__code", code).join(checked_broadcast(known), "__code", "left")
+    return out.withColumn(label, F.coalesce("__hit", F.lit(False))).drop("__hit")
+
+
+def match_report(matched: DataFrame, label: str = "matched") -> DataFrame:
+    """Rows, events without any code, and distinct codes on both sides of :func:`match_codes`."""
+    return matched.groupBy(label).agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("__code").isNull()).alias("n_without_code"),
+                                      F.count_distinct("__code").alias("n_codes"))
+
+
 def with_config(df: DataFrame, config: Sequence[Mapping]) -> DataFrame:
     """C14: data x configuration grid; the configuration is a list of the caller's, exploded on each row."""
     rows = [F.struct(*(F.lit(v).alias(k) for k, v in c.items())) for c in config]

@@ -95,12 +95,6 @@ def unnest(df: DataFrame, name: str = "data") -> DataFrame:
     return df.select(*keys, F.inline(name))
 
 
-def unnest_struct(df: DataFrame, name: str) -> DataFrame:
-    """Struct column -> columns."""
-    keys = [c for c in df.columns if c != name]
-    return df.select(*keys, f"{name}.*")
-
-
 def transpose(df: DataFrame, id_col: str, ids: Sequence, names_to: str = "name") -> DataFrame:
     """Small summary transpose: the rows with the declared ``ids`` become columns (unpivot -> pivot)."""
     vals = [c for c in df.columns if c != id_col]
@@ -108,18 +102,6 @@ def transpose(df: DataFrame, id_col: str, ids: Sequence, names_to: str = "name")
     return long.groupBy(names_to).pivot(id_col, list(ids)).agg(F.first("__v"))
 
 
-def lower_triangle(df: DataFrame, a: str, b: str, order: Sequence[str]) -> DataFrame:
-    """Keep pairs with position(a) > position(b) in ``order``."""
-    pos = F.create_map(*[x for i, v in enumerate(order) for x in (F.lit(v), F.lit(i))])
-    return df.filter(pos[F.col(a)] > pos[F.col(b)])
-
-
-def set_level(df: DataFrame, c: str, value) -> DataFrame:
-    """Overwrite a column with a constant (same type as before)."""
-    t = dict(df.dtypes)[c]
-    return df.withColumn(c, F.lit(value).cast(t))
-
-
 def order_by_levels(df: DataFrame, c: str, levels: Sequence, desc: bool = False, extra: Sequence = ()) -> DataFrame:
     """Sort by a declared level order (unknown levels last)."""
     rank = level_rank(c, levels)

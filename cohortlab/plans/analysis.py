@@ -80,6 +80,68 @@ def blood_group_associations(wide: DataFrame, formulas=FORMULAS, outcomes=OUTCOM
 
 
 RF = MULTIVARIATE[:-1]
+
+
+def _indicators() -> list[tuple[str, str, str]]:
+    """(type, level, 0/1 column) of every ABO, Rh and joint level."""
+    return [("abo", a, f"abo_{a}") for a in ABO_LEVELS] + [("rh", r, f"rh_{r}") for r in RH_LEVELS] \
+        + [("abo_rh", f"{a}_{r}", f"abo_rh_{a}_{r}") for a in ABO_LEVELS for r in RH_LEVELS]
+
+
+def blood_group_risk_factors(wide: DataFrame) -> DataFrame:
+    """Which risk factors go with a blood group: every ABO, Rh and joint level regressed on the risk factors.
+
+    One pattern table serves all 14 responses. Returns blood_group_type, blood_group and the coefficient columns."""
+    responses = _indicators()
+    coefs, _ = glm.logit_responses(_v1_design(wide), [c for *_, c in responses], RF)
+    names = F.create_map(*[x for t, g, c in responses for x in (F.lit(c), F.struct(F.lit(t).alias("blood_group_type"), F.lit(g).alias("blood_group")))])
+    return coefs.withColumn("__g", names[F.col("response")]).select("__g.*", *[c for c in coefs.columns if c != "response"])
+
+
+RACE_LEVELS = ["white", "asian", "black_aa", "other", "missing"]
+ETHNICITY_LEVELS = ["nonhs", "hs", "other", "missing"]
+STRATIFIED_FORMULAS = {"univariate": ["had_blood_group"],
+                       "multivariate": ["age_normed", "male_sex", *[x for x in RF if x.startswith("risk_factor_")], "had_blood_group"]}
+
+
+def race_stratified_associations(wide: DataFrame, formulas=STRATIFIED_FORMULAS, outcomes=OUTCOME_RULES) -> tuple[DataFrame, DataFrame]:
+    """One-vs-rest blood-group models within each race and each ethnicity, three outcomes: (coefficients, fits).
+
+    Persons are compressed once to patterns (outcome, groups, race, ethnicity, covariates); patterns, not persons, are
+    repeated per stratum, blood-group level and formula. Keys: outcome, race_ethnicity, blood_group_type, blood_group, formula."""
+    base = wide.withColumn("__race", F.col("race")).withColumn("__ethnicity", F.col("ethnicity"))
+    df = _v1_design(base, outcomes)
+    covariates = [t for t in dict.fromkeys(t for ts in formulas.values() for t in ts) if t != "had_blood_group"]
+    ycase = F.coalesce(*[F.when(F.col("outcome") == o, F.col(o).cast("double")) for o in outcomes])
+    passed = [F.when(F.lit(True) if rule is None else F.expr(rule), F.lit(o)) for o, rule in outcomes.items()]
+    df = df.withColumn("outcome", F.explode(F.array_compact(F.array(*passed)))).withColumn("__yy", ycase)
+    pats = glm.compress(df.filter("abo is not null and rh is not null"), ["outcome", "__race", "__ethnicity", "abo", "rh"], "__yy", covariates)
+    strata = F.array(F.concat(F.lit("race_"), "__race"), F.concat(F.lit("ethnicity_"), "__ethnicity"))
+    groups = [("abo", a, F.col("abo") == a) for a in ABO_LEVELS] + [("rh", r, F.col("rh") == r) for r in RH_LEVELS] \
+        + [("abo_rh", f"{a}_{r}", (F.col("abo") == a) & (F.col("rh") == r)) for a in ABO_LEVELS for r in RH_LEVELS]
+    cell = F.array(*[F.struct(F.lit(t).alias("blood_group_type"), F.lit(g).alias("blood_group"), c.cast("double").alias("had_blood_group")) for t, g, c in groups])
+    x = pats.withColumn("race_ethnicity", F.explode(strata)).filter("race_ethnicity is not null").withColumn("__g", F.explode(cell)) \
+        .withColumn("formula", F.explode(F.array(*[F.lit(f) for f in formulas])))
+    terms = [*covariates, "had_blood_group"]
+    uses = {t: F.col("formula").isin([f for f, ts in formulas.items() if t in ts]) for t in terms}
+    x = x.select("outcome", "race_ethnicity", "__g.*", "formula", *covariates, "__y", "__n")
+    x = x.select(*[c for c in x.columns if c not in terms], *[F.when(uses[t], F.col(t)).otherwise(0.0).alias(t) for t in terms])
+    keys = ["outcome", "race_ethnicity", "blood_group_type", "blood_group", "formula"]
+    x = x.groupBy(*keys, *terms).agg(F.sum("__y").alias("__y"), F.sum("__n").alias("__n"))
+    return glm.logit_grouped(x, keys, "__y", terms, compressed=True)
+
+
+def stratified_effect_frame(coefs: DataFrame, terms: str = "had_blood_group") -> DataFrame:
+    """The published stratified effects: odds ratios with Wald intervals of the blood-group term for ABO (without AB) and
+    Rh-negative, without the strata that are too small, and declared orders of type and outcome as columns."""
+    keep = (F.col("term") == terms) & F.col("blood_group_type").isin("abo", "rh") & ~F.col("blood_group").isin("pos", "AB") \
+        & ~F.col("race_ethnicity").isin("race_asian", "ethnicity_other")
+    order = lambda c, levels: F.array_position(F.array(*map(F.lit, levels)), F.col(c)).cast("int")
+    return glm.odds_ratio(coefs.filter(keep)).select(
+        "outcome", "race_ethnicity", "blood_group_type", "blood_group", "formula", "odds_ratio", "conf_low", "conf_high", "p_value",
+        order("blood_group_type", ["abo", "rh"]).alias("type_order"), order("outcome", list(OUTCOME_RULES)).alias("outcome_order"))
+
+
 FIT_FORMULAS = {
     "null": [],
     "Risk factors": RF,

@@ -1358,3 +1358,6 @@ def queries():
 
 def oracle_sql():
     return {k: v[1] for k, v in REGISTRY.items() if v[1] is not None}
+
+
+from . import tables  # noqa: E402,F401  registers its queries
