@@ -5,21 +5,22 @@ Spark does the counting over persons; tests run on the aggregated long frame
 
 * :func:`chisq` — Pearson chi-squared (Yates on 2x2, R ``chisq.test`` default), native expressions.
 * :func:`fisher_pvalue` — exact two-sided p, native: support rows by ``explode(sequence(lo, hi))``.
-* :func:`fisher_exact` — conditional-MLE odds ratio, 95% CI and p; the roots need an iterative solve,
-  so each 2x2 row is handled in ``mapInPandas`` (rows are independent: no shuffle, no grouping).
+* :func:`fisher_exact` — conditional-MLE odds ratio, 95% CI and p; pieces of the support are rows, and the brackets of
+  all tables' roots are a DataFrame that is narrowed round by round.
 """
 from __future__ import annotations
 
-import math
-import sys
 from collections.abc import Mapping, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dist
+from ..session import run_by_value, saved
 from .agg import grouped_levels
+from .vectors import lists, matrix, summed
 
 
 # ---------------------------------------------------------------- K1
@@ -197,144 +198,146 @@ def fisher_pvalue(tables: DataFrame, rel_err: float = 1 + 1e-7, chunk: int = FIS
     return agg.select(*cols, F.least(F.lit(1.0), F.col("__num") / F.col("__den")).alias("p_value"))
 
 
-#: support values handled at once in a Fisher root step
+#: support values in one row of the Fisher windows
 FISHER_STEP = 1 << 16
-
-
-class _Hypergeometric:
-    """Moments and tails of the noncentral hypergeometric, summed outward from its mode in chunks.
-
-    A side of the support ends where its terms are exactly zero in double precision; the density falls
-    monotonically from the mode, so nothing beyond adds to a sum.
-    """
-
-    def __init__(self, m: int, n: int, k: int):
-        self.m, self.n, self.k = m, n, k
-        self.lo, self.hi = max(0, k - n), min(k, m)
-
-    def mode(self, t: float) -> int:
-        """Largest x with density ratio f(x) / f(x - 1) >= 1 under log odds ratio t (bisection on the ratio)."""
-        lo, hi = self.lo, self.hi
-        while lo < hi:
-            x = (lo + hi + 1) // 2
-            if math.log(self.m - x + 1) + math.log(self.k - x + 1) - math.log(x) - math.log(self.n - self.k + x) + t >= 0:
-                lo = x
-            else:
-                hi = x - 1
-        return lo
-
-    def _side(self, start: int, up: bool, t: float):
-        """(x, density relative to the mode) in chunks, the mode itself left out."""
-        level, x = 0.0, start
-        while (x < self.hi) if up else (x > self.lo):
-            if up:
-                v = np.arange(x, min(self.hi, x + FISHER_STEP), dtype=np.float64)
-                r = np.log(self.m - v) + np.log(self.k - v) - np.log(v + 1) - np.log(self.n - self.k + v + 1) + t
-                at = v + 1
-            else:
-                v = np.arange(x, max(self.lo, x - FISHER_STEP), -1, dtype=np.float64)
-                r = np.log(v) + np.log(self.n - self.k + v) - np.log(self.m - v + 1) - np.log(self.k - v + 1) - t
-                at = v - 1
-            logs = level + np.cumsum(r)
-            d = np.exp(logs)
-            yield at, d
-            if d[-1] == 0.0:
-                return
-            level, x = float(logs[-1]), int(at[-1])
-
-    def terms(self, t: float):
-        mode = self.mode(t)
-        yield np.array([float(mode)]), np.ones(1)
-        yield from self._side(mode, True, t)
-        yield from self._side(mode, False, t)
-
-    def mean(self, t: float) -> float:
-        mode, total, shift = self.mode(t), 0.0, 0.0
-        for x, d in self.terms(t):
-            total += float(d.sum())
-            shift += float(((x - mode) * d).sum())
-        return mode + shift / total
-
-    def tail(self, q: int, t: float, upper: bool) -> float:
-        total = part = 0.0
-        for x, d in self.terms(t):
-            total += float(d.sum())
-            part += float(d[x >= q].sum() if upper else d[x <= q].sum())
-        return part / total
-
-    def two_sided(self, q: int) -> float:
-        own = next((float(d[x == q][0]) for x, d in self.terms(0.0) if (x == q).any()), 0.0)
-        total = part = 0.0
-        for x, d in self.terms(0.0):
-            total += float(d.sum())
-            part += float(d[d <= own * (1 + 1e-7)].sum())
-        return min(1.0, part / total)
-
-
-def _increasing_root(f, guess: float) -> float:
-    """Root of an increasing function: a bracket around the guess, then the Illinois method."""
-    a = b = guess
-    fa = fb = f(guess)
-    step = 0.5
-    while fa > 0:
-        a, step = a - step, 2 * step
-        fa = f(a)
-    step = 0.5
-    while fb < 0:
-        b, step = b + step, 2 * step
-        fb = f(b)
-    side = 0
-    for _ in range(200):
-        if fa == 0 or fb == 0 or b - a <= 1e-14 * max(1.0, abs(a), abs(b)):
-            break
-        c = (a * fb - b * fa) / (fb - fa)
-        c = c if a < c < b else 0.5 * (a + b)
-        fc = f(c)
-        if fc > 0:
-            b, fb = c, fc
-            fa, side = (fa / 2 if side == 1 else fa), 1
-        else:
-            a, fa = c, fc
-            fb, side = (fb / 2 if side == -1 else fb), -1
-        if abs(fc) < 1e-15:
-            return c
-    return a if fa == 0 else b if fb == 0 else 0.5 * (a + b)
-
-
-def _fisher_one(a: int, b: int, c: int, d: int, conf_level: float = 0.95) -> tuple[float, float, float, float]:
-    """Conditional MLE OR, CI and two-sided p for one 2x2 table (R fisher.test conventions)."""
-    h, x = _Hypergeometric(a + c, b + d, a + b), a
-    alpha = (1 - conf_level) / 2
-    log_or = math.log((a + 0.5) * (d + 0.5) / ((b + 0.5) * (c + 0.5)))
-    z = 1.96 * math.sqrt(sum(1 / (v + 0.5) for v in (a, b, c, d)))
-    if x == h.lo:
-        est = 0.0 if h.lo < h.hi else math.nan
-    elif x == h.hi:
-        est = math.inf
-    else:
-        est = math.exp(_increasing_root(lambda t: h.mean(t) - x, log_or))
-    low = 0.0 if x == h.lo else math.exp(_increasing_root(lambda t: h.tail(x, t, True) - alpha, log_or - z))
-    high = math.inf if x == h.hi else math.exp(_increasing_root(lambda t: alpha - h.tail(x, t, False), log_or + z))
-    return (0.0 if math.isnan(est) else est), low, high, h.two_sided(x)
+#: points tried in each bracket per round; 11 rounds divide it by 33**11 > 2**55
+FISHER_POINTS, FISHER_ROUNDS = 32, 11
+_WINDOW = "__id long, __lo long, __hi long, __first boolean, __m long, __n long, __k long, __c long, __q long"
+
+
+def _log_ratios(x: np.ndarray, m: int, n: int, k: int) -> np.ndarray:
+    """log f(x) / f(x - 1) of the hypergeometric density of x out of m, k drawn, n others."""
+    return np.log(m - x + 1.0) + np.log(k - x + 1.0) - np.log(x) - np.log(n - k + x)
+
+
+def _window_rows(batches):
+    """Rows of a window as plain integers."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1), {c: batch.column(c)[i].as_py() for c in batch.schema.names if c.startswith("__") and c not in ("__t",)}
+
+
+def _log_density(r: dict) -> tuple[np.ndarray, np.ndarray]:
+    """The support values of a window row and their log density relative to the centre."""
+    x = np.arange(r["__lo"], r["__hi"] + 1, dtype=np.float64)
+    steps = np.concatenate([[0.0], _log_ratios(x[1:], r["__m"], r["__n"], r["__k"])])
+    if not r["__first"]:
+        steps[0] = _log_ratios(x[:1], r["__m"], r["__n"], r["__k"])[0]
+    return x, r["__base"] + np.cumsum(steps)
+
+
+def _windows(tables: DataFrame, centre: Column, width: Column, name: str) -> DataFrame:
+    """Support values within ``width`` of ``centre`` as rows of FISHER_STEP values with the log density (relative to the
+    centre) before them. Log ratios of neighbours are summed per row and rows are scanned per table, so no closed form
+    loses digits on large tables and no task holds a table's support."""
+    lo, hi = F.greatest(F.col("__slo"), centre - width), F.least(F.col("__shi"), centre + width)
+    t = tables.select("__id", F.col("__mm").alias("__m"), F.col("__nn").alias("__n"), F.col("__kk").alias("__k"), centre.alias("__c"),
+                      F.col("__aa").alias("__q"), lo.alias("__wlo"), hi.alias("__whi"))
+    t = t.withColumn("__lo", F.explode(F.sequence("__wlo", "__whi", F.lit(FISHER_STEP).cast("long"))))
+    rows = t.select("__id", "__lo", F.least(F.col("__lo") + (FISHER_STEP - 1), F.col("__whi")).alias("__hi"), (F.col("__lo") == F.col("__wlo")).alias("__first"),
+                    "__m", "__n", "__k", "__c", "__q")
+    n_parts = int(tables.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(n_parts, "__id", "__lo")
+
+    def totals(batches):
+        for row, r in _window_rows(batches):
+            _, cum = _log_density({**r, "__base": 0.0})
+            at = float(cum[r["__c"] - r["__lo"]]) if r["__lo"] <= r["__c"] <= r["__hi"] else None
+            yield pa.RecordBatch.from_arrays([*row.columns, pa.array([float(cum[-1])]), pa.array([at], pa.float64())], names=[*row.schema.names, "__sum", "__at"])
+
+    run_by_value(__name__)
+    sums = saved(rows.mapInArrow(totals, _WINDOW + ", __sum double, __at double"), name)
+    # a table has a few rows here (the square root of its counts over FISHER_STEP)
+    before = Window.partitionBy("__id").orderBy("__lo").rowsBetween(Window.unboundedPreceding, -1)
+    base = F.coalesce(F.sum("__sum").over(before), F.lit(0.0))
+    at = sums.withColumn("__b", base)
+    centre_at = at.filter("__at is not null").select("__id", (F.col("__b") + F.col("__at")).alias("__z"))
+    out = at.join(centre_at, "__id").withColumn("__base", F.col("__b") - F.col("__z")).drop("__sum", "__at", "__b", "__z")
+    return saved(out, name)
+
+
+def _fisher_roots(windows: DataFrame, start: DataFrame, alpha: float) -> DataFrame:
+    """Brackets (estimate, lower, upper log odds ratio) narrowed round by round: (__id, __t[6])."""
+    def sums(batches):
+        for row, r in _window_rows(batches):
+            x, log_f = _log_density(r)
+            d, t = x - r["__q"], np.asarray(row.column("__t")[0].as_py()).reshape(3, 2)
+            out = []
+            for j in range(3):
+                points = t[j, 0] + (t[j, 1] - t[j, 0]) * np.arange(1, FISHER_POINTS + 1) / (FISHER_POINTS + 1)
+                for p in points:
+                    f = np.exp(np.minimum(log_f + p * d, 600.0))    # far from the root only the sign matters
+                    out += [f.sum(), (d * f).sum() if j == 0 else f[d >= 0].sum() if j == 1 else f[d <= 0].sum()]
+            yield pa.RecordBatch.from_arrays([row.column("__id"), lists(np.array([out]))], names=["__id", "v"])
+
+    def narrowed(batches):
+        for batch in batches:
+            if batch.num_rows:
+                t, v = matrix(batch.column("__t")).reshape(-1, 3, 2), matrix(batch.column("v")).reshape(-1, 3, FISHER_POINTS, 2)
+                g = v[..., 1] / v[..., 0]
+                g[:, 1] -= alpha
+                g[:, 2] = alpha - g[:, 2]                           # all three increase in the log odds ratio
+                below = (g < 0).sum(axis=2)
+                grid = t[..., :1] + (t[..., 1:] - t[..., :1]) * np.arange(FISHER_POINTS + 2) / (FISHER_POINTS + 1)
+                new = np.stack([np.take_along_axis(grid, below[..., None], 2)[..., 0], np.take_along_axis(grid, below[..., None] + 1, 2)[..., 0]], axis=2)
+                yield pa.RecordBatch.from_arrays([batch.column("__id"), lists(new.reshape(len(new), 6))], names=["__id", "__t"])
+
+    run_by_value(__name__, "cohortlab.operators.vectors")
+    state = start
+    for _ in range(FISHER_ROUNDS):
+        found = summed(windows.join(state, "__id").mapInArrow(sums, "__id long, v array<double>"), ["__id"])
+        state = saved(found.join(state, "__id").mapInArrow(narrowed, "__id long, __t array<double>"), "fisher-brackets")
+    return state
+
+
+def _fisher_p(windows: DataFrame, rel_err: float = 1 + 1e-7) -> DataFrame:
+    """Two-sided p from windows around the mode: (__id, __p); an observed count outside has p 0 in double precision."""
+    def own(batches):
+        for row, r in _window_rows(batches):
+            if r["__lo"] <= r["__q"] <= r["__hi"]:
+                yield pa.RecordBatch.from_arrays([row.column("__id"), pa.array([float(_log_density(r)[1][r["__q"] - r["__lo"]])])], names=["__id", "__own"])
+
+    def parts(batches):
+        for row, r in _window_rows(batches):
+            f = np.exp(_log_density(r)[1])
+            v = [f.sum(), f[f <= np.exp(r["__own"]) * rel_err].sum() if r["__own"] is not None else 0.0]
+            yield pa.RecordBatch.from_arrays([row.column("__id"), lists(np.array([v]))], names=["__id", "v"])
+
+    run_by_value(__name__, "cohortlab.operators.vectors")
+    at = windows.join(windows.mapInArrow(own, "__id long, __own double"), "__id", "left")
+    v = summed(at.mapInArrow(parts, "__id long, v array<double>"), ["__id"])
+    return v.select("__id", F.least(F.lit(1.0), F.element_at("v", 2) / F.element_at("v", 1)).alias("__p"))
 
 
 def fisher_exact(tables: DataFrame, conf_level: float = 0.95) -> DataFrame:
-    """K5: Fisher exact test per row of ``(…, a, b, c, d)``: estimate, conf_low, conf_high, p_value."""
-    out_schema = tables.schema.simpleString()[len("struct<"):-1] + \
-        ",estimate double,conf_low double,conf_high double,p_value double,method string,alternative string"
-
-    def run(it):
-        for pdf in it:
-            res = [_fisher_one(int(r.a), int(r.b), int(r.c), int(r.d), conf_level) for r in pdf.itertuples()]
-            arr = np.array(res, dtype=float).reshape(-1, 4)
-            pdf = pdf.assign(estimate=arr[:, 0], conf_low=arr[:, 1], conf_high=arr[:, 2], p_value=arr[:, 3],
-                             method="Fisher's Exact Test for Count Data", alternative="two.sided")
-            yield pdf
-
-    # ship this module's code with the task (pickle by value): executors need numpy, not this package
-    from pyspark import cloudpickle
-    cloudpickle.register_pickle_by_value(sys.modules[__name__])
-    return tables.mapInPandas(run, out_schema)
+    """K5: Fisher exact test per row of ``(…, a, b, c, d)``: estimate, conf_low, conf_high, p_value.
+
+    The conditional maximum-likelihood odds ratio and its interval are roots in the log odds ratio of the noncentral
+    hypergeometric; all tables' brackets are narrowed together, a fixed number of rounds, with the support around the
+    observed count (60 standard deviations: beyond it terms are 0 in double precision) as rows spread over tasks."""
+    cols = tables.columns
+    m, n, k = F.col("a") + F.col("c"), F.col("b") + F.col("d"), F.col("a") + F.col("b")
+    t = tables.withColumn("__id", F.monotonically_increasing_id()).withColumns({
+        "__mm": m.cast("long"), "__nn": n.cast("long"), "__kk": k.cast("long"), "__aa": F.col("a").cast("long"),
+        "__slo": F.greatest(F.lit(0), k - n).cast("long"), "__shi": F.least(k, m).cast("long")})
+    t = saved(t, "fisher-tables")
+    inverse = sum((1.0 / (F.col(c) + 0.5) for c in "abcd"), F.lit(0.0))
+    near = F.ceil(60.0 / F.sqrt(inverse) + 200.0).cast("long")
+    mode = F.least(F.greatest(F.floor((F.col("__kk") + 1) * ((F.col("__mm") + 1) / (F.col("__mm") + F.col("__nn") + 2))).cast("long"), F.col("__slo")), F.col("__shi"))
+    total = (F.col("__mm") + F.col("__nn")).cast("double")
+    spread = F.sqrt(F.col("__kk") * (F.col("__mm") / total) * (F.col("__nn") / total) * (total - F.col("__kk")) / F.greatest(total - 1, F.lit(1.0)))
+    some = t.filter("__mm + __nn > 0")
+    log_or = F.log((F.col("a") + 0.5) * (F.col("d") + 0.5) / ((F.col("b") + 0.5) * (F.col("c") + 0.5)))
+    reach = 20.0 * F.sqrt(inverse) + 5.0
+    start = saved(some.select("__id", F.flatten(F.array_repeat(F.array(log_or - reach, log_or + reach), 3)).alias("__t")), "fisher-brackets")
+    roots = _fisher_roots(_windows(some, F.col("__aa"), near, "fisher-window"), start, (1 - conf_level) / 2)
+    p = _fisher_p(_windows(some, mode, F.ceil(60.0 * spread + 200.0).cast("long"), "fisher-null"))
+    root = lambda j: F.exp((F.element_at("__t", 2 * j + 1) + F.element_at("__t", 2 * j + 2)) / 2)
+    low_end, high_end, inf = F.col("__aa") == F.col("__slo"), F.col("__aa") == F.col("__shi"), F.lit(float("inf"))
+    out = t.join(roots, "__id", "left").join(p, "__id", "left")
+    return out.select(*cols, F.when(low_end, 0.0).when(high_end, inf).otherwise(root(0)).alias("estimate"), F.when(low_end, 0.0).otherwise(root(1)).alias("conf_low"),
+                      F.when(high_end, inf).otherwise(root(2)).alias("conf_high"), F.coalesce("__p", F.lit(1.0)).alias("p_value"),
+                      F.lit("Fisher's Exact Test for Count Data").alias("method"), F.lit("two.sided").alias("alternative"))
 
 
 def min_cell(cont: DataFrame, arm: str, k: int, keys: Sequence[str] = ("family",), group: str = "group") -> DataFrame:

@@ -594,11 +594,45 @@ def fisher_pvalue_segment(spark, d):
     return K.fisher_pvalue(t).withColumn("p_value", _r("p_value", 8))
 
 
-@register("fisher_exact_segment", None)
+def _fisher_root_sql(rounds: int = 12, points: int = 24) -> str:
+    """Roots of the conditional likelihood by sections of a bracket over the whole support of each table."""
+    body = """
+, j AS (SELECT family, comparison, "group", col_idx, n FROM cont JOIN cfg USING (arm))
+, own AS (SELECT family, comparison, "group" AS blood_group, CAST(COALESCE(SUM(CASE WHEN col_idx = 0 THEN n END), 0) AS BIGINT) AS a,
+                 CAST(COALESCE(SUM(CASE WHEN col_idx = 1 THEN n END), 0) AS BIGINT) AS b FROM j GROUP BY ALL)
+, t AS MATERIALIZED (SELECT o.*, CAST(SUM(a) OVER w - a AS BIGINT) AS c, CAST(SUM(b) OVER w - b AS BIGINT) AS d,
+          row_number() OVER (ORDER BY family, comparison, blood_group) AS id FROM own o WINDOW w AS (PARTITION BY family, comparison))
+, sup AS (SELECT id, a, x, lgamma(a + c + 1) - lgamma(x + 1) - lgamma(a + c - x + 1)
+                 + lgamma(b + d + 1) - lgamma(a + b - x + 1) - lgamma(b + d - (a + b - x) + 1) AS ld
+          FROM t, LATERAL generate_series(GREATEST(0, a + b - (b + d)), LEAST(a + b, a + c)) g(x))
+, s AS MATERIALIZED (SELECT id, x - a AS dx, ld - MAX(CASE WHEN x = a THEN ld END) OVER (PARTITION BY id) AS lf, ld - MAX(ld) OVER (PARTITION BY id) AS lm FROM sup)
+, pv AS (SELECT id, LEAST(1.0, SUM(CASE WHEN lf <= ln(1 + 1e-7) THEN exp(lm) ELSE 0 END) / SUM(exp(lm))) AS p FROM s GROUP BY id)
+, r0 AS (SELECT id, k, -30.0::DOUBLE AS lo, 30.0::DOUBLE AS hi FROM t, (VALUES ('est'), ('low'), ('high')) v(k))"""
+    for i in range(rounds):
+        body += f"""
+, p{i} AS (SELECT id, k, lo, hi, lo + (hi - lo) * i / {points + 1}.0::DOUBLE AS t FROM r{i}, (SELECT unnest(range(1, {points + 1})) AS i))
+, v{i} AS (SELECT id, k, lo, hi, t, CASE k WHEN 'est' THEN SUM(dx * exp(LEAST(lf + t * dx, 600))) / SUM(exp(LEAST(lf + t * dx, 600)))
+      WHEN 'low' THEN SUM(CASE WHEN dx >= 0 THEN exp(LEAST(lf + t * dx, 600)) ELSE 0 END) / SUM(exp(LEAST(lf + t * dx, 600))) - 0.025
+      ELSE 0.025 - SUM(CASE WHEN dx <= 0 THEN exp(LEAST(lf + t * dx, 600)) ELSE 0 END) / SUM(exp(LEAST(lf + t * dx, 600))) END AS f
+    FROM p{i} JOIN s USING (id) GROUP BY id, k, lo, hi, t)
+, r{i + 1} AS MATERIALIZED (SELECT id, k, COALESCE(MAX(t) FILTER (WHERE f < 0), ANY_VALUE(lo)) AS lo, COALESCE(MIN(t) FILTER (WHERE f >= 0), ANY_VALUE(hi)) AS hi
+    FROM v{i} GROUP BY id, k)"""
+    return body + f"""
+, root AS (SELECT id, MAX(exp((lo + hi) / 2)) FILTER (WHERE k = 'est') AS est, MAX(exp((lo + hi) / 2)) FILTER (WHERE k = 'low') AS low,
+    MAX(exp((lo + hi) / 2)) FILTER (WHERE k = 'high') AS high FROM r{rounds} GROUP BY id)
+SELECT family, comparison, blood_group, a, b, c, d,
+  ROUND(CASE WHEN a = GREATEST(0, a - d) THEN 0.0 WHEN a = LEAST(a + b, a + c) THEN 'inf'::DOUBLE ELSE est END, 6) AS estimate,
+  ROUND(CASE WHEN a = GREATEST(0, a - d) THEN 0.0 ELSE low END, 6) AS conf_low,
+  ROUND(CASE WHEN a = LEAST(a + b, a + c) THEN 'inf'::DOUBLE ELSE high END, 6) AS conf_high, ROUND(p, 8) AS p_value,
+  'Fisher''s Exact Test for Count Data' AS method, 'two.sided' AS alternative FROM t JOIN root USING (id) JOIN pv USING (id)"""
+
+
+@register("fisher_exact_segment", with_ctes(["ctested"], SEG_SQL + CFG_SQL + _fisher_root_sql()))
 def fisher_exact_segment(spark, d):
-    """K5 full: conditional-MLE odds ratio and 95% CI (roots per 2x2 row in mapInPandas) + p."""
+    """K5 full: conditional-MLE odds ratio, 95% CI and p; brackets of all tables narrowed together."""
     t = K.one_vs_rest_2x2(segment_contingency(spark, d), COMPARISONS, keys=["family"])
-    return K.fisher_exact(t)
+    out = K.fisher_exact(t)
+    return out.select(*t.columns, *[_r(c).alias(c) for c in ("estimate", "conf_low", "conf_high")], _r("p_value", 8).alias("p_value"), "method", "alternative")
 
 
 # ====================================================================== models

@@ -40,10 +40,24 @@ def test_chi2_tail_at_many_degrees_of_freedom(spark):
 
 
 def test_fisher_of_a_very_large_table(spark):
-    est, low, high, p = contingency._fisher_one(5_000_000, 5_000_000, 5_000_000, 100_000_000_000)
+    """1e11 persons; the same table in pieces of 1,000 support values; tables whose observed count is at an end."""
+    rows = [("large", 5_000_000, 5_000_000, 5_000_000, 100_000_000_000), ("zero", 0, 7, 5, 9), ("full", 6, 0, 2, 9), ("one", 0, 0, 4, 5), ("none", 0, 0, 0, 0)]
+    df = spark.createDataFrame(rows, "g string, a long, b long, c long, d long")
+    got = {r.g: r for r in contingency.fisher_exact(df).collect()}
+    est, low, high, p = (got["large"][c] for c in ("estimate", "conf_low", "conf_high", "p_value"))
     assert est == pytest.approx(20000, rel=1e-5) and p < 1e-300
     half = 1.959964 * math.sqrt(3 / 5e6 + 1e-11)
     assert low == pytest.approx(20000 * math.exp(-half), rel=1e-5) and high == pytest.approx(20000 * math.exp(half), rel=1e-5)
+    assert (got["zero"].estimate, got["zero"].conf_low) == (0.0, 0.0) and 0 < got["zero"].conf_high < math.inf
+    assert got["full"].estimate == got["full"].conf_high == math.inf and got["full"].conf_low > 0
+    assert [got[g].p_value for g in ("one", "none")] == [1.0, 1.0]
+    step, contingency.FISHER_STEP = contingency.FISHER_STEP, 1000
+    try:
+        again = contingency.fisher_exact(df.filter("g in ('large', 'zero')")).collect()
+    finally:
+        contingency.FISHER_STEP = step
+    for r in again:
+        assert [r[c] for c in ("estimate", "conf_low", "conf_high", "p_value")] == pytest.approx([got[r.g][c] for c in ("estimate", "conf_low", "conf_high", "p_value")], rel=1e-9)
 
 
 def test_comparisons_need_two_arms(spark):
