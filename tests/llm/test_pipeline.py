@@ -6,33 +6,13 @@ import numpy as np
 
 import corpus_pipeline as C
 from cohortlab.llm import decontaminate, dedup, secrets, toxicity
+from cohortlab.llm.common import saved
 
 from .test_brute_force import _sets
 
 SMALL = "/root/testdata/sf0.001"
 
 
-def test_stages(spark):
-    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
-    frames = [docs]
-    for name, stage in C.STAGES:
-        frames.append(stage(spark, frames[-1], SMALL).cache())
-    before, clean, single, free, masked, last = frames
-    assert all(f.columns == docs.columns for f in frames[:-1])
-    model = toxicity.fit(docs, spark.read.parquet(f"{SMALL}/labels.parquet").filter(~toxicity.held_out()))
-    scores = {r["doc_id"]: r["predicted"] for r in toxicity.toxicity_scores(docs, model).collect()}
-    ids = lambda f: {r["doc_id"] for r in f.select("doc_id").collect()}
-    assert ids(clean) == {i for i, p in scores.items() if not p}
-    from .test_brute_force import _components, _sets
-    comp = _components(_sets([(r["doc_id"], r["text"]) for r in clean.collect()]))
-    assert ids(single) == {i for i, c in comp.items() if i == c}
-    hit = {r["doc_id"] for r in decontaminate.contaminated(single, spark.read.parquet(f"{SMALL}/benchmark.parquet")).collect()}
-    assert hit and ids(free) == ids(single) - hit
-    texts = {r["doc_id"]: r["text"] for r in free.collect()}
-    assert {r["doc_id"]: r["text"] for r in masked.collect()} == {i: secrets.masked(t, secrets.find(t)) for i, t in texts.items()}
-    assert ids(last) == ids(free) and last.filter("not round_trip or size(ids) <> n_tokens").count() == 0
-
-
 def test_run_and_empty(spark, awkward, nothing):
     assert C.run(spark, SMALL).count() > 0
     for frame in (awkward, nothing):
@@ -96,7 +76,7 @@ def test_stages_at_080(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     frames = [docs]
     for name, stage in C.STAGES:
-        frames.append(stage(spark, frames[-1], SMALL).cache())
+        frames.append(saved(stage(spark, frames[-1], SMALL), "test-stage"))
     _, clean, single, free, masked, last = frames
     ids = lambda f: {r["doc_id"] for r in f.select("doc_id").collect()}
     assert ids(single) == _kept_at_080([(r["doc_id"], r["text"]) for r in clean.collect()])
