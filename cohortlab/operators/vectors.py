@@ -116,9 +116,7 @@ def summed(df: DataFrame, keys: Sequence[str], vec: str = "v") -> DataFrame:
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                if keys:
-                    batch = batch.sort_by([(k, "ascending") for k in keys])
-                head, sums = _run_sums(batch, keys, vec)
+                head, sums = _run_sums(batch.sort_by([(k, "ascending") for k in keys]), keys, vec)
                 yield pa.RecordBatch.from_arrays([*head.columns, lists(sums)], names=[*keys, vec])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,9 +137,7 @@ def summed(df: DataFrame, keys: Sequence[str], vec: str = "v") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*held.columns, lists(total[None])], names=[*keys, vec])
 
     out = df.select(*keys, vec)
-    part = out.mapInArrow(combine, out.schema)
-    part = part.repartition(*keys) if keys else part.coalesce(1)    # without keys: one vector per batch
-    return part.sortWithinPartitions(*keys).mapInArrow(merge, out.schema) if keys else part.mapInArrow(merge, out.schema)
+    return out.mapInArrow(combine, out.schema).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(merge, out.schema)
 
 
 # ---- bootstrap ------------------------------------------------------------------------------------------------------
