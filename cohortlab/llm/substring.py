@@ -30,7 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Rolling, drop_saved, flat, mix, saved, ship, slices
@@ -172,14 +172,21 @@ class SuffixFamily:
 def semi(left: DataFrame, right: DataFrame, on: list[str], n: int, how: str = "left_semi") -> DataFrame:
     """Rows of ``left`` with (or, left_anti, without) their key in ``right``; ``left`` is a written table of n rows.
 
-    Keys with more than 1/HOT_PARTS of the rows are fewer than HOT_PARTS and are broadcast, so that no task of the
-    shuffle gets a frequent gram's rows; the others join as they come."""
-    hot = left.groupBy(*on).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > n // HOT_PARTS).select(*on)
-    hot = hot.join(right.select(*on).distinct().withColumn("__in", F.lit(True)), on, "left").withColumn("__in", F.coalesce("__in", F.lit(False)))
-    seen = left.join(F.broadcast(hot), on, "left")
-    wanted = F.col("__in") if how == "left_semi" else ~F.col("__in")
-    rest = seen.filter(F.col("__in").isNull()).select(*left.columns)
-    return seen.filter(wanted).select(*left.columns).unionByName(rest.join(right.select(*on), on, how))
+    Keys with more than 1/HOT_PARTS of the rows are fewer than HOT_PARTS, whatever the data. They are looked up once
+    and then told by a list of literals, so that no task of the shuffle gets a frequent gram's rows; the others join."""
+    often = left.groupBy(*on).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > n // HOT_PARTS).select(*on)
+    hot = often.join(right.select(*on).distinct().withColumn("__in", F.lit(True)), on, "left").collect()
+    if not hot:
+        return left.join(right.select(*on), on, how)
+
+    def among(rows: list) -> Column:
+        out = F.lit(bool(rows))
+        for c in on if rows else []:
+            out = out & F.col(c).isin([r[c] for r in rows])
+        return out
+
+    wanted = among([r for r in hot if bool(r["__in"]) == (how == "left_semi")])
+    return left.filter(wanted).unionByName(left.filter(~among(hot)).join(right.select(*on), on, how).select(*left.columns))
 
 
 def _release(spark: SparkSession) -> None:

@@ -62,6 +62,18 @@ def test_op1_small_window_and_self_overlap(spark):
     assert sorted(map(tuple, got)) == _removed(rows, 24)
 
 
+def test_op1_lookup_of_frequent_keys(spark, monkeypatch):
+    """Frequent keys, wanted or not, beside rare ones, give what the plain joins give."""
+    monkeypatch.setattr(substring, "HOT_PARTS", 10)
+    left = spark.createDataFrame([(0 if i % 3 == 0 else 1 if i % 3 == 1 else i, i % 2 if i % 3 == 2 else 7, i) for i in range(300)], "a long, b long, v int")
+    for rows in ([(0, 7), (5, 1), (8, 0), (900, 1)], [(1, 7)], []):
+        right = spark.createDataFrame(rows + rows[:1], "a long, b long")
+        for on in (["a"], ["a", "b"]):
+            for how in ("left_semi", "left_anti"):
+                got = sorted(map(tuple, substring.semi(left, right, on, 300, how).collect()))
+                assert got == sorted(map(tuple, left.join(right.select(*on), on, how).select("a", "b", "v").collect()))
+
+
 def test_op2_recall_and_precision(spark):
     r = random.Random(5)
     common, rare = [f"w{i}" for i in range(30)], [f"x{i}" for i in range(3000)]
