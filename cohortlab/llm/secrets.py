@@ -43,6 +43,8 @@ PEM = re.compile(rf"-----BEGIN ([A-Z0-9 ]{{3,40}})-----{BREAK}+((?:[A-Za-z][A-Za
 WRAPPED = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/]{24,}(?:[ \t]*(?:\r?\n|(?:\\r)?\\n)[ \t]*[A-Za-z0-9+/]{4,})+={0,2}")
 # how the encodings begin in base64: SEQUENCE with its length, an SSH length prefix, the private container
 BEGIN = re.compile(r"(?:(?<=[-_/+])|^)(?=M[A-P]|AAAA|b3BlbnNzaC1rZXktdjE)")
+SSH_NAME = re.compile(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]{3,40}")
+JOINT = re.compile(r"[-_/+]")
 KINDS = ("assign", "access", "hex", "jwt", "der", "ssh", "pem")
 SCHEMA = "doc_id long, kind string, start int, end int, evidence string"
 
@@ -110,7 +112,7 @@ def ssh_blob(b: bytes) -> str | None:
         at += 4 + n
     if container:
         return "openssh-key-v1" if len(fields) == 3 else None
-    if at == len(b) and len(fields) >= 2 and re.fullmatch(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]{3,40}", fields[0]):
+    if at == len(b) and len(fields) >= 2 and SSH_NAME.fullmatch(fields[0]):
         return fields[0].decode()
     return None
 
@@ -133,25 +135,71 @@ def _confirmed(b: bytes | None) -> tuple[str, str] | None:
     return None
 
 
-def _inside(run: str) -> tuple[int, int, str, str] | None:
-    """A key joined to other text by ``-``, ``_``, ``/`` or ``+``: (start, end, kind, evidence) within the run.
-
-    DER says itself where it ends; SSH fields are tried up to each joint."""
+def _ssh_end(run: str, start: int, stop: int, seen: set[int]) -> tuple[int, str, str] | None:
+    """(end, kind, evidence) of an SSH blob that starts at ``start``: it fills the run or ends at a joint.
+
+    A prefix of the run is a blob if it ends where a field does, so one walk over the fields tries every joint. Two walks
+    that meet go on alike: ``seen`` holds the bits where fields end that earlier walks left without a blob behind them."""
+    def part(at: int, n: int) -> bytes:
+        """Bytes [at, at + n) behind the start, fewer at the end of the run."""
+        skip = at % 3
+        lo = start + (at - skip) // 3 * 4
+        hi = min(stop, lo + -(-(skip + n) // 3) * 4)
+        return (_unb64(run[lo:hi - ((hi - lo) % 4 == 1)]) or b"")[skip:skip + n]
+
+    size = (stop - start) * 3 // 4
+    if part(0, 15) == b"openssh-key-v1\0":          # three fields, then anything
+        at = 15
+        for _ in range(3):
+            if at + 4 > size:
+                return None
+            at += 4 + int.from_bytes(part(at, 4), "big")
+        least = start + max(24, -(-at * 4 // 3))
+        ends = (end for end in (stop, *(j.start() for j in JOINT.finditer(run, least, stop))) if end >= least and (end - start) % 4 != 1)
+        return next(((end, "ssh", "openssh-key-v1") for end in ends), None)
+    name = int.from_bytes(part(0, 4), "big")
+    if not 6 <= name <= 46 or not SSH_NAME.fullmatch(first := part(4, name)):
+        return None
+    at, fresh, joint = 4 + name, [], None
+    while at + 4 <= size:
+        at += 4 + int.from_bytes(part(at, 4), "big")
+        bit, end = 6 * start + 8 * at, start - (-at * 4 // 3)
+        if at > size or bit in seen:
+            break
+        fresh.append(bit)
+        if end - start >= 24 and end == stop:
+            return stop, "ssh", first.decode()
+        if joint is None and end - start >= 24 and JOINT.match(run, end, stop):
+            joint = end, "ssh", first.decode()
+    if joint is None:
+        seen.update(fresh)
+    return joint
+
+
+def _inside(run: str) -> list[tuple[int, int, str, str]]:
+    """Keys joined to other text by ``-``, ``_``, ``/`` or ``+``: (start, end, kind, evidence) within the run.
+
+    DER says itself where it ends; SSH fields end at any joint or with the run."""
+    out, after, seen, stop = [], 0, set(), len(run.rstrip("="))
     for m in BEGIN.finditer(run):
-        rest = run[m.start():].rstrip("=")
-        if rest[0] == "M":
-            head = _unb64(rest[:8])
+        start = m.start()
+        if start < after:       # inside the key before
+            continue
+        if run[start] == "M":
+            head = _unb64(run[start:min(start + 8, stop)])
             if not head or len(head) < 6 or head[0] != 0x30:
                 continue
             n = head[1]
             size = 2 + n if n < 0x80 else 2 + (n & 0x7F) + int.from_bytes(head[2:2 + (n & 0x7F)], "big") if n & 0x7F <= 4 else 0
-            ends = [-(-size * 4 // 3)]
+            end = start - (-size * 4 // 3)
+            hit = _confirmed(_unb64(run[start:end])) if 24 <= end - start <= stop - start else None
+            found = (end, *hit) if hit else None
         else:
-            ends = [len(rest), *(j.start() for j in re.finditer(r"[-_/+]", rest) if j.start() >= 24)][:64]
-        for end in ends:
-            if 24 <= end <= len(rest) and (hit := _confirmed(_unb64(rest[:end]))):
-                return m.start(), m.start() + end, *hit
-    return None
+            found = _ssh_end(run, start, stop, seen)
+        if found:
+            out.append((start, *found))
+            after = found[0]
+    return out
 
 
 def _armoured(headers: str, body: str) -> str | None:
@@ -186,8 +234,8 @@ def find(text: str) -> list[tuple[str, int, int, str]]:
     for m in ENCODED.finditer(text):
         if hit := _confirmed(_unb64(m[0])):
             out.append((hit[0], m.start(), m.end(), hit[1]))
-        elif hit := _inside(m[0]):
-            out.append((hit[2], m.start() + hit[0], m.start() + hit[1], hit[3]))
+        else:
+            out += [(kind, m.start() + s, m.start() + e, name) for s, e, kind, name in _inside(m[0])]
     for m in WRAPPED.finditer(text):
         if hit := _confirmed(_unb64(re.sub(BREAK, "", m[0]))):
             out.append((hit[0], m.start(), m.end(), "lines:" + hit[1]))

@@ -80,17 +80,13 @@ class PieceTable:
         self.words.clear()
         return out
 
-    def _find(self, key: np.ndarray, check: np.ndarray) -> np.ndarray:
-        """Entry of each fingerprint, -1 if unknown."""
+    def _find(self, key: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Entry of each fingerprint, -1 if unknown; whether another piece has its first 64 bits."""
         if not len(self.key):
-            return np.full(len(key), -1, np.int64)
+            return np.full(len(key), -1, np.int64), np.zeros(len(key), bool)
         at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
-        return np.where((self.key[at] == key) & (self.check[at] == check), at, -1)
-
-    def _holds(self, key: np.ndarray) -> np.ndarray:
-        if not len(self.key):
-            return np.zeros(len(key), bool)
-        return self.key[np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)] == key
+        held, same = self.key[at] == key, self.check[at] == check
+        return np.where(held & same, at, -1), held & ~same
 
     def _add(self, key: np.ndarray, check: np.ndarray, raw: list[bytes]) -> None:
         ids = np.frombuffer(b"".join(raw), "<i4")
@@ -107,37 +103,31 @@ class PieceTable:
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a column one after the other, and the offsets of the texts."""
         data, offsets = flat(column)
-        low, start, end, word, first_unit = _units(data, offsets)
-        fp = []
-        for roll in (_KEY, _CHECK):
-            f = np.empty(len(start), np.uint64)
-            f[word] = roll.spans(roll.prefix(low), start[word], end[word]) ^ np.uint64(1)
-            f[~word] = roll.spans(roll.prefix(data), start[~word], end[~word]) & ~np.uint64(1)
-            f[word] |= np.uint64(1)         # a word (lower-cased) is never a raw piece
-            fp.append(f)
-        key, first, back = np.unique(fp[0], return_index=True, return_inverse=True)
+        text, start, end, word, first_unit = _units(data, offsets)
+        fp = [(roll.spans(roll.prefix(text), start, end) & ~np.uint64(1)) | word.astype(np.uint64)    # a word (lower-cased) is never a raw piece
+              for roll in (_KEY, _CHECK)]
+        key, first, back = _distinct(fp[0])
         check = fp[1][first]
         if len(self.key) + len(key) > CACHE_ENTRIES:
             self._forget()
-        entry = self._find(key, check)
         # a key is free unless another piece has the same 64 bits; such pieces are never remembered
-        taken = self._holds(key) & (entry < 0)
+        entry, taken = self._find(key, check)
         clash = (fp[1] != check[back]) | taken[back]
         new = np.flatnonzero((entry < 0) & ~taken)
         if len(new):
             at = first[new]
             order = np.argsort(~word[at], kind="stable")        # words, then raw pieces; both in key order
             new, at = new[order], at[order]
-            raw = self._ids(data, low, start[at], end[at], word[at])
+            raw = self._ids(text, start[at], end[at], word[at])
             order = np.argsort(key[new])
             self._add(key[new][order], check[new][order], [raw[i] for i in order.tolist()])
-            entry = self._find(key, check)
+            entry, _ = self._find(key, check)
         at, size = self.at[entry][back], self.size[entry][back]
         source = self.flat
         if clash.any():
             i = np.flatnonzero(clash)
             i = i[np.argsort(~word[i], kind="stable")]
-            own = self._ids(data, low, start[i], end[i], word[i])
+            own = self._ids(text, start[i], end[i], word[i])
             size[i] = [len(r) // 4 for r in own]
             at[i] = len(source) + np.cumsum(size[i]) - size[i]
             source = np.concatenate([source, np.frombuffer(b"".join(own), "<i4")])
@@ -145,12 +135,22 @@ class PieceTable:
         ids = source[np.arange(total[-1]) + np.repeat(at - total[:-1], size)]
         return ids, total[first_unit]
 
-    def _ids(self, data: np.ndarray, low: np.ndarray, start: np.ndarray, end: np.ndarray, word: np.ndarray) -> list[bytes]:
+    def _ids(self, text: np.ndarray, start: np.ndarray, end: np.ndarray, word: np.ndarray) -> list[bytes]:
         """Ids of spans; those of words come first."""
-        n, whole, lowered = int(word.sum()), data.tobytes(), low.tobytes()
-        spans = list(zip(start.tolist(), end.tolist()))
-        return (self._remembered_words([lowered[a:b].decode() for a, b in spans[:n]])
-                + self._alone([whole[a:b].decode() for a, b in spans[n:]]))
+        n, raw = int(word.sum()), text.tobytes()
+        pieces = [raw[a:b].decode() for a, b in zip(start.tolist(), end.tolist())]
+        return self._remembered_words(pieces[:n]) + self._alone(pieces[n:])
+
+
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct values, a place of each, and each value's entry (any place will do, so the sort need not be stable)."""
+    order = np.argsort(values)
+    ordered = values[order]
+    new = np.ones(len(values), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    back = np.empty(len(values), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return ordered[new], order[new], back
 
 
 #: Punctuation that the pattern parts from the letters before it.
@@ -167,8 +167,8 @@ def _next(mask: np.ndarray, at: np.ndarray) -> np.ndarray:
 def _units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     """Blank-separated pieces; those of letters and then punctuation become two units, the letters lower-cased.
 
-    Returns the lower-cased bytes, starts and ends of units, which are words, and each text's first unit. Letters are
-    those of ASCII and Latin-1; a piece with any other character stays whole and is lower-cased by the library."""
+    Returns the bytes with words lower-cased, starts and ends of units, which are words, and each text's first unit. Letters
+    are those of ASCII and Latin-1; a piece with any other character stays whole and is lower-cased by the library."""
     low = LOWER[data]
     letter = (low >= 97) & (low <= 122)
     if len(data) > 1:
@@ -180,7 +180,9 @@ def _units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     start, end = runs((data != 0x20) & (data != 0x0A), offsets)
     _, hi, _ = row_ranges(start, offsets)
     core = np.minimum(_next(~letter, start), end)
-    simple = (core > start) & (_next(~_TAIL[data], core) >= end)
+    others = np.zeros(len(data) + 1, np.int32)
+    np.cumsum(~_TAIL[data], out=others[1:])
+    simple = (core > start) & (others[end] == others[core])
     two = simple & (core < end)
     count = 1 + two
     at = np.cumsum(count) - count
@@ -189,7 +191,11 @@ def _units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     u_end[at[two]] = core[two]
     u_start[at[two] + 1] = core[two]
     ends = np.append(0, at + count)
-    return low, u_start, u_end, word, ends[np.append(0, hi)]
+    edges = np.zeros(len(data) + 1, np.int8)       # 1 where a word begins, -1 behind it
+    edges[start[simple]] += 1
+    edges[core[simple]] -= 1
+    text = np.where(np.cumsum(edges[:-1], dtype=np.int8).view(bool), low, data)
+    return text, u_start, u_end, word, ends[np.append(0, hi)]
 
 
 _tables: dict[str, PieceTable] = {}

@@ -319,6 +319,34 @@ def test_op6_written_line_ends_headers_wrapped_and_joined():
         assert not {"pem", "der", "ssh"} & {k for k, *_ in secrets.find(text)}
 
 
+def test_op6_joined_keys_at_any_joint():
+    """A key joined to other text is found however many joints stand before its end, and however many keys are joined."""
+    import base64
+    field = lambda b: len(b).to_bytes(4, "big") + b
+    b64 = lambda b: base64.b64encode(b).decode().rstrip("=")
+    spans = lambda t: [(s, e) for k, s, e, _ in secrets.find(t) if k in ("ssh", "der")]
+    many = b64(field(b"ssh-rsa") + field(b"\x01\x00\x01") + field(b"\xff" * 400))     # mostly slashes
+    assert many.count("/") > 200 and spans("id_" + many + "-x") == [(3, 3 + len(many))]
+    few = b64(field(b"ssh-ed25519") + field(b"k" * 32))
+    at = 3 + len(few) + 1
+    assert spans("id_" + few + "-" + many + "_z " + few) == [(3, 3 + len(few)), (at, at + len(many)), (at + len(many) + 3, at + len(many) + 3 + len(few))]
+    # every end of a field is tried: brute force over all joints of random runs, the whole first
+    r = random.Random(5)
+    for _ in range(300):
+        blobs = [field(r.choice([b"ssh-rsa", b"ssh-ed25519", b"none"])) + b"".join(field(r.randbytes(r.choice([0, 3, 40, 300]))) for _ in range(r.randrange(4)))
+                 for _ in range(r.randrange(1, 4))]
+        if r.random() < .3:
+            blobs.append(b"openssh-key-v1\0" + b"".join(field(r.randbytes(5)) for _ in range(r.randrange(2, 6))))
+        run = r.choice("-_/+").join(["p", *map(b64, blobs), "x" * r.randrange(6)])
+        want, after = [], 0
+        for m in secrets.BEGIN.finditer(run):
+            ends = [len(run), *(j for j in range(m.start() + 24, len(run)) if run[j] in "-_/+")]
+            if m.start() >= after and run[m.start()] != "M" and (hit := next(((e, h) for e in ends if e - m.start() >= 24 and (h := secrets._confirmed(secrets._unb64(run[m.start():e])))), None)):
+                want.append((m.start(), hit[0], *hit[1]))
+                after = hit[0]
+        assert [x for x in secrets._inside(run) if x[2] == "ssh"] == want
+
+
 def test_op7_base(mixed):
     got = {r["doc_id"]: r for r in quality.quality_rules(mixed).collect()}
     for i, t in texts_of(mixed):
