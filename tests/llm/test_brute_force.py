@@ -413,6 +413,19 @@ def test_op8_fingerprints_that_clash(monkeypatch):
         assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:])] == want
 
 
+def test_op8_reads_a_slice_once_for_each_fingerprint(monkeypatch):
+    """Words and raw pieces share one pass for each of the two fingerprints (two passes each before)."""
+    import pyarrow as pa
+    from cohortlab.llm.common import Rolling
+    texts = ["Some words, ÉTÉ X9-b", "", "end.", "Start of-it <s> 12 ÀB!? x"] * 3
+    table = tokens.PieceTable(P.path("word_bpe_49k.json"))
+    passes, prefix = [], Rolling.prefix
+    monkeypatch.setattr(Rolling, "prefix", lambda self, data: passes.append(self) or prefix(self, data))
+    ids, offsets = table.encode(pa.array(texts))
+    assert len(passes) == 2
+    assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:])] == [table.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_op8_rows_with_one_id(spark, tmp_path):
     """Files and index order rows of one id alike: by text."""
     from tokenizers import Tokenizer
